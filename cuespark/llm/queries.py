@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuespark.llm import bpe, line_dedup, mixing, quality, token_blocks
+from cuespark.llm import ann, bpe, langid, line_dedup, mixing, quality, simhash, substring_fm, suffix_dedup, token_blocks
 from cuespark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,15 +31,50 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_frequent_lines(documents(spark, sf_dir)).drop("kept_text")
 
 
+def op4_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_fm.drop_repeated_words(documents(spark, sf_dir)).drop("kept_text")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary())
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.learn(docs))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeated_bytes(documents(spark, sf_dir)).drop("kept")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_blocks, op2_quality_rules, op3_line_dedup, op7_bpe_codec, op10_source_mixing)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_token_blocks,
+        op2_quality_rules,
+        op3_line_dedup,
+        op4_anisotropic_search,
+        op5_substring_fm,
+        op6_simhash,
+        op7_bpe_codec,
+        op8_language_id,
+        op9_suffix_dedup,
+        op10_source_mixing,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": r"""
