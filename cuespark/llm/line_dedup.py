@@ -54,8 +54,9 @@ def _counts(min_chars: int):
     return run
 
 
-def _rebuild(batch: pa.RecordBatch, masks: list[np.ndarray], texts: list[bytes]) -> pa.RecordBatch:
-    n_lines, n_dropped, kept_texts, digests = [], [], [], []
+def _rebuild(batch: pa.RecordBatch, masks: list[np.ndarray], texts: list[bytes], whole: bool) -> pa.RecordBatch:
+    """``OUT`` rows; or, for ``whole``, the batch with its texts (and ``n_chars``) replaced."""
+    n_lines, n_dropped, kept_texts = [], [], []
     for text, drop in zip(texts, masks, strict=True):
         kept = text
         gone = int(drop.sum())
@@ -64,15 +65,18 @@ def _rebuild(batch: pa.RecordBatch, masks: list[np.ndarray], texts: list[bytes])
             kept = b"\n".join([lines[i] for i in np.flatnonzero(~drop)])
         n_lines.append(len(drop))
         n_dropped.append(gone)
-        kept_texts.append(kept.decode())
-        digests.append(hashlib.sha256(kept).hexdigest())
-    return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept_texts, pa.string()), pa.array(digests, pa.string())],
-        ["doc_id", "n_lines", "n_dropped", "kept_text", "kept_sha256"],
-    )
-
-
-def _drop_known(frequent, min_chars: int):
+        kept_texts.append(kept)
+    decoded = [k.decode() for k in kept_texts]
+    if whole:
+        swapped = {"text": pa.array(decoded, pa.string()), "n_chars": pa.array([len(k) for k in decoded], pa.int64())}
+        names = [c for c in batch.schema.names if not c.startswith("__")]
+        return pa.RecordBatch.from_arrays([swapped.get(c, batch.column(c)) for c in names], names)
+    digests = [hashlib.sha256(k).hexdigest() for k in kept_texts]
+    columns = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(decoded, pa.string()), pa.array(digests, pa.string())]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_lines", "n_dropped", "kept_text", "kept_sha256"])
+
+
+def _drop_known(frequent, min_chars: int, whole: bool):
     """Pass 2 while the frequent hashes fit a broadcast: they are sorted, membership is a binary search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +99,7 @@ def _drop_known(frequent, min_chars: int):
                 else:
                     drop = np.zeros(len(hashes), bool)
                 masks.append(drop)
-            yield _rebuild(batch, masks, texts)
+            yield _rebuild(batch, masks, texts, whole)
 
     return run
 
@@ -115,34 +119,40 @@ def _positions(min_chars: int):
     return run
 
 
-def _drop_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        texts, masks = raw_texts(batch.column("text")), []
-        for text, drops in zip(texts, batch.column("drops").to_pylist(), strict=True):
-            mask = np.zeros(text.count(b"\n") + 1, bool)
-            mask[np.array(drops or [], dtype=np.int64)] = True
-            masks.append(mask)
-        yield _rebuild(batch, masks, texts)
+def _drop_listed(whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            texts, masks = raw_texts(batch.column("text")), []
+            for text, drops in zip(texts, batch.column("__drops").to_pylist(), strict=True):
+                mask = np.zeros(text.count(b"\n") + 1, bool)
+                mask[np.array(drops or [], dtype=np.int64)] = True
+                masks.append(mask)
+            yield _rebuild(batch, masks, texts, whole)
+
+    return run
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_keys: int = 1 << 21) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept_text, kept_sha256`` - one row for each input row."""
-    docs = docs_of(docs)
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_keys: int = 1 << 21, whole: bool = False) -> DataFrame:
+    """``doc_id, n_lines, n_dropped, kept_text, kept_sha256`` for each input row; or, for ``whole``, the
+    input rows with all their columns, ``text`` (and ``n_chars``, if there is one) replaced."""
+    rows = docs if whole else docs_of(docs)
+    out = docs.schema if whole else OUT
+    slim = docs_of(docs)
     frequent = (
-        docs.select("text").mapInArrow(_counts(min_chars), "hi long, lo long, n long")
+        slim.select("text").mapInArrow(_counts(min_chars), "hi long, lo long, n long")
         .groupBy("hi", "lo").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("hi", "lo")
     )
     frequent = stage(frequent)
     if frequent.count() <= broadcast_keys:
-        rows = frequent.toArrow()
-        known = np.empty(rows.num_rows, dtype=_DIGEST)
-        known["hi"], known["lo"] = rows.column("hi").to_numpy(), rows.column("lo").to_numpy()
+        table = frequent.toArrow()
+        known = np.empty(table.num_rows, dtype=_DIGEST)
+        known["hi"], known["lo"] = table.column("hi").to_numpy(), table.column("lo").to_numpy()
         sent = docs.sparkSession.sparkContext.broadcast(np.sort(known).tobytes())
-        return docs.mapInArrow(_drop_known(sent, min_chars), OUT)
-    keyed = with_key(docs)
+        return rows.mapInArrow(_drop_known(sent, min_chars, whole), out)
     drops = (
-        keyed.mapInArrow(_positions(min_chars), "doc_id long, text_key long, pos long, hi long, lo long")
-        .join(frequent, ["hi", "lo"], "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("drops"))
-    )
-    same = keyed["doc_id"].eqNullSafe(drops["doc_id"]) & keyed["text_key"].eqNullSafe(drops["text_key"])
-    return keyed.join(drops, same, "left").select(keyed["doc_id"], keyed["text"], "drops").mapInArrow(_drop_listed, OUT)
+        with_key(slim).mapInArrow(_positions(min_chars), "doc_id long, text_key long, pos long, hi long, lo long")
+        .join(frequent, ["hi", "lo"], "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("__drops"))
+    ).withColumnsRenamed({"doc_id": "__doc", "text_key": "__key"})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.xxhash64("text").eqNullSafe(F.col("__key"))
+    joined = rows.join(drops, same, "left").drop("__doc", "__key")
+    return joined.mapInArrow(_drop_listed(whole), out)
