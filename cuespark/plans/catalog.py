@@ -1,4 +1,6 @@
 """Registered queries of the engine's own operators and their oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cuespark.plans.oracles import ORACLES
+from cuespark.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
