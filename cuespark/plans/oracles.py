@@ -80,7 +80,7 @@ sets AS (SELECT conv_id, list_sort(list_distinct(list(turn::VARCHAR))) AS expect
 diff AS (SELECT conv_id, expected, actual, list_sort(list_filter(expected, lambda x: NOT list_contains(actual, x))) AS missing, list_sort(list_filter(actual, lambda x: NOT list_contains(expected, x))) AS extra FROM sets)"""
 CACHE = """
 entries AS (SELECT user_id::VARCHAR AS cache_key, event_id::VARCHAR AS value, ts AS created_at, ts + INTERVAL 2 DAY AS expires_at FROM events WHERE event_id % 3 = 0),
-alive AS (SELECT * FROM entries WHERE expires_at > TIMESTAMP '2024-01-10 00:00:00'),
+alive AS (SELECT * FROM entries WHERE expires_at > TIMESTAMP '2024-01-31 06:00:00'),
 requests AS (SELECT DISTINCT user_id::VARCHAR AS cache_key FROM events)"""
 
 CODES = ", ".join(f"('{r[0]}', '{service}', '{code}')" for r in languages.rows() for service, code in zip(languages.SERVICES, r[2:], strict=True) if code)

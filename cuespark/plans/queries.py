@@ -299,7 +299,7 @@ def cache_tables(spark, sf_dir):
     at = F.col("ts").cast("timestamp")
     entries = e.where("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("cache_key"), F.col("event_id").cast("string").alias("value"), at.alias("created_at"), (at + F.expr("INTERVAL 2 DAY")).alias("expires_at"))
     requests = e.select(F.col("user_id").cast("string").alias("cache_key")).distinct()
-    return requests, entries, F.lit("2024-01-10 00:00:00").cast("timestamp")
+    return requests, entries, F.lit("2024-01-31 06:00:00").cast("timestamp")
 
 
 @query
