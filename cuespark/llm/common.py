@@ -33,10 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lost executors cost one read, not a recomputation."""
+    """Write ``df`` to the shared folder and read it back: lost executors cost one read, not a recomputation.
+
+    The shuffles that made it are not needed any more; Spark is asked to remove their files.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,9 @@ Expected fragments of random text hold (W - M + 2) / 2 windows.
 
 Fragments are packed in blobs, one for each part and buffer: a payload that occurs often in a buffer is
 sent once with a list of places, so a passage that a third of all documents share costs a few bytes a
-place.  Blobs are plain rows; a lost executor recomputes the ones it held.
+place.  Blobs are plain rows; a lost executor recomputes the ones it held.  To keep them small they hold
+32 bits of a minimizer (the rest names the part) and of a text's key (which only tells rows of one id
+apart).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuespark.llm.common import docs_of, raw_texts, text_slices, with_key
+from cuespark.llm.common import docs_of, raw_texts, text_slices
 
 #: More windows than this are cut into several fragments (periodic text has the same minimizer throughout).
 MOST_WINDOWS = {"word": 64, "byte": 1024}
@@ -117,7 +119,7 @@ class Buffer:
         part_of = (low % np.uint64(self.parts)).astype(np.int64)
         of_place = part_of[number]
         payload_order, place_order = np.argsort(part_of, kind="stable"), np.argsort(of_place, kind="stable")
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         local = np.empty(len(low), np.int64)
         for part in np.unique(part_of):
             a, b = np.searchsorted(part_of[payload_order], [part, part + 1])
@@ -127,8 +129,8 @@ class Buffer:
             docs, doc_no = np.unique(doc[here], return_inverse=True)
             ids = [self.docs[i] for i in docs]
             arrays = [
-                np.array([len(mine), len(here), len(docs)], "<i8"), low[mine].astype("<u8"), np.array([len(self.payloads[i]) for i in mine], "<i4"),
-                np.array([x or 0 for x, _ in ids], "<i8"), np.array([k for _, k in ids], "<i8"), np.array([x is None for x, _ in ids], "u1"),
+                np.array([len(mine), len(here), len(docs)], "<i8"), (low[mine] >> np.uint64(32)).astype("<u4"), np.array([len(self.payloads[i]) for i in mine], "<u4"),
+                np.array([x or 0 for x, _ in ids], "<i8"), np.array([k & 0xFFFFFFFF for _, k in ids], "<u4"), np.array([x is None for x, _ in ids], "u1"),
                 local[number[here]].astype("<i4"), doc_no.astype("<i4"), np.diff(start[here], prepend=0).astype("<i4"),
             ]
             yield int(part), packer.compress(b"".join([x.tobytes() for x in arrays] + [self.payloads[i] for i in mine]))
@@ -153,8 +155,8 @@ class Part:
                 at += out.nbytes
                 return out
 
-            low, sizes = take("<u8", n), take("<i4", n)
-            ids, keys, nulls = take("<i8", n_docs), take("<i8", n_docs), take("u1", n_docs)
+            low, sizes = take("<u4", n), take("<u4", n)
+            ids, keys, nulls = take("<i8", n_docs), take("<u4", n_docs).astype(np.int64), take("u1", n_docs)
             payload, doc, start = take("<i4", k), take("<i4", k), np.cumsum(take("<i4", k), dtype=np.int64)
             ends = at + np.cumsum(sizes, dtype=np.int64)
             numbers = np.empty(n, np.int64)
@@ -166,7 +168,7 @@ class Part:
                 numbers[i] = number
             for column, values in zip(columns, (numbers[payload], ids[doc], keys[doc], nulls[doc], start), strict=True):
                 column.append(values)
-        self.payloads, self.minimizers = list(known), np.array(lows, np.uint64)
+        self.payloads, self.minimizers = list(known), np.array(lows, np.uint32)
         self.payload, self.doc, self.key, self.null, self.start = (np.concatenate(c) for c in columns)
 
     def shared(self) -> np.ndarray:
@@ -209,9 +211,8 @@ def route(docs: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray,
 
 
 def text_key(text: bytes) -> int:
-    """Spark's ``xxhash64(text)`` as a signed number."""
-    value = xxhash.xxh64_intdigest(text, 42)
-    return value - (1 << 64) if value >= 1 << 63 else value
+    """The low 32 bits of Spark's ``xxhash64(text)``."""
+    return xxhash.xxh64_intdigest(text, 42) & 0xFFFFFFFF
 
 
 def spans_of(part: Part, place: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -229,7 +230,8 @@ def runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``doc_id, text, begins, ends`` of every row of ``docs``; arrays are null where nothing was found."""
-    keyed = with_key(docs_of(docs).withColumn("text", F.coalesce("text", F.lit(""))))
+    keyed = docs_of(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    keyed = keyed.withColumn("text_key", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
     found = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     found = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
     on = keyed["doc_id"].eqNullSafe(found["d"]) & (keyed["text_key"] == found["t"])

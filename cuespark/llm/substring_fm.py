@@ -27,7 +27,7 @@ from cuespark.llm.common import input_bytes, parts_for, raw_texts, stage, text_s
 from cuespark.llm.fm_index import FmIndex, matching_groups
 from cuespark.llm.routing import MOST_WINDOWS, Part, covered, fragments, route, runs, spans_of, with_spans
 
-WINDOW, RUN = 13, 5
+WINDOW, RUN = 13, 3
 LAST = np.iinfo(np.int64).max
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
