@@ -127,21 +127,19 @@ class SuffixArray:
 
 def extend(head_a: np.ndarray, a: np.ndarray, head_b: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Length of the equal run from ``a`` in one text and ``b`` in another, at most ``most`` symbols."""
-    size = np.zeros(len(a), np.int64)
-    live = np.flatnonzero(most > 0)
+    size, live = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
+    a, b, last_a, last_b = a[live], b[live], len(head_a) - 1, len(head_b) - 1
     while len(live):
-        x, y = a[live] + size[live], b[live] + size[live]
-        in_text = (x < len(head_a)) & (y < len(head_b))
-        live, x, y = live[in_text], x[in_text], y[in_text]
-        differ = head_a[x] ^ head_b[y]
-        same = differ == 0
-        part = live[~same]
-        if len(part):  # leading equal nine-bit symbols of the two numbers
-            rest, equal = differ[~same], np.zeros(len(part), np.int64)
-            for k in range(1, PACK):
-                equal += (rest >> (9 * (PACK - k))) == 0
-            size[part] += equal
-        live = live[same]
-        size[live] += PACK
-        live = live[size[live] < most[live]]
+        inside = (a <= last_a) & (b <= last_b)
+        if not inside.all():
+            live, a, b = live[inside], a[inside], b[inside]
+        differ = head_a[a] ^ head_b[b]
+        # equal leading nine-bit symbols: all seven, or as many as the highest differing bit leaves
+        size[live] += np.where(differ == 0, PACK, PACK - 1 - np.searchsorted(_SYMBOL_BITS, differ, side="right"))
+        more = (differ == 0) & (size[live] < most[live])
+        live, a, b = live[more], a[more] + PACK, b[more] + PACK
     return np.minimum(size, most)
+
+
+#: The lowest number with a bit in the second, third, ... symbol from below.
+_SYMBOL_BITS = np.array([1 << (9 * k) for k in range(1, PACK)], np.int64)

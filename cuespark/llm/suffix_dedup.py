@@ -124,7 +124,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
-def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, part_bytes: int = 8 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
+def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, part_bytes: int = 12 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """``doc_id, text_key, begin, end``: byte spans made of repeated strings (may overlap)."""
     parts = parts_for(4 * input_bytes(docs), part_bytes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return route(docs, _cut(length), parts, _solve(length, shard_bytes))
