@@ -140,7 +140,9 @@ def learn(docs: DataFrame, sample_docs: int = 128, sample_symbols: int = 32_768)
     sizes = known.groupBy("lang").count()
     # about 4 x sample_docs rows of each language have a hash below this share of the hash range
     share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("count"))
-    few = known.join(sizes, "lang").where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share) | (F.col("count") <= 64 * sample_docs))
+    # one row a language, fewer bytes than the automaton that the model holds for each: sent to all tasks,
+    # so that the texts are filtered where they are read
+    few = known.join(F.broadcast(sizes), "lang").where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share) | (F.col("count") <= 64 * sample_docs))
     usual = F.octet_length("text").between(200, sample_symbols // 8)
     first = W.partitionBy("lang").orderBy(F.when(usual, 0).otherwise(1), "h", "doc_id")
     rows = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample_docs).select("lang", "k", F.substring("text", 1, sample_symbols).alias("text")).toArrow()
