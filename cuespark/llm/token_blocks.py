@@ -20,6 +20,7 @@ ids are ordered by text; an empty table writes no ids and gives no rows; other c
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cuespark.llm.bpe import CACHE_PIECES, PIECE
+from cuespark.llm.bpe import piece_finder
 from cuespark.llm.common import docs_of, input_bytes, parts_for, raw_texts, shared_dir, text_slices
 
 BLOCK, PERCENTILE = 1024, 95
 MAGIC = b"PFOR0001"
+#: Pieces kept as packed ids in a worker before the table is started anew (about 200 bytes each).
+KNOWN_PIECES = 1_000_000
 _HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("pad", "u1"), ("n", "<u2")])
 
 
@@ -157,33 +160,38 @@ class Shard:
         return unpack(self.data, self.block_starts[first:last])[a - first * BLOCK : b - first * BLOCK]
 
 
+_encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
+
+
 def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to packed ids with the tokenizers library.
+    """Texts to packed ids with the tokenizers library, one for each vocabulary and Python worker.
 
     The library sees every distinct pre-token once (byte-level BPE never merges across pre-tokens, and a
     pre-token by itself is split no further); results are kept in a bounded table.  Texts that hold an
     added token go to the library whole.
     """
-    import regex
+    if vocabulary in _encoders:
+        return _encoders[vocabulary]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    find, known = regex.compile(PIECE).findall, {}
+    find, known = piece_finder(), {}
 
     def encode(texts: list[str]) -> list[bytes]:
-        whole = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for i, t in enumerate(texts) if any(a in t for a in added)}
+        whole = {i: array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for i, t in enumerate(texts) if any(a in t for a in added)}
         pieces = [[] if i in whole else find(t) for i, t in enumerate(texts)]
-        fresh = list({p for x in pieces for p in x}.difference(known))
+        fresh = list(set().union(*pieces).difference(known))
         for p, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        out = [whole[i] if i in whole else b"".join([known[p] for p in x]) for i, x in enumerate(pieces)]
-        if len(known) > CACHE_PIECES:
+            known[p] = array("I", e.ids).tobytes()
+        out = [whole[i] if i in whole else b"".join(map(known.__getitem__, x)) for i, x in enumerate(pieces)]
+        if len(known) > KNOWN_PIECES:
             known.clear()
         return out
 
+    _encoders[vocabulary] = encode
     return encode
 
 
@@ -207,7 +215,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
         encode, end = library_encoder(vocabulary), np.array([end_id], np.uint32)
         with store.open_output_stream(own) as sink:
             shard = ShardWriter(sink)
-            for batch in text_slices(batches, 1 << 20):
+            for batch in text_slices(batches, 2 << 20):
                 packed = encode([t.decode() for t in raw_texts(batch.column("text"))])
                 for doc, p in zip(batch.column("doc_id").to_pylist(), packed, strict=True):
                     shard.add(doc, np.concatenate([np.frombuffer(p, "<u4"), end]))
