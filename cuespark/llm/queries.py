@@ -92,6 +92,51 @@ WITH lines AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY row_no, doc_id""",
+    "op5_substring_fm": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT row_no, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts
+), windows AS (
+  SELECT row_no, doc_id, unnest(range(1, len(w) - 11)) AS pos, w FROM texts WHERE len(w) >= 13
+), keyed AS (
+  SELECT row_no, doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS key FROM windows
+), first AS (
+  SELECT key, min(doc_id) AS doc_id FROM keyed GROUP BY key
+), starts AS (
+  SELECT k.row_no, k.pos FROM keyed k JOIN first f USING (key) WHERE f.doc_id < k.doc_id
+), covered AS (
+  SELECT w.row_no, w.doc_id, w.word, w.pos,
+         max((s.pos IS NOT NULL)::INT) OVER (PARTITION BY w.row_no ORDER BY w.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) = 1 AS gone
+  FROM words w LEFT JOIN starts s ON s.row_no = w.row_no AND s.pos = w.pos
+), kept AS (
+  SELECT row_no, count(*)::BIGINT AS n_words, (count(*) FILTER (WHERE gone))::BIGINT AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM covered GROUP BY row_no
+)
+SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (row_no)""",
+    "op9_suffix_dedup": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row_no, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), strings AS (
+  SELECT row_no, unnest(range(1, n - 398)) AS pos, unnest(list_transform(range(1, n - 398), lambda i: md5(substr(h, 2 * i - 1, 800)))) AS key FROM texts WHERE n >= 400
+), repeated AS (
+  SELECT key FROM strings GROUP BY key HAVING count(*) > 1
+), starts AS (
+  SELECT row_no, pos FROM strings SEMI JOIN repeated USING (key)
+), positions AS (
+  SELECT row_no, unnest(range(1, n + 1)) AS pos FROM texts
+), covered AS (
+  SELECT p.row_no, p.pos, max((s.pos IS NOT NULL)::INT) OVER (PARTITION BY p.row_no ORDER BY p.pos ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) = 1 AS gone
+  FROM positions p LEFT JOIN starts s ON s.row_no = p.row_no AND s.pos = p.pos
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY row_no ORDER BY pos), false) AS opens FROM covered
+), flags AS (
+  SELECT row_no, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, list(gone ORDER BY pos) AS gone FROM edges GROUP BY row_no
+)
+SELECT t.doc_id, t.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(array_to_string(list_transform(list_filter(range(1, t.n + 1), lambda i: NOT f.gone[i]), lambda i: substr(t.h, 2 * i - 1, 2)), ''))) AS kept_sha256
+FROM texts t LEFT JOIN flags f USING (row_no)""",
     "op10_source_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents

@@ -64,11 +64,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:n], values[width - size : width - size + n])
 
 
-def fragments(units: np.ndarray, window: int, m: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimizer of each fragment of one document's unit hashes."""
-    low = sliding_min(run_hashes(units, m), window - m + 1)
+def fragments(units: np.ndarray, window: int, m: int, most: int, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, minimizer of each fragment of one document's unit hashes; and, for
+    ``within``, whether the minimizer stands in the fragment more than once, so that a window may repeat
+    inside it (else all false)."""
+    hashes, width = run_hashes(units, m), window - m + 1
+    low = sliding_min(hashes, width)
     if not len(low):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
     size = np.diff(np.append(first, len(low)))
     if size.max() > most:
@@ -77,7 +80,11 @@ def fragments(units: np.ndarray, window: int, m: int, most: int) -> tuple[np.nda
         whole = np.repeat(size, pieces)
         first = np.repeat(first, pieces) + step * most
         size = np.minimum(most, whole - step * most)
-    return first, size, low[first]
+    least = low[first]
+    again = np.zeros(len(first), bool)
+    if within:
+        again[:] = [np.count_nonzero(hashes[a : a + n + width - 1] == x) > 1 for a, n, x in zip(first.tolist(), size.tolist(), least, strict=True)]
+    return first, size, least, again
 
 
 class Buffer:
@@ -91,18 +98,20 @@ class Buffer:
         self.known: dict[bytes, int] = {}
         self.payloads: list[bytes] = []
         self.minimizers: list[int] = []
+        self.again: list[bool] = []
         self.docs: list[tuple[int | None, int]] = []
         self.places: list[tuple[np.ndarray, np.ndarray]] = []
         self.bytes = 0
 
-    def add(self, doc_id: int | None, key: int, starts: np.ndarray, minimizers: np.ndarray, payloads: list[bytes]) -> None:
+    def add(self, doc_id: int | None, key: int, starts: np.ndarray, minimizers: np.ndarray, again: np.ndarray, payloads: list[bytes]) -> None:
         known, numbers = self.known, []
-        for payload, low in zip(payloads, minimizers.tolist(), strict=True):
+        for payload, low, twice in zip(payloads, minimizers.tolist(), again.tolist(), strict=True):
             at = known.get(payload)
             if at is None:
                 at = known[payload] = len(self.payloads)
                 self.payloads.append(payload)
                 self.minimizers.append(low)
+                self.again.append(twice)
                 self.bytes += len(payload) + 100
             numbers.append(at)
         self.docs.append((doc_id, key))
@@ -112,7 +121,7 @@ class Buffer:
     def blobs(self) -> Iterator[tuple[int, bytes]]:
         if not self.payloads:
             return
-        low = np.array(self.minimizers, np.uint64)
+        low, again = np.array(self.minimizers, np.uint64), np.array(self.again, np.uint8)
         number = np.concatenate([n for n, _ in self.places])
         start = np.concatenate([s for _, s in self.places])
         doc = np.repeat(np.arange(len(self.places)), [len(n) for n, _ in self.places])
@@ -129,7 +138,7 @@ class Buffer:
             docs, doc_no = np.unique(doc[here], return_inverse=True)
             ids = [self.docs[i] for i in docs]
             arrays = [
-                np.array([len(mine), len(here), len(docs)], "<i8"), (low[mine] >> np.uint64(32)).astype("<u4"), np.array([len(self.payloads[i]) for i in mine], "<u4"),
+                np.array([len(mine), len(here), len(docs)], "<i8"), (low[mine] >> np.uint64(32)).astype("<u4"), again[mine], np.array([len(self.payloads[i]) for i in mine], "<u4"),
                 np.array([x or 0 for x, _ in ids], "<i8"), np.array([k & 0xFFFFFFFF for _, k in ids], "<u4"), np.array([x is None for x, _ in ids], "u1"),
                 local[number[here]].astype("<i4"), doc_no.astype("<i4"), np.diff(start[here], prepend=0).astype("<i4"),
             ]
@@ -143,6 +152,7 @@ class Part:
     def __init__(self, blobs: list[bytes]):
         known: dict[bytes, int] = {}
         lows: list[int] = []
+        twice: list[int] = []
         columns: list[list[np.ndarray]] = [[] for _ in range(5)]
         for blob in blobs:
             raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -155,7 +165,7 @@ class Part:
                 at += out.nbytes
                 return out
 
-            low, sizes = take("<u4", n), take("<u4", n)
+            low, again, sizes = take("<u4", n), take("u1", n), take("<u4", n)
             ids, keys, nulls = take("<i8", n_docs), take("<u4", n_docs).astype(np.int64), take("u1", n_docs)
             payload, doc, start = take("<i4", k), take("<i4", k), np.cumsum(take("<i4", k), dtype=np.int64)
             ends = at + np.cumsum(sizes, dtype=np.int64)
@@ -165,21 +175,23 @@ class Part:
                 number = known.setdefault(text, len(lows))
                 if number == len(lows):
                     lows.append(int(low[i]))
+                    twice.append(int(again[i]))
                 numbers[i] = number
             for column, values in zip(columns, (numbers[payload], ids[doc], keys[doc], nulls[doc], start), strict=True):
                 column.append(values)
-        self.payloads, self.minimizers = list(known), np.array(lows, np.uint32)
+        self.payloads, self.minimizers, self.again = list(known), np.array(lows, np.uint32), np.array(twice, bool)
         self.payload, self.doc, self.key, self.null, self.start = (np.concatenate(c) for c in columns)
 
     def shared(self) -> np.ndarray:
-        """Payloads that can hold a repeated window: found twice, or with a minimizer that another has too."""
+        """Payloads that can hold a repeated window: found twice, with a minimizer that another has too, or
+        with one that stands in them more than once."""
         times = np.bincount(self.payload, minlength=len(self.payloads))
         _, group, n = np.unique(self.minimizers, return_inverse=True, return_counts=True)
-        return np.flatnonzero((times > 1) | (n[group] > 1))
+        return np.flatnonzero((times > 1) | (n[group] > 1) | self.again)
 
 
-def route(docs: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray, list[bytes]]], parts: int, solve: Callable[[Part], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``cut(text) -> first windows, minimizers, payloads``; ``solve(part)`` yields batches of ``SPANS``."""
+def route(docs: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]], parts: int, solve: Callable[[Part], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``cut(text) -> first windows, minimizers, whether they stand there again, payloads``; ``solve(part)`` yields batches of ``SPANS``."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = Buffer(parts)
@@ -190,9 +202,9 @@ def route(docs: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray,
 
         for batch in text_slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text")), strict=True):
-                starts, lows, payloads = cut(text)
+                starts, lows, again, payloads = cut(text)
                 if len(starts):
-                    buffer.add(doc_id, text_key(text), starts, lows, payloads)
+                    buffer.add(doc_id, text_key(text), starts, lows, again, payloads)
                     if buffer.bytes > 48 << 20:
                         yield full()
         if buffer.payloads:

@@ -33,18 +33,18 @@ OUT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256
 
 
 def _cut(window: int):
-    def cut(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    def cut(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         words = text.split()
         if len(words) < window:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), []
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), []
         digest = xxhash.xxh3_64_intdigest
         units = np.fromiter(map(digest, words), np.uint64, len(words))
-        first, size, low = fragments(units, window, min(RUN, window), MOST_WINDOWS["word"])
+        first, size, low, again = fragments(units, window, min(RUN, window), MOST_WINDOWS["word"])
         joined = b" ".join(words)
         gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
         begin = np.concatenate([[0], gaps + 1])[first].tolist()
         end = np.append(gaps, len(joined))[first + size + window - 2].tolist()
-        return first, low, [joined[a:b] for a, b in zip(begin, end, strict=True)]
+        return first, low, again, [joined[a:b] for a, b in zip(begin, end, strict=True)]
 
     return cut
 

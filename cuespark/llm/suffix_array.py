@@ -1,7 +1,9 @@
 """Suffix arrays in numpy: Larsson-Sadakane refinement, Kasai common prefixes, search in another shard.
 
-A shard's text is a sequence of byte fragments; symbol 0 ends each, bytes count from 1.  All orders are
-by the first ``depth`` symbols or more, which is what matches of up to that length need.
+A shard's text is a sequence of byte fragments; symbol 0 ends each, bytes count from 1.  Each of these
+ends counts as a symbol of its own, smaller in earlier fragments, so all suffixes differ by the end of
+their fragment and the order is complete - which Kasai's argument (one position on, the common prefix
+shortens by one at most) needs even though common prefixes are only counted up to ``depth``.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ class SuffixArray:
         inside = np.ones(len(symbols), bool)
         inside[self.starts + self.sizes] = False
         symbols[inside] = np.frombuffer(b"".join(fragments), np.uint8).astype(np.int16) + 1
-        self.head = packed(symbols)
+        self.left = np.repeat(self.starts + self.sizes, self.sizes + 1) - np.arange(len(symbols))  # bytes to the fragment's end
+        cut = 9 * np.maximum(PACK - self.left, 0)
+        self.head = packed(symbols) >> cut << cut  # nothing beyond the end
         self.order, self.rank = self._refine()
         self.common = self._kasai()
 
@@ -38,56 +42,49 @@ class SuffixArray:
         """Larsson-Sadakane: groups of equal prefixes are numbered by their last place; groups that hold
         more than one suffix are sorted by the group of the suffix h places on, and h doubles."""
         n = len(self.head)
-        order = np.argsort(self.head, kind="stable")
-        keys = self.head[order]
+        order = np.argsort(self.head, kind="stable")  # ends in the order of their fragments
         rank = np.empty(n, np.int64)
 
-        def number(at: np.ndarray, keys: np.ndarray) -> None:
-            """Group numbers for the suffixes at the places ``at`` (ascending), equal where keys are."""
-            last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True))
-            rank[order[at]] = np.repeat(at[last], np.diff(last, prepend=-1))
-
-        number(np.arange(n), keys)
-        h, places = PACK, np.arange(n)
-        while h < self.depth:
-            group = rank[order[places]]
-            size = np.bincount(group - places[0], minlength=1) if len(places) else np.zeros(0)
-            places = places[size[group - places[0]] > 1] if len(places) else places
-            if not len(places):
-                break
+        def number(at: np.ndarray, change: np.ndarray) -> np.ndarray:
+            """Number the groups of the places ``at`` (ascending), which end where ``change`` is true;
+            the places in groups of more than one."""
+            last = np.flatnonzero(change)
+            size = np.diff(last, prepend=-1)
+            rank[order[at]] = np.repeat(at[last], size)
+            return at[np.repeat(size, size) > 1]
+
+        keys, ends = self.head[order], self.left[order] < PACK
+        h, places = PACK, number(np.arange(n), np.append((keys[1:] != keys[:-1]) | ends[1:], True))
+        while len(places):
             suffix = order[places]
-            after = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)] + 1, 0)
-            key = rank[suffix] * (n + 1) + after
+            key = rank[suffix] * (n + 1) + rank[suffix + h] + 1  # h symbols on is within the fragment or its end
             by = np.argsort(key, kind="stable")
-            order[places] = suffix[by]
-            number(places, key[by])
+            order[places], key = suffix[by], key[by]
+            places = number(places, np.append(key[1:] != key[:-1], True))
             h *= 2
         final = np.empty(n, np.int64)
         final[order] = np.arange(n)
         return order, final
 
     def _kasai(self) -> np.ndarray:
-        """Common prefix of each suffix with the one before it, up to ``depth``; fragments in lock step:
-        going one position on in a fragment shortens the common prefix by one at most."""
-        order, rank, head, n, depth = self.order, self.rank, self.head, len(self.head), self.depth
-        common = np.zeros(n, np.int32)
+        """Common prefix, up to ``depth``, of each suffix of ``depth`` bytes or more with the one before it;
+        0 for shorter ones, which share less with anything.  Fragments go in lock step: one position on in a
+        fragment shortens the common prefix by one at most."""
+        order, rank, depth = self.order, self.rank, self.depth
+        common = np.zeros(len(order), np.int32)
         lanes = np.argsort(-self.sizes, kind="stable")
-        held, longest_first = np.zeros(len(lanes), np.int64), self.sizes[lanes]
-        for t in range(int(self.sizes.max()) if len(lanes) else 0):
-            active = int(np.searchsorted(-longest_first, -t, side="left"))
+        held, long = np.zeros(len(lanes), np.int64), np.maximum(self.sizes[lanes] - depth + 1, 0)
+        for t in range(int(long.max()) if len(lanes) else 0):
+            active = int(np.searchsorted(-long, -t, side="left"))
             here = self.starts[lanes[:active]] + t
             place = rank[here]
             other = order[np.maximum(place - 1, 0)]
             size = np.where(place > 0, np.maximum(held[:active] - 1, 0), 0)
-            size += self._extend(here + size, other + size, np.where(place > 0, depth - size, 0))
+            size += extend(self.head, here + size, self.head, other + size, np.where(place > 0, depth - size, 0))
             held[:active] = size
             common[place] = size
         return common
 
-    def _extend(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Equal symbols from positions a and b on, at most ``most``."""
-        return extend(self.head, a, self.head, b, most)
-
     def windows(self, length: int) -> np.ndarray:
         """Positions where ``length`` bytes of one fragment begin, as a mask."""
         flags = np.zeros(len(self.head) + 1, np.int32)

@@ -33,15 +33,16 @@ STRIDE = 2 << 20
 def _cut(length: int):
     run = min(RUN, length)
 
-    def cut(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        firsts, lows, payloads = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
+    def cut(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        firsts, lows, agains, payloads = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)], []
         for at in range(0, len(text) - length + 1, STRIDE):
             units = np.frombuffer(text, np.uint8)[at : at + STRIDE + length - 1].astype(np.uint64) + np.uint64(1)
-            first, size, low = fragments(units, length, run, MOST_WINDOWS["byte"])
+            first, size, low, again = fragments(units, length, run, MOST_WINDOWS["byte"], within=True)
             firsts.append(first + at)
             lows.append(low)
+            agains.append(again)
             payloads += [text[a:b] for a, b in zip((first + at).tolist(), (first + at + size + length - 1).tolist(), strict=True)]
-        return np.concatenate(firsts), np.concatenate(lows), payloads
+        return np.concatenate(firsts), np.concatenate(lows), np.concatenate(agains), payloads
 
     return cut
 
