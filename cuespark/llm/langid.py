@@ -78,11 +78,19 @@ def suffix_automaton(text: bytes, n_classes: int) -> np.ndarray:
 
 
 def parse_table(text: bytes, n_classes: int, pad: int) -> np.ndarray:
-    """The automaton completed for parsing: a missing step counts a phrase and restarts at the root."""
+    """The automaton completed for parsing: a missing step counts a phrase and begins the next one.
+
+    A symbol that the text lacks is a phrase of its own: it leads to a last state without steps.  The root
+    is only where a block starts, so a first symbol that the text lacks ends nothing.
+    """
     table = suffix_automaton(text, n_classes)
-    restart = np.where(table[0] >= 0, table[0], 0)
+    stuck = len(table)
+    table = np.vstack([table, np.full((1, n_classes), -1)])
+    restart = np.where(table[0] >= 0, table[0], stuck)
     missing = table < 0
-    done = np.where(missing, restart[None, :], table) * n_classes * 2 + missing
+    ends = missing.copy()
+    ends[0] = False
+    done = np.where(missing, restart[None, :], table) * n_classes * 2 + ends
     done[:, pad] = 0  # padding neither matches nor counts
     return done.astype(np.int32).ravel()
 
