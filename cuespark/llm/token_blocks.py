@@ -179,13 +179,31 @@ def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer.no_padding()
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     find, known = piece_finder(), {}
+    # a token of these begins with the space of its piece
+    opens = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    opens[[i for t, i in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def learn(pieces: list[str]) -> None:
+        """Most pieces are a space and letters: many of these go to the library as one text, which it
+        splits again at the spaces, so their ids are told apart by the tokens that open a piece."""
+        simple = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        groups = [simple[i : i + 512] for i in range(0, len(simple), 512)]
+        alone = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        for group, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            starts = (np.flatnonzero(opens[ids]) * 4).tolist()
+            if len(starts) != len(group):
+                alone += group
+                continue
+            raw = ids.tobytes()
+            known.update(zip(group, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
+        for p, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            known[p] = array("I", e.ids).tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
         whole = {i: array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for i, t in enumerate(texts) if any(a in t for a in added)}
         pieces = [[] if i in whole else find(t) for i, t in enumerate(texts)]
-        fresh = list(set().union(*pieces).difference(known))
-        for p, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
+        learn(list(set().union(*pieces).difference(known)))
         out = [whole[i] if i in whole else b"".join(map(known.__getitem__, x)) for i, x in enumerate(pieces)]
         if len(known) > KNOWN_PIECES:
             known.clear()
