@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from cuespark.llm.common import docs_of, raw_texts, stage, text_slices, with_key
 
 OUT = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
+#: Helper column of the shuffled way.
+DROPS = "__cuespark_drops"
 _DIGEST = np.dtype([("hi", "<i8"), ("lo", "<i8")])
 
 
@@ -69,7 +71,7 @@ def _rebuild(batch: pa.RecordBatch, masks: list[np.ndarray], texts: list[bytes],
     decoded = [k.decode() for k in kept_texts]
     if whole:
         swapped = {"text": pa.array(decoded, pa.string()), "n_chars": pa.array([len(k) for k in decoded], pa.int64())}
-        names = [c for c in batch.schema.names if not c.startswith("__")]
+        names = [c for c in batch.schema.names if c != DROPS]
         return pa.RecordBatch.from_arrays([swapped.get(c, batch.column(c)) for c in names], names)
     digests = [hashlib.sha256(k).hexdigest() for k in kept_texts]
     columns = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(decoded, pa.string()), pa.array(digests, pa.string())]
@@ -123,7 +125,7 @@ def _drop_listed(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             texts, masks = raw_texts(batch.column("text")), []
-            for text, drops in zip(texts, batch.column("__drops").to_pylist(), strict=True):
+            for text, drops in zip(texts, batch.column(DROPS).to_pylist(), strict=True):
                 mask = np.zeros(text.count(b"\n") + 1, bool)
                 mask[np.array(drops or [], dtype=np.int64)] = True
                 masks.append(mask)
@@ -151,8 +153,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         return rows.mapInArrow(_drop_known(sent, min_chars, whole), out)
     drops = (
         with_key(slim).mapInArrow(_positions(min_chars), "doc_id long, text_key long, pos long, hi long, lo long")
-        .join(frequent, ["hi", "lo"], "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("__drops"))
-    ).withColumnsRenamed({"doc_id": "__doc", "text_key": "__key"})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.xxhash64("text").eqNullSafe(F.col("__key"))
-    joined = rows.join(drops, same, "left").drop("__doc", "__key")
+        .join(frequent, ["hi", "lo"], "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias(DROPS))
+    ).withColumnsRenamed({"doc_id": "__cuespark_doc", "text_key": "__cuespark_key"})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cuespark_doc")) & F.xxhash64("text").eqNullSafe(F.col("__cuespark_key"))
+    joined = rows.join(drops, same, "left").drop("__cuespark_doc", "__cuespark_key")
     return joined.mapInArrow(_drop_listed(whole), out)

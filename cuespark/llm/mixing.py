@@ -64,43 +64,39 @@ def offset(source: Column, seed: str = SEED) -> Column:
 
 
 def allocate(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = SEED) -> DataFrame:
-    """``docs(doc_id, text, source, ...)`` with ``__size, __source_size, __target, __copies`` added.
+    """``docs(doc_id, text, source, ...)`` -> ``row`` (the input row as a struct, so that its names clash with
+    nothing), ``size, source_size, target, copies``.
 
-    Added names begin with two underscores, so input columns of any usual name stay as they are.
     Rows move once, by cell; the cell table is joined on the same keys.
     """
-    added = {
-        "__size": word_count(F.col("text")),
-        "__src": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")),
-        "__md5": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")),
-    }
-    rows = docs.withColumns(added).withColumns({"__class": size_class(F.col("__size")), "__cell": F.substring("__md5", 1, CELL_DIGITS)})
-    cell = ["__src", "__class", "__cell"]
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("__n"), F.sum("__size").alias("__words"), F.first(F.col("source").cast("string")).alias("source"))
-    before = W.partitionBy("__src").orderBy("__class", "__cell").rowsBetween(W.unboundedPreceding, -1)
-    starts = cells.select(*cell, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    sizes = cells.groupBy("__src").agg(F.first("source").alias("source"), F.sum("__words").alias("source_size"))
-    targets = source_targets(sizes, weights, max_repeat)
-    at = starts.join(targets.select("__src", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")), "__src")
-    inside = W.partitionBy(*cell).orderBy("__md5", F.col("doc_id").asc_nulls_last(), "__size")
-    joined = rows.withColumn("__k", F.row_number().over(inside)).join(at, cell)
-    rank = (F.col("__start") + F.col("__k")).cast("double")
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    u = offset(F.col("source").cast("string"), seed)
+    rows = docs.select(F.struct("*").alias("row"), word_count(F.col("text").cast("string")).alias("size"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("id"))
+    rows = rows.withColumns({
+        "src": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")),
+        "md5": F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary")),
+    })
+    rows = rows.withColumns({"class": size_class(F.col("size")), "cell": F.substring("md5", 1, CELL_DIGITS)})
+    cell = ["src", "class", "cell"]
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.first("source").alias("source"))
+    before = W.partitionBy("src").orderBy("class", "cell").rowsBetween(W.unboundedPreceding, -1)
+    starts = cells.select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    sizes = cells.groupBy("src").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    at = starts.join(source_targets(sizes, weights, max_repeat).select("src", "source_size", "target"), "src")
+    inside = W.partitionBy(*cell).orderBy("md5", F.col("id").asc_nulls_last(), "size")
+    joined = rows.withColumn("k", F.row_number().over(inside)).join(at, cell)
+    rank = (F.col("start") + F.col("k")).cast("double")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    u = offset(F.col("source"), seed)
     copies = F.least(F.lit(max_repeat).cast("long"), F.floor(u + rate * rank) - F.floor(u + rate * (rank - 1)))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*own, "__size", "__source_size", "__target", copies.cast("long").alias("__copies"))
+    return joined.select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken``: what the mix takes of each row."""
-    took = (F.col("__size") * F.col("__copies")).alias("taken")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source")
-    return allocate(slim, **options).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), took)
+    return allocate(slim, **options).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each repeated as often as it is taken, columns unchanged."""
-    rows = allocate(docs, **options).where(F.col("__copies") > 0)
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = allocate(docs, **options).where(F.col("copies") > 0)
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
