@@ -7,6 +7,7 @@ import os
 import re
 import time
 from collections.abc import Callable
+from contextlib import contextmanager
 from pathlib import Path
 from urllib.parse import urlsplit, urlunsplit
 
@@ -85,6 +86,20 @@ def base_url(url: str) -> str:
     return urlunsplit(parts._replace(path=parts.path.rstrip("/") or "/v1"))
 
 
+@contextmanager
+def cancellable(spark, group: str):
+    """Jobs started inside belong to one group; an error (an interrupt too) cancels those still running."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group, interruptOnCancel=True)
+    try:
+        yield
+    except BaseException:
+        context.cancelJobGroup(group)
+        raise
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 class Session:
     """The cache switch and folder of a run; opening twice or using a closed one is an error."""
 

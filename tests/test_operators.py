@@ -309,3 +309,18 @@ def test_workspaces(tmp_path):
         session.cache("llm")
     with session.open("f"), pytest.raises(RuntimeError):
         session.open("g")
+
+
+def test_sql_functions(spark):
+    from cuespark.functions import registry
+
+    assert "cue_similarity" in registry.register(spark)
+    row = spark.sql("SELECT cue_tokens(' a b') AS t, cue_count_words('hi你好 there') AS n, cue_srt_timestamp(61001) AS s, cue_similarity('Hi!', 'hi') AS r, cue_inline_diff('a b', 'a c') AS d").first()
+    assert tuple(row) == (["a", "b"], 4, "00:01:01,001", 1.0, "a 【b/c】")
+
+
+def test_cancellable_jobs(spark):
+    with workspace.cancellable(spark, "one"):
+        assert spark.range(3).count() == 3
+    with pytest.raises(KeyError), workspace.cancellable(spark, "two"):
+        raise KeyError
