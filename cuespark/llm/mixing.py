@@ -63,13 +63,14 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def allocate(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = SEED) -> DataFrame:
-    """``docs(doc_id, text, source, ...)`` -> ``row`` (the input row as a struct, so that its names clash with
-    nothing), ``size, source_size, target, copies``.
+def allocate(docs: DataFrame, size: Column, carried: Column, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = SEED) -> DataFrame:
+    """``docs(doc_id, source, ...)`` -> ``row``, ``size, source_size, target, copies``.
 
-    Rows move once, by cell; the cell table is joined on the same keys.
+    ``size`` is the size of a row; ``carried`` becomes ``row``, a struct of whatever of the input is wanted
+    afterwards, so that names clash with nothing and nothing else is moved.  Rows move once, by cell; the
+    cell table is joined on the same keys.
     """
-    rows = docs.select(F.struct("*").alias("row"), word_count(F.col("text").cast("string")).alias("size"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("id"))
+    rows = docs.select(carried.alias("row"), size.alias("size"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("id"))
     rows = rows.withColumns({
         "src": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")),
         "md5": F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary")),
@@ -91,12 +92,12 @@ def allocate(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat:
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken``: what the mix takes of each row."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source")
-    return allocate(slim, **options).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """``doc_id, size, source_size, target, taken``: what the mix takes of each row; texts are only counted."""
+    shares = allocate(docs, word_count(F.col("text").cast("string")), F.struct(F.col("doc_id").cast("long").alias("doc_id")), **options)
+    return shares.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each repeated as often as it is taken, columns unchanged."""
-    rows = allocate(docs, **options).where(F.col("copies") > 0)
+    rows = allocate(docs, word_count(F.col("text").cast("string")), F.struct("*"), **options).where(F.col("copies") > 0)
     return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
