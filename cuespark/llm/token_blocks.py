@@ -238,7 +238,10 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
                 for doc, p in zip(batch.column("doc_id").to_pylist(), packed, strict=True):
                     shard.add(doc, np.concatenate([np.frombuffer(p, "<u4"), end]))
             shard.close()
-        store.move(own, name)
+        if store.get_file_info(name).type == fs.FileType.NotFound:
+            store.move(own, name)
+        else:  # an earlier run of this task, whose executor was lost later, has left the same file
+            store.delete_file(own)
         yield pa.RecordBatch.from_pydict({"shard": [part], "n_docs": [len(shard.docs)], "n_ids": [shard.total], "n_bytes": [shard.at]})
 
     rows = ordered.mapInArrow(run, "shard long, n_docs long, n_ids long, n_bytes long").collect()
