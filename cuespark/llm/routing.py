@@ -95,54 +95,48 @@ class Buffer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.payloads: list[bytes] = []
-        self.minimizers: list[int] = []
-        self.again: list[bool] = []
+        self.known: dict[bytes, int] = {}  # payloads in the order of their numbers
         self.docs: list[tuple[int | None, int]] = []
-        self.places: list[tuple[np.ndarray, np.ndarray]] = []
+        self.places: list[tuple[np.ndarray, ...]] = []  # payload numbers, starts, minimizers, again - by document
         self.bytes = 0
 
     def add(self, doc_id: int | None, key: int, starts: np.ndarray, minimizers: np.ndarray, again: np.ndarray, payloads: list[bytes]) -> None:
-        known, numbers = self.known, []
-        for payload, low, twice in zip(payloads, minimizers.tolist(), again.tolist(), strict=True):
-            at = known.get(payload)
-            if at is None:
-                at = known[payload] = len(self.payloads)
-                self.payloads.append(payload)
-                self.minimizers.append(low)
-                self.again.append(twice)
-                self.bytes += len(payload) + 100
-            numbers.append(at)
+        known = self.known
+        before, number = len(known), known.setdefault
+        numbers = np.array([number(p, len(known)) for p in payloads], np.int64)
         self.docs.append((doc_id, key))
-        self.places.append((np.array(numbers, np.int64), starts))
-        self.bytes += 16 * len(numbers)
+        self.places.append((numbers, starts, minimizers, again))
+        fresh = len(known) - before
+        self.bytes += fresh * (sum(map(len, payloads)) // len(payloads) + 100) + 24 * len(payloads)
 
     def blobs(self) -> Iterator[tuple[int, bytes]]:
-        if not self.payloads:
+        if not self.known:
             return
-        low, again = np.array(self.minimizers, np.uint64), np.array(self.again, np.uint8)
-        number = np.concatenate([n for n, _ in self.places])
-        start = np.concatenate([s for _, s in self.places])
-        doc = np.repeat(np.arange(len(self.places)), [len(n) for n, _ in self.places])
+        number, start, low_of_place, again_of_place = (np.concatenate(x) for x in zip(*self.places, strict=True))
+        doc = np.repeat(np.arange(len(self.places)), [len(n) for n, *_ in self.places])
+        low, again = np.empty(len(self.known), np.uint64), np.empty(len(self.known), np.uint8)
+        low[number], again[number] = low_of_place, again_of_place  # equal for all places of a payload
+        ids, keys = (np.array(x, np.int64) for x in zip(*[(d or 0, k) for d, k in self.docs], strict=True))
+        nulls = np.array([d is None for d, _ in self.docs], np.uint8)
         part_of = (low % np.uint64(self.parts)).astype(np.int64)
         of_place = part_of[number]
-        payload_order, place_order = np.argsort(part_of, kind="stable"), np.argsort(of_place, kind="stable")
+        by_part, by_place = np.argsort(part_of, kind="stable"), np.argsort(of_place, kind="stable")
+        texts = list(self.known)
+        texts = [texts[i] for i in by_part.tolist()]
+        sizes = np.fromiter(map(len, texts), np.uint32, len(texts))
         packer = zstandard.ZstdCompressor(level=3)
-        local = np.empty(len(low), np.int64)
-        for part in np.unique(part_of):
-            a, b = np.searchsorted(part_of[payload_order], [part, part + 1])
-            c, d = np.searchsorted(of_place[place_order], [part, part + 1])
-            mine, here = payload_order[a:b], place_order[c:d]
-            local[mine] = np.arange(len(mine))
+        local, parts = np.empty(len(low), np.int64), np.unique(part_of)
+        cuts = zip(parts, *[np.searchsorted(x, parts, side=s) for x in (part_of[by_part], of_place[by_place]) for s in ("left", "right")], strict=True)
+        for part, a, b, c, d in cuts:
+            mine, here = by_part[a:b], by_place[c:d]
+            local[mine] = np.arange(b - a)
             docs, doc_no = np.unique(doc[here], return_inverse=True)
-            ids = [self.docs[i] for i in docs]
             arrays = [
-                np.array([len(mine), len(here), len(docs)], "<i8"), (low[mine] >> np.uint64(32)).astype("<u4"), again[mine], np.array([len(self.payloads[i]) for i in mine], "<u4"),
-                np.array([x or 0 for x, _ in ids], "<i8"), np.array([k & 0xFFFFFFFF for _, k in ids], "<u4"), np.array([x is None for x, _ in ids], "u1"),
+                np.array([b - a, d - c, len(docs)], "<i8"), (low[mine] >> np.uint64(32)).astype("<u4"), again[mine], sizes[a:b].astype("<u4"),
+                ids[docs].astype("<i8"), (keys[docs] & 0xFFFFFFFF).astype("<u4"), nulls[docs],
                 local[number[here]].astype("<i4"), doc_no.astype("<i4"), np.diff(start[here], prepend=0).astype("<i4"),
             ]
-            yield int(part), packer.compress(b"".join([x.tobytes() for x in arrays] + [self.payloads[i] for i in mine]))
+            yield int(part), packer.compress(b"".join([x.tobytes() for x in arrays] + texts[a:b]))
         self.clear()
 
 
@@ -151,9 +145,9 @@ class Part:
 
     def __init__(self, blobs: list[bytes]):
         known: dict[bytes, int] = {}
-        lows: list[int] = []
-        twice: list[int] = []
+        number = known.setdefault
         columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        heads: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for blob in blobs:
             raw = zstandard.ZstdDecompressor().decompress(blob)
             n, k, n_docs = np.frombuffer(raw, "<i8", 3).tolist()
@@ -169,17 +163,14 @@ class Part:
             ids, keys, nulls = take("<i8", n_docs), take("<u4", n_docs).astype(np.int64), take("u1", n_docs)
             payload, doc, start = take("<i4", k), take("<i4", k), np.cumsum(take("<i4", k), dtype=np.int64)
             ends = at + np.cumsum(sizes, dtype=np.int64)
-            numbers = np.empty(n, np.int64)
-            for i, (begin, end) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
-                text = raw[begin:end]
-                number = known.setdefault(text, len(lows))
-                if number == len(lows):
-                    lows.append(int(low[i]))
-                    twice.append(int(again[i]))
-                numbers[i] = number
+            numbers = np.array([number(raw[a:b], len(known)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64)
+            heads.append((numbers, low, again))
             for column, values in zip(columns, (numbers[payload], ids[doc], keys[doc], nulls[doc], start), strict=True):
                 column.append(values)
-        self.payloads, self.minimizers, self.again = list(known), np.array(lows, np.uint32), np.array(twice, bool)
+        self.payloads = list(known)
+        self.minimizers, self.again = np.empty(len(known), np.uint32), np.empty(len(known), bool)
+        for numbers, low, again in heads:
+            self.minimizers[numbers], self.again[numbers] = low, again
         self.payload, self.doc, self.key, self.null, self.start = (np.concatenate(c) for c in columns)
 
     def shared(self) -> np.ndarray:
@@ -207,7 +198,7 @@ def route(docs: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray,
                     buffer.add(doc_id, text_key(text), starts, lows, again, payloads)
                     if buffer.bytes > 48 << 20:
                         yield full()
-        if buffer.payloads:
+        if buffer.known:
             yield full()
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
