@@ -1,9 +1,10 @@
 """Language ID by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text recognises exactly the substrings of that text.
-A document is parsed greedily against it: a phrase is the longest match, the next phrase begins at the
-symbol that broke it.  The language that needs the fewest phrases, each priced at log2 of its sample's
-length and divided by the document's length, is the prediction.
+A document (its letters, lower-cased, words apart by one space) is parsed greedily against it: a phrase
+is the longest match, the next phrase begins at the symbol that broke it.  The language that needs the
+fewest phrases, each priced at log2 of its sample's length and divided by the document's length, is the
+prediction.
 
 Automata are dense tables (state x symbol class), so the parse of many texts runs in lock step with one
 gather per symbol and language.  Every text is parsed whole, in blocks of ``BLOCK`` symbols; a phrase
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from cuespark.llm.common import raw_texts, text_slices
 
 BLOCK = 512
+#: ASCII bytes that are no letters become spaces: marks and digits tell no language.
+_SPACED = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 FOLDS, HELD_OUT = 4, 2
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -43,6 +46,11 @@ class Model:
     price: np.ndarray  # log2 of each sample's length
 
 
+def normal(text: str) -> bytes:
+    """Lower-cased UTF-8 of the letters, runs of ASCII marks, digits and spaces as one space."""
+    return b" ".join(text.lower().encode().translate(_SPACED).split())
+
+
 def suffix_automaton(text: bytes, n_classes: int) -> np.ndarray:
     """Transitions (states x classes, -1 where there is none) of the automaton of all substrings."""
     steps: list[dict[int, int]] = [{}]
@@ -97,7 +105,7 @@ def parse_table(text: bytes, n_classes: int, pad: int) -> np.ndarray:
 
 def build(samples: dict[str, list[str]], sample_symbols: int = 32_768, max_classes: int = 62) -> Model:
     """A model from labelled texts; frequent bytes are classes of their own, the rest share one."""
-    joined = {name: "\n".join(texts).lower().encode()[:sample_symbols] for name, texts in sorted(samples.items())}
+    joined = {name: b" ".join(map(normal, texts))[:sample_symbols] for name, texts in sorted(samples.items())}
     joined = {name: text for name, text in joined.items() if text}
     freq = np.bincount(np.frombuffer(b"".join(joined.values()), np.uint8), minlength=256)
     common = [int(b) for b in np.argsort(-freq, kind="stable")[:max_classes] if freq[b]]
@@ -110,7 +118,7 @@ def build(samples: dict[str, list[str]], sample_symbols: int = 32_768, max_class
 
 
 def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Phrases (texts x languages) of lower-cased texts, blocks parsed in lock step."""
+    """Phrases (texts x languages) of normal texts, blocks parsed in lock step."""
     blocks = [max(1, -(-len(t) // BLOCK)) for t in texts]
     owner = np.repeat(np.arange(len(texts)), blocks)
     pad = bytes([model.n_classes - 1])
@@ -128,7 +136,7 @@ def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def predict(model: Model, texts: list[bytes]) -> tuple[list[str], list[float]]:
-    lowered = [t.decode().lower().encode() for t in texts]
+    lowered = [normal(t.decode()) for t in texts]
     lettered = [any(map(str.isalpha, t.decode())) for t in texts]
     if not model.names:
         return ["und"] * len(texts), [0.0] * len(texts)
