@@ -65,8 +65,10 @@ def similarity(left: str, right: str) -> float:
 
 
 def edit_ratio(before: str, after: str) -> float:
-    """Ratio of matching bases without the shortcut for equality (two empty texts still give 1)."""
-    return SequenceMatcher(None, bases(before.split()), bases(after.split())).ratio()
+    """Ratio of matching bases; equal lists give 1 unless they are so long that the matcher's own rule for
+    frequent tokens applies, which then decides."""
+    a, b = bases(before.split()), bases(after.split())
+    return 1.0 if a == b and len(b) < 200 else SequenceMatcher(None, a, b).ratio()
 
 
 def even_spans(start: int, end: int, count: int) -> list[tuple[int, int]]:

@@ -48,8 +48,9 @@ def optimize(words: DataFrame, cues: DataFrame | None, completer: completion.Com
     flat = answers.select("doc_id", F.explode("result").alias("key", "new_text")).select("doc_id", F.col("key").try_cast("int").alias("sentence_index"), "new_text")
     joined = table.join(flat, ["doc_id", "sentence_index"], "left")
     changed = joins.unless_changed(F.col("text"), F.col("new_text")) != F.col("text")
-    audit = joined.withColumn("optimized_text", F.when(changed, F.col("new_text")).otherwise("")).withColumn("optimize_log", F.when(changed, align.change_log_udf("text", "new_text")).otherwise(""))
-    moved = F.when(changed, align.carry_times_udf("segments", "new_text")).otherwise(F.col("segments"))
+    edited = F.when(changed, F.col("new_text"))  # null for the rest, which the alignment functions pass over
+    audit = joined.withColumn("optimized_text", F.coalesce(edited, F.lit(""))).withColumn("optimize_log", F.coalesce(align.change_log_udf("text", edited), F.lit("")))
+    moved = F.coalesce(align.carry_times_udf("segments", edited), F.col("segments"))
     clean = joined.select("doc_id", "sentence_index", F.when(changed, F.col("new_text")).otherwise(F.col("text")).alias("text"), moved.alias("segments"), F.lit("").alias("optimized_text"), F.lit("").alias("optimize_log"))
     return audit.drop("new_text"), clean
 
