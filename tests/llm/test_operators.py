@@ -308,3 +308,36 @@ def test_queries_with_oracles(spark, data, name):
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_other_queries_run(spark, data, name):
     assert QUERIES[name](spark, data).count() >= 100
+
+
+def jaccard_groups(texts, width=5, similarity=0.8):
+    """Brute force: the label of each text, the smallest position of its component of similar pairs."""
+    sets = [set(similar.shingle_set(t.encode(), width).tolist()) for t in texts]
+    forest = simhash.Forest(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                forest.link(i, j)
+    return [forest.root(i) for i in range(len(texts))]
+
+
+def kept_of(spark, texts):
+    kept = similar.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    return sorted(r.doc_id for r in kept.collect())
+
+
+def test_keep_one_of_texts_that_differ_in_order(spark):
+    rng = random.Random(7)
+    sentences = [" ".join(f"s{k}w{i}" for i in range(rng.randrange(6, 12))) for k in range(20)]
+    texts = []
+    for i in range(100):
+        order = rng.sample(sentences, 20)
+        texts += [" ".join(order), " ".join(order).replace("w3", f"x{i}", 1)]
+    # one family of 60 near copies of each of two bases, each with some edits: sets too large for pairs
+    for base in range(2):
+        words = [f"b{base}w{i}" for i in range(60)]
+        for i in range(60):
+            texts.append(" ".join(w if rng.random() > 0.02 else f"e{i}" for w in words))
+    rng.shuffle(texts)
+    assert kept_of(spark, texts) == sorted(set(jaccard_groups(texts)))
