@@ -341,3 +341,15 @@ def test_keep_one_of_texts_that_differ_in_order(spark):
             texts.append(" ".join(w if rng.random() > 0.02 else f"e{i}" for w in words))
     rng.shuffle(texts)
     assert kept_of(spark, texts) == sorted(set(jaccard_groups(texts)))
+
+
+def test_keep_one_sees_all_pairs_near_the_limit(spark):
+    rng = random.Random(8)
+    texts = []
+    for k in range(60):  # (words, replaced at the end, appended): Jaccard 0.84, 0.84, 0.81, 0.8
+        for size, replaced, added in ((50, 4, 0), (20, 0, 3), (200, 20, 0), (24, 0, 5)):
+            words = [f"{rng.getrandbits(40):x}" for _ in range(size)]
+            texts += [" ".join(words), " ".join(words[: size - replaced] + [f"n{rng.getrandbits(40):x}" for _ in range(replaced + added)])]
+    expected = sorted(set(jaccard_groups(texts)))
+    assert expected == list(range(0, len(texts), 2))
+    assert kept_of(spark, texts) == expected
