@@ -6,34 +6,46 @@ Neighbouring windows with the same minimizer travel as one *fragment*, to the pa
 names: every occurrence of a window is in the same part, and each part can be solved by itself.
 Expected fragments of random text hold (W - M + 2) / 2 windows.
 
-Fragments are packed in blobs, one for each part and buffer: a payload that occurs often in a buffer is
-sent once with a list of places, so a passage that a third of all documents share costs a few bytes a
-place.  Blobs are plain rows; a lost executor recomputes the ones it held.  To keep them small they hold
-32 bits of a minimizer (the rest names the part) and of a text's key (which only tells rows of one id
-apart).
+1. ``chunked``: the rows are packed in chunks of about ``chunk_bytes`` and written once.  From here on a row
+   is a place in a chunk, so null ids, repeated ids and equal texts cannot be mistaken for each other.
+2. ``hot_runs``: a sample of chunks shows which runs are minimizers of many different fragments; these
+   come last in the order of runs, so that a popular phrase does not name the part of all the texts
+   around it.  The sample settles the order of runs only: any order gives the same windows.
+3. Each chunk sends every distinct fragment once, with two numbers that sum up its places (a count, or the
+   least and the greatest id): a passage that a third of all documents share is one entry a chunk.
+4. Parts are solved; the verdict on a fragment goes back to the chunks that sent it.
+5. Each chunk is cut again, which gives its fragments the same numbers, and verdicts become spans of rows.
+
+The exchange has at most ``most_parts`` parts.  Where that makes them larger than ``part_bytes``, a part's
+task cuts it by further bits of the minimizer, sorts the pieces (Spark's sort spills) and solves one
+after the other.  A lost executor recomputes the fragments it held, from the written chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuespark.llm.common import docs_of, raw_texts, text_slices
+from cuespark.llm.common import docs_of, raw_texts, stage, text_slices
 
 #: More windows than this are cut into several fragments (periodic text has the same minimizer throughout).
 MOST_WINDOWS = {"word": 64, "byte": 1024}
+#: Stands for a null id: larger than every other.
+LAST = np.iinfo(np.int64).max
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-SPANS = "doc_id long, text_key long, begin long, end long"
+_HOT = np.uint64(1 << 63)
+_NEAR = np.uint64((1 << 20) - 1)
 
 
 def run_hashes(units: np.ndarray, m: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``m`` units, by doubling."""
+    """A 63-bit hash of every run of ``m`` units, by doubling."""
     if len(units) < m:
         return np.zeros(0, np.uint64)
     out, have, power = None, 0, _MULTIPLIER
@@ -50,7 +62,7 @@ def run_hashes(units: np.ndarray, m: int) -> np.ndarray:
             block = block[:n] * factor + block[size : size + n]
             size, factor = 2 * size, np.uint64(pow(int(factor), 2, 1 << 64))
     out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(29))
+    return (out ^ (out >> np.uint64(29))) >> np.uint64(1)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -64,11 +76,27 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:n], values[width - size : width - size + n])
 
 
-def fragments(units: np.ndarray, window: int, m: int, most: int, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Hot:
+    """Runs that come last in the order of runs."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes.astype(np.uint64))
+        self.near = np.zeros(int(_NEAR) + 1, bool)
+        self.near[(self.hashes & _NEAR).astype(np.int64)] = True
+
+    def last(self, hashes: np.ndarray) -> np.ndarray:
+        if len(self.hashes):
+            at = np.flatnonzero(self.near[(hashes & _NEAR).astype(np.int64)])
+            slot = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+            hashes[at[self.hashes[slot] == hashes[at]]] |= _HOT
+        return hashes
+
+
+def fragments(units: np.ndarray, window: int, m: int, most: int, hot: Hot, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows, minimizer of each fragment of one document's unit hashes; and, for
     ``within``, whether the minimizer stands in the fragment more than once, so that a window may repeat
     inside it (else all false)."""
-    hashes, width = run_hashes(units, m), window - m + 1
+    hashes, width = hot.last(run_hashes(units, m)), window - m + 1
     low = sliding_min(hashes, width)
     if not len(low):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
@@ -87,61 +115,101 @@ def fragments(units: np.ndarray, window: int, m: int, most: int, within: bool =
     return first, size, least, again
 
 
-class Buffer:
-    """Fragments of many documents, turned into one blob a part."""
-
-    def __init__(self, parts: int):
-        self.parts = parts
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}  # payloads in the order of their numbers
-        self.docs: list[tuple[int | None, int]] = []
-        self.places: list[tuple[np.ndarray, ...]] = []  # payload numbers, starts, minimizers, again - by document
-        self.bytes = 0
-
-    def add(self, doc_id: int | None, key: int, starts: np.ndarray, minimizers: np.ndarray, again: np.ndarray, payloads: list[bytes]) -> None:
-        known = self.known
-        before, number = len(known), known.setdefault
-        numbers = np.array([number(p, len(known)) for p in payloads], np.int64)
-        self.docs.append((doc_id, key))
-        self.places.append((numbers, starts, minimizers, again))
-        fresh = len(known) - before
-        self.bytes += fresh * (sum(map(len, payloads)) // len(payloads) + 100) + 24 * len(payloads)
-
-    def blobs(self) -> Iterator[tuple[int, bytes]]:
-        if not self.known:
-            return
-        number, start, low_of_place, again_of_place = (np.concatenate(x) for x in zip(*self.places, strict=True))
-        doc = np.repeat(np.arange(len(self.places)), [len(n) for n, *_ in self.places])
-        low, again = np.empty(len(self.known), np.uint64), np.empty(len(self.known), np.uint8)
-        low[number], again[number] = low_of_place, again_of_place  # equal for all places of a payload
-        ids, keys = (np.array(x, np.int64) for x in zip(*[(d or 0, k) for d, k in self.docs], strict=True))
-        nulls = np.array([d is None for d, _ in self.docs], np.uint8)
-        part_of = (low % np.uint64(self.parts)).astype(np.int64)
-        of_place = part_of[number]
-        by_part, by_place = np.argsort(part_of, kind="stable"), np.argsort(of_place, kind="stable")
-        texts = list(self.known)
-        texts = [texts[i] for i in by_part.tolist()]
-        sizes = np.fromiter(map(len, texts), np.uint32, len(texts))
-        packer = zstandard.ZstdCompressor(level=3)
-        local, parts = np.empty(len(low), np.int64), np.unique(part_of)
-        cuts = zip(parts, *[np.searchsorted(x, parts, side=s) for x in (part_of[by_part], of_place[by_place]) for s in ("left", "right")], strict=True)
-        for part, a, b, c, d in cuts:
-            mine, here = by_part[a:b], by_place[c:d]
-            local[mine] = np.arange(b - a)
-            docs, doc_no = np.unique(doc[here], return_inverse=True)
-            arrays = [
-                np.array([b - a, d - c, len(docs)], "<i8"), (low[mine] >> np.uint64(32)).astype("<u4"), again[mine], sizes[a:b].astype("<u4"),
-                ids[docs].astype("<i8"), (keys[docs] & 0xFFFFFFFF).astype("<u4"), nulls[docs],
-                local[number[here]].astype("<i4"), doc_no.astype("<i4"), np.diff(start[here], prepend=0).astype("<i4"),
-            ]
-            yield int(part), packer.compress(b"".join([x.tobytes() for x in arrays] + texts[a:b]))
-        self.clear()
+# --- chunks
+
+
+def packed(ids: list[int | None], texts: list[bytes]) -> bytes:
+    head = [np.array([len(ids)], "<i8"), np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids], "u1"), np.array([len(t) for t in texts], "<i8")]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(x.tobytes() for x in head), *texts]))
+
+
+def unpacked(pack: bytes) -> tuple[list[int | None], list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(pack)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    ids, nulls, sizes = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "u1", n, 8 + 8 * n), np.frombuffer(raw, "<i8", n, 8 + 9 * n)
+    ends = 8 + 17 * n + np.cumsum(sizes)
+    texts = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    return [None if z else i for i, z in zip(ids.tolist(), nulls.tolist(), strict=True)], texts
+
+
+def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """``chunk, n_bytes, pack``: all rows' ids and texts, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+        held = 0
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([held]), pa.array([packed(ids, texts)], pa.binary())], ["chunk", "n_bytes", "pack"])
+
+        for batch in text_slices(batches, 1 << 20):
+            ids += batch.column("doc_id").to_pylist()
+            texts += raw_texts(batch.column("text"))
+            held += batch.column("text").nbytes
+            if held >= chunk_bytes:
+                yield full()
+                number, ids, texts, held = number + 1, [], [], 0
+        if ids:
+            yield full()
+
+    return stage(docs_of(docs).mapInArrow(run, "chunk long, n_bytes long, pack binary"))
+
+
+#: ``cut(text, hot) -> first windows, minimizers, whether they stand there again, payloads``
+Cut = Callable[[bytes, Hot], tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]
+
+
+class Fragments:
+    """The distinct payloads of a chunk, numbered in order of appearance, and all their places."""
+
+    def __init__(self, texts: list[bytes], cut: Cut, hot: Hot):
+        known: dict[bytes, int] = {}
+        number = known.setdefault
+        numbers, starts, lows, agains, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)], []
+        for text in texts:
+            start, low, again, payloads = cut(text, hot)
+            sizes.append(len(start))
+            if len(start):
+                numbers.append(np.array([number(p, len(known)) for p in payloads], np.int64))
+                starts.append(start)
+                lows.append(low)
+                agains.append(again)
+        self.payloads = list(known)
+        self.number, self.start = np.concatenate(numbers), np.concatenate(starts)
+        self.doc = np.repeat(np.arange(len(texts)), sizes)
+        self.low, self.again = np.empty(len(known), np.uint64), np.empty(len(known), bool)
+        self.low[self.number], self.again[self.number] = np.concatenate(lows), np.concatenate(agains)  # equal for all places
+
+
+# --- what a part receives
+
+
+def encoded(low: np.ndarray, again: np.ndarray, payloads: list[bytes], entries: tuple[np.ndarray, ...]) -> bytes:
+    """Payloads (32 bits of the minimizer, again, bytes) and entries (payload, number, chunk, a, b)."""
+    payload, number, chunk, a, b = entries
+    arrays = [
+        np.array([len(payloads), len(payload)], "<i8"), low.astype("<u4"), again.astype("u1"), np.array([len(p) for p in payloads], "<u4"),
+        np.diff(payload, prepend=0).astype("<i4"), np.diff(number, prepend=0).astype("<i4"), chunk.astype("<i8"), a.astype("<i8"), (b - a).astype("<i8"),
+    ]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(x.tobytes() for x in arrays), *payloads]))
+
+
+def sent_to(found: Fragments, chunk: int, a: np.ndarray, b: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+    """The parts that a chunk's fragments go to, and a blob for each."""
+    part_of = (found.low % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part_of, kind="stable")
+    names, first = np.unique(part_of[order], return_index=True)
+    blobs = []
+    for mine in np.split(order, first[1:]):
+        entries = np.arange(len(mine)), mine, np.full(len(mine), chunk, np.int64), a[mine], b[mine]
+        blobs.append(encoded(found.low[mine] >> np.uint64(32), found.again[mine], [found.payloads[i] for i in mine], entries))
+    return names.tolist(), blobs
 
 
 class Part:
-    """All fragments of a part: distinct payloads, and the places (payload, document, first window) of each."""
+    """All fragments of a part: distinct payloads, and for each chunk that has one an entry."""
 
     def __init__(self, blobs: list[bytes]):
         known: dict[bytes, int] = {}
@@ -150,8 +218,8 @@ class Part:
         heads: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for blob in blobs:
             raw = zstandard.ZstdDecompressor().decompress(blob)
-            n, k, n_docs = np.frombuffer(raw, "<i8", 3).tolist()
-            at = 24
+            n, k = np.frombuffer(raw, "<i8", 2).tolist()
+            at = 16
 
             def take(kind: str, count: int, raw=raw) -> np.ndarray:
                 nonlocal at
@@ -160,67 +228,210 @@ class Part:
                 return out
 
             low, again, sizes = take("<u4", n), take("u1", n), take("<u4", n)
-            ids, keys, nulls = take("<i8", n_docs), take("<u4", n_docs).astype(np.int64), take("u1", n_docs)
-            payload, doc, start = take("<i4", k), take("<i4", k), np.cumsum(take("<i4", k), dtype=np.int64)
+            payload, own = np.cumsum(take("<i4", k), dtype=np.int64), np.cumsum(take("<i4", k), dtype=np.int64)
+            chunk, a, b = take("<i8", k), take("<i8", k), take("<i8", k)
             ends = at + np.cumsum(sizes, dtype=np.int64)
-            numbers = np.array([number(raw[a:b], len(known)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64)
+            numbers = np.array([number(raw[x:y], len(known)) for x, y in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64)
             heads.append((numbers, low, again))
-            for column, values in zip(columns, (numbers[payload], ids[doc], keys[doc], nulls[doc], start), strict=True):
+            for column, values in zip(columns, (numbers[payload], own, chunk, a, a + b), strict=True):
                 column.append(values)
         self.payloads = list(known)
         self.minimizers, self.again = np.empty(len(known), np.uint32), np.empty(len(known), bool)
         for numbers, low, again in heads:
             self.minimizers[numbers], self.again[numbers] = low, again
-        self.payload, self.doc, self.key, self.null, self.start = (np.concatenate(c) for c in columns)
+        self.payload, self.number, self.chunk, self.a, self.b = (np.concatenate(c) for c in columns)
 
-    def shared(self) -> np.ndarray:
-        """Payloads that can hold a repeated window: found twice, with a minimizer that another has too, or
-        with one that stands in them more than once."""
-        times = np.bincount(self.payload, minlength=len(self.payloads))
+    def shared(self, several: np.ndarray) -> np.ndarray:
+        """Payloads that can hold a repeated window: those with ``several`` places, with a minimizer that
+        another has too, or with one that stands in them more than once."""
         _, group, n = np.unique(self.minimizers, return_inverse=True, return_counts=True)
-        return np.flatnonzero((times > 1) | (n[group] > 1) | self.again)
-
-
-def route(docs: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]], parts: int, solve: Callable[[Part], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``cut(text) -> first windows, minimizers, whether they stand there again, payloads``; ``solve(part)`` yields batches of ``SPANS``."""
+        return np.flatnonzero(several | (n[group] > 1) | self.again)
+
+    def pieces(self, n: int) -> Iterator[tuple[int, bytes]]:
+        """The part cut in ``n`` by further bits of the minimizers."""
+        piece = (self.minimizers % np.uint32(n)).astype(np.int64)
+        local = np.empty(len(piece), np.int64)
+        for k in np.unique(piece).tolist():
+            mine, rows = np.flatnonzero(piece == k), np.flatnonzero(piece[self.payload] == k)
+            local[mine] = np.arange(len(mine))
+            yield k, encoded(self.minimizers[mine], self.again[mine], [self.payloads[i] for i in mine], (local[self.payload[rows]], self.number[rows], self.chunk[rows], self.a[rows], self.b[rows]))
+
+
+@dataclass
+class Verdict:
+    """For entries (positions in a part): runs of windows from ``begin`` to ``end`` of the payload, and ``than``."""
+
+    entry: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    than: np.ndarray
+
+    def rows(self, part: Part) -> pa.RecordBatch:
+        """One row for each chunk."""
+        order = np.argsort(part.chunk[self.entry], kind="stable")
+        chunk, number = part.chunk[self.entry][order], part.number[self.entry][order]
+        table = np.column_stack([number, self.begin[order], self.end[order], self.than[order]]).astype("<i8")
+        first = np.flatnonzero(np.diff(chunk, prepend=chunk[:1] - 1))
+        blobs = [table[x:y].tobytes() for x, y in zip(first.tolist(), [*first[1:].tolist(), len(table)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.array(blobs, pa.binary())], ["chunk", "verdict"])
+
+
+# --- the plan
+
+
+@dataclass
+class Routes:
+    """Where fragments go; sizes in bytes."""
+
+    chunk_bytes: int = 8 << 20
+    part_bytes: int = 12 << 20
+    most_parts: int = 8192
+    #: Every so many chunks are the sample that shows hot runs, of which at most ``most_hot`` are kept.
+    share: int = 16
+    most_hot: int = 1 << 16
+
+
+def hot_runs(chunks: DataFrame, cut: Cut, routes: Routes, rounds: int = 2) -> Hot:
+    """Runs that are minimizers of so many fragments that these would fill a quarter of a part."""
+    sample, hot = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(routes.share)) == 0).select("pack"), Hot(np.zeros(0, np.uint64))
+    for _ in range(rounds):
+        sent = chunks.sparkSession.sparkContext.broadcast(hot)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for pack in (p for batch in batches for p in batch.column("pack").to_pylist()):
+                found = Fragments(unpacked(pack)[1], cut, sent.value)
+                run_of, group, n = np.unique(found.low & ~_HOT, return_inverse=True, return_counts=True)
+                size = np.bincount(group, [len(p) for p in found.payloads], len(run_of)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(run_of.view(np.int64)), pa.array(size), pa.array(n)], ["run", "size", "n"])
+
+        counted = sample.mapInArrow(run, "run long, size long, n long").groupBy("run").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
+        rows = counted.where((F.col("size") * routes.share > routes.part_bytes // 4) & (F.col("n") > 8)).orderBy(F.desc("size"), "run").limit(routes.most_hot).toArrow()
+        more = Hot(np.concatenate([hot.hashes, rows.column("run").to_numpy().view(np.uint64)])[: routes.most_hot])
+        if len(more.hashes) == len(hot.hashes):
+            break
+        hot = more
+    return hot
+
+
+def marked(
+    docs: DataFrame, cut: Cut, values: Callable[[np.ndarray], np.ndarray], reduce: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]],
+    solve: Callable[[Part], Iterator[Verdict]], window: int, remove: Callable[[list, list[bytes], list[np.ndarray | None]], pa.RecordBatch], out: str, routes: Routes,
+) -> DataFrame:
+    """``remove(ids, texts, marks)`` for all rows, where marks flag the units in spans (None: there are none).
+
+    ``values(ids)``: a number for each row (ids have nulls as ``LAST``); ``reduce(number, value, n)``: two numbers
+    that sum up the places of each of ``n`` payloads; a place is in a span if its number is above ``than``.
+    """
+    spark = docs.sparkSession
+    chunks = chunked(docs, routes.chunk_bytes)
+    total = 3 * int(chunks.agg(F.sum("n_bytes")).head()[0] or 0)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(routes.most_parts, max(least, -(-total // routes.part_bytes))))
+    pieces = max(1, -(-total // (routes.part_bytes * parts)))
+    hot = spark.sparkContext.broadcast(hot_runs(chunks, cut, routes))
+
+    def numbers_of(ids: list[int | None]) -> np.ndarray:
+        return values(np.array([LAST if i is None else i for i in ids], np.int64))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffer = Buffer(parts)
+        for chunk, pack in ((c, p) for batch in batches for c, p in zip(batch.column("chunk").to_pylist(), batch.column("pack").to_pylist(), strict=True)):
+            ids, texts = unpacked(pack)
+            found = Fragments(texts, cut, hot.value)
+            if not found.payloads:
+                continue
+            names, blobs = sent_to(found, chunk, *reduce(found.number, numbers_of(ids)[found.doc], len(found.payloads)), parts)
+            for x in range(0, len(names), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(names[x : x + 1024], pa.int32()), pa.array(blobs[x : x + 1024], pa.binary())], ["part", "blob"])
+
+    def rows_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, bytes]]:
+        for batch in batches:
+            yield from zip(batch.column(key).to_pylist(), batch.column("blob").to_pylist(), strict=True)
 
-        def full() -> pa.RecordBatch:
-            rows = list(buffer.blobs())
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "blob"])
-
-        for batch in text_slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text")), strict=True):
-                starts, lows, again, payloads = cut(text)
-                if len(starts):
-                    buffer.add(doc_id, text_key(text), starts, lows, again, payloads)
-                    if buffer.bytes > 48 << 20:
-                        yield full()
-        if buffer.known:
-            yield full()
+    def solved(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        part = Part(blobs)
+        for verdict in solve(part):
+            if len(verdict.entry):
+                yield verdict.rows(part)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole parts, in any order."""
         blobs: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                blobs.setdefault(part, []).append(blob)
+        for part, blob in rows_of(batches, "part"):
+            blobs.setdefault(part, []).append(blob)
         for part in sorted(blobs):
-            yield from solve(Part(blobs.pop(part)))
-
-    sent = docs_of(docs).mapInArrow(send, "part int, blob binary")
-    return sent.repartitionById(parts, "part").mapInArrow(receive, SPANS)
-
-
-def text_key(text: bytes) -> int:
-    """The low 32 bits of Spark's ``xxhash64(text)``."""
-    return xxhash.xxh64_intdigest(text, 42) & 0xFFFFFFFF
-
-
-def spans_of(part: Part, place: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    ids = pa.array(part.doc[place], mask=part.null[place].astype(bool))
-    return pa.RecordBatch.from_arrays([ids, pa.array(part.key[place]), pa.array(begin), pa.array(end)], ["doc_id", "text_key", "begin", "end"])
+            yield from solved(blobs.pop(part))
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A few blobs of a part at a time, cut into pieces."""
+        held: list[tuple[int, bytes]] = []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for part in sorted({p for p, _ in held}):
+                for piece, blob in Part([b for p, b in held if p == part]).pieces(pieces):
+                    yield pa.RecordBatch.from_arrays([pa.array([part * pieces + piece]), pa.array([blob], pa.binary())], ["piece", "blob"])
+
+        size = 0
+        for row in rows_of(batches, "part"):
+            held.append(row)
+            size += len(row[1])
+            if size > routes.part_bytes:
+                yield from rows()
+                held, size = [], 0
+        yield from rows()
+
+    def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces, sorted."""
+        now, blobs = -1, []
+        for piece, blob in rows_of(batches, "piece"):
+            if piece != now and blobs:
+                yield from solved(blobs)
+                blobs = []
+            now = piece
+            blobs.append(blob)
+        if blobs:
+            yield from solved(blobs)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack, verdicts in ((p, v) for batch in batches for p, v in zip(batch.column("pack").to_pylist(), batch.column("verdicts").to_pylist(), strict=True)):
+            ids, texts = unpacked(pack)
+            marks: list[np.ndarray | None] = [None] * len(ids)
+            if verdicts:
+                table = np.frombuffer(b"".join(verdicts), "<i8").reshape(-1, 4)
+                for doc, flags in spans_of(Fragments(texts, cut, hot.value), numbers_of(ids), table, window):
+                    marks[doc] = flags
+            size, at = 0, 0
+            for stop, text in enumerate(texts, 1):
+                size += len(text)
+                if size > 4 << 20 or stop == len(texts):
+                    yield remove(ids[at:stop], texts[at:stop], marks[at:stop])
+                    size, at = 0, stop
+
+    sent = chunks.select("chunk", "pack").mapInArrow(send, "part int, blob binary").repartitionById(parts, "part")
+    kind = "chunk long, verdict binary"
+    if pieces == 1:
+        verdicts = sent.mapInArrow(receive, kind)
+    else:
+        verdicts = sent.mapInArrow(divide, "piece long, blob binary").sortWithinPartitions("piece").mapInArrow(in_turn, kind)
+    gathered = stage(verdicts).groupBy("chunk").agg(F.collect_list("verdict").alias("verdicts"))
+    return chunks.join(gathered, "chunk", "left").select("pack", "verdicts").mapInArrow(finish, out)
+
+
+def spans_of(found: Fragments, values: np.ndarray, table: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The row and its flags, for each row with a place that a verdict (number, begin, end, than) is on.
+
+    Flags end with the last flagged unit."""
+    table = table[np.argsort(table[:, 0], kind="stable")]
+    n_runs = np.bincount(table[:, 0], minlength=len(found.payloads))
+    run_start = np.cumsum(n_runs) - n_runs
+    times = n_runs[found.number]
+    place = np.repeat(np.arange(len(times)), times)
+    run = run_start[found.number[place]] + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+    above = values[found.doc[place]] > table[run, 3]
+    place, run = place[above], run[above]
+    doc, begin, end = found.doc[place], found.start[place] + table[run, 1], found.start[place] + table[run, 2] + window - 1
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    for x, y in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True):
+        yield int(doc[x]), covered(int(end[x:y].max()), begin[x:y], end[x:y])
 
 
 def runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,21 +442,9 @@ def runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``doc_id, text, begins, ends`` of every row of ``docs``; arrays are null where nothing was found."""
-    keyed = docs_of(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    keyed = keyed.withColumn("text_key", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    found = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    found = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
-    on = keyed["doc_id"].eqNullSafe(found["d"]) & (keyed["text_key"] == found["t"])
-    return keyed.join(found, on, "left").select("doc_id", "text", "begins", "ends")
-
-
-def covered(n: int, begins: list[int] | None, ends: list[int] | None) -> np.ndarray:
+def covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of ``n`` units lie in a span."""
-    if not begins:
-        return np.zeros(n, bool)
     depth = np.zeros(n + 1, np.int64)
-    np.add.at(depth, np.array(begins), 1)
-    np.add.at(depth, np.array(ends), -1)
+    np.add.at(depth, begins, 1)
+    np.add.at(depth, ends, -1)
     return np.cumsum(depth[:-1]) > 0

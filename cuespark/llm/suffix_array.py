@@ -42,7 +42,9 @@ class SuffixArray:
         """Larsson-Sadakane: groups of equal prefixes are numbered by their last place; groups that hold
         more than one suffix are sorted by the group of the suffix h places on, and h doubles."""
         n = len(self.head)
-        order = np.argsort(self.head, kind="stable")  # ends in the order of their fragments
+        order = np.argsort(self.head)
+        short = np.flatnonzero(self.left[order] < PACK)  # suffixes that end within the head: in the order of their fragments
+        order[short] = order[short][np.lexsort((order[short], self.head[order[short]]))]
         rank = np.empty(n, np.int64)
 
         def number(at: np.ndarray, change: np.ndarray) -> np.ndarray:
@@ -58,7 +60,7 @@ class SuffixArray:
         while len(places):
             suffix = order[places]
             key = rank[suffix] * (n + 1) + rank[suffix + h] + 1  # h symbols on is within the fragment or its end
-            by = np.argsort(key, kind="stable")
+            by = np.argsort(key)
             order[places], key = suffix[by], key[by]
             places = number(places, np.append(key[1:] != key[:-1], True))
             h *= 2

@@ -7,8 +7,9 @@ neighbours in its array; shards of a part are merged by searching the strings of
 the ones before it.  A string with two places or more, in whatever documents, marks all of them.
 
 Defined results: null text is empty; matches never cross documents and count within one document too;
-overlaps count; rows that repeat (equal id and text) are copies of each other; removed bytes may cut a
-character, so the kept text is bytes; an empty table gives an empty result; other columns are not read.
+overlaps count; equal rows are copies of each other, and rows are told apart by their place, so no row
+gets another's result; removed bytes may cut a character, so the kept text is bytes; an empty table gives
+an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cuespark.llm.common import input_bytes, parts_for, raw_texts, stage, text_slices
-from cuespark.llm.routing import MOST_WINDOWS, Part, covered, fragments, route, runs, spans_of, with_spans
+from cuespark.llm.routing import MOST_WINDOWS, Hot, Part, Routes, Verdict, fragments, marked, runs
 from cuespark.llm.suffix_array import SuffixArray
 
 LENGTH, RUN = 400, 32
@@ -30,14 +30,14 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kep
 STRIDE = 2 << 20
 
 
-def _cut(length: int):
+def cutter(length: int, stride: int = STRIDE):
     run = min(RUN, length)
 
-    def cut(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    def cut(text: bytes, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         firsts, lows, agains, payloads = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)], []
-        for at in range(0, len(text) - length + 1, STRIDE):
-            units = np.frombuffer(text, np.uint8)[at : at + STRIDE + length - 1].astype(np.uint64) + np.uint64(1)
-            first, size, low, again = fragments(units, length, run, MOST_WINDOWS["byte"], within=True)
+        for at in range(0, len(text) - length + 1, stride):
+            units = np.frombuffer(text, np.uint8)[at : at + stride + length - 1].astype(np.uint64) + np.uint64(1)
+            first, size, low, again = fragments(units, length, run, MOST_WINDOWS["byte"], hot, within=True)
             firsts.append(first + at)
             lows.append(low)
             agains.append(again)
@@ -47,6 +47,12 @@ def _cut(length: int):
     return cut
 
 
+def counts(number: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of each payload (twice: the second number is not needed)."""
+    places = np.bincount(number, minlength=n)
+    return places, places
+
+
 def repeated_strings(payloads: list[bytes], times: np.ndarray, length: int, shard_bytes: int) -> list[np.ndarray]:
     """For each payload, found ``times`` times, which of its strings have two places or more."""
     cuts, held = [0], 0
@@ -82,12 +88,12 @@ def repeated_strings(payloads: list[bytes], times: np.ndarray, length: int, shar
     return out
 
 
-def _solve(length: int, shard_bytes: int):
-    def solve(part: Part) -> Iterator[pa.RecordBatch]:
-        shared = part.shared()
+def solver(length: int, shard_bytes: int):
+    def solve(part: Part) -> Iterator[Verdict]:
+        times = np.bincount(part.payload, part.a, len(part.payloads)).astype(np.int64)
+        shared = part.shared(times > 1)
         if not len(shared):
             return
-        times = np.bincount(part.payload, minlength=len(part.payloads))
         flags = repeated_strings([part.payloads[i] for i in shared], times[shared], length, shard_bytes)
         sizes = np.array([len(f) for f in flags])
         flat, starts = np.concatenate(flags), np.cumsum(sizes) - sizes
@@ -97,41 +103,32 @@ def _solve(length: int, shard_bytes: int):
         run_start = np.cumsum(n_runs) - n_runs
         slot = np.full(len(part.payloads), -1)
         slot[shared] = np.arange(len(shared))
-        places = np.flatnonzero(slot[part.payload] >= 0)
-        for at in range(0, len(places), 50_000):
-            group = places[at : at + 50_000]
+        entries = np.flatnonzero(slot[part.payload] >= 0)
+        for at in range(0, len(entries), 100_000):
+            group = entries[at : at + 100_000]
             which = slot[part.payload[group]]
             n = n_runs[which]
             mine = np.repeat(np.arange(len(group)), n)
-            if len(mine):
-                run = run_start[which][mine] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                base = part.start[group][mine] - starts[which][mine]
-                yield spans_of(part, group[mine], base + first[run], base + last[run] + length)
+            run = run_start[which][mine] + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
+            base = starts[which][mine]
+            yield Verdict(group[mine], first[run] - base, last[run] + 1 - base, np.full(len(mine), -1))
 
     return solve
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        columns: list[list] = [[], [], [], [], []]
-        for text, begins, ends in zip(raw_texts(batch.column("text")), batch.column("begins").to_pylist(), batch.column("ends").to_pylist(), strict=True):
-            gone = covered(len(text), begins, ends)
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if begins else text
-            n_spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            for column, value in zip(columns, (len(text), int(gone.sum()), n_spans, kept, hashlib.sha256(kept).hexdigest()), strict=True):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-
-def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, part_bytes: int = 12 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
-    """``doc_id, text_key, begin, end``: byte spans made of repeated strings (may overlap)."""
-    parts = parts_for(4 * input_bytes(docs), part_bytes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return route(docs, _cut(length), parts, _solve(length, shard_bytes))
+def remove(ids: list[int | None], texts: list[bytes], marks: list[np.ndarray | None]) -> pa.RecordBatch:
+    columns: list[list] = [[], [], [], [], []]
+    for text, gone in zip(texts, marks, strict=True):
+        gone = np.zeros(0, bool) if gone is None else gone
+        kept = np.frombuffer(text, np.uint8)[: len(gone)][~gone].tobytes() + text[len(gone) :] if len(gone) else text
+        n_spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        for column, value in zip(columns, (len(text), int(gone.sum()), n_spans, kept, hashlib.sha256(kept).hexdigest()), strict=True):
+            column.append(value)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
-def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 4 << 20, routes: Routes | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256`` for every row."""
-    spans = stage(repeated_byte_spans(docs, length, **options))
-    return with_spans(docs, spans).mapInArrow(_remove, OUT)
+    return marked(docs, cutter(length), np.zeros_like, counts, solver(length, shard_bytes), length, remove, OUT, routes or Routes())

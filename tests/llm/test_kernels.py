@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cuespark.llm import ann, boosted, bpe, langid, routing, similar, simhash, substring_fm, suffix_dedup, text_stats, token_blocks
-from cuespark.llm.fm_index import FmIndex, Wavelet
+from cuespark.llm.fm_index import FmIndex, Wavelet, matching
 from cuespark.llm.queries import vocabulary
 from cuespark.llm.suffix_array import SuffixArray
 
@@ -104,19 +104,35 @@ def test_trees_keep_their_constraints():
     assert boosted.fit(x[:0], y[:0], np.zeros(3)).probability(x[:2]).min() > 0.99
 
 
-def spans_by_routing(docs, cut, solve, parts=3):
-    buffer, blobs, out = routing.Buffer(parts), collections.defaultdict(list), collections.defaultdict(list)
-    for doc, text in docs:
-        starts, lows, again, payloads = cut(text)
-        if len(starts):
-            buffer.add(doc, routing.text_key(text), starts, lows, again, payloads)
-    for part, blob in buffer.blobs():
-        blobs[part].append(blob)
-    for part in blobs:
-        for batch in solve(routing.Part(blobs[part])):
-            for row in batch.to_pylist():
-                out[row["doc_id"], row["text_key"]].append((row["begin"], row["end"]))
-    return lambda doc, text, n: routing.covered(n, *map(list, zip(*out[doc, routing.text_key(text)], strict=True))) if out[doc, routing.text_key(text)] else np.zeros(n, bool)
+def marks_by_routing(docs, cut, values, reduce, solve, window, parts=3, pieces=1, hot=()):
+    """What ``routing.marked`` does, without Spark: flags of each document of chunks of four documents."""
+    hot = routing.Hot(np.array(hot, np.uint64))
+    chunks = [docs[i : i + 4] for i in range(0, len(docs), 4)]
+    found = [routing.Fragments([t for _, t in c], cut, hot) for c in chunks]
+    numbers = [values(np.array([routing.LAST if d is None else d for d, _ in c], np.int64)) for c in chunks]
+    blobs, tables = collections.defaultdict(list), collections.defaultdict(list)
+    for k, f in enumerate(found):
+        if f.payloads:
+            for part, blob in zip(*routing.sent_to(f, k, *reduce(f.number, numbers[k][f.doc], len(f.payloads)), parts), strict=True):
+                for piece, b in routing.Part([blob]).pieces(pieces) if pieces > 1 else [(0, blob)]:
+                    blobs[part, piece].append(b)
+    for group in blobs.values():
+        part = routing.Part(group)
+        for verdict in solve(part):
+            if len(verdict.entry):
+                for row in verdict.rows(part).to_pylist():
+                    tables[row["chunk"]].append(np.frombuffer(row["verdict"], "<i8").reshape(-1, 4))
+    out = [np.zeros(len(t), bool) for _, t in docs]
+    for k, f in enumerate(found):
+        for doc, flags in routing.spans_of(f, numbers[k], np.concatenate(tables[k]), window) if tables[k] else ():
+            out[4 * k + doc][: len(flags)] = flags
+    return out
+
+
+def hot_of(docs, cut):
+    """Every other minimizer of the documents."""
+    found = routing.Fragments([t for _, t in docs], cut, routing.Hot(np.zeros(0, np.uint64)))
+    return np.unique(found.low)[::2]
 
 
 def test_repeated_words_equal_brute_force():
@@ -130,19 +146,20 @@ def test_repeated_words_equal_brute_force():
                 at = rng.randrange(len(old))
                 words = words[: rng.randint(0, 9)] + old[at : at + rng.randint(1, 60)]
             docs.append((rng.choice([None, d, rng.randrange(20)]), b" ".join(words)))
-        found = spans_by_routing(docs, substring_fm._cut(window), substring_fm._solve(window))
+        cut = substring_fm.cutter(window)
+        found = marks_by_routing(docs, cut, lambda x: x, substring_fm.bounds, substring_fm.solver(window, rng.choice([30, 10**6])), window, pieces=rng.choice([1, 3]), hot=hot_of(docs, cut) if rng.random() < 0.5 else ())
         order = lambda d: substring_fm.LAST if d is None else d
         first = {}
         for d, text in docs:
             w = text.split()
             for i in range(len(w) - window + 1):
                 first[tuple(w[i : i + window])] = min(order(d), first.get(tuple(w[i : i + window]), order(d)))
-        for d, text in docs:
+        for (d, text), flags in zip(docs, found, strict=True):
             w, mask = text.split(), np.zeros(len(text.split()), bool)
             for i in range(len(w) - window + 1):
                 if first[tuple(w[i : i + window])] < order(d):
                     mask[i : i + window] = True
-            assert (mask == found(d, text, len(w))).all()
+            assert (mask == flags[: len(w)]).all() and not flags[len(w) :].any()
 
 
 def test_repeated_bytes_equal_brute_force():
@@ -156,14 +173,15 @@ def test_repeated_bytes_equal_brute_force():
                 at = rng.randrange(len(old))
                 text = text[: rng.randint(0, 30)] + old[at : at + rng.randint(1, 90)] * rng.choice([1, 1, 3]) + text[:3]
             docs.append((d, text))
-        found = spans_by_routing(docs, suffix_dedup._cut(length), suffix_dedup._solve(length, rng.choice([200, 10**6])))
+        cut = suffix_dedup.cutter(length, rng.choice([50, 10**6]))
+        found = marks_by_routing(docs, cut, np.zeros_like, suffix_dedup.counts, suffix_dedup.solver(length, rng.choice([200, 10**6])), length, pieces=rng.choice([1, 3]), hot=hot_of(docs, cut) if rng.random() < 0.5 else ())
         places = collections.Counter(t[i : i + length] for _, t in docs for i in range(len(t) - length + 1))
-        for d, text in docs:
+        for (_, text), flags in zip(docs, found, strict=True):
             mask = np.zeros(len(text), bool)
             for i in range(len(text) - length + 1):
                 if places[text[i : i + length]] > 1:
                     mask[i : i + length] = True
-            assert (mask == found(d, text, len(text))).all()
+            assert (mask == flags).all()
 
 
 def test_suffix_array_is_sorted_and_prefixes_are_right():
@@ -188,7 +206,7 @@ def test_wavelet_rank_and_backward_search():
     ask, at = rng.integers(0, 37, 300), rng.integers(0, 501, 300)
     assert wavelet.rank(ask, at).tolist() == [int((symbols[:a] == c).sum()) for c, a in zip(ask, at, strict=True)]
     text = np.append(rng.integers(1, 4, 400), 0)
-    index = FmIndex(text, 5)
+    index = FmIndex(text, 5, np.arange(401)[::-1])
     for length in range(1, 6):
         for start in range(0, 390, 13):
             pattern, low, high = text[start : start + length], np.array([0]), np.array([len(text)])
@@ -198,6 +216,26 @@ def test_wavelet_rank_and_backward_search():
             assert int(high[0] - low[0]) == expected
 
 
+def test_streamed_matches_come_from_the_search():
+    """Sequences that are not in the index: positions, interval sizes and least values as by brute force."""
+    rng = np.random.default_rng(9)
+    text = np.append(rng.integers(1, 4, 500), 0)
+    values = rng.integers(0, 1000, 501)
+    index, asked = FmIndex(text, 4, values, 7), [rng.integers(1, 7, n) for n in (1, 3, 4, 60, 200)]
+    flat = np.concatenate([np.append(a, 0) for a in asked])
+    sizes = np.array([len(a) for a in asked])
+    where, low, high = matching(index, flat, np.cumsum(sizes + 1) - sizes - 1, sizes)
+    got = dict(zip(where.tolist(), zip((high - low).tolist(), index.least(low, high).tolist(), strict=True), strict=True))
+    expected = {}
+    for at in range(len(flat) - 3):
+        met = [i for i in range(498) if (text[i : i + 4] == flat[at : at + 4]).all()]
+        if met and flat[at : at + 4].all():
+            expected[at] = (len(met), min(values[met].tolist()))
+    assert got == expected and len(got) > 5
+    share = np.bincount(text)[1:] / len(text)
+    assert sum(len(b.words) * 64 for b in index.wavelet.bits) <= len(text) * (1 + -(share * np.log2(share)).sum()) + 200 * index.wavelet.deepest
+
+
 def test_fingerprints_follow_the_definition():
     for text in ["", "a", "a b", "A b C d", "x y z x y z x", " é  ß\t日 k"]:
         words = text.encode().lower().split()

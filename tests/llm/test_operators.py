@@ -3,13 +3,14 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuespark.llm import ann, bpe, components, langid, line_dedup, mixing, quality, similar, simhash, substring_fm, suffix_dedup, token_blocks
+from cuespark.llm import ann, bpe, components, langid, line_dedup, mixing, quality, routing, similar, simhash, substring_fm, suffix_dedup, token_blocks
 from cuespark.llm.queries import ORACLES, QUERIES, vocabulary
 from tests.oracle import assert_same, duck
 
@@ -146,6 +147,69 @@ def test_repeated_bytes(docs, empty):
     assert suffix_dedup.drop_repeated_bytes(empty).count() == 0
 
 
+def crowd(n=160):
+    """Rows that share ids (null and not), a passage of 90 words in every row, and popular phrases in other words."""
+    rng = random.Random(5)
+    phrase, rows = " ".join(f"popular{i}" for i in range(6)), []
+    for i in range(n):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(120)]
+        for at in range(0, 120, 20):
+            words[at:at] = phrase.split()
+        rows.append((rng.choice([None, 5, 6, i]), " ".join([*words[: rng.randrange(100)], PASSAGE, *words[50 : rng.randrange(50, 150)]])))
+    return [*rows, (None, rows[3][1]), (7, rows[4][1]), (5, "x " * 40), (None, "y " * 3000)]
+
+
+#: Small chunks, parts and shards, so that a little table takes every way: several pieces a part, hot runs, merged shards.
+SMALL = routing.Routes(chunk_bytes=4000, part_bytes=6000, most_parts=3, share=1)
+
+
+def test_repeated_words_of_rows_that_share_ids(spark):
+    rows = crowd()
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = lambda d: substring_fm.LAST if d is None else d
+    first, expected = {}, []
+    for d, text in rows:
+        w = text.split()
+        for i in range(len(w) - 12):
+            first[tuple(w[i : i + 13])] = min(order(d), first.get(tuple(w[i : i + 13]), order(d)))
+    for d, text in rows:
+        w, gone = text.split(), set()
+        for i in range(len(w) - 12):
+            if first[tuple(w[i : i + 13])] < order(d):
+                gone.update(range(i, i + 13))
+        expected.append((d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone).encode())))
+    for routes, shard in ((SMALL, 500), (None, 1 << 20)):
+        assert by_row(substring_fm.drop_repeated_words(table, shard_words=shard, routes=routes).drop("kept_text")) == sorted(expected, key=repr)
+    cut = substring_fm.cutter(13)
+    assert len(routing.hot_runs(routing.chunked(table, 4000), cut, SMALL).hashes) > 0
+
+
+def test_repeated_bytes_of_rows_that_share_ids(spark):
+    rows = crowd()
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    places, expected = Counter(t[i : i + 400] for _, t in rows for i in range(len(t) - 399)), []
+    for d, text in rows:
+        gone = np.zeros(len(text), bool)
+        for i in range(len(text) - 399):
+            if places[text[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        expected.append((d, len(text), int(gone.sum()), spans, sha(np.frombuffer(text.encode(), np.uint8)[~gone].tobytes())))
+    for routes, shard in ((SMALL, 3000), (None, 4 << 20)):
+        assert by_row(suffix_dedup.drop_repeated_bytes(table, shard_bytes=shard, routes=routes).drop("kept")) == sorted(expected, key=repr)
+
+
+def test_repeated_bytes_across_the_border_of_a_long_text(spark):
+    """A repeated string that lies over the border of two strides of one text."""
+    rng = np.random.default_rng(3)
+    noise = rng.integers(97, 123, suffix_dedup.STRIDE + 5000, np.uint8).tobytes()
+    at = suffix_dedup.STRIDE - 300
+    rows = [(1, noise.decode()), (2, "0" + noise[at : at + 700].decode())]
+    got = {r.doc_id: r for r in suffix_dedup.drop_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[2].n_removed) == (700, 1, 700)
+    assert got[1].kept_sha256 == sha(noise[:at] + noise[at + 700 :]) and got[2].kept_sha256 == sha(b"0")
+
+
 def test_simhash_components(spark, docs, empty):
     rng = random.Random(5)
     base = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(50)) for _ in range(300)) for _ in range(4)]
