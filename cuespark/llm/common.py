@@ -2,13 +2,13 @@
 
 * ``shared_dir``  - where intermediate tables go (the cluster's ``spark.checkpoint.dir``).
 * ``text_slices`` - Arrow batches cut by bytes, so a worker's memory does not depend on row sizes.
-* ``stage``       - cut lineage by writing a table and reading it back.
-* ``with_key`` / ``KEY`` - the identity of a row that survives repeated and null ids.
+* ``stage``       - cut lineage by writing a table and reading it back; ``discard`` deletes such tables.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts spell it; ``bytes.split()`` and ``bytes.strip()`` use the same six.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
-#: A row is addressed by its id and the XXH64 (seed 42) of its text: rows equal in both have equal results.
-KEY = ["doc_id", "text_key"]
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleanup_lock = threading.Lock()
+#: How many ``stage`` calls are writing, and the setting before the first of them.
+_writers: list = [0, None]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A new folder name under ``spark.checkpoint.dir``; a local one only where that is unset and the master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cuespark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cuespark-{uuid.uuid4().hex}"
@@ -35,18 +39,34 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lost executors cost one read, not a recomputation.
 
-    The shuffles that made it are not needed any more; Spark is asked to remove their files.
+    The shuffles that made it are not needed any more; Spark is asked to remove their files.  That setting is read
+    when a write begins, so writes that begin in other threads meanwhile see it too; it costs them nothing but
+    shuffle files that they are done with.  The table stays until ``discard`` or until the folder is cleaned.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup)
-    spark.conf.set(cleanup, "true")
+    with _cleanup_lock:  # the setting is put back by the last of several writers
+        _writers[0] += 1
+        if _writers[0] == 1:
+            _writers[1] = spark.conf.get(_CLEANUP)
+            spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _cleanup_lock:
+            _writers[0] -= 1
+            if not _writers[0]:
+                spark.conf.set(_CLEANUP, _writers[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote and that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

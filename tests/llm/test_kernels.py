@@ -269,14 +269,6 @@ def test_variants_and_forests_lose_no_link():
         assert roots(pairs) == roots(simhash._forest(prints, distance, 10)) == roots(simhash._forest(prints, distance, 10_000))
 
 
-def test_spanning_forest_joins_near_prints():
-    rng = random.Random(10)
-    p = np.array([rng.getrandbits(64) for _ in range(5)] * 3, np.uint64)
-    p[5:10] ^= np.uint64(1)
-    edges = similar.spanning(p, p, 4)
-    assert len(edges) == 10 and all(int(p[i] ^ p[j]).bit_count() <= 2 for i, j in edges)
-
-
 def test_suffix_automaton_parses_greedily():
     rng = random.Random(11)
     train = bytes(rng.choice(b"\0\1\2") for _ in range(200))
