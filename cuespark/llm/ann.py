@@ -5,15 +5,18 @@ four bits a pair.  The loss of a residual r of a vector x weighs its part along
 as the rest, since only that part moves large inner products.  Codewords and codes are fitted by turns:
 codes by coordinate descent (the parallel part couples the pairs), codewords by one least-squares solve.
 
-Search: the index (id, vector, code) of *all* rows is written once.  Queries come in blocks of a bounded
-size, broadcast one after the other; every task scans its codes with per-query tables (two four-bit
-codes in one byte, one gather a byte), reranks the best ``rerank`` of each chunk by the exact product
-in double precision, and hands on ``k`` rows a query.  Blocks are separate jobs appended to one table.
+Search: the index (row, id, vector, code) of *all* rows is written once.  Queries come in blocks of a bounded
+size, broadcast one after the other; every task scans its codes with four-bit tables (for each query and
+pair sixteen entries, rounded to eight bits and summed as integers), reranks the best ``rerank`` of each
+chunk by the exact product in double precision, and hands on ``k`` rows a query.  In a chunk, rows with
+equal sums come in the order of their ids, so that equal vectors are reranked from the smallest id on.
+Blocks are separate jobs appended to one table.
 
 Defined results: rows with a null id, a null, zero or non-finite vector, null components, or another
-length than the most common one of the fitted sample take no part; rows with the query's id are its
-own and no candidates; a repeated query row gets its own answer (under the same query_id); ties go to
-the smaller id; an empty table gives an empty result; other columns are not read.
+length than the most common one of the fitted sample take no part, whatever stands in the rows around
+them; rows with the query's id are its own and no candidates; a repeated query row gets its own answer
+(under the same query_id); ties go to the smaller id; an empty table gives an empty result; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,10 +37,10 @@ CODEWORDS, WIDTH = 16, 2
 OUT = "query_id long, rank int, vec_id long, score double"
 
 
-def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Usable rows (positions) and their vectors as a matrix of the most common length, doubles."""
+def vectors(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Usable rows (positions) and their vectors as a matrix of doubles; of length ``dim``, or of the most common one."""
     sizes = np.array([-1 if s is None else s for s in pc.list_value_length(column).to_pylist()])
-    usual = np.bincount(sizes[sizes > 0]).argmax() if (sizes > 0).any() else 0
+    usual = dim or (np.bincount(sizes[sizes > 0]).argmax() if (sizes > 0).any() else 0)
     at = np.flatnonzero((sizes == usual) & (sizes > 0))
     flat = column.take(pa.array(at)).flatten()
     matrix = np.where(flat.is_null(), np.nan, flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)).reshape(len(at), -1 if usual else 0)
@@ -108,18 +112,18 @@ class Quantiser:
         return (even[:, 0::2] | (even[:, 1::2] << 4)).astype(np.uint8)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """(bytes, 256, queries): what each byte of a code adds to each query's product."""
-        per_pair = np.einsum("qsw,scw->scq", self.split(queries), self.words).astype(np.float32)
-        if self.pairs % 2:
-            per_pair = np.concatenate([per_pair, np.zeros((1, *per_pair.shape[1:]), np.float32)])
-        return (per_pair[0::2, None, :, :] + per_pair[1::2, :, None, :]).reshape(len(per_pair) // 2, 256, -1)
+        """(pairs, 16, queries): what each codeword adds to each query's product, in 256 steps a query."""
+        per_pair = np.einsum("qsw,scw->scq", self.split(queries), self.words)
+        per_pair -= per_pair.min(axis=1, keepdims=True)
+        step = np.maximum(per_pair.max(axis=(0, 1)), 1e-300) / 255
+        return np.rint(per_pair / step).astype(np.uint8)
 
 
 def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Approximate products (queries, rows) of packed codes."""
-    out = np.zeros((len(codes), tables.shape[2]), np.float32)
-    for j, table in enumerate(tables):
-        out += table[codes[:, j]]
+    """Approximate products (queries, rows) of packed codes, as integers that order each query's rows."""
+    out = np.zeros((len(codes), tables.shape[2]), np.uint16 if len(tables) <= 257 else np.uint32)
+    for s, table in enumerate(tables):
+        out += table[codes[:, s // 2] >> 4 if s % 2 else codes[:, s // 2] & 15]
     return out.T
 
 
@@ -132,22 +136,24 @@ def train(rows: DataFrame, max_train: int = 8192) -> Quantiser | None:
 
 
 def build_index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """``vec_id, vector, code`` of every usable row, written to the shared folder."""
+    """``row, vec_id, vector, code`` of every usable row, written to the shared folder; ``row`` is unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                good, matrix = vectors(part.column("embedding"))
-                if not len(good) or matrix.shape[1] != quantiser.dim:
+                good, matrix = vectors(part.column("embedding"), quantiser.dim)
+                if not len(good):
                     continue
                 packed = quantiser.pack(quantiser.encode(matrix))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id").take(pa.array(good)), pa.array([v.tobytes() for v in matrix.astype("<f8")], pa.binary()), pa.array([c.tobytes() for c in packed], pa.binary())],
-                    ["vec_id", "vector", "code"],
+                    [pa.array(row + np.arange(len(good))), part.column("vec_id").take(pa.array(good)), pa.array([v.tobytes() for v in matrix.astype("<f8")], pa.binary()), pa.array([c.tobytes() for c in packed], pa.binary())],
+                    ["row", "vec_id", "vector", "code"],
                 )
+                row += len(good)
 
-    return stage(rows.where("vec_id IS NOT NULL").mapInArrow(run, "vec_id long, vector binary, code binary"))
+    return stage(rows.where("vec_id IS NOT NULL").mapInArrow(run, "row long, vec_id long, vector binary, code binary"))
 
 
 def _search(sent, k: int, rerank: int, chunk: int = 8192, at_once: int = 64):
@@ -159,9 +165,11 @@ def _search(sent, k: int, rerank: int, chunk: int = 8192, at_once: int = 64):
         def take(own: np.ndarray, matrix: np.ndarray, codes: np.ndarray) -> None:
             for at in range(0, len(ids), at_once):
                 q = queries[at : at + at_once]
-                rough = scan(quantiser.tables(q), codes)
-                n = min(rerank, rough.shape[1])
-                near = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < rough.shape[1] else np.broadcast_to(np.arange(n), (len(q), n))
+                rough = scan(quantiser.tables(q), codes).astype(np.int64)
+                total = rough.shape[1]
+                n = min(rerank, total)
+                # rows are in the order of ids: of equal sums the first come first
+                near = np.argpartition(np.arange(total) - rough * total, n - 1, axis=1)[:, :n] if n < total else np.broadcast_to(np.arange(n), (len(q), n))
                 exact = np.einsum("qnd,qd->qn", matrix[near], q)
                 found = own[near]
                 exact[found == ids[at : at + at_once, None]] = -np.inf  # the query's own rows
@@ -176,7 +184,9 @@ def _search(sent, k: int, rerank: int, chunk: int = 8192, at_once: int = 64):
                 part = batch.slice(at, chunk)
                 matrix = np.frombuffer(b"".join(part.column("vector").to_pylist()), "<f8").reshape(-1, dim)
                 codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(matrix), -1)
-                take(part.column("vec_id").to_numpy(), matrix, codes)
+                own = part.column("vec_id").to_numpy()
+                by_id = np.argsort(own, kind="stable")
+                take(own[by_id], matrix[by_id], codes[by_id])
         real = np.isfinite(best_score)
         row = np.nonzero(real)[0]
         yield pa.RecordBatch.from_arrays([pa.array(numbers[row]), pa.array(ids[row]), pa.array(best_id[real]), pa.array(best_score[real])], ["number", "query_id", "vec_id", "score"])
@@ -184,14 +194,14 @@ def _search(sent, k: int, rerank: int, chunk: int = 8192, at_once: int = 64):
     return run
 
 
-def search(spark: SparkSession, index: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int = 20, rerank: int = 200, block: int = 2048, task_rows: int = 8192) -> DataFrame:
+def search(spark: SparkSession, index: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int = 20, rerank: int = 200, block: int = 8192, task_rows: int = 8192) -> DataFrame:
     """The ``k`` nearest of each row of ``queries`` (rows of the index), as ``OUT``."""
     n_queries, n_rows = queries.count(), index.count()
     blocks, path = max(1, -(-n_queries // block)), shared_dir(spark)
     tasks = max(1, -(-n_rows // task_rows))
     nearest = W.partitionBy("block", "number").orderBy(F.desc("score"), "vec_id")
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "vector").toArrow()
+        rows = queries.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).select("vec_id", "vector").toArrow()
         ids = rows.column("vec_id").to_numpy()
         matrix = np.frombuffer(b"".join(rows.column("vector").to_pylist()), "<f8").reshape(-1, quantiser.dim)
         sent = spark.sparkContext.broadcast((np.arange(len(ids)), ids, matrix, quantiser))

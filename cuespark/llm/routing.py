@@ -193,7 +193,7 @@ def encoded(low: np.ndarray, again: np.ndarray, payloads: list[bytes], entries:
         np.array([len(payloads), len(payload)], "<i8"), low.astype("<u4"), again.astype("u1"), np.array([len(p) for p in payloads], "<u4"),
         np.diff(payload, prepend=0).astype("<i4"), np.diff(number, prepend=0).astype("<i4"), chunk.astype("<i8"), a.astype("<i8"), (b - a).astype("<i8"),
     ]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(x.tobytes() for x in arrays), *payloads]))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(x.tobytes() for x in arrays), *payloads]))
 
 
 def sent_to(found: Fragments, chunk: int, a: np.ndarray, b: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
@@ -283,8 +283,8 @@ class Verdict:
 class Routes:
     """Where fragments go; sizes in bytes."""
 
-    chunk_bytes: int = 8 << 20
-    part_bytes: int = 12 << 20
+    chunk_bytes: int = 4 << 20
+    part_bytes: int = 8 << 20
     most_parts: int = 8192
     #: Every so many chunks are the sample that shows hot runs, of which at most ``most_hot`` are kept.
     share: int = 16
