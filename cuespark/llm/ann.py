@@ -22,6 +22,7 @@ whatever their names, are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -111,20 +112,34 @@ class Quantiser:
         even = np.pad(codes, ((0, 0), (0, self.pairs % 2)))
         return (even[:, 0::2] | (even[:, 1::2] << 4)).astype(np.uint8)
 
-    def tables(self, queries: np.ndarray) -> np.ndarray:
-        """(pairs, 16, queries): what each codeword adds to each query's product, in 256 steps a query."""
+    def tables(self, queries: np.ndarray) -> Tables:
+        """What each codeword adds to each query's product, in 256 steps a query."""
         per_pair = np.einsum("qsw,scw->scq", self.split(queries), self.words)
-        per_pair -= per_pair.min(axis=1, keepdims=True)
-        step = np.maximum(per_pair.max(axis=(0, 1)), 1e-300) / 255
-        return np.rint(per_pair / step).astype(np.uint8)
+        low = per_pair.min(axis=1, keepdims=True)
+        step = np.maximum((per_pair - low).max(axis=(0, 1)), 1e-300) / 255
+        return Tables(np.rint((per_pair - low) / step).astype(np.uint8), step, low.sum(axis=(0, 1)))
 
 
-def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Approximate products (queries, rows) of packed codes, as integers that order each query's rows."""
-    out = np.zeros((len(codes), tables.shape[2]), np.uint16 if len(tables) <= 257 else np.uint32)
-    for s, table in enumerate(tables):
+@dataclass
+class Tables:
+    """``entries`` (pairs, 16, queries); a sum of entries times ``step`` plus ``base`` is an approximate product."""
+
+    entries: np.ndarray
+    step: np.ndarray
+    base: np.ndarray
+
+
+def sums(tables: Tables, codes: np.ndarray) -> np.ndarray:
+    """Integers (rows, queries) that order each query's rows by approximate product."""
+    out = np.zeros((len(codes), tables.entries.shape[2]), np.uint16 if len(tables.entries) <= 257 else np.uint32)
+    for s, table in enumerate(tables.entries):
         out += table[codes[:, s // 2] >> 4 if s % 2 else codes[:, s // 2] & 15]
-    return out.T
+    return out
+
+
+def scan(tables: Tables, codes: np.ndarray) -> np.ndarray:
+    """Approximate products (queries, rows) of packed codes."""
+    return (sums(tables, codes) * tables.step + tables.base).T
 
 
 def train(rows: DataFrame, max_train: int = 8192) -> Quantiser | None:
@@ -165,7 +180,7 @@ def _search(sent, k: int, rerank: int, chunk: int = 8192, at_once: int = 64):
         def take(own: np.ndarray, matrix: np.ndarray, codes: np.ndarray) -> None:
             for at in range(0, len(ids), at_once):
                 q = queries[at : at + at_once]
-                rough = scan(quantiser.tables(q), codes).astype(np.int64)
+                rough = sums(quantiser.tables(q), codes).T.astype(np.int64)
                 total = rough.shape[1]
                 n = min(rerank, total)
                 # rows are in the order of ids: of equal sums the first come first

@@ -6,14 +6,20 @@ is the longest match, the next phrase begins at the symbol that broke it.  The l
 fewest phrases, each priced at log2 of its sample's length and divided by the document's length, is the
 prediction.
 
-Automata are dense tables (state x symbol class), so the parse of many texts runs in lock step with one
-gather per symbol and language.  Every text is parsed whole, in blocks of ``BLOCK`` symbols; a phrase
-ends at a block's end, for all languages alike.  Samples are bounded: ``sample_symbols`` for each
-language, from at most ``sample_docs`` training documents with the smallest id hashes.
+Symbols are bytes of UTF-8, all 256.  Transitions are sparse: a state's steps lie at its base plus the symbol
+in one shared array, where each slot names the state that owns it, so a step of many texts at once is a few
+gathers.  Every text is parsed whole.  Long texts are cut into blocks that are parsed side by side as if a
+phrase began at each; then each block is begun again in the state in which the one before it really ended,
+until it meets the first parse (from there on both agree), so that blocks do not change the result.
+
+Samples are bounded: ``sample_symbols`` for each language and ``total_symbols`` for all together, from at
+most ``sample_docs`` training documents a language with the smallest id hashes.  A model takes about 20
+bytes a symbol, whatever the number of languages.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing was learned;
-ties go to the smaller language name; a null id counts as held out (its CRC is null), so it is never
-learned from; repeated rows each get a row; an empty table gives an empty result.
+the empty language name is a name like any other; ties go to the smaller language name; a null id counts
+as held out (its CRC is null), so it is never learned from; repeated rows each get a row; columns other
+than the ones named, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuespark.llm.common import raw_texts, text_slices
+from cuespark.llm.common import discard, raw_texts, stage, text_slices
 
 BLOCK = 512
 #: ASCII bytes that are no letters become spaces: marks and digits tell no language.
@@ -37,12 +43,20 @@ FOLDS, HELD_OUT = 4, 2
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+@dataclass
+class Automaton:
+    """``base[state] + symbol`` is the slot of a step; it is there if ``owner`` of the slot is the state."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+    first: np.ndarray  # the state after a phrase's first symbol; for symbols that the text lacks, one without steps
+
+
 @dataclass
 class Model:
     names: list[str]
-    classes: bytes  # byte -> symbol class
-    n_classes: int
-    tables: list[np.ndarray]  # state * n_classes + class -> 2 * next state * n_classes + (a phrase ended)
+    automata: list[Automaton]
     price: np.ndarray  # log2 of each sample's length
 
 
@@ -51,8 +65,8 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_SPACED).split())
 
 
-def suffix_automaton(text: bytes, n_classes: int) -> np.ndarray:
-    """Transitions (states x classes, -1 where there is none) of the automaton of all substrings."""
+def suffix_automaton(text: bytes) -> list[dict[int, int]]:
+    """The steps of each state of the automaton of all substrings; state 0 is the root."""
     steps: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
@@ -78,60 +92,119 @@ def suffix_automaton(text: bytes, n_classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(steps), n_classes), -1, np.int64)
-    for state, out in enumerate(steps):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
-
-
-def parse_table(text: bytes, n_classes: int, pad: int) -> np.ndarray:
-    """The automaton completed for parsing: a missing step counts a phrase and begins the next one.
-
-    A symbol that the text lacks is a phrase of its own: it leads to a last state without steps.  The root
-    is only where a block starts, so a first symbol that the text lacks ends nothing.
-    """
-    table = suffix_automaton(text, n_classes)
-    stuck = len(table)
-    table = np.vstack([table, np.full((1, n_classes), -1)])
-    restart = np.where(table[0] >= 0, table[0], stuck)
-    missing = table < 0
-    ends = missing.copy()
-    ends[0] = False
-    done = np.where(missing, restart[None, :], table) * n_classes * 2 + ends
-    done[:, pad] = 0  # padding neither matches nor counts
-    return done.astype(np.int32).ravel()
-
-
-def build(samples: dict[str, list[str]], sample_symbols: int = 32_768, max_classes: int = 62) -> Model:
-    """A model from labelled texts; frequent bytes are classes of their own, the rest share one."""
+    return steps
+
+
+def laid_out(steps: list[dict[int, int]]) -> Automaton:
+    """States with many steps are placed first, each at the first base where all its slots are free."""
+    n_steps = sum(map(len, steps))
+    room = 2 * n_steps + 1024
+    used, owner, target = bytearray(room), np.full(room, -1, np.int32), np.zeros(room, np.int32)
+    base = np.zeros(len(steps) + 1, np.int32)  # the last state has no steps: it owns no slot
+    low = 256  # slots below are all taken (or never used)
+    for state in sorted(range(len(steps)), key=lambda s: -len(steps[s])):
+        out = steps[state]
+        if not out:
+            break
+        symbols = sorted(out)
+        at = used.find(0, low)
+        low = at if len(out) == 1 else low
+        while any(used[at - symbols[0] + c] for c in symbols[1:]):
+            at = used.find(0, at + 1)
+        base[state] = at - symbols[0]
+        for c in symbols:
+            slot = base[state] + c
+            used[slot] = 1
+            owner[slot], target[slot] = state, out[c]
+    first = np.array([steps[0].get(c, len(steps)) for c in range(256)], np.int32)
+    top = int(base.max()) + 256
+    return Automaton(base, owner[: top + 1], target[: top + 1], first)
+
+
+def build(samples: dict[str, list[str]], sample_symbols: int = 32_768) -> Model:
+    """A model from labelled texts, of which each language's first ``sample_symbols`` are used."""
     joined = {name: b" ".join(map(normal, texts))[:sample_symbols] for name, texts in sorted(samples.items())}
     joined = {name: text for name, text in joined.items() if text}
-    freq = np.bincount(np.frombuffer(b"".join(joined.values()), np.uint8), minlength=256)
-    common = [int(b) for b in np.argsort(-freq, kind="stable")[:max_classes] if freq[b]]
-    classes = bytearray([len(common)] * 256)
-    for k, b in enumerate(common):
-        classes[b] = k
-    n_classes, pad = len(common) + 2, len(common) + 1
-    tables = [parse_table(text.translate(bytes(classes)), n_classes, pad) for text in joined.values()]
-    return Model(list(joined), bytes(classes), n_classes, tables, np.log2([max(2, len(t)) for t in joined.values()]))
+    return Model(list(joined), [laid_out(suffix_automaton(text)) for text in joined.values()], np.log2([max(2, len(t)) for t in joined.values()]))
+
+
+def parsed(automaton: Automaton, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The state after one more symbol, and whether a phrase began with it."""
+    slot = automaton.base[state] + symbol
+    new = automaton.owner[slot] != state
+    return np.where(new, automaton.first[symbol], automaton.target[slot]), new
+
+
+def phrase_counts(automaton: Automaton, lanes: np.ndarray, sizes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each block.
+
+    ``lanes`` (symbols x blocks) has the blocks by descending size; ``follows[k]`` is the block that ``k``
+    continues, or -1 where it begins a text."""
+    longest, n = lanes.shape
+    states, begun = np.empty((longest, n), np.int32), np.zeros((longest, n), np.int32)
+    state, count = automaton.first[lanes[0]], np.ones(n, np.int32)
+    states[0], begun[0] = state, count
+    for t in range(1, longest):
+        live = int(np.searchsorted(-sizes, -t, side="left"))  # blocks longer than t
+        state, new = parsed(automaton, state[:live], lanes[t, :live])
+        count = count[:live] + new
+        states[t, :live], begun[t, :live] = state, count
+    last = np.arange(n)
+    final, total = states[sizes - 1, last], begun[sizes - 1, last]
+    out = total.astype(np.int64)
+    redo = np.flatnonzero(follows >= 0)
+    while len(redo):  # those whose predecessor ended otherwise than was thought
+        lane, state, count = redo, final[follows[redo]], np.zeros(len(redo), np.int32)
+        ended = []
+        for t in range(longest):
+            over = sizes[lane] <= t
+            if over.any():  # it went through the whole block without meeting the first parse
+                done = lane[over]
+                out[done] = count[over]
+                ended.append(done[final[done] != state[over]])
+                final[done] = state[over]
+                lane, state, count = lane[~over], state[~over], count[~over]
+            if not len(lane):
+                break
+            state, new = parsed(automaton, state, lanes[t, lane])
+            count = count + new
+            met = states[t, lane] == state
+            if met.any():
+                done = lane[met]
+                out[done] = count[met] + total[done] - begun[t, done]
+                before = final[done]
+                final[done] = states[sizes[done] - 1, done]
+                ended.append(done[before != final[done]])
+                lane, state, count = lane[~met], state[~met], count[~met]
+        else:
+            out[lane] = count
+            ended.append(lane[final[lane] != state])
+            final[lane] = state
+        changed = np.zeros(n, bool)
+        changed[np.concatenate(ended)] = True
+        redo = np.flatnonzero((follows >= 0) & changed[follows])
+    return out
 
 
 def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Phrases (texts x languages) of normal texts, blocks parsed in lock step."""
-    blocks = [max(1, -(-len(t) // BLOCK)) for t in texts]
+    """Phrases (texts x languages) of normal texts; an empty text has none."""
+    blocks = [-(-len(t) // BLOCK) for t in texts]
     owner = np.repeat(np.arange(len(texts)), blocks)
-    pad = bytes([model.n_classes - 1])
-    laid = b"".join([t.translate(model.classes).ljust(n * BLOCK, pad) for t, n in zip(texts, blocks, strict=True)])
-    lanes = np.ascontiguousarray(np.frombuffer(laid, np.uint8).reshape(-1, BLOCK).T).astype(np.int32)
     out = np.zeros((len(texts), len(model.names)))
-    for k, table in enumerate(model.tables):
-        at, ended = np.zeros(lanes.shape[1], np.int32), np.ones(lanes.shape[1], np.int32)
-        for symbols in lanes:
-            step = table[at + symbols]
-            ended += step & 1
-            at = step >> 1
-        out[:, k] = np.bincount(owner, ended, len(texts))
+    if not len(owner):
+        return out
+    begin = np.concatenate([[True], owner[1:] != owner[:-1]])
+    at = np.arange(len(owner)) - np.repeat(np.flatnonzero(begin), np.array(blocks)[np.array(blocks) > 0])
+    sizes = np.minimum(np.array([len(t) for t in texts])[owner] - at * BLOCK, BLOCK)
+    order = np.argsort(-sizes, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    follows = np.where(begin, -1, place[np.arange(len(owner)) - 1])[order]
+    laid = b"".join([t.ljust(n * BLOCK, b"\0") for t, n in zip(texts, blocks, strict=True)])
+    longest = int(sizes.max())
+    lanes = np.ascontiguousarray(np.frombuffer(laid, np.uint8).reshape(-1, BLOCK)[order, :longest].T).astype(np.int32)
+    for k, automaton in enumerate(model.automata):
+        out[:, k] = np.bincount(owner[order], phrase_counts(automaton, lanes, sizes[order], follows), len(texts))
     return out
 
 
@@ -148,24 +221,30 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], list[float]]:
     return [model.names[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], [float(m) if ok else 0.0 for m, ok in zip(margin, lettered, strict=True)]
 
 
-def learn(docs: DataFrame, sample_docs: int = 128, sample_symbols: int = 32_768) -> Model:
-    """Learn from the documents of the other folds; two scans, a bounded number of rows to the driver."""
+def learn(docs: DataFrame, sample_docs: int = 128, sample_symbols: int = 32_768, total_symbols: int = 1 << 21) -> Model:
+    """Learn from the documents of the other folds; two scans, a bounded number of symbols to the driver."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
-    known = docs.where((fold != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != ""))
-    known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("h"))
-    sizes = known.groupBy("lang").count()
+    known = docs.where((fold != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
+    sizes = stage(known.groupBy("lang").count())
+    languages = sizes.count()
+    symbols = max(1, min(sample_symbols, total_symbols // max(1, languages)))
     # about 4 x sample_docs rows of each language have a hash below this share of the hash range
     share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("count"))
-    # one row a language, fewer bytes than the automaton that the model holds for each: sent to all tasks,
-    # so that the texts are filtered where they are read
-    few = known.join(F.broadcast(sizes), "lang").where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share) | (F.col("count") <= 64 * sample_docs))
-    usual = F.octet_length("text").between(200, sample_symbols // 8)
+    # a few names, counted: sent to all tasks, so that the texts are filtered where they are read; else joined
+    table = F.broadcast(sizes) if languages <= 10_000 else sizes
+    few = known.join(table, "lang").where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share) | (F.col("count") <= 64 * sample_docs))
+    few = few.select("lang", "h", "doc_id", F.octet_length("text").alias("size"), F.substring("text", 1, symbols).alias("text"))
+    usual = F.col("size").between(200, sample_symbols // 8)
     first = W.partitionBy("lang").orderBy(F.when(usual, 0).otherwise(1), "h", "doc_id")
-    rows = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample_docs).select("lang", "k", F.substring("text", 1, sample_symbols).alias("text")).toArrow()
+    ranked = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample_docs)
+    before = W.partitionBy("lang").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    rows = ranked.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") <= 4 * symbols).select("lang", "k", "text").toArrow()
+    discard(sizes)
     samples: dict[str, list[str]] = {}
     for row in sorted(rows.to_pylist(), key=lambda r: (r["lang"], r["k"])):
         samples.setdefault(row["lang"], []).append(row["text"])
-    return build(samples, sample_symbols)
+    return build(samples, symbols)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

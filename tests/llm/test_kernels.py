@@ -269,26 +269,47 @@ def test_variants_and_forests_lose_no_link():
         assert roots(pairs) == roots(simhash._forest(prints, distance, 10)) == roots(simhash._forest(prints, distance, 10_000))
 
 
+def greedy_phrases(text, train):
+    n, i = 0, 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in train:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
 def test_suffix_automaton_parses_greedily():
     rng = random.Random(11)
     train = bytes(rng.choice(b"\0\1\2") for _ in range(200))
-    table = langid.parse_table(train, 5, 4)
-
-    def phrases(text):
-        n, i = 0, 0
-        while i < len(text):
-            j = i + 1
-            while j < len(text) and text[i : j + 1] in train:
-                j += 1
-            n, i = n + 1, j
-        return n
-
+    automaton = langid.laid_out(langid.suffix_automaton(train))
     for _ in range(50):
-        text, state, n = bytes(rng.choice(b"\0\1\2\3") for _ in range(60)), 0, 1
-        for c in text:
-            step = int(table[state + c])
-            n, state = n + (step & 1), step >> 1
-        assert n == phrases(text)
+        text, n = bytes(rng.choice(b"\0\1\2\3") for _ in range(60)), 1
+        state = automaton.first[text[0]]
+        for c in text[1:]:
+            state, new = langid.parsed(automaton, np.array(state), np.array(c))
+            n += int(new)
+        assert n == greedy_phrases(text, train)
+
+
+def test_blocks_do_not_change_the_parse(monkeypatch):
+    """Many scripts, texts of many blocks, texts made of the sample (phrases longer than blocks): as by brute force."""
+    rng = random.Random(12)
+    scripts = ["abcdefgh ", "абвгдежз ", "αβγδεζηθ ", "\u4e00\u4e01\u4e8c\u4e94\u516d\u4e03 "]
+    samples = {f"l{i}": ["".join(rng.choice(x) for _ in range(900))] for i, x in enumerate(scripts)} | {"": ["zzz yyy xxx " * 30]}
+    texts = [b"", b"a", *[langid.normal("".join(rng.choice(rng.choice(scripts)) for _ in range(rng.randrange(1, 700)))) for _ in range(20)]]
+    texts += [langid.normal(samples["l0"][0])[5:800], langid.normal(samples["l3"][0] * 3), b"zzz yyy xxx " * 60]
+    joined = {name: b" ".join(map(langid.normal, t)) for name, t in sorted(samples.items())}
+    model = langid.build(samples)
+    assert model.names == ["", "l0", "l1", "l2", "l3"] and len({*b"".join(texts)}) > 30
+    expected = [[greedy_phrases(t, joined[name]) for name in model.names] for t in texts]
+    for size in (7, 64, 512):
+        monkeypatch.setattr(langid, "BLOCK", size)
+        assert langid.phrases(model, texts).tolist() == expected
+    cost = np.array(expected) * model.price
+    best = [model.names[i] for i in cost.argmin(axis=1)]
+    lettered = [any(map(str.isalpha, t.decode())) for t in texts]
+    assert langid.predict(model, texts)[0] == [b if ok else "und" for b, ok in zip(best, lettered, strict=True)]
 
 
 def test_quantiser_and_scan():

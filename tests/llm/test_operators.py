@@ -328,6 +328,34 @@ def test_search_recall(spark, data):
     assert len(few) == 4 and ann.nearest_rows(table.limit(0)).count() == 0
 
 
+def test_search_with_ties_repeated_ids_and_mixed_lengths(spark):
+    """Every rule of the docstring against brute force, on slices whose rows are mostly of another length."""
+    rng = np.random.default_rng(5)
+    x = np.rint(rng.normal(size=(300, 6)) * 4) / 4  # products are exact, so ties are ties
+    x[np.flatnonzero(~x.any(axis=1)), 0] = 1
+    x[100:200] = x[0]  # a hundred equal vectors
+    rows = [(i % 250, v.tolist()) for i, v in enumerate(x)]  # ids 0 to 49 come twice
+    other = [(1000 + 20 * i, [1.0, 2.0]) for i in range(100)]
+    # the other length is the most common one of the second half's slice, but not of the sample
+    table = spark.createDataFrame([(i, v, "x", 1) for i, v in rows[:260]], "vec_id long, embedding array<double>, row string, code int").coalesce(1)
+    table = table.union(spark.createDataFrame([(i, v, "x", 1) for i, v in [*other, *rows[260:]]], table.schema).coalesce(1))
+    ids = np.array([i for i, _ in rows])
+    got = {}
+    for r in ann.nearest_rows(table, k=15, rerank=150).collect():
+        got.setdefault((r.query_id, r.rank), []).append((r.vec_id, r.score))
+    expected = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            score, fine = x @ np.array(v), ids != q
+            order = [k for k in np.lexsort((ids, -score)) if fine[k]][:15]
+            for rank, k in enumerate(order, 1):
+                expected.setdefault((q, rank), []).append((int(ids[k]), float(score[k])))
+    assert got.keys() == expected.keys()
+    for key, answers in expected.items():
+        assert [i for i, _ in sorted(got[key])] == [i for i, _ in sorted(answers)]
+        assert np.allclose([s for _, s in sorted(got[key])], [s for _, s in sorted(answers)], atol=1e-12)
+
+
 def test_pipeline_stages(spark, docs, data):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "source mixing", "BPE encoding"]
     table = docs.drop("key", "begin", "__x")
