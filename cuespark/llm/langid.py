@@ -96,26 +96,45 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 
 def laid_out(steps: list[dict[int, int]]) -> Automaton:
-    """States with many steps are placed first, each at the first base where all its slots are free."""
+    """States with many steps are placed first, each at the first base from ``low`` on where all its slots are
+    free; ``low`` moves on where that takes many tries.  States with one step then fill the slots that are left."""
     n_steps = sum(map(len, steps))
-    room = 2 * n_steps + 1024
-    used, owner, target = bytearray(room), np.full(room, -1, np.int32), np.zeros(room, np.int32)
+    used, slots, owners, targets = bytearray(2 * n_steps + 1024), [], [], []
     base = np.zeros(len(steps) + 1, np.int32)  # the last state has no steps: it owns no slot
-    low = 256  # slots below are all taken (or never used)
+    low, single = 256, []
+
+    def free(at: int) -> int:
+        """The first free slot from ``at`` on, with room for all symbols beyond it."""
+        at = used.find(0, at)
+        if at < 0 or at + 256 > len(used):
+            used.extend(bytes(n_steps + 1024))
+        return at if at >= 0 else free(len(used) - n_steps - 1024)
+
     for state in sorted(range(len(steps)), key=lambda s: -len(steps[s])):
         out = steps[state]
-        if not out:
-            break
+        if len(out) < 2:
+            single += [state] * len(out)
+            continue
         symbols = sorted(out)
-        at = used.find(0, low)
-        low = at if len(out) == 1 else low
+        at, tries = free(low), 0
         while any(used[at - symbols[0] + c] for c in symbols[1:]):
-            at = used.find(0, at + 1)
+            at, tries = free(at + 1), tries + 1
+            low = at if tries % 64 == 0 else low
         base[state] = at - symbols[0]
         for c in symbols:
-            slot = base[state] + c
-            used[slot] = 1
-            owner[slot], target[slot] = state, out[c]
+            used[at - symbols[0] + c] = 1
+            slots.append(at - symbols[0] + c)
+            owners.append(state)
+            targets.append(out[c])
+    at = 255
+    for state in single:
+        (symbol, to), at = *steps[state].items(), free(at + 1)
+        base[state] = at - symbol
+        slots.append(at)
+        owners.append(state)
+        targets.append(to)
+    owner, target = np.full(len(used) + 256, -1, np.int32), np.zeros(len(used) + 256, np.int32)
+    owner[slots], target[slots] = owners, targets
     first = np.array([steps[0].get(c, len(steps)) for c in range(256)], np.int32)
     top = int(base.max()) + 256
     return Automaton(base, owner[: top + 1], target[: top + 1], first)
