@@ -5,58 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Language, display name, codes of three services (empty: the service has none).
-LANGUAGES = """
-SIMPLIFIED_CHINESE|简体中文|zh-CN|zh-Hans|zh-Hans
-TRADITIONAL_CHINESE|繁体中文|zh-TW|zh-Hant|zh-Hant
-ENGLISH|英语|en|en|en
-ENGLISH_US|英语(美国)|en|en|en-US
-ENGLISH_UK|英语(英国)|en|en|en-GB
-JAPANESE|日本語|ja|ja|ja
-KOREAN|韩语|ko|ko|ko
-CANTONESE|粤语|yue|yue|
-THAI|泰语|th|th|
-VIETNAMESE|越南语|vi|vi|
-INDONESIAN|印尼语|id|id|id
-MALAY|马来语|ms|ms|
-TAGALOG|菲律宾语|tl|fil|
-FRENCH|法语|fr|fr|fr
-GERMAN|德语|de|de|de
-SPANISH|西班牙语|es|es|es
-SPANISH_LATAM|西班牙语(拉丁美洲)|es|es|
-RUSSIAN|俄语|ru|ru|ru
-PORTUGUESE|葡萄牙语|pt|pt|pt
-PORTUGUESE_BR|葡萄牙语(巴西)|pt|pt|pt-BR
-PORTUGUESE_PT|葡萄牙语(葡萄牙)|pt|pt-PT|pt-PT
-ITALIAN|意大利语|it|it|it
-DUTCH|荷兰语|nl|nl|nl
-POLISH|波兰语|pl|pl|pl
-TURKISH|土耳其语|tr|tr|tr
-GREEK|希腊语|el|el|el
-CZECH|捷克语|cs|cs|cs
-SWEDISH|瑞典语|sv|sv|sv
-DANISH|丹麦语|da|da|da
-FINNISH|芬兰语|fi|fi|fi
-NORWEGIAN|挪威语|no|nb|nb
-HUNGARIAN|匈牙利语|hu|hu|hu
-ROMANIAN|罗马尼亚语|ro|ro|ro
-BULGARIAN|保加利亚语|bg|bg|bg
-UKRAINIAN|乌克兰语|uk|uk|uk
-ARABIC|阿拉伯语|ar|ar|ar
-HEBREW|希伯来语|he|he|
-PERSIAN|波斯语|fa|fa|
-"""
+# Language, display name, codes of the three services (None: the service has none).
+LANGUAGES = [
+    ("SIMPLIFIED_CHINESE", "简体中文", "zh-CN", "zh-Hans", "zh-Hans"),
+    ("TRADITIONAL_CHINESE", "繁体中文", "zh-TW", "zh-Hant", "zh-Hant"),
+    ("ENGLISH", "英语", "en", "en", "en"),
+    ("ENGLISH_US", "英语(美国)", "en", "en", "en-US"),
+    ("ENGLISH_UK", "英语(英国)", "en", "en", "en-GB"),
+    ("JAPANESE", "日本語", "ja", "ja", "ja"),
+    ("KOREAN", "韩语", "ko", "ko", "ko"),
+    ("CANTONESE", "粤语", "yue", "yue", None),
+    ("THAI", "泰语", "th", "th", None),
+    ("VIETNAMESE", "越南语", "vi", "vi", None),
+    ("INDONESIAN", "印尼语", "id", "id", "id"),
+    ("MALAY", "马来语", "ms", "ms", None),
+    ("TAGALOG", "菲律宾语", "tl", "fil", None),
+    ("FRENCH", "法语", "fr", "fr", "fr"),
+    ("GERMAN", "德语", "de", "de", "de"),
+    ("SPANISH", "西班牙语", "es", "es", "es"),
+    ("SPANISH_LATAM", "西班牙语(拉丁美洲)", "es", "es", None),
+    ("RUSSIAN", "俄语", "ru", "ru", "ru"),
+    ("PORTUGUESE", "葡萄牙语", "pt", "pt", "pt"),
+    ("PORTUGUESE_BR", "葡萄牙语(巴西)", "pt", "pt", "pt-BR"),
+    ("PORTUGUESE_PT", "葡萄牙语(葡萄牙)", "pt", "pt-PT", "pt-PT"),
+    ("ITALIAN", "意大利语", "it", "it", "it"),
+    ("DUTCH", "荷兰语", "nl", "nl", "nl"),
+    ("POLISH", "波兰语", "pl", "pl", "pl"),
+    ("TURKISH", "土耳其语", "tr", "tr", "tr"),
+    ("GREEK", "希腊语", "el", "el", "el"),
+    ("CZECH", "捷克语", "cs", "cs", "cs"),
+    ("SWEDISH", "瑞典语", "sv", "sv", "sv"),
+    ("DANISH", "丹麦语", "da", "da", "da"),
+    ("FINNISH", "芬兰语", "fi", "fi", "fi"),
+    ("NORWEGIAN", "挪威语", "no", "nb", "nb"),
+    ("HUNGARIAN", "匈牙利语", "hu", "hu", "hu"),
+    ("ROMANIAN", "罗马尼亚语", "ro", "ro", "ro"),
+    ("BULGARIAN", "保加利亚语", "bg", "bg", "bg"),
+    ("UKRAINIAN", "乌克兰语", "uk", "uk", "uk"),
+    ("ARABIC", "阿拉伯语", "ar", "ar", "ar"),
+    ("HEBREW", "希伯来语", "he", "he", None),
+    ("PERSIAN", "波斯语", "fa", "fa", None),
+]
 SERVICES = ("google", "bing", "deeplx")
 FALLBACK = "SIMPLIFIED_CHINESE"
 
 
-def rows() -> list[tuple[str, str, str, str, str]]:
-    return [tuple(line.split("|")) for line in LANGUAGES.strip().splitlines()]
-
-
 def dimension(spark: SparkSession) -> DataFrame:
     """``language, display_name, service, code``: 38 languages, a row for each service that has a code."""
-    flat = [(r[0], r[1], service, code) for r in rows() for service, code in zip(SERVICES, r[2:], strict=True) if code]
+    flat = [(r[0], r[1], service, code) for r in LANGUAGES for service, code in zip(SERVICES, r[2:], strict=True) if code]
     return spark.createDataFrame(flat, "language string, display_name string, service string, code string")
 
 
@@ -65,7 +61,7 @@ def code_of(language: str, service: str) -> str:
     if service not in SERVICES:
         return "zh-CN"
     at = 2 + SERVICES.index(service)
-    by_name = {r[0]: r[at] for r in rows()}
+    by_name = {r[0]: r[at] for r in LANGUAGES}
     return by_name.get(language) or by_name[FALLBACK]
 
 

@@ -14,10 +14,13 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 NOT_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 #: Scripts written without spaces, counted by character: CJK, kana, Hangul, Thai to Lao, Burmese, Khmer to Mongolian, Indic.
-NO_SPACE_SCRIPT = r"[\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{ac00}-\x{d7af}\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{0900}-\x{0dff}]"
+NO_SPACE_RANGES = (
+    (0x4E00, 0x9FFF), (0x3040, 0x309F), (0x30A0, 0x30FF), (0xAC00, 0xD7AF), (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x0900, 0x0DFF),
+)
+NO_SPACE_SCRIPT = "[" + "".join(rf"\x{{{a:04x}}}-\x{{{b:04x}}}" for a, b in NO_SPACE_RANGES) + "]"
 #: Letters of scripts written with spaces: Latin and digits, Cyrillic, Greek, Arabic, Hebrew, Thai.
 SPACED_SCRIPT = r"[a-zA-Z0-9'\x{0400}-\x{04ff}\x{0370}-\x{03ff}\x{0600}-\x{06ff}\x{0590}-\x{05ff}\x{0e00}-\x{0e7f}]"
-SENTENCE_END = "[?!.？！。]+$"
+SENTENCE_END = f"[?!.？！。]{SPACE}*\\z"
 ASCII_TOKEN = "[A-Za-z0-9]+(?:'[A-Za-z0-9]+)*"
 
 
@@ -71,7 +74,7 @@ def is_pure_punctuation(text: Column) -> Column:
 
 
 def ends_sentence(text: Column) -> Column:
-    return F.coalesce(strip(text).rlike(SENTENCE_END), F.lit(False))
+    return F.coalesce(text.rlike(SENTENCE_END), F.lit(False))
 
 
 def normalize_token(raw: Column) -> Column:

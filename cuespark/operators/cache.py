@@ -1,14 +1,19 @@
 """Result caches as tables: keys, probes, TTL, append.
 
 A cache is a Parquet table ``cache_key, value, created_at, expires_at``.  A probe splits requests into
-hits (joined with the newest live value) and misses (anti join); only misses reach a completer.
+hits (joined with the newest live value) and misses (anti join); only misses reach a completer (see
+``completion.remembered``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuespark.sources.tables import exists
+
+ENTRY = "cache_key string, value string, created_at timestamp, expires_at timestamp"
+
 # Seconds a result lives.
 COMPLETION_TTL, TRANSLATION_TTL = 3_600_000, 604_800
 
@@ -46,5 +51,10 @@ def entries(results: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     return results.select("cache_key", "value", now.alias("created_at"), (now + F.make_interval(secs=F.lit(ttl_seconds))).alias("expires_at"))
 
 
+def entries_of(spark: SparkSession, path: str) -> DataFrame | None:
+    """The cache table at ``path``; None if nothing was ever added to it."""
+    return spark.read.schema(ENTRY).parquet(path) if exists(spark, path) else None
+
+
 def append(results: DataFrame, path: str, ttl_seconds: int) -> None:
     entries(results, F.current_timestamp(), ttl_seconds).write.mode("append").parquet(path)

@@ -1,6 +1,7 @@
 """The caption pipeline and the repeated-run scan as DataFrame plans.
 
-Model stages are materialised before they are used twice, so no batch is asked for again.
+Model stages are written before they are used, so a lost executor costs a read and no batch is asked again; with a
+session, answers are also kept across runs and calls are logged.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from cuespark.functions import text as T
 from cuespark.operators import align, completion, joins, repeats
 from cuespark.operators import sentences as S
+from cuespark.plans.workspace import Session
 from cuespark.sources import writers
 from cuespark.sources.readers import prompt
+from cuespark.sources.tables import stage
 
 
 @dataclass
@@ -30,22 +33,20 @@ class Options:
     fail_rate: float = 0.5
 
 
-def materialised(df: DataFrame, path: str | None) -> DataFrame:
-    """A model stage's rows, written once: to ``path`` if one is given, else cached."""
-    if path is None:
-        return df.persist()
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def answers(requests: DataFrame, task: completion.Task, session: Session | None) -> DataFrame:
+    """The session's memo around a model stage; where its cache is off, or without a session, every batch is asked."""
+    memory = session.cache(task.kind) if session is not None and session.enabled else None
+    return completion.remembered(requests, task, memory, session.cache("calls") if session is not None else None)
 
 
-def optimize(words: DataFrame, cues: DataFrame | None, completer: completion.Completer, options: Options, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def optimize(words: DataFrame, cues: DataFrame | None, completer: completion.Completer, options: Options, session: Session | None = None) -> tuple[DataFrame, DataFrame]:
     """``(audit, clean)`` sentences: with new text and change log, and with rewritten text and times."""
-    table = S.sentences(words)
+    table = stage(S.sentences(words))
     batched = S.batches(table, options.batch_size)
     requests = S.payloads(batched)
     requests = joins.reference_text(requests, cues) if cues is not None else requests.withColumn("reference_text", F.lit(""))
-    answers = materialised(completion.correct_batches(requests, completer, options.custom_prompt, prompt("optimize/subtitle")), path)
-    flat = answers.select("doc_id", F.explode("result").alias("key", "new_text")).select("doc_id", F.col("key").try_cast("int").alias("sentence_index"), "new_text")
+    answered = answers(requests, completion.correction(completer, options.custom_prompt, prompt("optimize/subtitle")), session)
+    flat = answered.select("doc_id", F.explode("result").alias("key", "new_text")).select("doc_id", F.col("key").try_cast("int").alias("sentence_index"), "new_text")
     joined = table.join(flat, ["doc_id", "sentence_index"], "left")
     changed = joins.unless_changed(F.col("text"), F.col("new_text")) != F.col("text")
     edited = F.when(changed, F.col("new_text"))  # null for the rest, which the alignment functions pass over
@@ -55,42 +56,44 @@ def optimize(words: DataFrame, cues: DataFrame | None, completer: completion.Com
     return audit.drop("new_text"), clean
 
 
-def split(table: DataFrame, profile: DataFrame, completer: completion.Completer, options: Options, path: str | None = None) -> DataFrame:
+def split(table: DataFrame, profile: DataFrame, completer: completion.Completer, options: Options, session: Session | None = None) -> DataFrame:
     """Lines of sentences: those over the limit are split by the completer, all are aligned to words."""
     limited = table.join(profile.select("doc_id", "max_word_count"), "doc_id")
     long = S.batches(S.over_length(limited, F.col("max_word_count")), options.batch_size)
     requests = S.payloads(long).join(profile.select("doc_id", "max_word_count"), "doc_id")
-    answers = materialised(completion.split_batches(requests, completer, options.custom_prompt, prompt("split/structured")), path)
-    parts = answers.select("doc_id", F.explode("result").alias("key", "parts")).select("doc_id", F.col("key").try_cast("int").alias("sentence_index"), "parts")
-    joined = joins.lookup(table, parts, ["doc_id", "sentence_index"], "parts", F.array("text"))
-    lines = joined.select("doc_id", "sentence_index", F.posexplode(align.lines_udf("segments", "parts", "text")).alias("split_index", "l"))
+    answered = answers(requests, completion.splitting(completer, options.custom_prompt, prompt("split/structured")), session)
+    parts = answered.select("doc_id", F.explode("result").alias("key", "parts")).select("doc_id", F.col("key").try_cast("int").alias("sentence_index"), "parts")
+    joined = table.join(parts, ["doc_id", "sentence_index"], "left")
+    # what was not sent, or came back whole, is one line with the sentence's times; only the others are aligned
+    several = F.when(F.size("parts") > 1, F.col("parts"))
+    whole = F.array(F.struct("text", F.col("segments")[0]["start_ms"].alias("start_ms"), F.element_at("segments", -1)["end_ms"].alias("end_ms")))
+    cut = F.coalesce(align.lines_udf(F.when(several.isNotNull(), F.col("segments")), several, "text"), F.when(F.size("parts") == 1, F.transform(whole, lambda x: x.withField("text", F.col("parts")[0]))), whole)
+    lines = joined.select("doc_id", "sentence_index", F.posexplode(cut).alias("split_index", "l"))
     return S.number_lines(lines.select("doc_id", "sentence_index", "split_index", "l.text", F.lit("").alias("translate_text"), "l.start_ms", "l.end_ms"))
 
 
-def translate(lines: DataFrame, completer: completion.Completer, options: Options, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def translate(lines: DataFrame, completer: completion.Completer, options: Options, session: Session | None = None) -> tuple[DataFrame, DataFrame]:
     """``(lines with translations, failure gate)``."""
     batched = S.line_batches(lines)
     pairs = F.array_sort(F.collect_list(F.struct("line_index", "text")))
     payload = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["line_index"].cast("string").alias("key"), p["text"].alias("value"))))
     requests = batched.groupBy("doc_id", "batch_id").agg(payload.alias("payload"))
     system = prompt("translate/reflect" if options.reflect else "translate/standard", target_language=options.target_language, custom_prompt=options.custom_prompt)
-    answers = materialised(completion.translate_batches(requests, completer, options.reflect, system, options.keep_source), path)
+    answered = answers(requests, completion.translation(completer, options.reflect, system, options.keep_source, options.target_language), session)
     sizes = requests.select("doc_id", "batch_id", F.size("payload").alias("n_lines"))
-    gate = joins.failure_gate(answers.join(sizes, ["doc_id", "batch_id"]).withColumn("failed", F.col("status").startswith("error")), options.fail_rate)
-    flat = answers.select("doc_id", F.explode("result").alias("key", "t")).select("doc_id", F.col("key").try_cast("int").alias("line_index"), F.col("t").alias("translate_text"))
+    gate = joins.failure_gate(answered.join(sizes, ["doc_id", "batch_id"]).withColumn("failed", F.col("status").startswith("error")), options.fail_rate)
+    flat = answered.select("doc_id", F.explode("result").alias("key", "t")).select("doc_id", F.col("key").try_cast("int").alias("line_index"), F.col("t").alias("translate_text"))
     return joins.lookup(lines.drop("translate_text"), flat, ["doc_id", "line_index"], "translate_text", F.lit("")), gate
 
 
-def captions(words: DataFrame, corrector: completion.Completer, splitter: completion.Completer, translator: completion.Completer, cues: DataFrame | None = None, options: Options | None = None, folder: str | None = None) -> dict[str, DataFrame]:
+def captions(words: DataFrame, corrector: completion.Completer, splitter: completion.Completer, translator: completion.Completer, cues: DataFrame | None = None, options: Options | None = None, session: Session | None = None) -> dict[str, DataFrame]:
     """Words to bilingual captions: every table of the run by name."""
     options = options or Options()
-    path = (lambda name: f"{folder}/{name}") if folder else (lambda name: None)
-    profile = S.script_profile(words, options.cjk_limit, options.english_limit)
-    audit, clean = optimize(words, cues, corrector, options, path("corrections"))
-    regrouped = S.sentences(S.flatten(clean))  # correction may have moved sentence ends
-    lines = split(regrouped, profile, splitter, options, path("splits"))
-    lines = materialised(lines, path("lines"))
-    translated, gate = translate(lines, translator, options, path("translations"))
+    audit, clean = optimize(words, cues, corrector, options, session)
+    regrouped = stage(S.sentences(S.flatten(clean)))  # correction may have moved sentence ends
+    profile = S.script_profile(audit, options.cjk_limit, options.english_limit)
+    lines = stage(split(regrouped, profile, splitter, options, session))
+    translated, gate = translate(lines, translator, options, session)
     return {
         "audit": audit, "sentences": regrouped, "lines": translated, "gate": gate,
         "srt": writers.srt(writers.line_entries(translated)), "translated_srt": writers.srt(writers.line_entries(translated, translated=True)),

@@ -92,6 +92,10 @@ def parse_scan_json(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return segments.select("doc_id", "segment_index"), words
 
 
+# What ends a line of text, as Python's ``splitlines`` has it.
+LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
 def _cues(docs: DataFrame, separator: str) -> DataFrame:
     blocks = F.split(T.strip(F.col("content")), separator)
     return docs.select("doc_id", F.posexplode(blocks).alias("ord", "block"))
@@ -99,8 +103,8 @@ def _cues(docs: DataFrame, separator: str) -> DataFrame:
 
 def parse_srt(docs: DataFrame) -> DataFrame:
     """Cues of SRT texts; a block needs three lines, the second beginning with the times."""
-    block = F.regexp_replace("block", r"\r\n?", "\n")
-    lines = _cues(docs.withColumn("content", F.regexp_replace("content", r"\r\n?", "\n")), rf"\n{T.SPACE}*\n").withColumn("lines", F.split(F.regexp_replace(block, r"\n$", ""), "\n"))
+    unified = docs.withColumn("content", F.regexp_replace("content", LINE_END, "\n"))
+    lines = _cues(unified, rf"\n{T.SPACE}*\n").withColumn("lines", F.split(F.regexp_replace("block", r"\n$", ""), "\n"))
     timed = lines.where((F.size("lines") >= 3) & F.get("lines", F.lit(1)).rlike(SRT_TIME))
     part = [F.regexp_extract(F.get("lines", F.lit(1)), SRT_TIME, i) for i in range(1, 9)]
     body = F.transform(F.slice("lines", F.lit(3), F.size("lines")), lambda x: T.strip(F.regexp_replace(x, r"(?:\\h)+$", "")))

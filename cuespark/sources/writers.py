@@ -78,19 +78,16 @@ def write_texts(texts: DataFrame, column: str, path: str) -> None:
 
 
 def repeat_report(summary: dict, phrases: list[dict], hits: list[dict], n: int = 30) -> str:
-    """A scan's report for people: totals, frequent phrases, the heaviest ``n`` hits (already ranked)."""
-    counts = [f"{k}: {summary[k]}" for k in ("total_segments", "flagged_segments", "total_hits", "flagged_tokens")]
-    lines = ["Repeated-run scan", *counts, f"flagged_token_ratio: {summary['flagged_token_ratio']:.4%}", ""]
-    if phrases:
-        lines += ["top_phrases:", *[f"  - {p['phrase']}: {p['count']}" for p in phrases], ""]
+    """A scan as tab-separated text for people: what was found, frequent phrases, the first ``n`` hits (already ranked)."""
     if not hits:
-        return "\n".join([*lines, "No repeated runs detected."])
-    lines.append(f"hits (showing up to {n}):")
-    clock = lambda x: "?" if x is None else f"{x:.3f}s"
-    for h in hits[:n]:
-        lines.append(f"- segment={h['segment_index']} time={clock(h['start'])}..{clock(h['end'])} phrase={h['phrase']!r} repeat_count={h['repeat_count']} token_count={h['token_count']}")
-        lines.append(f"  excerpt: {h['text_excerpt']}")
-    return "\n".join(lines)
+        return f"{summary['total_segments']} segments, none with a phrase that repeats"
+    share = 100 * summary["flagged_token_ratio"]
+    rows = [f"{summary['total_hits']} repeats in {summary['flagged_segments']} of {summary['total_segments']} segments, {summary['flagged_tokens']} tokens ({share:.2f} %)"]
+    rows += [f"{p['count']}x\t{p['phrase']}" for p in phrases]
+    rows.append("segment\tfrom\tto\ttimes\ttokens\tphrase\ttext")
+    second = lambda x: "" if x is None else f"{x:.3f}"
+    rows += ["\t".join(map(str, (h["segment_index"], second(h["start"]), second(h["end"]), h["repeat_count"], h["token_count"], h["phrase"], h["text_excerpt"]))) for h in hits[:n]]
+    return "\n".join(rows)
 
 
 # --- one workspace's small files, on the driver ---------------------------------------------------------

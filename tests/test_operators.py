@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -75,8 +76,8 @@ def test_scan_prefers_phrases_and_reports(spark):
     summary = result["summary"].first().asDict()
     assert (summary["total_segments"], summary["total_tokens"], summary["flagged_tokens"]) == (3, 9, 8)
     report = writers.repeat_report(summary, [r.asDict() for r in result["phrases"].collect()], [h.asDict() for h in hit])
-    assert "you know: 1" in report and "repeat_count=4" in report
-    assert "No repeated runs" in writers.repeat_report(summary, [], [])
+    assert report.splitlines() == ["1 repeats in 1 of 3 segments, 8 tokens (88.89 %)", "1x\tyou know", "segment\tfrom\tto\ttimes\ttokens\tphrase\ttext", f"0\t0.000\t0.800\t4\t8\tyou know\t{hit[0].text_excerpt}"]
+    assert writers.repeat_report(summary, [], []) == "3 segments, none with a phrase that repeats"
     with pytest.raises(Exception, match="segments"):
         readers.parse_scan_json(spark.createDataFrame([(1, "[]")], "doc_id long, content string"))[0].collect()
     with pytest.raises(ValueError):
@@ -130,13 +131,13 @@ def times(rows):
 
 
 def test_times_are_carried():
-    base = words(("a", 0, 100), ("b", 160, 260))
-    assert times(align.carry_times(base, "a x y b")) == [(0, 100), (100, 130), (130, 160), (160, 260)]
-    assert times(align.carry_times(words(("a", 100, 200)), "x a")) == [(100, 100), (100, 200)]
-    assert times(align.carry_times(words(("a", 100, 220)), "a x")) == [(100, 220), (220, 220)]
-    assert times(align.carry_times(words(("a", 0, 90)), "x y")) == [(0, 45), (45, 90)]
-    assert align.carry_times(base, "A, b")[0]["text"] == "A,"
-    assert times(align.carry_times([], "n")) == [(0, 0)]
+    base = words(("red", 10, 40), ("blue", 100, 190))
+    assert times(align.carry_times(base, "red or dark blue")) == [(10, 40), (40, 70), (70, 100), (100, 190)]  # the gap is shared
+    assert times(align.carry_times(base, "so red blue")) == [(10, 10), (10, 40), (100, 190)]
+    assert times(align.carry_times(base, "red blue sky")) == [(10, 40), (100, 190), (190, 190)]
+    assert times(align.carry_times(words(("one", 0, 91)), "a b c")) == [(0, 30), (30, 60), (60, 91)]
+    assert times(align.carry_times(base, "Red, green")) == [(10, 40), (100, 190)] and align.carry_times(base, "Red, green")[0]["text"] == "Red,"
+    assert times(align.carry_times([], "n")) == [(0, 0)] and align.carry_times(base, "") == []
 
 
 def test_parts_are_matched():
@@ -148,29 +149,30 @@ def test_parts_are_matched():
 
 
 def test_responses():
-    assert completion.response_text(None)[1].startswith("Response structure error: choices")
-    assert "message is missing" in completion.response_text({"choices": [{}]})[1]
-    assert "content is missing" in completion.response_text({"choices": [{"message": {}}]})[1]
-    assert completion.response_text(completion.response("  "))[1] == "Response content is empty."
-    assert completion.response_id({}) == "-"
+    said = [completion.response_text(x)[1] for x in (None, {"choices": []}, {"choices": [None]}, {"choices": [{}]}, {"choices": [{"message": {}}]}, completion.response("  "))]
+    assert [x.split()[-1] for x in said] == ["choices", "choices", "choice", "message", "content", "blank"]
+    assert completion.response_text(completion.response(" a ")) == (" a ", "") and completion.response_id({}) == "-"
     assert completion.json_object('```json\n{"a": "b",}\n```')[0] == {"a": "b"}
     assert completion.json_object("{'a': 'b'}")[0] == {"a": "b"}
     assert completion.json_object('{"a": {"b": "c"')[0] == {"a": {"b": "c"}}
-    assert "expected dict" in completion.json_object("[1]")[1]
+    assert "list" in completion.json_object("[1]")[1] and completion.json_object("none")[0] is None
 
 
 def test_correction_loop():
     ask = {"0": "the cat sat on the mat today", "1": "ok"}
     good = json.dumps({"0": "The cat sat on the mat today.", "1": "ok"})
-    scripted = completion.Scripted(["", "[1]", good])
-    assert completion.correct(scripted, ask) == (json.loads(good), "ok", 3)
-    assert "expected dict" in scripted.calls[2][-1]["content"]
+    scripted, calls = completion.Scripted(["", "[1]", good]), []
+    assert completion.correct(scripted, ask, calls=calls) == (json.loads(good), "ok", 3)
+    assert "an object is needed, not a list" in scripted.calls[2][-1]["content"]
+    assert [(c["status"], c["responses"]) for c in calls] == [("error", [""]), ("success", ["[1]"]), ("success", [good])]
     bad = json.dumps({"0": "entirely other words than before here"})
     assert completion.correct(completion.Scripted([bad]), ask)[:2] == (json.loads(bad), "exhausted")
     assert completion.correct(completion.Scripted([json.dumps({"0": 1, "1": "ok"})]), ask)[0] == ask
-    assert completion.correct(completion.Scripted([ValueError("down")]), ask)[0] == ask
-    assert "similarity" in completion.check_correction({"0": "one two three"}, {"0": "four five six"})
+    assert completion.correct(completion.Scripted([ValueError("down")]), ask, calls=calls)[0] == ask
+    assert calls[-1]["error"] == "ValueError: down" and calls[-1]["status"] == "error"
+    assert completion.check_correction({"2": "one two three"}, {"2": "four five six"}).startswith("text 2 is only 0.00 alike")
     assert completion.check_correction({"0": "one two three"}, {"0": "one x y"}) == ""
+    assert completion.check_correction({"1": "a", "10": "b"}, {"2": "a"}) == "keys not answered: 1, 10; keys never asked for: 2"
 
 
 def test_split_loop():
@@ -178,7 +180,9 @@ def test_split_loop():
     assert completion.split(completion.Scripted(['{"3": "one two<br>three four"}']), ask, 2)[0] == {"3": ["one two", "three four"]}
     assert completion.split(completion.Scripted(['{"3": "one two three four"}']), ask, 2)[:2] == ({"3": ["one two three four"]}, "exhausted")
     assert completion.split(completion.Scripted(['{"4": "x"}']), ask, 2)[0] == {"3": ["one two three four"]}
-    assert "Length violations" in completion.check_split(ask, {"3": ["one two three", "four"]}, 2)
+    assert completion.check_split(ask, {"3": ["one two three", "four", "a b c"]}, 2).startswith("text 3 was rewritten (0.73 alike)")
+    assert completion.check_split(ask, {"3": ["one two three", "four"]}, 2) == "text 3: more than 2 words in part 1 (3)"
+    assert [completion.check_structure(ask, x) for x in ({"3": 1}, {"3": " <br> "}, {"3": "x"})] == ["text 3 is no string", "text 3 is empty", ""]
 
 
 def test_translation_loop():
@@ -188,11 +192,22 @@ def test_translation_loop():
     assert completion.translate(completion.Scripted(["{}"]), ask)[0] == ask
     assert completion.translate(completion.Scripted([ValueError("x")]), ask)[0] == {}
     assert completion.translate(completion.Scripted([ValueError("x")]), ask, keep_source=True)[0] == ask
-    assert completion.check_translation(ask, {"0": "x"}) == "Missing keys ['1']"
+    assert completion.check_translation(ask, {"0": "x"}) == "keys not answered: 1"
+    assert completion.check_translation(ask, {"0": {}, "1": "x"}, reflect=True) == "no native_translation under 0, 1"
     with pytest.raises(ValueError, match="index 0"):
         completion.check_summary({"summary": "s", "terms": [{"src": "a"}]})
 
 
+def test_summary():
+    content = 'Here: {"summary": "s", "terms": [{"src": "a", "tgt": "b", "more": 1}], "x": 2}'
+    calls = []
+    assert completion.summarise(completion.Scripted([content]), "text", calls=calls) == {"summary": "s", "terms": [{"src": "a", "tgt": "b"}]}
+    assert calls[0]["status"] == "success" and calls[0]["request"] == "text"
+    for answer in (completion.response(""), completion.response("prose"), completion.response('{"summary": 1, "terms": []}')):
+        with pytest.raises(ValueError):
+            completion.summarise(completion.Scripted([answer]), "text")
+
+
 def test_patience():
     inner = completion.Scripted([completion.RateLimited(), completion.response("x")])
     assert completion.Patient(inner, least=0, most=0)([])["id"] == "local"
@@ -211,11 +226,72 @@ def test_caption_pipeline(spark):
     assert out["line_report"].first().report.startswith("0. \n【6】this is a rather long sentence")
 
 
+class Tally:
+    """Counts its calls in a file, as workers are other processes."""
+
+    model = "tally"
+
+    def __init__(self, inner, path):
+        self.inner, self.path = inner, str(path)
+
+    def __call__(self, messages):
+        with open(self.path, "a") as f:
+            f.write("x")
+        return self.inner(messages)
+
+    @property
+    def calls(self):
+        return os.path.getsize(self.path) if os.path.exists(self.path) else 0
+
+
+def test_a_second_run_asks_nothing(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60)) + " . Short one . And more ."
+    stream = captions.word_stream(spark.createDataFrame([(1, text), (2, text), (3, "Other .")], "doc_id long, text string"))
+    completers = [Tally(x, tmp_path / str(i)) for i, x in enumerate((completion.Identity(), completion.Chunker(12), completion.Identity()))]
+
+    def run(session):
+        before = [c.calls for c in completers]
+        out = captions.captions(stream, *completers, session=session)
+        rows = {name: sorted(map(str, out[name].collect())) for name in ("lines", "gate", "line_report")}
+        return [c.calls - b for c, b in zip(completers, before, strict=True)], rows
+
+    session = workspace.Session().open(str(tmp_path / "memo"))
+    first, rows = run(session)
+    assert first == [2, 1, 2]  # documents 1 and 2 ask the same: once
+    assert run(session) == ([0, 0, 0], rows)
+    log = spark.read.parquet(session.cache("calls"))
+    assert log.count() == 5 and {r.status for r in log.collect()} == {"success"}
+    session.enabled = False
+    assert run(session) == ([2, 1, 2], rows) and run(None) == ([2, 1, 2], rows)
+    expired = cache.entries_of(spark, session.cache("correct")).withColumn("expires_at", F.lit("2000-01-01").cast("timestamp")).collect()
+    spark.createDataFrame(expired, cache.ENTRY).write.mode("overwrite").parquet(session.cache("correct"))
+    session.enabled = True
+    assert run(session) == ([2, 0, 0], rows)
+
+
+def test_failed_batches_are_asked_again(spark, tmp_path):
+    table = spark.createDataFrame([(1, 0, {"0": "a b c"}), (2, 0, {"0": "a b c", "1": "d"})], "doc_id long, batch_id int, payload map<string,string>")
+    tally = Tally(completion.Rehearsed([["lost"], ["down"]]), tmp_path / "n")  # two keys: never right; one: fails
+    task = completion.translation(tally, language="X")
+    asked = []
+    for _ in range(2):
+        before = tally.calls
+        got = {r.doc_id: (r.status.split(":")[0], r.result) for r in completion.remembered(table, task, str(tmp_path / "m"), str(tmp_path / "log")).collect()}
+        asked.append(tally.calls - before)
+        assert got == {1: ("error", {}), 2: ("exhausted", {"0": "a b c", "1": "d"})}
+    assert asked == [4, 1]
+    assert sorted((r.status, r.error or "") for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [("error", "ConnectionError: no service")] * 2 + [("success", "")] * 3
+    other = completion.translation(tally, language="Y")
+    assert task.keys(table).select("cache_key").collect() != other.keys(table).select("cache_key").collect()
+
+
 def test_srt_parse_and_write(spark):
     raw = "1\n00:00:00,000 --> 00:00:01,000\nraw\\h\\h\nline\n\n2\nbad\nx\n\n3\n00:00:02,5 --> x\ny\n\n4\n00:00:02.500 --> 00:00:03.000 junk\n二\n"
     got = readers.parse_srt(spark.createDataFrame([(1, raw), (2, "")], "doc_id long, content string")).collect()
     assert [(r.text, r.start_ms, r.end_ms) for r in got] == [("raw line", 0, 1000), ("二", 2500, 3000)]
     entries = spark.createDataFrame([(1, 1, 0, 1000, "a"), (1, 2, 1000, 2000, " "), (1, 3, 2000, 3000, "c"), (2, 1, 0, 1, "")], "doc_id long, number int, start_ms long, end_ms long, text string")
+    odd = "1\u202800:00:00,000 --> 00:00:01,000\x0ba\x85\u20282\r00:00:01,000 --> 00:00:02,000\x0cc"
+    assert [r.text for r in readers.parse_srt(spark.createDataFrame([(1, odd)], "doc_id long, content string")).collect()] == ["a", "c"]
     srt = {r.doc_id: r.srt for r in writers.srt(entries).collect()}
     assert srt == {1: "1\n00:00:00,000 --> 00:00:01,000\na\n\n3\n00:00:02,000 --> 00:00:03,000\nc\n", 2: ""}
 

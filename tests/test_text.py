@@ -61,7 +61,7 @@ def test_even_split(spark):
 
 
 def test_languages(spark):
-    assert len(languages.rows()) == 38
+    assert len(languages.LANGUAGES) == 38
     assert languages.code_of("THAI", "deeplx") == "zh-Hans"
     assert languages.code_of("TAGALOG", "bing") == "fil"
     assert languages.code_of("TAGALOG", "nobody") == "zh-CN"
