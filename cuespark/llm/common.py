@@ -1,85 +1,58 @@
 """Shared plumbing of the training-data operators.
 
-* ``shared_dir``  - where intermediate tables go (the cluster's ``spark.checkpoint.dir``).
 * ``text_slices`` - Arrow batches cut by bytes, so a worker's memory does not depend on row sizes.
-* ``stage``       - cut lineage by writing a table and reading it back; ``discard`` deletes such tables.
+* ``stage``, ``discard``, ``shared_dir`` - intermediate tables in the cluster's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import threading
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuespark.sources import tables
+from cuespark.sources.tables import discard, shared_dir  # noqa: F401
+
 #: ASCII white space as the contracts spell it; ``bytes.split()`` and ``bytes.strip()`` use the same six.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_cleanup_lock = threading.Lock()
-#: How many ``stage`` calls are writing, and the setting before the first of them.
-_writers: list = [0, None]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a local one only where that is unset and the master is local (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="cuespark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/cuespark-{uuid.uuid4().hex}"
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, as ``text_slices`` cuts them, unless the session has a bound of its own: the JVM
+    fills a whole batch before a worker sees its first row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, "8m")
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lost executors cost one read, not a recomputation.
-
-    The shuffles that made it are not needed any more; Spark is asked to remove their files.  That setting is read
-    when a write begins, so writes that begin in other threads meanwhile see it too; it costs them nothing but
-    shuffle files that they are done with.  The table stays until ``discard`` or until the folder is cleaned.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    with _cleanup_lock:  # the setting is put back by the last of several writers
-        _writers[0] += 1
-        if _writers[0] == 1:
-            _writers[1] = spark.conf.get(_CLEANUP)
-            spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        with _cleanup_lock:
-            _writers[0] -= 1
-            if not _writers[0]:
-                spark.conf.set(_CLEANUP, _writers[1])
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``stage`` wrote and that nothing reads any more."""
-    for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_at)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    """``tables.stage`` with small Arrow batches."""
+    small_batches(df.sparkSession)
+    return tables.stage(df)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def docs_of(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and ``text``; every other column, whatever its name, is pruned at the scan."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of the text; null for null."""
+    return F.md5(text.cast("binary"))
+
+
 def with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_key", F.xxhash64("text"))
+    """``text_key``: with the id, what tells rows apart; rows equal in both have equal results."""
+    return docs.withColumn("text_key", text_key(F.col("text")))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

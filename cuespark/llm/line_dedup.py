@@ -4,11 +4,14 @@ Pass 1 reads the texts, reduces each batch to ``(hash, documents)`` rows and sum
 occurs everywhere is one row per batch, so a hot line never gathers in a task.  Pass 2 reads the texts
 again and drops lines.  While the table of frequent hashes is small (``broadcast_keys`` is checked
 against its counted size) it is sent to the executors and no text is shuffled; beyond that, line
-hashes are joined with it and the positions to drop are joined back to their documents.
+hashes, each once a slice of the input with its places, are joined with it, and the positions to drop
+are joined back to their documents by id and 128-bit text hash.
 
 Defined results: null or empty text is one empty line; empty keys (fewer than ``min_chars`` code
 points) are never dropped; each input row is a document of its own, so repeated rows count repeatedly;
-an empty table gives an empty result; other columns are not read.
+a helper column of a table that is kept whole must not be named ``__cuespark_...``; ``n_chars`` is
+replaced if there is one, as its own type; an empty table gives an empty result; other columns are not
+read, or kept as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuespark.llm.common import docs_of, raw_texts, stage, text_slices, with_key
+from cuespark.llm.common import docs_of, raw_texts, stage, text_key, text_slices, with_key
 
 OUT = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
 #: Helper column of the shuffled way.
@@ -70,7 +73,9 @@ def _rebuild(batch: pa.RecordBatch, masks: list[np.ndarray], texts: list[bytes],
         kept_texts.append(kept)
     decoded = [k.decode() for k in kept_texts]
     if whole:
-        swapped = {"text": pa.array(decoded, pa.string()), "n_chars": pa.array([len(k) for k in decoded], pa.int64())}
+        swapped = {"text": pa.array(decoded, pa.string()).cast(batch.column("text").type)}
+        if "n_chars" in batch.schema.names:
+            swapped["n_chars"] = pa.array([len(k) for k in decoded], pa.int64()).cast(batch.column("n_chars").type)
         names = [c for c in batch.schema.names if c != DROPS]
         return pa.RecordBatch.from_arrays([swapped.get(c, batch.column(c)) for c in names], names)
     digests = [hashlib.sha256(k).hexdigest() for k in kept_texts]
@@ -107,16 +112,24 @@ def _drop_known(frequent, min_chars: int, whole: bool):
 
 
 def _positions(min_chars: int):
+    """A row for each distinct line of a slice, with all its places: a line that stands everywhere is one row a slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
-            for doc, key, text in zip(ids, keys, raw_texts(batch.column("text")), strict=True):
-                hashes, able = _hashes(text.split(b"\n"), min_chars)
+            doc, pos, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, _DIGEST)]
+            for i, text in enumerate(raw_texts(batch.column("text"))):
+                own, able = _hashes(text.split(b"\n"), min_chars)
                 at = np.flatnonzero(able)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * len(at), pa.int64()), pa.array([key] * len(at), pa.int64()), pa.array(at.astype(np.int64)), pa.array(hashes["hi"][at]), pa.array(hashes["lo"][at])],
-                    ["doc_id", "text_key", "pos", "hi", "lo"],
-                )
+                doc.append(np.full(len(at), i))
+                pos.append(at)
+                hashes.append(own[at])
+            line = np.concatenate(hashes)
+            order = np.argsort(line, order=("hi", "lo"), kind="stable")
+            keys, first = np.unique(line[order], return_index=True)
+            doc, pos, offsets = np.concatenate(doc)[order], np.concatenate(pos)[order], pa.array(np.append(first, len(order)).astype(np.int32))
+            ids, texts = (batch.column(c).take(pa.array(doc)) for c in ("doc_id", "text_key"))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (ids, texts, pa.array(pos))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys["hi"]), pa.array(keys["lo"]), *lists], ["hi", "lo", "doc", "key", "pos"])
 
     return run
 
@@ -151,10 +164,9 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         known["hi"], known["lo"] = table.column("hi").to_numpy(), table.column("lo").to_numpy()
         sent = docs.sparkSession.sparkContext.broadcast(np.sort(known).tobytes())
         return rows.mapInArrow(_drop_known(sent, min_chars, whole), out)
-    drops = (
-        with_key(slim).mapInArrow(_positions(min_chars), "doc_id long, text_key long, pos long, hi long, lo long")
-        .join(frequent, ["hi", "lo"], "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias(DROPS))
-    ).withColumnsRenamed({"doc_id": "__cuespark_doc", "text_key": "__cuespark_key"})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cuespark_doc")) & F.xxhash64("text").eqNullSafe(F.col("__cuespark_key"))
+    met = with_key(slim).mapInArrow(_positions(min_chars), "hi long, lo long, doc array<long>, key array<string>, pos array<long>").join(frequent, ["hi", "lo"], "left_semi")
+    places = met.select(F.explode(F.arrays_zip("doc", "key", "pos")).alias("p"))
+    drops = places.groupBy(F.col("p.doc").alias("__cuespark_doc"), F.col("p.key").alias("__cuespark_key")).agg(F.collect_set("p.pos").alias(DROPS))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cuespark_doc")) & text_key(F.col("text")).eqNullSafe(F.col("__cuespark_key"))
     joined = rows.join(drops, same, "left").drop("__cuespark_doc", "__cuespark_key")
     return joined.mapInArrow(_drop_listed(whole), out)

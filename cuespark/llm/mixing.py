@@ -6,9 +6,11 @@ Copies: within a source every document expects ``target / source_size`` copies;
 ``u`` per source a document is emitted once for every integer that the running sum crosses.
 
 The running sum is distributed: documents are ordered by (size class, md5 of the id).  Counts per
-(source, size class, first two md5 digits) are summed on a table of at most 25,600 rows a source, and
-rows are numbered only inside such a cell, so a source with a third of all rows is spread over its
-cells.  Order by size class keeps each source's taken words within about one document per class.
+(source, size class, first md5 digits) are summed on a table of one row a cell, and rows are numbered
+only inside such a cell, so a source with a third of all rows is spread over its cells.  The number of
+digits follows the number of rows, so that cells stay small; the order, and with it the result, is the
+same for any number.  Order by size class keeps each source's taken words within about one document per
+class.  Texts are read once to count them; ``emit`` reads them a second time to move them.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last; a source
 without words has target 0 and nothing is taken; null and repeated ids are ordered by (md5, id, size)
@@ -21,9 +23,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuespark.llm.common import stage
+
 SEED = "mix-1"
-#: Hexadecimal digits of md5 that split a size class into cells.
-CELL_DIGITS = 2
+#: Rows of a cell, were all of a class and evenly spread: what the number of digits aims at.
+CELL_ROWS = 1 << 20
+
+
+def cell_digits(n_rows: int) -> int:
+    """Hexadecimal digits of md5 that split a size class into cells; 2 at least."""
+    digits = 2
+    while n_rows > CELL_ROWS << 4 * digits and digits < 6:
+        digits += 1
+    return digits
 
 
 def word_count(text: Column) -> Column:
@@ -68,16 +80,17 @@ def allocate(docs: DataFrame, size: Column, carried: Column, weights: tuple[int,
 
     ``size`` is the size of a row; ``carried`` becomes ``row``, a struct of whatever of the input is wanted
     afterwards, so that names clash with nothing and nothing else is moved.  Rows move once, by cell; the
-    cell table is joined on the same keys.
+    cell table, which is written first, is joined on the same keys.
     """
+    digits = cell_digits(docs.count())
     rows = docs.select(carried.alias("row"), size.alias("size"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("id"))
     rows = rows.withColumns({
         "src": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")),
         "md5": F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary")),
     })
-    rows = rows.withColumns({"class": size_class(F.col("size")), "cell": F.substring("md5", 1, CELL_DIGITS)})
+    rows = rows.withColumns({"class": size_class(F.col("size")), "cell": F.substring("md5", 1, digits)})
     cell = ["src", "class", "cell"]
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.first("source").alias("source"))
+    cells = stage(rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.first("source").alias("source")))
     before = W.partitionBy("src").orderBy("class", "cell").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     sizes = cells.groupBy("src").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
@@ -93,7 +106,8 @@ def allocate(docs: DataFrame, size: Column, carried: Column, weights: tuple[int,
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken``: what the mix takes of each row; texts are only counted."""
-    shares = allocate(docs, word_count(F.col("text").cast("string")), F.struct(F.col("doc_id").cast("long").alias("doc_id")), **options)
+    counted = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")))
+    shares = allocate(counted, F.col("size"), F.struct("doc_id"), **options)
     return shares.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

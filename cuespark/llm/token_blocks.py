@@ -9,12 +9,15 @@ file is::
 
     block: minimum u32, width u8, pad u8, exceptions u16, packed words, positions u16[], high bits u32[]
 
-Documents are put in ascending order of id by a range shuffle; each partition writes one shard under a
-temporary name and renames it, so a task that runs twice leaves the same single file.  Block starts give
-random access: ``Shard.ids(a, b)`` unpacks only the blocks that hold ids a..b-1.
+Documents are put in ascending order of id by a range shuffle into at most ``most_parts`` partitions; each
+writes shards of about ``shard_bytes`` of text, one after the other, under temporary names and renames
+them, so a task that runs twice leaves the same files.  The manifest is a table: a shard's first id is
+summed from the totals of the partitions before it and of the shards before it in its own.  Block starts
+give random access: ``Shard.ids(a, b)`` unpacks only the blocks that hold ids a..b-1.
 
 Defined results: null text is an empty document (the end id alone); null ids come first; rows with equal
-ids are ordered by text; an empty table writes no ids and gives no rows; other columns are not read.
+ids (a third of all rows may have one) are spread and ordered by a hash of the text; an empty table writes
+no ids and gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +28,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from cuespark.llm.bpe import piece_finder
-from cuespark.llm.common import docs_of, input_bytes, parts_for, raw_texts, shared_dir, text_slices
+from cuespark.llm.common import docs_of, input_bytes, parts_for, raw_texts, shared_dir, stage, text_slices
 
 BLOCK, PERCENTILE = 1024, 95
 MAGIC = b"PFOR0001"
@@ -213,55 +219,81 @@ def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
-def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, shard_bytes: int = 32 << 20) -> list[dict]:
-    """Encode ``docs`` in ascending order of id into shard files; the manifest (one entry a shard)."""
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder or file; Hadoop's names of object stores are known too."""
+    scheme, colon, rest = uri.partition("://")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return fs.FileSystem.from_uri(f"{scheme}{colon}{rest}" if colon else uri)
+
+
+MANIFEST = "part int, shard int, path string, n_docs long, n_ids long, n_bytes long"
+
+
+def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, shard_bytes: int = 32 << 20, most_parts: int = 8192) -> DataFrame:
+    """Encode ``docs`` in ascending order of id into shard files; the manifest, one row a shard, with ``start``."""
     docs = docs_of(docs)
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = parts_for(input_bytes(docs), shard_bytes, least)
-    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    spark = docs.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(most_parts, parts_for(input_bytes(docs), shard_bytes, least))
+    order = ["doc_id", "h", "text"]
+    # equal rows go anywhere between their neighbours: the last key only spreads them
+    spread = docs.withColumn("h", F.xxhash64("text")).withColumn("any", F.monotonically_increasing_id())
+    ordered = spread.repartitionByRange(n, "doc_id", "h", "any").drop("any").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from pyarrow import fs
-
         context = TaskContext.get()
-        part, store, path = context.partitionId(), *fs.FileSystem.from_uri(folder)
+        part, (store, path) = context.partitionId(), store_of(folder)
         store.create_dir(path)
-        name, own = f"{path}/shard-{part:06d}.pfor", f"{path}/_shard-{part:06d}-{context.taskAttemptId()}"
         encode, end = library_encoder(vocabulary), np.array([end_id], np.uint32)
-        with store.open_output_stream(own) as sink:
-            shard = ShardWriter(sink)
-            for batch in text_slices(batches, 2 << 20):
-                packed = encode([t.decode() for t in raw_texts(batch.column("text"))])
-                for doc, p in zip(batch.column("doc_id").to_pylist(), packed, strict=True):
-                    shard.add(doc, np.concatenate([np.frombuffer(p, "<u4"), end]))
-            shard.close()
-        if store.get_file_info(name).type == fs.FileType.NotFound:
-            store.move(own, name)
-        else:  # an earlier run of this task, whose executor was lost later, has left the same file
-            store.delete_file(own)
-        yield pa.RecordBatch.from_pydict({"shard": [part], "n_docs": [len(shard.docs)], "n_ids": [shard.total], "n_bytes": [shard.at]})
-
-    rows = ordered.mapInArrow(run, "shard long, n_docs long, n_ids long, n_bytes long").collect()
-    start, manifest = 0, []
-    for row in sorted(rows, key=lambda r: r["shard"]):
-        manifest.append(row.asDict() | {"start": start, "path": f"{folder}/shard-{row['shard']:06d}.pfor"})
-        start += row["n_ids"]
-    return manifest
 
+        shard, k, own, size = None, 0, "", 0
 
-def read_shards(spark, manifest: list[dict]) -> DataFrame:
+        def closed() -> pa.RecordBatch:
+            shard.close()
+            shard.sink.close()
+            name = f"shard-{part:06d}-{k:06d}.pfor"
+            if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+                store.move(own, f"{path}/{name}")
+            else:  # an earlier run of this task, whose executor was lost later, has left the same file
+                store.delete_file(own)
+            row = {"part": [part], "shard": [k], "path": [f"{folder}/{name}"], "n_docs": [len(shard.docs)], "n_ids": [shard.total], "n_bytes": [shard.at]}
+            return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
+
+        for batch in text_slices(batches, 2 << 20):
+            if shard is not None and size >= shard_bytes:
+                yield closed()
+                shard, k = None, k + 1
+            if shard is None:
+                own, size = f"{path}/_shard-{part:06d}-{k:06d}-{context.taskAttemptId()}", 0
+                shard = ShardWriter(store.open_output_stream(own))
+            size += batch.column("text").nbytes
+            packed = encode([t.decode() for t in raw_texts(batch.column("text"))])
+            for doc, p in zip(batch.column("doc_id").to_pylist(), packed, strict=True):
+                shard.add(doc, np.concatenate([np.frombuffer(p, "<u4"), end]))
+        if shard is not None:
+            yield closed()
+
+    written = stage(ordered.select("doc_id", "text").mapInArrow(run, MANIFEST))
+    totals = sorted((r["part"], r["n"]) for r in written.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # ``most_parts`` rows at most
+    before, starts = 0, []
+    for part, size in totals:
+        starts.append((part, before))
+        before += size
+    earlier = W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    own = written.withColumn("start", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
+    bases = F.broadcast(spark.createDataFrame(starts, "part int, base long"))
+    return own.join(bases, "part").select(*written.columns, (F.col("start") + F.col("base")).alias("start"))
+
+
+def read_shards(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, unpacked from the files."""
-    entries = [(m["path"], m["start"]) for m in manifest if m["n_docs"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        for i in (i for batch in batches for i in batch.column("id").to_pylist()):
-            uri, base = entries[i]
-            store, path = fs.FileSystem.from_uri(uri)
+        for uri, base in (x for batch in batches for x in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True)):
+            store, path = store_of(uri)
             with store.open_input_stream(path) as f:
                 shard = Shard(f.read())
             ends = shard.doc_starts
@@ -277,11 +309,13 @@ def read_shards(spark, manifest: list[dict]) -> DataFrame:
                 )
                 at = stop
 
-    return spark.range(0, len(entries), 1, max(1, len(entries))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = max(1, manifest.count())
+    spread = manifest.select("path", "start").repartitionByRange(min(n, 8192), "path")
+    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_blocks(docs: DataFrame, vocabulary: str, folder: str | None = None, **options) -> DataFrame:
     """Write the shards of ``docs`` (to the shared folder unless one is named) and describe them."""
     folder = folder or shared_dir(docs.sparkSession)
     folder = folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "", 1)
-    return read_shards(docs.sparkSession, write_shards(docs, vocabulary, folder, **options))
+    return read_shards(write_shards(docs, vocabulary, folder, **options))
