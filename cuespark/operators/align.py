@@ -7,6 +7,7 @@ Arrow-fed functions over batches of rows; everything else in the engine stays in
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -108,23 +109,35 @@ def match_parts(texts: list[str], parts: list[str]) -> list[tuple[int, int]] | N
     """Word ranges (first, last) of each part in turn, or None where they cannot be aligned.
 
     Every part but the last takes the first range of highest similarity that leaves a word for each part
-    after it, and must reach ``MATCH``; the last must reach it against all words that remain.
+    after it, and must reach ``MATCH``; the last must reach it against all words that remain.  A range is
+    only compared if what it has in common with the part, order aside, could make it the best one: a part of
+    n words looks at no range of more than 1.5 n words.
     """
-    joined = lambda words: " ".join(w.strip() for w in words if w.strip())
     if not texts or not parts:
         return None
     if len(parts) == 1:
         return [(0, len(texts) - 1)]
-    ranges, at = [], 0
+    words, ranges, at = [bases(t.split()) for t in texts], [], 0
     for left, part in zip(range(len(parts) - 1, -1, -1), parts, strict=True):
-        ends = range(at, len(texts) - left) if left else [len(texts) - 1]
+        wanted, found, common = bases(part.split()), [], 0
+        spare = Counter(wanted)
         best, best_end = -1.0, None
-        for end in ends:
-            score = similarity(part, joined(texts[at : end + 1]))
-            if score > best:
-                best, best_end = score, end
-            if score == 1.0:
-                break
+        for end in range(at, len(texts) - left):
+            for word in words[end]:
+                common += spare[word] > 0
+                spare[word] -= 1
+            found += words[end]
+            total = len(wanted) + len(found)
+            if left or end == len(texts) - 1:
+                score = 1.0 if wanted == found else -1.0
+                if score < 0 and 2.0 * common / max(1, total) >= max(MATCH, best):
+                    score = SequenceMatcher(None, wanted, found).ratio()
+                if score > best:
+                    best, best_end = score, end
+                if score == 1.0:
+                    break
+            if left and 2.0 * len(wanted) < MATCH * total:
+                break  # longer ranges have less in common
         if best_end is None or best < MATCH:
             return None
         ranges.append((at, best_end))

@@ -77,9 +77,26 @@ KEY_SETS = """
 sets AS (SELECT conv_id, list_sort(list_distinct(list(turn::VARCHAR))) AS expected, list_sort(list_distinct(list(CASE WHEN role = 'user' THEN turn + 1 ELSE turn END::VARCHAR))) AS actual FROM conversations GROUP BY conv_id),
 diff AS (SELECT conv_id, expected, actual, list_sort(list_filter(expected, lambda x: NOT list_contains(actual, x))) AS missing, list_sort(list_filter(actual, lambda x: NOT list_contains(expected, x))) AS extra FROM sets)"""
 CACHE = """
-entries AS (SELECT user_id::VARCHAR AS cache_key, event_id::VARCHAR AS value, ts AS created_at, ts + INTERVAL 2 DAY AS expires_at FROM events WHERE event_id % 3 = 0),
+entries AS (SELECT user_id::VARCHAR AS cache_key, event_id::VARCHAR AS value, ts AS created_at, ts + INTERVAL 2 DAY AS expires_at FROM events),
 alive AS (SELECT * FROM entries WHERE expires_at > TIMESTAMP '2024-01-31 06:00:00'),
-requests AS (SELECT DISTINCT user_id::VARCHAR AS cache_key FROM events)"""
+requests AS (SELECT DISTINCT unnest([user_id::VARCHAR, 'new-' || user_id]) AS cache_key FROM events)"""
+
+#: Turns of numbered words ``w`` (``n`` of them), an edit after the first ``at``, and the words that stay on both sides.
+EDITED = f"""
+numbered AS (SELECT conv_id, turn, turn % 4 AS kind, list_transform(regexp_extract_all(text, '{NS}+'), lambda x, i: x || '#' || (i - 1)) AS w FROM conversations),
+edited AS (
+  SELECT *, len(w) AS n, len(w) // 2 AS mid, len(w) > 0 AND kind IN (1, 3) AS gone, kind IN (1, 2) AS fresh,
+         w[1:len(w) // 2] AS a, CASE WHEN kind IN (1, 3) THEN w[len(w) // 2 + 2:] ELSE w[len(w) // 2 + 1:] END AS z FROM numbered),
+spans AS (SELECT *, len(a) AS p, len(z) AS r, mid + gone::INT AS q, mid + fresh::INT AS v FROM edited)"""
+RATIO = "CASE WHEN kind = 0 THEN 1.0 ELSE 2.0 * (p + r) / (n + p + r + fresh::INT) END::DOUBLE"
+CAPTIONS = f"""{SENTENCES},
+profiles AS (SELECT doc_id, CASE WHEN sum(len(regexp_extract_all(text, '{CJK}'))) / sum(length(regexp_replace(text, '{SP}', '', 'g'))) > 0.5 THEN 16 ELSE 18 END AS most FROM sentences GROUP BY doc_id),
+sized AS (SELECT doc_id, sentence_index, CASE WHEN {n_words('text')} > most THEN 12 ELSE 1000000000 END AS step FROM sentences JOIN profiles USING (doc_id)),
+inside AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index ORDER BY ord) - 1 AS k FROM placed JOIN sized USING (doc_id, sentence_index)),
+cut AS (SELECT doc_id, sentence_index, (k // step)::INTEGER AS split_index, string_agg(text, ' ' ORDER BY ord) AS text, min(start_ms)::BIGINT AS start_ms, max(end_ms)::BIGINT AS end_ms FROM inside GROUP BY ALL),
+lines AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index, split_index) - 1)::INTEGER AS line_index FROM cut)"""
+TURNS = f"""
+turns AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, count(*) OVER (PARTITION BY conv_id) AS n, regexp_extract_all(text, '{NS}+') AS w FROM conversations)"""
 
 #: Expected codes, written out: the engine's table is not read here.
 CODES = """
@@ -179,7 +196,7 @@ FROM batches b LEFT JOIN cues c ON c.doc_id = b.doc_id AND c.text IS NOT NULL AN
 WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(' <br>' || replace(text, ' ', '<br> ') || '<br>', '<br>'), lambda x: {strip('x')}), lambda x: x <> '') AS parts FROM conversations)
 SELECT conv_id, turn, len(parts)::INTEGER AS n_parts, coalesce(array_to_string(parts, ' '), '') AS joined FROM p""",
     "length_violations": f"""
-WITH {LINES} SELECT doc_id, sentence_index, string_agg('part ' || (split_index + 1) || ' has ' || {n_words('text')} || ' words > 7', '; ' ORDER BY split_index) AS violations
+WITH {LINES} SELECT doc_id, sentence_index, 'text ' || sentence_index || ': more than 7 words in part ' || string_agg((split_index + 1) || ' (' || {n_words('text')} || ')', ', ' ORDER BY split_index) AS violations
 FROM lines WHERE {n_words('text')} > 7 GROUP BY doc_id, sentence_index""",
     "key_diff": f"WITH {KEY_SETS} SELECT conv_id, array_to_string(missing, ',') AS missing, array_to_string(extra, ',') AS extra, expected = actual AS same FROM diff",
     "key_messages": f"""
@@ -217,9 +234,56 @@ FROM words WHERE ord % 10 > 0 GROUP BY doc_id""",
 WITH {SENTENCES}, n AS (SELECT *, regexp_extract(lower(text), '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)*') AS norm FROM placed)
 SELECT doc_id, sentence_index AS segment_index, count(*) AS n_tokens, min(start_ms / 1000.0::DOUBLE) AS start, max(end_ms / 1000.0::DOUBLE) AS "end" FROM n WHERE norm <> '' GROUP BY ALL""",
     "vtt_cues": f"""
-WITH {LINES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_index) - 1)::INTEGER AS ord, text, start_ms, end_ms FROM lines WHERE NOT contains(text, '<') AND NOT contains(text, '>')""",
+WITH {LINES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_index) - 1)::INTEGER AS ord, translate(text, '<>', '()') AS text, start_ms, end_ms FROM lines""",
     "word_vtt_words": f"""
-WITH {LINES}, l AS (SELECT doc_id, start_ms, end_ms, len(string_split(text, ' ')) AS n FROM lines WHERE NOT contains(text, '<') AND NOT contains(text, '>')),
+WITH {LINES}, l AS (SELECT doc_id, start_ms, end_ms, len(string_split(text, ' ')) AS n FROM lines),
 w AS (SELECT doc_id, start_ms, end_ms, n, unnest(range(0, n)) AS i FROM l WHERE n > 1)
 SELECT doc_id, count(*) AS n_words, sum({vtt('start_ms + i * 300')})::BIGINT AS start_sum, sum(CASE WHEN i = n - 1 THEN {vtt('end_ms')} ELSE {vtt('start_ms + (i + 1) * 300')} END)::BIGINT AS end_sum FROM w GROUP BY doc_id""",
+    "inline_diff": """
+WITH """ + EDITED + """, shown AS (
+  SELECT *, array_to_string(list_concat(a, CASE WHEN fresh THEN ['new'] ELSE [] END, z), ' ') AS new,
+         CASE WHEN gone OR fresh THEN ['【' || CASE WHEN gone THEN w[mid + 1] ELSE '∅' END || '/' || CASE WHEN fresh THEN 'new' ELSE '∅' END || '】'] ELSE [] END AS edit FROM spans)
+SELECT conv_id, turn, coalesce(array_to_string(list_concat(a, edit, z), ' '), '') AS diff, CASE WHEN gone OR fresh THEN array_to_string(list_concat(a, edit, z), ' ') ELSE '' END AS log FROM shown""",
+    "token_opcodes": f"""
+WITH {EDITED}, ops AS (
+  SELECT conv_id, turn, unnest([{{'tag': CASE WHEN gone OR fresh THEN 'equal' END, 'i1': 0, 'i2': p, 'j1': 0, 'j2': p}},
+    {{'tag': CASE WHEN gone AND fresh THEN 'replace' WHEN gone THEN 'delete' WHEN fresh THEN 'insert' END, 'i1': mid, 'i2': q, 'j1': mid, 'j2': v}},
+    {{'tag': 'equal', 'i1': CASE WHEN gone OR fresh THEN q ELSE 0 END, 'i2': n, 'j1': CASE WHEN gone OR fresh THEN v ELSE 0 END, 'j2': p + r + fresh::INT}}]) AS o FROM spans)
+SELECT conv_id, turn, o.tag AS tag, o.i1::INTEGER AS i1, o.i2::INTEGER AS i2, o.j1::INTEGER AS j1, o.j2::INTEGER AS j2 FROM ops WHERE o.tag IS NOT NULL AND (o.i1 < o.i2 OR o.j1 < o.j2)""",
+    "text_similarity": f"WITH {EDITED} SELECT conv_id, turn, {RATIO} AS similarity FROM spans",
+    "correction_gate": f"""
+WITH {EDITED}, judged AS (SELECT *, CASE WHEN (conv_id + turn) % 5 = 0 THEN 0.0 ELSE {RATIO} END AS ratio, CASE WHEN n <= 10 THEN 0.3 ELSE 0.6 END AS least FROM spans)
+SELECT conv_id, turn, CASE WHEN ratio < least THEN 'text 0 is only ' || printf('%.2f', ratio) || ' alike, ' || least || ' is needed: keep closer to <' || array_to_string(w, ' ') || '>' ELSE '' END AS fault FROM judged""",
+    "rewrite_timestamps": f"""
+WITH {SENTENCES}, spot AS (
+  SELECT doc_id, sentence_index, sentence_index % 4 AS kind, row_number() OVER s - 1 AS k, count(*) OVER (PARTITION BY doc_id, sentence_index) // 2 AS mid, text || '#' || (row_number() OVER s - 1) AS text, start_ms, end_ms,
+         lag(end_ms) OVER s AS before FROM placed WINDOW s AS (PARTITION BY doc_id, sentence_index ORDER BY ord)),
+moved AS (
+  SELECT doc_id, sentence_index, kind, k, mid, unnest(CASE WHEN k <> mid OR kind = 0 THEN [{{'t': text, 's': start_ms, 'e': end_ms}}] WHEN kind = 1 THEN [{{'t': 'new', 's': start_ms, 'e': end_ms}}]
+    WHEN kind = 2 THEN [{{'t': 'new', 's': coalesce(before, start_ms), 'e': start_ms}}, {{'t': text, 's': start_ms, 'e': end_ms}}]
+    ELSE [{{'t': 'new1', 's': start_ms, 'e': start_ms + (end_ms - start_ms) // 2}}, {{'t': 'new2', 's': start_ms + (end_ms - start_ms) // 2, 'e': end_ms}}] END) AS x FROM spot)
+SELECT doc_id, sentence_index, (row_number() OVER (PARTITION BY doc_id, sentence_index ORDER BY k, x.s, x.e) - 1)::INTEGER AS i, x.t AS text, x.s::BIGINT AS start_ms, x.e::BIGINT AS end_ms FROM moved""",
+    "part_alignment": f"""
+WITH {SENTENCES}, inside AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index ORDER BY ord) - 1 AS k FROM placed SEMI JOIN (SELECT doc_id, sentence_index FROM sentences WHERE {n_words('text')} > 18) USING (doc_id, sentence_index))
+SELECT doc_id, sentence_index, (k // 10)::INTEGER AS split_index, string_agg(text, ' ' ORDER BY ord) AS text, min(start_ms)::BIGINT AS start_ms, max(end_ms)::BIGINT AS end_ms FROM inside GROUP BY ALL""",
+    "caption_lines": f"WITH {CAPTIONS} SELECT doc_id, sentence_index, split_index, line_index, text, text AS translate_text, start_ms, end_ms FROM lines",
+    "caption_gate": f"WITH {CAPTIONS} SELECT doc_id, 0::BIGINT AS failed_lines, count(*) AS total_lines, 0.0::DOUBLE AS fail_rate, 'ok' AS verdict FROM lines GROUP BY doc_id",
+    "correction_loop": f"""
+WITH {TURNS} SELECT conv_id, turn, CASE n % 5 WHEN 3 THEN 'exhausted' WHEN 4 THEN 'error' ELSE 'ok' END AS status, CASE n % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 0 ELSE 3 END::INTEGER AS attempts,
+  CASE WHEN n % 5 IN (1, 2) THEN text || ' !' ELSE text END AS text FROM turns WHERE n % 5 <> 3 OR place > 1""",
+    "split_loop": f"""
+WITH {TURNS}, fits AS (SELECT *, bool_and(len(w) <= 15) OVER c AS whole, bool_and(len(w) <= 30) OVER c AS half FROM turns WINDOW c AS (PARTITION BY conv_id)),
+judged AS (
+  SELECT conv_id, turn, w, text, CASE WHEN n % 4 = 2 THEN 'error' WHEN half OR (n % 4 = 0 AND whole) THEN 'ok' ELSE 'exhausted' END AS status,
+    CASE WHEN n % 4 = 2 THEN 0 WHEN NOT half THEN 3 WHEN n % 4 = 3 OR (n % 4 = 0 AND whole) THEN 1 ELSE 2 END::INTEGER AS attempts, n % 4 = 2 OR (n % 4 = 0 AND whole) AS one FROM fits),
+pieces AS (SELECT *, CASE WHEN one THEN [text] ELSE list_filter([array_to_string(w[1:len(w) // 2], ' '), array_to_string(w[len(w) // 2 + 1:], ' ')], lambda x: x <> '') END AS parts FROM judged)
+SELECT conv_id, turn, status, attempts, generate_subscripts(parts, 1)::INTEGER - 1 AS part, unnest(parts) AS text FROM pieces""",
+    "translation_loop": f"""
+WITH {TURNS} SELECT conv_id, turn, CASE n % 4 WHEN 3 THEN 'exhausted' ELSE 'ok' END AS status, CASE n % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END::INTEGER AS attempts,
+  CASE n % 4 WHEN 1 THEN text || ' !' ELSE text END AS text FROM turns WHERE n % 4 <> 2""",
+    "call_log": """
+WITH c AS (SELECT conv_id, count(*) % 5 AS k FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE k WHEN 0 THEN 'success' WHEN 1 THEN 'error,success' WHEN 4 THEN 'error' ELSE 'success,success,success' END AS calls,
+  CASE k WHEN 1 THEN 'the response is blank' WHEN 4 THEN 'ConnectionError: no service' ELSE '' END AS errors FROM c""",
+    "lenient_answers": """SELECT conv_id, turn, text AS summary, '[{"src":"a","tgt":"b"}]' AS terms FROM conversations""",
 }

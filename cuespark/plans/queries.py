@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -260,10 +262,21 @@ def split_parts(spark, sf_dir):
 
 @query
 def length_violations(spark, sf_dir):
-    l = lines(spark, sf_dir).groupBy("doc_id", "sentence_index").agg(F.array_sort(F.collect_list(F.struct("split_index", T.count_words(F.col("text")).alias("n")))).alias("p"))  # noqa: E741
-    long = F.filter("p", lambda x: x["n"] > 7)
-    text = F.array_join(F.transform(long, lambda x: F.concat(F.lit("part "), (x["split_index"] + 1).cast("string"), F.lit(" has "), x["n"].cast("string"), F.lit(" words > 7"))), "; ")
-    return l.select("doc_id", "sentence_index", text.alias("violations")).where("violations <> ''")
+    """What the split gate says of each sentence cut into lines of eight words, where seven are allowed."""
+    parts = F.array_sort(F.collect_list(F.struct("split_index", "text")))["text"]
+    cut = lines(spark, sf_dir).groupBy("doc_id", "sentence_index").agg(parts.alias("parts"))
+    said = verdict(lambda key, parts: completion.check_split({str(key): " ".join(parts)}, {str(key): list(parts)}, 7))("sentence_index", "parts")
+    return cut.select("doc_id", "sentence_index", said.alias("violations")).where("violations <> ''")
+
+
+def verdict(check):
+    """A validator of completions over two or more columns."""
+
+    def over(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in columns:
+            yield pd.Series([check(*row) for row in zip(*batch, strict=True)], dtype=object)
+
+    return F.pandas_udf(over, "string")
 
 
 def key_sets(spark, sf_dir):
@@ -295,10 +308,13 @@ def fail_rate_gate(spark, sf_dir):
 
 
 def cache_tables(spark, sf_dir):
+    """Every event is an entry that lives two days; requests are the keys of all users and as many unknown ones."""
     e = table(spark, sf_dir, "events")
     at = F.col("ts").cast("timestamp")
-    entries = e.where("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("cache_key"), F.col("event_id").cast("string").alias("value"), at.alias("created_at"), (at + F.expr("INTERVAL 2 DAY")).alias("expires_at"))
-    requests = e.select(F.col("user_id").cast("string").alias("cache_key")).distinct()
+    key = F.col("user_id").cast("string")
+    entries = e.select(key.alias("cache_key"), F.col("event_id").cast("string").alias("value"), at.alias("created_at"), (at + F.expr("INTERVAL 2 DAY")).alias("expires_at"))
+    users = e.select(key.alias("cache_key")).distinct()
+    requests = users.union(users.select(F.concat(F.lit("new-"), "cache_key")))
     return requests, entries, F.lit("2024-01-31 06:00:00").cast("timestamp")
 
 
@@ -382,56 +398,84 @@ def sentences_as_segments(w: DataFrame, entry) -> DataFrame:
     return grouped.groupBy("doc_id").agg(F.to_json(F.struct(F.transform(segments, lambda s: F.struct(s["words"].alias("words"))).alias("segments"))).alias("content"))
 
 
+def plain_lines(spark, sf_dir) -> DataFrame:
+    """All lines; angle brackets, which would be tags, become parentheses."""
+    return lines(spark, sf_dir).withColumn("text", F.translate("text", "<>", "()"))
+
+
 @query
 def vtt_cues(spark, sf_dir):
     stamp = lambda c: F.replace(timing.srt_timestamp(F.col(c)), F.lit(","), F.lit("."))
     cue = F.concat(F.lit("cue\n"), stamp("start_ms"), F.lit(" --> "), stamp("end_ms"), F.lit(" align:start\n<b>"), F.col("text"), F.lit("</b> <00:00:01.000>")).alias("block")
     blocks = F.array_join(F.array_sort(F.collect_list(F.struct("line_index", cue)))["block"], "\n\n")
-    docs = lines(spark, sf_dir).where("NOT contains(text, '<') AND NOT contains(text, '>')").groupBy("doc_id").agg(F.concat(F.lit("WEBVTT\n\nNOTE made here\n\n"), blocks).alias("content"))
+    docs = plain_lines(spark, sf_dir).groupBy("doc_id").agg(F.concat(F.lit("WEBVTT\n\nNOTE made here\n\n"), blocks).alias("content"))
     return readers.parse_vtt(docs).select("doc_id", "ord", "text", "start_ms", "end_ms")
 
 
 @query
 def word_vtt_words(spark, sf_dir):
     stamp = lambda c: F.replace(timing.srt_timestamp(c), F.lit(","), F.lit("."))
-    usable = lines(spark, sf_dir).where("NOT contains(text, '<') AND NOT contains(text, '>')")
     w = F.split("text", " ")
     tail = F.array_join(F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat(F.lit("<"), stamp(F.col("start_ms") + (i + 1) * 300), F.lit("><c> "), x, F.lit("</c>"))), "")
     block = F.concat(stamp(F.col("start_ms")), F.lit(" --> "), stamp(F.col("end_ms")), F.lit("\n"), F.get(w, F.lit(0)), tail).alias("block")
-    docs = usable.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_index", block)))["block"], "\n\n").alias("content"))
+    docs = plain_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_index", block)))["block"], "\n\n").alias("content"))
     return readers.parse_word_vtt(docs).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum("start_ms").alias("start_sum"), F.sum("end_ms").alias("end_sum"))
 
 
-# --- alignment and completion (no SQL form)
+# --- alignment
 
 
-def text_pairs(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.col("text").alias("before"), F.regexp_replace(F.regexp_replace("text", r"\bthe\b", "this"), r"\b(\w+) and\b", "$1").alias("after"))
+def edited(spark, sf_dir) -> DataFrame:
+    """Conversation turns before and after an edit in their middle: none, a word replaced, inserted, or deleted.
+
+    Words are numbered, so that each is unlike all others and the edit is the only shortest one.
+    """
+    numbered = F.transform(T.tokens(F.col("text")), lambda w, i: F.concat(w, F.lit("#"), i.cast("string")))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", numbered.alias("w")).withColumn("at", F.floor(F.size("w") / 2).cast("int"))
+    n = F.size("w")
+    kind = F.col("turn") % 4
+    middle = F.when((kind == 1) | (kind == 2), F.array(F.lit("new"))).otherwise(F.array().cast("array<string>"))
+    skip = F.when((kind == 1) | (kind == 3), 1).otherwise(0)
+    after = F.concat(F.slice("w", F.lit(1), F.col("at")), middle, F.slice("w", F.col("at") + 1 + skip, F.greatest(n, F.lit(1))))
+    return c.select("conv_id", "turn", F.array_join("w", " ").alias("before"), F.array_join(after, " ").alias("after"))
 
 
 @query
 def inline_diff(spark, sf_dir):
-    p = text_pairs(spark, sf_dir)
+    p = edited(spark, sf_dir)
     return p.select("conv_id", "turn", align.inline_diff_udf("before", "after").alias("diff"), align.change_log_udf("before", "after").alias("log"))
 
 
 @query
 def token_opcodes(spark, sf_dir):
-    p = text_pairs(spark, sf_dir)
+    p = edited(spark, sf_dir)
     return p.select("conv_id", "turn", F.inline(align.opcodes_udf("before", "after")))
 
 
 @query
 def text_similarity(spark, sf_dir):
-    p = text_pairs(spark, sf_dir)
+    p = edited(spark, sf_dir)
     return p.select("conv_id", "turn", align.similarity_udf("before", "after").alias("similarity"))
 
 
+@query
+def correction_gate(spark, sf_dir):
+    """What the correction gate says of edits, every fifth of which rewrites the whole turn."""
+    p = edited(spark, sf_dir).withColumn("after", F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, "zzz").otherwise(F.col("after")))
+    said = verdict(lambda before, after: completion.check_correction({"0": before}, {"0": after}))("before", "after")
+    return p.select("conv_id", "turn", said.alias("fault"))
+
+
 @query
 def rewrite_timestamps(spark, sf_dir):
-    s = sentences(spark, sf_dir)
-    new = F.regexp_replace("text", r" (\w+) the ", " $1 a very ")
+    """Sentences of numbered words with an edit in the middle: none, one for one, one more, two for one."""
+    numbered = F.transform("segments", lambda x, i: x.withField("text", F.concat(x["text"], F.lit("#"), i.cast("string"))))
+    s = sentences(spark, sf_dir).withColumn("segments", numbered).withColumn("at", F.floor(F.size("segments") / 2).cast("int"))
+    kind = F.col("sentence_index") % 4
+    middle = F.when(kind == 3, F.array(F.lit("new1"), F.lit("new2"))).when(kind > 0, F.array(F.lit("new"))).otherwise(F.array().cast("array<string>"))
+    skip = F.when((kind == 1) | (kind == 3), 1).otherwise(0)
+    w = F.col("segments")["text"]
+    new = F.array_join(F.concat(F.slice(w, F.lit(1), F.col("at")), middle, F.slice(w, F.col("at") + 1 + skip, F.size("segments"))), " ")
     return s.select("doc_id", "sentence_index", F.posexplode(align.carry_times_udf("segments", new)).alias("i", "s")).select("doc_id", "sentence_index", "i", "s.text", "s.start_ms", "s.end_ms")
 
 
@@ -442,6 +486,61 @@ def part_alignment(spark, sf_dir):
     return s.select("doc_id", "sentence_index", F.posexplode(align.lines_udf("segments", parts, "text")).alias("split_index", "l")).select("doc_id", "sentence_index", "split_index", "l.text", "l.start_ms", "l.end_ms")
 
 
+# --- completion loops: rehearsed completers, whose answers follow from the number of turns
+
+
+def turn_batches(spark, sf_dir) -> DataFrame:
+    """A batch for each conversation: its turns' texts."""
+    pairs = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    payload = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["turn"].cast("string").alias("key"), p["text"].alias("value"))))
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(payload.alias("payload")).withColumn("batch_id", F.lit(0))
+
+
+CORRECTIONS = [["same"], ["blank", "marked"], ["lost", "broken", "marked"], ["lost"], ["down"]]
+
+
+def loop_rows(answers: DataFrame) -> DataFrame:
+    rows = answers.select(F.col("doc_id").alias("conv_id"), F.substring_index("status", ":", 1).alias("status"), "attempts", F.explode("result").alias("turn", "text"))
+    return rows.withColumn("turn", F.col("turn").cast("long"))
+
+
+@query
+def correction_loop(spark, sf_dir):
+    return loop_rows(completion.remembered(turn_batches(spark, sf_dir), completion.correction(completion.Rehearsed(CORRECTIONS))))
+
+
+@query
+def split_loop(spark, sf_dir):
+    task = completion.splitting(completion.Rehearsed([["same", "halves"], ["other", "halves"], ["down"], ["halves"]]))
+    rows = loop_rows(completion.remembered(turn_batches(spark, sf_dir).withColumn("max_word_count", F.lit(15)), task))
+    return rows.select("conv_id", "status", "attempts", "turn", F.posexplode("text").alias("part", "text"))
+
+
+@query
+def translation_loop(spark, sf_dir):
+    return loop_rows(completion.remembered(turn_batches(spark, sf_dir), completion.translation(completion.Rehearsed([["same"], ["lost", "marked"], ["down"], ["added"]]))))
+
+
+@query
+def call_log(spark, sf_dir):
+    """The calls that each conversation's correction takes, and how they went."""
+    answers = completion.correction(completion.Rehearsed(CORRECTIONS)).over(turn_batches(spark, sf_dir))
+    return answers.select(F.col("doc_id").alias("conv_id"), F.array_join("calls.status", ",").alias("calls"), F.array_join("calls.error", ",").alias("errors"))
+
+
+@query
+def lenient_answers(spark, sf_dir):
+    """Summaries as models write them: fenced, inside prose, with a comma too many, not closed."""
+    c = table(spark, sf_dir, "conversations")
+    body = F.concat(F.regexp_replace(F.to_json(F.struct(F.col("text").alias("summary"))), r"\}$", ""), F.lit(', "terms": [{"src": "a", "tgt": "b"'))
+    kind = F.col("turn") % 4
+    answer = F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("}]}\n```"))).when(kind == 1, F.concat(F.lit("So: "), body, F.lit("}]} Done."))).when(kind == 2, F.concat(body, F.lit(",},],}"))).otherwise(body)
+    read = verdict(lambda text, _: json.dumps(completion.check_summary(completion.lenient_json(text))))("answer", "turn")
+    parsed = F.from_json("read", "summary string, terms array<struct<src:string,tgt:string>>").alias("p")
+    rows = c.select("conv_id", "turn", answer.alias("answer")).select("conv_id", "turn", read.alias("read")).select("conv_id", "turn", parsed)
+    return rows.select("conv_id", "turn", "p.summary", F.to_json("p.terms").alias("terms"))
+
+
 def run_captions(spark, sf_dir):
     w = words(spark, sf_dir)
     identity = completion.Identity()
