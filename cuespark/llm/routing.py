@@ -8,7 +8,7 @@ Expected fragments of random text hold (W - M + 2) / 2 windows.
 
 1. ``chunked``: the rows are packed in chunks of about ``chunk_bytes`` and written once.  From here on a row
    is a place in a chunk, so null ids, repeated ids and equal texts cannot be mistaken for each other.
-2. ``hot_runs``: a sample of chunks shows which runs are minimizers of many different fragments; these
+2. ``hot_runs``: a sample of rows shows which runs are minimizers of many different fragments; these
    come last in the order of runs, so that a popular phrase does not name the part of all the texts
    around it.  The sample settles the order of runs only: any order gives the same windows.
 3. Each chunk sends every distinct fragment once, with two numbers that sum up its places (a count, or the
@@ -23,6 +23,7 @@ after the other.  A lost executor recomputes the fragments it held, from the wri
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -120,7 +121,7 @@ def fragments(units: np.ndarray, window: int, m: int, most: int, hot: Hot, withi
 
 def packed(ids: list[int | None], texts: list[bytes]) -> bytes:
     head = [np.array([len(ids)], "<i8"), np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids], "u1"), np.array([len(t) for t in texts], "<i8")]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(x.tobytes() for x in head), *texts]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(x.tobytes() for x in head), *texts]))
 
 
 def unpacked(pack: bytes) -> tuple[list[int | None], list[bytes]]:
@@ -193,7 +194,7 @@ def encoded(low: np.ndarray, again: np.ndarray, payloads: list[bytes], entries:
         np.array([len(payloads), len(payload)], "<i8"), low.astype("<u4"), again.astype("u1"), np.array([len(p) for p in payloads], "<u4"),
         np.diff(payload, prepend=0).astype("<i4"), np.diff(number, prepend=0).astype("<i4"), chunk.astype("<i8"), a.astype("<i8"), (b - a).astype("<i8"),
     ]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(x.tobytes() for x in arrays), *payloads]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(x.tobytes() for x in arrays), *payloads]))
 
 
 def sent_to(found: Fragments, chunk: int, a: np.ndarray, b: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
@@ -283,28 +284,28 @@ class Verdict:
 class Routes:
     """Where fragments go; sizes in bytes."""
 
-    chunk_bytes: int = 4 << 20
+    chunk_bytes: int = 8 << 20
     part_bytes: int = 8 << 20
     most_parts: int = 8192
-    #: Every so many chunks are the sample that shows hot runs, of which at most ``most_hot`` are kept.
+    #: One text in so many, by its hash, is in the sample that shows hot runs, of which at most ``most_hot`` are kept.
     share: int = 16
     most_hot: int = 1 << 16
 
 
 def hot_runs(chunks: DataFrame, cut: Cut, routes: Routes, rounds: int = 2) -> Hot:
     """Runs that are minimizers of so many fragments that these would fill a quarter of a part."""
-    sample, hot = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(routes.share)) == 0).select("pack"), Hot(np.zeros(0, np.uint64))
+    hot = Hot(np.zeros(0, np.uint64))
     for _ in range(rounds):
         sent = chunks.sparkSession.sparkContext.broadcast(hot)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for pack in (p for batch in batches for p in batch.column("pack").to_pylist()):
-                found = Fragments(unpacked(pack)[1], cut, sent.value)
+                found = Fragments([t for t in unpacked(pack)[1] if zlib.crc32(t) % routes.share == 0], cut, sent.value)
                 run_of, group, n = np.unique(found.low & ~_HOT, return_inverse=True, return_counts=True)
                 size = np.bincount(group, [len(p) for p in found.payloads], len(run_of)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(run_of.view(np.int64)), pa.array(size), pa.array(n)], ["run", "size", "n"])
 
-        counted = sample.mapInArrow(run, "run long, size long, n long").groupBy("run").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
+        counted = chunks.select("pack").mapInArrow(run, "run long, size long, n long").groupBy("run").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
         rows = counted.where((F.col("size") * routes.share > routes.part_bytes // 4) & (F.col("n") > 8)).orderBy(F.desc("size"), "run").limit(routes.most_hot).toArrow()
         more = Hot(np.concatenate([hot.hashes, rows.column("run").to_numpy().view(np.uint64)])[: routes.most_hot])
         if len(more.hashes) == len(hot.hashes):
