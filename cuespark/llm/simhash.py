@@ -10,17 +10,19 @@ one bit masked out), variants are matched by equality, and the matches are verif
 Copies meet as one fingerprint before anything is paired.  A set of fingerprints that share a variant is
 never expanded into all pairs: the worker that holds it verifies within the set and emits the links of a
 spanning forest (at most one link less than members), which has the same components.  Sets above
-``large_set`` members are indexed once more on the rest of their bits (see ``_forest``), so their work
-grows with links instead of with the square of the set.
+``large_set`` members are not compared with themselves: each print with up to d bits flipped is looked up
+among the others (see ``_forest``), so their work grows with the set and not with its square.
 
 Defined results: fewer words than a shingle: the whole sequence is the shingle; no words or null text:
 fingerprint 0, linked like any other; null ids never become a component's id unless all of it is null;
-repeated rows each get a row; an empty table gives an empty result.
+repeated rows each get a row; columns other than the id and the text, whatever their names, are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -86,45 +88,51 @@ class Forest:
     """Union-find over fingerprints; ``link`` says whether two were apart."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up = np.arange(n)
 
     def root(self, i: int) -> int:
         up = self.up
         while up[i] != i:
             up[i] = up[up[i]]
             i = up[i]
-        return i
+        return int(i)
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        while (self.up[at] != at).any():
+            at = self.up[at]
+        return at
 
     def link(self, i: int, j: int) -> bool:
         i, j = self.root(i), self.root(j)
         self.up[max(i, j)] = min(i, j)
         return i != j
 
+    def links(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The pairs that join what was apart."""
+        apart = self.roots(a) != self.roots(b)
+        for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            if self.link(i, j):
+                yield i, j
+
 
-def _forest(prints: np.ndarray, distance: int, large_set: int, level: int = 0) -> Iterator[tuple[int, int]]:
-    """Links (positions in ``prints``) of a spanning forest of the pairs at ``distance`` or less."""
+def _forest(prints: np.ndarray, distance: int, large_set: int) -> Iterator[tuple[int, int]]:
+    """Links (positions in ``prints``, which are distinct and ascending) of a spanning forest of the pairs at
+    ``distance`` or less."""
     n = len(prints)
     forest = Forest(n)
-    if n <= large_set or level:
-        # verified in blocks of rows against all later ones
+    if n <= large_set:  # in blocks of rows against all later ones
         step = max(1, (1 << 20) // n)
         for at in range(0, n, step):
             apart = np.bitwise_count(prints[at : at + step, None] ^ prints[None, at:]) <= distance
-            for i, j in zip(*np.nonzero(np.triu(apart, 1)), strict=True):
-                if forest.link(at + int(i), at + int(j)):
-                    yield at + int(i), at + int(j)
+            a, b = np.nonzero(np.triu(apart, 1))
+            yield from forest.links(at + a, at + b)
         return
-    # a large set: index all its bits again, in exact segments of which linked prints share one
-    cuts = [BITS * i // (distance + 1) for i in range(distance + 2)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        part = (prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-        order = np.argsort(part, kind="stable")
-        bounds = np.flatnonzero(np.diff(part[order], prepend=part[order[0]] ^ np.uint64(1)))
-        for group in np.split(order, bounds[1:]):
-            if len(group) > 1:
-                for i, j in _forest(prints[group], distance, large_set, level + 1):
-                    if forest.link(int(group[i]), int(group[j])):
-                        yield int(group[i]), int(group[j])
+    for size in range(1, distance + 1):
+        for bits in combinations(range(BITS), size):
+            flipped = prints ^ np.uint64(sum(1 << b for b in bits))
+            at = np.minimum(np.searchsorted(prints, flipped), n - 1)
+            met = np.flatnonzero((prints[at] == flipped) & (at > np.arange(n)))
+            yield from forest.links(met, at[met])
 
 
 def _keys(distance: int):
@@ -179,7 +187,7 @@ def _links(distance: int, large_set: int):
     return run
 
 
-def links(prints: DataFrame, distance: int = 2, large_set: int = 2048) -> DataFrame:
+def links(prints: DataFrame, distance: int = 2, large_set: int = 1 << 15) -> DataFrame:
     """``prints(print)``, distinct -> ``a, b``: links whose components are those of all pairs at ``distance``."""
     keyed = prints.select("print").mapInArrow(_keys(distance), "key long, print long")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
