@@ -82,7 +82,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def input_bytes(docs: DataFrame) -> int:
     """About how many bytes ``docs`` has, to size partitions: what the planner knows of its files, or else a scan
     that reads the lengths of the texts."""
-    planned = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    planned = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return planned if planned < 1 << 60 else int(docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0)
 
 
