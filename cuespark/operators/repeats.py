@@ -24,44 +24,52 @@ def number_tokens(words: DataFrame, normalize=T.normalize_token) -> DataFrame:
     return known.select(*SEGMENT, (F.row_number().over(order) - 1).cast("int").alias("i"), "raw", "norm", "start", "end")
 
 
-def runs(tokens: DataFrame, min_word_run: int = 5, min_phrase_run: int = 4, max_phrase_len: int = 4) -> DataFrame:
-    """``doc_id, segment_index, phrase_len, start_token, end_token, repeat_count``."""
+def runs(tokens: DataFrame, min_word_run: int = 5, min_phrase_run: int = 4, max_phrase_len: int = 4, phrases: bool = False) -> DataFrame:
+    """``doc_id, segment_index, phrase_len, start_token, end_token, repeat_count``; with ``phrases`` also ``phrase``.
+
+    An island carries its first p tokens; a hit that begins later in it has them rotated.
+    """
     if min_word_run < 2 or min_phrase_run < 2 or max_phrase_len < 1:
         raise ValueError("runs need min_word_run >= 2, min_phrase_run >= 2 and max_phrase_len >= 1")
     order = W.partitionBy(*SEGMENT).orderBy("i")
     same = [F.when(F.col("norm") == F.lead("norm", p).over(order), F.lit(p)) for p in range(1, max_phrase_len + 1)]
-    periods = tokens.select(*SEGMENT, "i", F.array_compact(F.array(*same)).alias("periods"))
-    hit = periods.select(*SEGMENT, "i", F.explode("periods").alias("p"))
+    none = F.lit(None).cast("array<string>")
+    ahead = [F.array(F.col("norm"), *[F.lead("norm", p).over(order) for p in range(1, max_phrase_len)]).alias("ahead")] if phrases else []
+    periods = tokens.select(*SEGMENT, "i", *ahead, F.array_compact(F.array(*same)).alias("periods"))
+    hit = periods.select(*periods.columns[:-1], F.explode("periods").alias("p"))
     island = F.col("i") - F.row_number().over(W.partitionBy(*SEGMENT, "p").orderBy("i"))
-    islands = hit.withColumn("g", island).groupBy(*SEGMENT, "p", "g").agg(F.min("i").alias("st"), F.count("*").cast("int").alias("len"))
+    islands = hit.withColumn("g", island).groupBy(*SEGMENT, "p", "g").agg(F.min("i").alias("st"), F.count("*").cast("int").alias("len"), *([F.min_by("ahead", "i").alias("ahead")] if phrases else []))
     # an island of period p shorter than p * (least - 1) cannot hold a hit
     least = F.when(F.col("p") == 1, min_word_run).otherwise(min_phrase_run)
     islands = islands.where(F.col("len") >= F.col("p") * (least - 1))
-    folded = islands.groupBy(*SEGMENT, "p").agg(F.array_sort(F.collect_list(F.struct("st", "len"))).alias("islands"))
+    folded = islands.groupBy(*SEGMENT, "p").agg(F.array_sort(F.collect_list(F.struct("st", "len", (F.col("ahead") if phrases else none).alias("ahead")))).alias("islands"))
     fold = f"""
-      aggregate(islands, named_struct('end', 0, 'hits', cast(array() AS array<struct<st:int,k:int>>)), (acc, x) ->
+      aggregate(islands, named_struct('end', 0, 'hits', cast(array() AS array<struct<st:int,k:int,at:int,ahead:array<string>>>)), (acc, x) ->
         if(x.st + x.len > acc.end AND int((x.st + x.len - greatest(x.st, acc.end)) div p) + 1 >= if(p = 1, {min_word_run}, {min_phrase_run}),
            named_struct(
              'end', greatest(x.st, acc.end) + p * (int((x.st + x.len - greatest(x.st, acc.end)) div p) + 1),
-             'hits', concat(acc.hits, array(named_struct('st', greatest(x.st, acc.end), 'k', int((x.st + x.len - greatest(x.st, acc.end)) div p) + 1)))),
+             'hits', concat(acc.hits, array(named_struct('st', greatest(x.st, acc.end), 'k', int((x.st + x.len - greatest(x.st, acc.end)) div p) + 1, 'at', x.st, 'ahead', x.ahead)))),
            acc),
         acc -> acc.hits)"""
     found = folded.select(*SEGMENT, "p", F.expr(fold).alias("hits")).select(*SEGMENT, "p", F.explode("hits").alias("h"))
-    return found.select(*SEGMENT, F.col("p").alias("phrase_len"), F.col("h.st").alias("start_token"), (F.col("h.st") + F.col("p") * F.col("h.k")).alias("end_token"), F.col("h.k").alias("repeat_count"))
+    turn = F.pmod(F.col("h.st") - F.col("h.at"), "p")
+    rotated = F.concat(F.slice("h.ahead", turn + 1, F.col("p") - turn), F.slice("h.ahead", F.lit(1), turn))
+    columns = [F.col("p").alias("phrase_len"), F.col("h.st").alias("start_token"), (F.col("h.st") + F.col("p") * F.col("h.k")).alias("end_token"), F.col("h.k").alias("repeat_count")]
+    return found.select(*SEGMENT, *columns, *([F.array_join(rotated, " ").alias("phrase")] if phrases else []))
 
 
 def select_hits(hits: DataFrame) -> DataFrame:
     """Greedy selection without overlap: most tokens, then longest phrase, most repeats, first start."""
     key = F.struct(
         (F.col("start_token") - F.col("end_token")).alias("a"), (-F.col("phrase_len")).alias("b"), (-F.col("repeat_count")).alias("c"),
-        F.col("start_token").alias("st"), F.col("end_token").alias("en"),
+        F.col("start_token").alias("st"), F.col("end_token").alias("en"), (F.col("phrase") if "phrase" in hits.columns else F.lit(None).cast("string")).alias("phrase"),
     )
     grouped = hits.groupBy(*SEGMENT).agg(F.array_sort(F.collect_list(key)).alias("hits"))
     fold = """
-      aggregate(hits, cast(array() AS array<struct<a:int,b:int,c:int,st:int,en:int>>), (kept, x) ->
+      aggregate(hits, cast(array() AS array<struct<a:int,b:int,c:int,st:int,en:int,phrase:string>>), (kept, x) ->
         if(exists(kept, y -> y.en > x.st AND x.en > y.st), kept, concat(kept, array(x))))"""
     rows = grouped.select(*SEGMENT, F.explode(F.expr(fold)).alias("h"))
-    return rows.select(*SEGMENT, (-F.col("h.b")).alias("phrase_len"), F.col("h.st").alias("start_token"), F.col("h.en").alias("end_token"), (-F.col("h.c")).alias("repeat_count"))
+    return rows.select(*SEGMENT, (-F.col("h.b")).alias("phrase_len"), F.col("h.st").alias("start_token"), F.col("h.en").alias("end_token"), (-F.col("h.c")).alias("repeat_count"), *(["h.phrase"] if "phrase" in hits.columns else []))
 
 
 def describe_hits(hits: DataFrame, tokens: DataFrame, radius: int = 6) -> DataFrame:
@@ -70,21 +78,19 @@ def describe_hits(hits: DataFrame, tokens: DataFrame, radius: int = 6) -> DataFr
     Each hit is joined by position with the tokens it and its surroundings need; nothing else of a
     document is gathered.
     """
-    sizes = tokens.groupBy(*SEGMENT).agg(F.count("*").cast("int").alias("n"))
-    sized = hits.join(sizes, SEGMENT)
-    left, right = F.greatest(F.lit(0), F.col("start_token") - radius), F.least(F.col("n"), F.col("end_token") + radius)
-    key = [*SEGMENT, "phrase_len", "start_token", "end_token", "repeat_count", "n"]
-    spots = sized.select(*key, F.explode(F.sequence(left, right - 1)).alias("i"))
+    key = [*SEGMENT, "phrase_len", "start_token", "end_token", "repeat_count"]
+    past = F.col("end_token") + radius  # one token more than is shown tells whether the segment goes on
+    spots = hits.select(*key, F.explode(F.sequence(F.greatest(F.lit(0), F.col("start_token") - radius), past)).alias("i"))
     met = spots.join(tokens, [*SEGMENT, "i"])
     inside = (F.col("i") >= F.col("start_token")) & (F.col("i") < F.col("start_token") + F.col("phrase_len"))
     rows = met.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("i", "raw"))).alias("around"),
+        F.array_sort(F.collect_list(F.when(F.col("i") < past, F.struct("i", "raw")))).alias("around"), F.max("i").alias("last"),
         F.array_sort(F.collect_list(F.when(inside, F.struct("i", "norm")))).alias("within"),
         F.max(F.when(F.col("i") == F.col("start_token"), F.col("start"))).alias("start"),
         F.max(F.when(F.col("i") == F.col("end_token") - 1, F.col("end"))).alias("end"),
     )
     words = F.array_join(F.transform("around", lambda r: r["raw"]), " ")
-    excerpt = F.concat(F.when(F.col("start_token") > radius, "... ").otherwise(""), words, F.when(F.col("end_token") + radius < F.col("n"), " ...").otherwise(""))
+    excerpt = F.concat(F.when(F.col("start_token") > radius, "... ").otherwise(""), words, F.when(F.col("last") == past, " ...").otherwise(""))
     phrase = F.transform("within", lambda r: r["norm"])
     return rows.select(
         *SEGMENT, "phrase_len", "start_token", "end_token", "repeat_count", phrase.alias("phrase_tokens"), F.array_join(phrase, " ").alias("phrase"),
@@ -98,6 +104,11 @@ def scan(words: DataFrame, **limits: int) -> DataFrame:
     return describe_hits(select_hits(runs(tokens, **limits)), tokens)
 
 
+def frequent_phrases(words: DataFrame, n: int = 10, **limits: int) -> DataFrame:
+    """``top_phrases`` of a scan, without describing its hits: one pass over the words."""
+    return top_phrases(select_hits(runs(number_tokens(words), phrases=True, **limits)), n)
+
+
 def summary(segments: DataFrame, tokens: DataFrame, hits: DataFrame) -> DataFrame:
     """One row for each document: totals, flagged segments and tokens, their ratio.
 

@@ -34,10 +34,19 @@ def ordered(column: Column, by: str = "ord") -> Column:
     return F.transform(rows, lambda r: r["v"])
 
 
+def joined(segments: Column) -> Column:
+    """The segments' texts without white space at their ends, joined by spaces.
+
+    Where joining leaves no white space at an end and none twice in a row, no text had any at its ends."""
+    plain = F.array_join(F.transform(segments, lambda s: s["text"]), " ")
+    loose = plain.rlike(rf"^{T.SPACE}|{T.SPACE}{T.SPACE}|{T.SPACE}\z")
+    return F.when(loose, F.array_join(F.transform(segments, lambda s: T.strip(s["text"])), " ")).otherwise(plain)
+
+
 def sentences(words: DataFrame) -> DataFrame:
     """``doc_id, sentence_index, text, segments, optimized_text, optimize_log``."""
     grouped = sentence_ids(words).groupBy("doc_id", "sentence_index").agg(ordered(F.struct("text", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"))).cast(f"array<{SEGMENT}>").alias("segments"))
-    text = F.array_join(F.transform("segments", lambda s: T.strip(s["text"])), " ")
+    text = joined(F.col("segments"))
     return grouped.select("doc_id", "sentence_index", text.alias("text"), "segments", F.lit("").alias("optimized_text"), F.lit("").alias("optimize_log"))
 
 
@@ -97,6 +106,6 @@ def chunk_lines(table: DataFrame, words: int) -> DataFrame:
     rows = table.select("doc_id", "sentence_index", "segments", F.posexplode(starts).alias("split_index", "at"))
     part = F.slice("segments", F.col("at") + 1, words)
     cut = rows.select("doc_id", "sentence_index", F.col("split_index").cast("int").alias("split_index"), part.alias("part"))
-    text = F.array_join(F.transform("part", lambda s: T.strip(s["text"])), " ")
+    text = joined(F.col("part"))
     lines = cut.select("doc_id", "sentence_index", "split_index", text.alias("text"), F.lit("").alias("translate_text"), F.col("part")[0]["start_ms"].alias("start_ms"), F.element_at("part", -1)["end_ms"].alias("end_ms"))
     return number_lines(lines)

@@ -207,7 +207,7 @@ def scan_summary(spark, sf_dir):
 
 @query
 def top_phrases(spark, sf_dir):
-    return repeats.top_phrases(repeats.scan(scan_words(spark, sf_dir)))
+    return repeats.frequent_phrases(scan_words(spark, sf_dir))
 
 
 @query
