@@ -14,7 +14,7 @@ Expected fragments of random text hold (W - M + 2) / 2 windows.
 3. Each chunk sends every distinct fragment once, with two numbers that sum up its places (a count, or the
    least and the greatest id): a passage that a third of all documents share is one entry a chunk.
 4. Parts are solved; the verdict on a fragment goes back to the chunks that sent it.
-5. Each chunk is cut again, which gives its fragments the same numbers, and verdicts become spans of rows.
+5. With the places of its fragments, which each chunk also sent along, its verdicts become spans of rows.
 
 The exchange has at most ``most_parts`` parts.  Where that makes them larger than ``part_bytes``, a part's
 task cuts it by further bits of the minimizer, sorts the pieces (Spark's sort spills) and solves one
@@ -184,6 +184,29 @@ class Fragments:
         self.low[self.number], self.again[self.number] = np.concatenate(lows), np.concatenate(agains)  # equal for all places
 
 
+@dataclass
+class Places:
+    """Where the payloads of a chunk stand: payload number, first window and row of each place."""
+
+    number: np.ndarray
+    start: np.ndarray
+    doc: np.ndarray
+
+    @staticmethod
+    def of(found: Fragments) -> Places:
+        return Places(found.number, found.start, found.doc)
+
+    def packed(self) -> bytes:
+        arrays = [np.array([len(self.number)], "<i8"), *(np.diff(x, prepend=0).astype("<i4") for x in (self.number, self.start, self.doc))]
+        return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in arrays))
+
+    @staticmethod
+    def unpacked(blob: bytes) -> Places:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        return Places(*(np.cumsum(np.frombuffer(raw, "<i4", n, 8 + 4 * n * k), dtype=np.int64) for k in range(3)))
+
+
 # --- what a part receives
 
 
@@ -274,7 +297,7 @@ class Verdict:
         table = np.column_stack([number, self.begin[order], self.end[order], self.than[order]]).astype("<i8")
         first = np.flatnonzero(np.diff(chunk, prepend=chunk[:1] - 1))
         blobs = [table[x:y].tobytes() for x, y in zip(first.tolist(), [*first[1:].tolist(), len(table)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.array(blobs, pa.binary())], ["chunk", "verdict"])
+        return pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.binary())], ["chunk", "verdict", "places"])
 
 
 # --- the plan
@@ -341,12 +364,18 @@ def marked(
             if not found.payloads:
                 continue
             names, blobs = sent_to(found, chunk, *reduce(found.number, numbers_of(ids)[found.doc], len(found.payloads)), parts)
+            # the places go through any part; the row says whose they are
+            names, blobs, owner = [*names, chunk % parts], [*blobs, Places.of(found).packed()], [*[None] * len(names), chunk]
             for x in range(0, len(names), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(names[x : x + 1024], pa.int32()), pa.array(blobs[x : x + 1024], pa.binary())], ["part", "blob"])
+                columns = ((names, pa.int32()), (owner, pa.int64()), (blobs, pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 1024], kind) for c, kind in columns], ["part", "owner", "blob"])
 
-    def rows_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, bytes]]:
+    def rows_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, int | None, bytes]]:
         for batch in batches:
-            yield from zip(batch.column(key).to_pylist(), batch.column("blob").to_pylist(), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in (key, "owner", "blob")), strict=True)
+
+    def places_of(chunk: int, blob: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], ["chunk", "verdict", "places"])
 
     def solved(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         part = Part(blobs)
@@ -357,8 +386,11 @@ def marked(
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole parts, in any order."""
         blobs: dict[int, list[bytes]] = {}
-        for part, blob in rows_of(batches, "part"):
-            blobs.setdefault(part, []).append(blob)
+        for part, owner, blob in rows_of(batches, "part"):
+            if owner is None:
+                blobs.setdefault(part, []).append(blob)
+            else:
+                yield places_of(owner, blob)
         for part in sorted(blobs):
             yield from solved(blobs.pop(part))
 
@@ -369,12 +401,18 @@ def marked(
         def rows() -> Iterator[pa.RecordBatch]:
             for part in sorted({p for p, _ in held}):
                 for piece, blob in Part([b for p, b in held if p == part]).pieces(pieces):
-                    yield pa.RecordBatch.from_arrays([pa.array([part * pieces + piece]), pa.array([blob], pa.binary())], ["piece", "blob"])
+                    yield row_of(part * pieces + piece, None, blob)
+
+        def row_of(piece: int, owner: int | None, blob: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([owner], pa.int64()), pa.array([blob], pa.binary())], ["piece", "owner", "blob"])
 
         size = 0
-        for row in rows_of(batches, "part"):
-            held.append(row)
-            size += len(row[1])
+        for part, owner, blob in rows_of(batches, "part"):
+            if owner is not None:
+                yield row_of(-1, owner, blob)
+                continue
+            held.append((part, blob))
+            size += len(blob)
             if size > routes.part_bytes:
                 yield from rows()
                 held, size = [], 0
@@ -383,7 +421,10 @@ def marked(
     def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces, sorted."""
         now, blobs = -1, []
-        for piece, blob in rows_of(batches, "piece"):
+        for piece, owner, blob in rows_of(batches, "piece"):
+            if owner is not None:
+                yield places_of(owner, blob)
+                continue
             if piece != now and blobs:
                 yield from solved(blobs)
                 blobs = []
@@ -393,12 +434,12 @@ def marked(
             yield from solved(blobs)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack, verdicts in ((p, v) for batch in batches for p, v in zip(batch.column("pack").to_pylist(), batch.column("verdicts").to_pylist(), strict=True)):
+        for pack, verdicts, places in (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("pack", "verdicts", "places")), strict=True)):
             ids, texts = unpacked(pack)
             marks: list[np.ndarray | None] = [None] * len(ids)
             if verdicts:
                 table = np.frombuffer(b"".join(verdicts), "<i8").reshape(-1, 4)
-                for doc, flags in spans_of(Fragments(texts, cut, hot.value), numbers_of(ids), table, window):
+                for doc, flags in spans_of(Places.unpacked(places[0]), numbers_of(ids), table, window):
                     marks[doc] = flags
             size, at = 0, 0
             for stop, text in enumerate(texts, 1):
@@ -407,22 +448,22 @@ def marked(
                     yield remove(ids[at:stop], texts[at:stop], marks[at:stop])
                     size, at = 0, stop
 
-    sent = chunks.select("chunk", "pack").mapInArrow(send, "part int, blob binary").repartitionById(parts, "part")
-    kind = "chunk long, verdict binary"
+    sent = chunks.select("chunk", "pack").mapInArrow(send, "part int, owner long, blob binary").repartitionById(parts, "part")
+    kind = "chunk long, verdict binary, places binary"
     if pieces == 1:
         verdicts = sent.mapInArrow(receive, kind)
     else:
-        verdicts = sent.mapInArrow(divide, "piece long, blob binary").sortWithinPartitions("piece").mapInArrow(in_turn, kind)
-    gathered = stage(verdicts).groupBy("chunk").agg(F.collect_list("verdict").alias("verdicts"))
-    return chunks.join(gathered, "chunk", "left").select("pack", "verdicts").mapInArrow(finish, out)
+        verdicts = sent.mapInArrow(divide, "piece long, owner long, blob binary").sortWithinPartitions("piece").mapInArrow(in_turn, kind)
+    gathered = stage(verdicts).groupBy("chunk").agg(F.collect_list("verdict").alias("verdicts"), F.collect_list("places").alias("places"))
+    return chunks.join(gathered, "chunk", "left").select("pack", "verdicts", "places").mapInArrow(finish, out)
 
 
-def spans_of(found: Fragments, values: np.ndarray, table: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
+def spans_of(found: Places, values: np.ndarray, table: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
     """The row and its flags, for each row with a place that a verdict (number, begin, end, than) is on.
 
     Flags end with the last flagged unit."""
     table = table[np.argsort(table[:, 0], kind="stable")]
-    n_runs = np.bincount(table[:, 0], minlength=len(found.payloads))
+    n_runs = np.bincount(table[:, 0], minlength=int(found.number.max()) + 1)
     run_start = np.cumsum(n_runs) - n_runs
     times = n_runs[found.number]
     place = np.repeat(np.arange(len(times)), times)

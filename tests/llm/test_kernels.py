@@ -124,7 +124,7 @@ def marks_by_routing(docs, cut, values, reduce, solve, window, parts=3, pieces=1
                     tables[row["chunk"]].append(np.frombuffer(row["verdict"], "<i8").reshape(-1, 4))
     out = [np.zeros(len(t), bool) for _, t in docs]
     for k, f in enumerate(found):
-        for doc, flags in routing.spans_of(f, numbers[k], np.concatenate(tables[k]), window) if tables[k] else ():
+        for doc, flags in routing.spans_of(routing.Places.unpacked(routing.Places.of(f).packed()), numbers[k], np.concatenate(tables[k]), window) if tables[k] else ():
             out[4 * k + doc][: len(flags)] = flags
     return out
 
