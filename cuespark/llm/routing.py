@@ -308,7 +308,7 @@ class Routes:
     """Where fragments go; sizes in bytes."""
 
     chunk_bytes: int = 8 << 20
-    part_bytes: int = 8 << 20
+    part_bytes: int = 16 << 20
     most_parts: int = 8192
     #: One text in so many, by its hash, is in the sample that shows hot runs, of which at most ``most_hot`` are kept.
     share: int = 16

@@ -37,6 +37,7 @@ class SuffixArray:
         self.head = packed(symbols) >> cut << cut  # nothing beyond the end
         self.order, self.rank = self._refine()
         self.common = self._kasai()
+        del self.left, self.rank  # what searching needs is kept: 20 bytes a symbol
 
     def _refine(self) -> tuple[np.ndarray, np.ndarray]:
         """Larsson-Sadakane: groups of equal prefixes are numbered by their last place; groups that hold
