@@ -395,6 +395,54 @@ def test_sql_functions(spark):
     assert tuple(row) == (["a", "b"], 4, "00:01:01,001", 1.0, "a 【b/c】")
 
 
+def test_parsers_in_sql(spark):
+    from cuespark.functions import registry
+
+    registry.register(spark)
+    srt = "1\n00:00:02,000 --> 00:00:03,000\nb\\h\nc \n\n2\r\n00:00:00.500 --> 00:00:01.000 x\r\na\n\n3\n00:00:09,000 --> 00:00:10,000\n \n\nno cue"
+    vtt = "WEBVTT\n\nNOTE x\n\nid\n01:01.000 --> 00:01:02.000\n<b>Hi</b> <00:00:01.500>there\nyou\n\n00:01.000 --> 00:02.000\nfirst"
+    word = "WEBVTT\n\n00:00:01.000 --> 00:00:03.000\nplain\nHello<00:00:01.500><c> big</c><00:00:02.000><c> world</c>\n\n00:00:00.000 --> 00:00:00.500\nx<00:00:00.250><c> y</c>"
+    for name, parse, text in (("srt", readers.parse_srt, srt), ("vtt", readers.parse_vtt, vtt), ("word_vtt", readers.parse_word_vtt, word)):
+        docs = spark.createDataFrame([(1, text), (2, ""), (3, "junk")], "doc_id long, content string")
+        docs.createOrReplaceTempView("texts")
+        got = spark.sql(f"SELECT t.doc_id, c.* FROM texts t, LATERAL cue_parse_{name}(t.content) c")
+        expected = parse(docs).select("doc_id", "ord", "text", "start_ms", "end_ms")
+        rows = sorted(map(tuple, got.collect()))
+        assert rows == sorted(map(tuple, expected.collect())) and len(rows) >= 2
+
+
+def test_a_running_job_is_cancelled(spark):
+    """An error inside cancels a job that another thread of the same group is still running."""
+    import threading
+    import time
+
+    from pyspark import InheritableThread
+
+    failed, started = [], threading.Event()
+
+    def wait(batches):
+        time.sleep(120)
+        yield from batches
+
+    def work():
+        started.set()
+        try:
+            spark.range(2).mapInPandas(wait, "id long").collect()
+        except Exception as fault:  # noqa: BLE001
+            failed.append(str(fault))
+
+    began = time.time()
+    with pytest.raises(KeyError), workspace.cancellable(spark, "slow"):
+        thread = InheritableThread(target=work, session=spark)
+        thread.start()
+        started.wait()
+        while not spark.sparkContext.statusTracker().getJobIdsForGroup("slow"):
+            time.sleep(0.1)
+        raise KeyError
+    thread.join(60)
+    assert not thread.is_alive() and failed and time.time() - began < 100
+
+
 def test_cancellable_jobs(spark):
     with workspace.cancellable(spark, "one"):
         assert spark.range(3).count() == 3
