@@ -14,7 +14,8 @@ result equals the merge loop's.  Compatibility is decided by undoing merges from
 and memoised.  Pieces repeat, so finished pieces are kept in a bounded table as packed ids.
 
 Defined results: null text encodes as empty; the added tokens of the vocabulary file are matched in the
-text first, as the tokenizers library does by default.
+text first, as the tokenizers library does by default; repeated rows and null ids each get a row; columns
+other than the id and the text, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

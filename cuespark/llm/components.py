@@ -3,7 +3,11 @@
 Every round points each node at the smallest label among itself and its neighbours and then at that
 label's own label (pointer jumping), so a chain of n links needs about log n rounds.  Each round is an
 aggregation with a map-side minimum (a hub's links never gather in one task) and is written to the
-shared folder, so a lost executor repeats one round.
+shared folder, so a lost executor repeats one round.  The join of links with labels is an inner one, whose
+skewed partitions (a hub's links) Spark splits.
+
+Defined results: links of a node with itself and repeated links change nothing; direction does not matter;
+nodes without links are not in the result; an empty table gives an empty result.
 """
 
 from __future__ import annotations

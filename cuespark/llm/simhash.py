@@ -10,7 +10,7 @@ one bit masked out), variants are matched by equality, and the matches are verif
 Copies meet as one fingerprint before anything is paired.  A set of fingerprints that share a variant is
 never expanded into all pairs: the worker that holds it verifies within the set and emits the links of a
 spanning forest (at most one link less than members), which has the same components.  Sets above
-``large_set`` members are not compared with themselves: each print with up to d bits flipped is looked up
+``large_set`` members (and more than there are ways to flip bits) are not compared with themselves: each print with up to d bits flipped is looked up
 among the others (see ``_forest``), so their work grows with the set and not with its square.
 
 Defined results: fewer words than a shingle: the whole sequence is the shingle; no words or null text:
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,8 @@ def _forest(prints: np.ndarray, distance: int, large_set: int) -> Iterator[tuple
     ``distance`` or less."""
     n = len(prints)
     forest = Forest(n)
-    if n <= large_set:  # in blocks of rows against all later ones
+    flips = sum(comb(BITS, size) for size in range(1, distance + 1))
+    if n <= large_set or n <= flips:  # in blocks of rows against all later ones
         step = max(1, (1 << 20) // n)
         for at in range(0, n, step):
             apart = np.bitwise_count(prints[at : at + step, None] ^ prints[None, at:]) <= distance

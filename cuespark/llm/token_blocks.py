@@ -262,7 +262,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
             row = {"part": [part], "shard": [k], "path": [f"{folder}/{name}"], "n_docs": [len(shard.docs)], "n_ids": [shard.total], "n_bytes": [shard.at]}
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-        for batch in text_slices(batches, 2 << 20):
+        for batch in text_slices(batches, min(2 << 20, shard_bytes)):
             if shard is not None and size >= shard_bytes:
                 yield closed()
                 shard, k = None, k + 1

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -279,6 +280,28 @@ def greedy_phrases(text, train):
     return n
 
 
+def test_sets_that_span_batches():
+    rng = random.Random(21)
+    base = rng.getrandbits(64)
+    prints = np.unique(np.array([base ^ sum(1 << b for b in rng.sample(range(64), 5)) for _ in range(4000)], np.uint64))
+    assert len(prints) > 2080  # more than there are ways to flip two bits
+    keys = np.concatenate([np.full(len(prints), 5), np.full(3, 9)]).astype(np.int64)
+    rows = np.concatenate([prints, prints[:3]]).view(np.int64)
+    whole = simhash._links(2, 10_000)
+    expected = {tuple(r.values()) for b in whole([pa.RecordBatch.from_pydict({"key": keys, "print": rows})]) for r in b.to_pylist()}
+    cut = [pa.RecordBatch.from_pydict({"key": keys[i : i + 700], "print": rows[i : i + 700]}) for i in range(0, len(keys), 700)]
+    for large in (10_000, 2):
+        found = {tuple(r.values()) for b in simhash._links(2, large)(cut) for r in b.to_pylist()}
+        nodes = {int(x): i for i, x in enumerate(prints.view(np.int64))}
+        forests = []
+        for links in (expected, found):
+            forest = simhash.Forest(len(nodes))
+            for a, b in links:
+                forest.link(nodes[a], nodes[b])
+            forests.append([forest.root(i) for i in range(len(nodes))])
+        assert forests[0] == forests[1] and 1 < len(set(forests[0])) < len(nodes)
+
+
 def test_suffix_automaton_parses_greedily():
     rng = random.Random(11)
     train = bytes(rng.choice(b"\0\1\2") for _ in range(200))

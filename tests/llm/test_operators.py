@@ -253,6 +253,77 @@ def test_keep_one_of_each_group(spark, docs, empty):
     assert similar.keep_one(empty).count() == 0
 
 
+def test_blocks_of_equal_ids_and_tasks_that_run_twice(spark, tmp_path):
+    """A third of all rows share an id, some have none; shards that are there already stay as they are."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary())
+    rows = [(i if i % 3 else 7, f"text number {i} " * (i % 5)) for i in range(300)] + [(None, "x"), (None, None), (None, "x"), (7, "text number 3 " * 3)]
+    table = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, h string").repartition(4)
+    folder = str(tmp_path / "shards")
+    first = token_blocks.encode_to_blocks(table, vocabulary(), folder, shard_bytes=1000, most_parts=3)
+    got = first.collect()
+    files = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "shards").iterdir()}
+    assert len(files) > 3 and not any(name.startswith("_") for name in files)
+    assert sorted(map(tuple, token_blocks.encode_to_blocks(table, vocabulary(), folder, shard_bytes=1000, most_parts=3).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "shards").iterdir()} == files
+    got.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    ids = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+    crc = sorted((d, len(ids(t)), zlib.crc32(np.array(ids(t), "<u4").tobytes())) for d, t in rows if d is not None)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got if r.doc_id is not None) == crc
+
+
+def test_whole_tables_keep_the_type_of_n_chars(spark):
+    rows = [(i, f"own {i}\nshared") for i in range(12)] + [(None, "Shared \nx"), (3, "own 3\nshared")]
+    for kind in ("int", "double", None):
+        schema = "doc_id long, text string" + (f", n_chars {kind}" if kind else "")
+        table = spark.createDataFrame([(*r, 0 if kind == "int" else 0.0)[: 3 if kind else 2] for r in rows], schema)
+        for limit in (1 << 21, -1):
+            out = line_dedup.drop_frequent_lines(table, whole=True, broadcast_keys=limit)
+            assert out.schema == table.schema
+            assert sorted(r.text for r in out.collect()) == sorted([*(f"own {i}" for i in range(12)), "x", "own 3"])
+            assert kind is None or {float(r.n_chars) for r in out.where("doc_id = 11").collect()} == {6.0}
+
+
+def test_quality_of_repeated_rows_and_labels(spark):
+    rng = random.Random(9)
+    text = lambda good: " ".join(f"w{rng.randrange(500)}{'' if good else ' |'}" for _ in range(60))
+    rows = [(i, text(i % 2)) for i in range(200)]
+    rows += [rows[0], rows[1], rows[1], (None, rows[1][1]), (5, rows[0][1])]
+    table = spark.createDataFrame([(*r, True, 0.5) for r in rows], "doc_id long, text string, kept boolean, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(1, 0), (1, 1), (1, 1), (None, 0)], "doc_id long, quality int")
+    model = quality.train(table, labels)
+    judged = {}
+    for r in quality.judge(table, model).collect():
+        judged.setdefault(r.doc_id, set()).add((r.n_words, r.n_symbols, r.kept, r.score))
+    assert len(judged[0]) == len(judged[1]) == 1 and len(judged[5]) == 2 and judged[None] == judged[1]
+    assert quality.judge(table, model).count() == len(rows)
+    kept = quality.keep(table, model)
+    assert kept.columns == table.columns and kept.where("doc_id = 1").count() == 3 and kept.where("doc_id = 0").count() == 0
+
+
+def test_codec_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, None), (None, "<|endoftext|> x")]
+    table = spark.createDataFrame([(*r, 1, "y") for r in rows], "doc_id long, text string, n_tokens int, ids string")
+    got = [(r.doc_id, r.n_tokens, r.decoded_sha256) for r in bpe.round_trip(table, vocabulary()).collect()]
+    assert sorted(got, key=repr) == sorted([(d, {"a b": 2, "c": 1, None: 0, "<|endoftext|> x": 2}[t], sha((t or "").encode())) for d, t in rows], key=repr)
+
+
+def test_language_ties_null_ids_and_repeated_rows(spark):
+    same = "the same words for both names of it " * 10
+    rows = [(i, same, name) for i in range(40) for name in ("b", "a")] + [(None, "other " * 60, "c"), (900, "the same words", None), (900, "the same words", None), (None, "the same words", "a"), (901, "12 34", None)]
+    table = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, lang_pred string, held_out int")
+    model = langid.learn(table)
+    assert model.names == ["a", "b"]  # the row without an id is not learned from
+    got = [(r.doc_id, r.held_out, r.lang_pred, r.score) for r in langid.identify(table, model).where("doc_id IS NULL OR doc_id >= 900").collect()]
+    held = zlib.crc32(b"900") % 4 == 2
+    assert sorted(got, key=repr) == sorted([(None, True, "a", 0.0), (None, True, "a", 0.0), (900, held, "a", 0.0), (900, held, "a", 0.0), (901, zlib.crc32(b"901") % 4 == 2, "und", 0.0)], key=repr)
+    few = langid.learn(table, total_symbols=20)
+    assert len(few.names) == 2 and all(2 ** p <= 10 for p in few.price)
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix_report(docs)
     rows = got.collect()
