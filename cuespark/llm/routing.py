@@ -308,7 +308,7 @@ class Routes:
     """Where fragments go; sizes in bytes."""
 
     chunk_bytes: int = 8 << 20
-    part_bytes: int = 16 << 20
+    part_bytes: int = 12 << 20
     most_parts: int = 8192
     #: One text in so many, by its hash, is in the sample that shows hot runs, of which at most ``most_hot`` are kept.
     share: int = 16
@@ -361,6 +361,7 @@ def marked(
         for chunk, pack in ((c, p) for batch in batches for c, p in zip(batch.column("chunk").to_pylist(), batch.column("pack").to_pylist(), strict=True)):
             ids, texts = unpacked(pack)
             found = Fragments(texts, cut, hot.value)
+            del texts, pack
             if not found.payloads:
                 continue
             names, blobs = sent_to(found, chunk, *reduce(found.number, numbers_of(ids)[found.doc], len(found.payloads)), parts)
@@ -379,6 +380,7 @@ def marked(
 
     def solved(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         part = Part(blobs)
+        blobs.clear()
         for verdict in solve(part):
             if len(verdict.entry):
                 yield verdict.rows(part)

@@ -131,4 +131,4 @@ def remove(ids: list[int | None], texts: list[bytes], marks: list[np.ndarray | N
 
 def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 4 << 20, routes: Routes | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256`` for every row."""
-    return marked(docs, cutter(length), np.zeros_like, counts, solver(length, shard_bytes), length, remove, OUT, routes or Routes(part_bytes=12 << 20))
+    return marked(docs, cutter(length), np.zeros_like, counts, solver(length, shard_bytes), length, remove, OUT, routes or Routes(part_bytes=8 << 20))
