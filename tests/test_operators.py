@@ -296,6 +296,29 @@ def test_srt_parse_and_write(spark):
     assert srt == {1: "1\n00:00:00,000 --> 00:00:01,000\na\n\n3\n00:00:02,000 --> 00:00:03,000\nc\n", 2: ""}
 
 
+def test_texts_are_written_by_document(spark, tmp_path):
+    entries = spark.createDataFrame([(1, 1, 0, 1000, "a"), (2, 1, 5, 6, "b"), (2, 2, 6, 7, "c\nd")], "doc_id long, number int, start_ms long, end_ms long, text string")
+    writers.write_texts(writers.srt(entries), "srt", str(tmp_path / "srt"))
+    got = {p.name: "".join(f.read_text() for f in sorted(p.glob("part-*"))) for p in (tmp_path / "srt").glob("doc_id=*")}
+    assert got == {f"doc_id={r.doc_id}": r.srt + "\n" for r in writers.srt(entries).collect()}
+
+
+def test_tables_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from cuespark.sources import tables
+
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_dir(cluster)
+    cluster.conf["spark.checkpoint.dir"] = "hdfs://store/shared/"
+    assert tables.shared_dir(cluster).startswith("hdfs://store/shared/cuespark-")
+    kept = tables.stage(spark.range(5))
+    assert kept.count() == 5 and tables.exists(spark, kept.staged_at)
+    tables.discard(kept)
+    assert not tables.exists(spark, kept.staged_at)
+
+
 def test_vtt_parsers(spark):
     vtt = "WEBVTT\n\nNOTE x\n\nid\n00:01.000 --> 00:02.000\n<b>Hi</b> <00:00:01.500>there\nyou\n\nNOTE kept out"
     got = readers.parse_vtt(spark.createDataFrame([(1, vtt)], "doc_id long, content string")).collect()
