@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuespark.llm.common import shared_dir, stage
+from cuespark.llm.common import shared_dir, stage, tidy
 
 CODEWORDS, WIDTH = 16, 2
 OUT = "query_id long, rank int, vec_id long, score double"
@@ -168,7 +168,7 @@ def build_index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
                 )
                 row += len(good)
 
-    return stage(rows.where("vec_id IS NOT NULL").mapInArrow(run, "row long, vec_id long, vector binary, code binary"))
+    return stage(rows.where("vec_id IS NOT NULL").mapInArrow(tidy(run), "row long, vec_id long, vector binary, code binary"))
 
 
 def _search(sent, k: int, rerank: int, chunk: int = 8192, at_once: int = 64):
@@ -220,7 +220,7 @@ def search(spark: SparkSession, index: DataFrame, quantiser: Quantiser, queries:
         ids = rows.column("vec_id").to_numpy()
         matrix = np.frombuffer(b"".join(rows.column("vector").to_pylist()), "<f8").reshape(-1, quantiser.dim)
         sent = spark.sparkContext.broadcast((np.arange(len(ids)), ids, matrix, quantiser))
-        found = index.coalesce(tasks).mapInArrow(_search(sent, k, rerank), "number long, query_id long, vec_id long, score double").withColumn("block", F.lit(b))
+        found = index.coalesce(tasks).mapInArrow(tidy(_search(sent, k, rerank)), "number long, query_id long, vec_id long, score double").withColumn("block", F.lit(b))
         found = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
         found.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
     return spark.read.schema(OUT).parquet(path)

@@ -30,14 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cuespark.llm.common import docs_of, raw_texts, text_slices
+from cuespark.llm.common import docs_of, raw_texts, text_slices, tidy
 
 #: The byte-level alphabet's printable bytes stand for themselves, the others follow from 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Fixed value: the pre-token pattern of byte-level BPE, white space spelled as the Unicode property.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces kept as packed ids in a worker before the table is started anew (about 200 bytes each).
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 
 
 def piece_finder() -> Callable[[str], list[str]]:
@@ -115,7 +115,7 @@ class Codec:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 4_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             known = self.fits[key] = self._boundary_holds(left, right)
         return known
@@ -228,7 +228,7 @@ def encode_column(docs: DataFrame, vocabulary: str) -> DataFrame:
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, np.concatenate(ids))], ["doc_id", "ids"])
 
-    return docs_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs_of(docs).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -243,4 +243,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
             arrays = [pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs_of(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

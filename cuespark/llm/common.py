@@ -1,11 +1,14 @@
 """Shared plumbing of the training-data operators.
 
+* ``tidy``        - lets go of a worker's memory after each task.
 * ``text_slices`` - Arrow batches cut by bytes, so a worker's memory does not depend on row sizes.
 * ``stage``, ``discard``, ``shared_dir`` - intermediate tables in the cluster's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +37,18 @@ def stage(df: DataFrame) -> DataFrame:
     return tables.stage(df)
 
 
+def tidy(function):
+    """``function`` over batches; a worker that has done a task keeps none of the memory it took."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # C libraries other than glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuespark.llm.common import discard, raw_texts, stage, text_slices
+from cuespark.llm.common import discard, raw_texts, stage, text_slices, tidy
 
 BLOCK = 512
 #: ASCII bytes that are no letters become spaces: marks and digits tell no language.
@@ -277,4 +277,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, OUT)
+    return slim.mapInArrow(tidy(run), OUT)

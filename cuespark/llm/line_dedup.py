@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuespark.llm.common import docs_of, raw_texts, stage, text_key, text_slices, with_key
+from cuespark.llm.common import docs_of, raw_texts, stage, text_key, text_slices, tidy, with_key
 
 OUT = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
 #: Helper column of the shuffled way.
@@ -154,7 +154,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     out = docs.schema if whole else OUT
     slim = docs_of(docs)
     frequent = (
-        slim.select("text").mapInArrow(_counts(min_chars), "hi long, lo long, n long")
+        slim.select("text").mapInArrow(tidy(_counts(min_chars)), "hi long, lo long, n long")
         .groupBy("hi", "lo").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("hi", "lo")
     )
     frequent = stage(frequent)
@@ -163,10 +163,10 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         known = np.empty(table.num_rows, dtype=_DIGEST)
         known["hi"], known["lo"] = table.column("hi").to_numpy(), table.column("lo").to_numpy()
         sent = docs.sparkSession.sparkContext.broadcast(np.sort(known).tobytes())
-        return rows.mapInArrow(_drop_known(sent, min_chars, whole), out)
-    met = with_key(slim).mapInArrow(_positions(min_chars), "hi long, lo long, doc array<long>, key array<string>, pos array<long>").join(frequent, ["hi", "lo"], "left_semi")
+        return rows.mapInArrow(tidy(_drop_known(sent, min_chars, whole)), out)
+    met = with_key(slim).mapInArrow(tidy(_positions(min_chars)), "hi long, lo long, doc array<long>, key array<string>, pos array<long>").join(frequent, ["hi", "lo"], "left_semi")
     places = met.select(F.explode(F.arrays_zip("doc", "key", "pos")).alias("p"))
     drops = places.groupBy(F.col("p.doc").alias("__cuespark_doc"), F.col("p.key").alias("__cuespark_key")).agg(F.collect_set("p.pos").alias(DROPS))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cuespark_doc")) & text_key(F.col("text")).eqNullSafe(F.col("__cuespark_key"))
     joined = rows.join(drops, same, "left").drop("__cuespark_doc", "__cuespark_key")
-    return joined.mapInArrow(_drop_listed(whole), out)
+    return joined.mapInArrow(tidy(_drop_listed(whole)), out)

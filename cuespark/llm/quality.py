@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.llm import boosted
-from cuespark.llm.common import docs_of, raw_texts, text_slices
+from cuespark.llm.common import docs_of, raw_texts, text_slices, tidy
 from cuespark.llm.text_stats import FIELDS, statistics
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -56,7 +56,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> booste
     # the sample has at most max_train rows of two numbers, so its size is bounded whatever the tables hold
     joined = docs_of(docs).join(F.broadcast(sample), "doc_id").select("text", "quality")
     schema = ", ".join(f"{c} long" for c in ["quality", *FIELDS])
-    rows = joined.mapInArrow(_stats_of, schema).orderBy(F.xxhash64(*FIELDS), *FIELDS, "quality").limit(max_train).toArrow()
+    rows = joined.mapInArrow(tidy(_stats_of), schema).orderBy(F.xxhash64(*FIELDS), *FIELDS, "quality").limit(max_train).toArrow()
     stats = np.column_stack([rows.column(c).to_numpy() for c in FIELDS]) if rows.num_rows else np.zeros((0, len(FIELDS)), np.int64)
     usable_rows = ~base_failed(stats)
     y = np.asarray(rows.column("quality").to_numpy(), np.float64)
@@ -84,10 +84,10 @@ def _score(sent, threshold: float, extra: bool):
 def judge(docs: DataFrame, model: boosted.Trees, threshold: float = 0.5) -> DataFrame:
     """The statistics and verdict of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs_of(docs).mapInArrow(_score(sent, threshold, False), OUT)
+    return docs_of(docs).mapInArrow(tidy(_score(sent, threshold, False)), OUT)
 
 
 def keep(docs: DataFrame, model: boosted.Trees, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_score(sent, threshold, True), docs.schema)
+    return docs.mapInArrow(tidy(_score(sent, threshold, True)), docs.schema)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuespark.llm.common import docs_of, raw_texts, stage, text_slices
+from cuespark.llm.common import docs_of, raw_texts, stage, text_slices, tidy
 
 #: More windows than this are cut into several fragments (periodic text has the same minimizer throughout).
 MOST_WINDOWS = {"word": 64, "byte": 1024}
@@ -155,7 +155,7 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if ids:
             yield full()
 
-    return stage(docs_of(docs).mapInArrow(run, "chunk long, n_bytes long, pack binary"))
+    return stage(docs_of(docs).mapInArrow(tidy(run), "chunk long, n_bytes long, pack binary"))
 
 
 #: ``cut(text, hot) -> first windows, minimizers, whether they stand there again, payloads``
@@ -328,7 +328,7 @@ def hot_runs(chunks: DataFrame, cut: Cut, routes: Routes, rounds: int = 2) -> Ho
                 size = np.bincount(group, [len(p) for p in found.payloads], len(run_of)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(run_of.view(np.int64)), pa.array(size), pa.array(n)], ["run", "size", "n"])
 
-        counted = chunks.select("pack").mapInArrow(run, "run long, size long, n long").groupBy("run").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
+        counted = chunks.select("pack").mapInArrow(tidy(run), "run long, size long, n long").groupBy("run").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
         rows = counted.where((F.col("size") * routes.share > routes.part_bytes // 4) & (F.col("n") > 8)).orderBy(F.desc("size"), "run").limit(routes.most_hot).toArrow()
         more = Hot(np.concatenate([hot.hashes, rows.column("run").to_numpy().view(np.uint64)])[: routes.most_hot])
         if len(more.hashes) == len(hot.hashes):
@@ -450,14 +450,14 @@ def marked(
                     yield remove(ids[at:stop], texts[at:stop], marks[at:stop])
                     size, at = 0, stop
 
-    sent = chunks.select("chunk", "pack").mapInArrow(send, "part int, owner long, blob binary").repartitionById(parts, "part")
+    sent = chunks.select("chunk", "pack").mapInArrow(tidy(send), "part int, owner long, blob binary").repartitionById(parts, "part")
     kind = "chunk long, verdict binary, places binary"
     if pieces == 1:
-        verdicts = sent.mapInArrow(receive, kind)
+        verdicts = sent.mapInArrow(tidy(receive), kind)
     else:
-        verdicts = sent.mapInArrow(divide, "piece long, owner long, blob binary").sortWithinPartitions("piece").mapInArrow(in_turn, kind)
+        verdicts = sent.mapInArrow(tidy(divide), "piece long, owner long, blob binary").sortWithinPartitions("piece").mapInArrow(tidy(in_turn), kind)
     gathered = stage(verdicts).groupBy("chunk").agg(F.collect_list("verdict").alias("verdicts"), F.collect_list("places").alias("places"))
-    return chunks.join(gathered, "chunk", "left").select("pack", "verdicts", "places").mapInArrow(finish, out)
+    return chunks.join(gathered, "chunk", "left").select("pack", "verdicts", "places").mapInArrow(tidy(finish), out)
 
 
 def spans_of(found: Places, values: np.ndarray, table: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuespark.llm.common import docs_of, raw_texts, stage, text_slices
+from cuespark.llm.common import docs_of, raw_texts, stage, text_slices, tidy
 from cuespark.llm.components import components
 
 SEED, BITS = 42, 64
@@ -191,10 +191,10 @@ def _links(distance: int, large_set: int):
 
 def links(prints: DataFrame, distance: int = 2, large_set: int = 1 << 15) -> DataFrame:
     """``prints(print)``, distinct -> ``a, b``: links whose components are those of all pairs at ``distance``."""
-    keyed = prints.select("print").mapInArrow(_keys(distance), "key long, print long")
+    keyed = prints.select("print").mapInArrow(tidy(_keys(distance)), "key long, print long")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = keyed.repartition(n, "key").sortWithinPartitions("key")
-    return met.mapInArrow(_links(distance, large_set), "a long, b long").distinct()
+    return met.mapInArrow(tidy(_links(distance, large_set)), "a long, b long").distinct()
 
 
 def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -205,7 +205,7 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             prints = fingerprints(raw_texts(batch.column("text")), width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
 
-    return docs_of(docs).mapInArrow(run, "doc_id long, print long")
+    return docs_of(docs).mapInArrow(tidy(run), "doc_id long, print long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuespark.llm.bpe import piece_finder
-from cuespark.llm.common import docs_of, input_bytes, parts_for, raw_texts, shared_dir, stage, text_slices
+from cuespark.llm.common import docs_of, input_bytes, parts_for, raw_texts, shared_dir, stage, text_slices, tidy
 
 BLOCK, PERCENTILE = 1024, 95
 MAGIC = b"PFOR0001"
@@ -276,7 +276,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
         if shard is not None:
             yield closed()
 
-    written = stage(ordered.select("doc_id", "text").mapInArrow(run, MANIFEST))
+    written = stage(ordered.select("doc_id", "text").mapInArrow(tidy(run), MANIFEST))
     totals = sorted((r["part"], r["n"]) for r in written.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # ``most_parts`` rows at most
     before, starts = 0, []
     for part, size in totals:
@@ -311,7 +311,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     n = max(1, manifest.count())
     spread = manifest.select("path", "start").repartitionByRange(min(n, 8192), "path")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_blocks(docs: DataFrame, vocabulary: str, folder: str | None = None, **options) -> DataFrame:
