@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuespark.llm import ann, bpe, langid, line_dedup, mixing, quality, simhash, substring_fm, suffix_dedup, token_blocks
+from cuespark.llm import ann, ball_tree, bpe, cuckoo, langid, line_dedup, mixing, quality, simhash, substring_fm, suffix_dedup, token_blocks, token_pairs
 from cuespark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.first_of_equal(documents(spark, sf_dir))
+
+
+def op13_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_pairs.align(documents(spark, sf_dir), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -73,6 +85,9 @@ QUERIES: dict[str, Query] = {
         op8_language_id,
         op9_suffix_dedup,
         op10_source_mixing,
+        op11_hard_negatives,
+        op12_exact_dedup,
+        op13_token_pairs,
     )
 }
 
@@ -164,4 +179,28 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target,
        (size * least(3, floor(u + rate * k) - floor(u + rate * (k - 1))))::BIGINT AS taken
 FROM ranked""",
+    "op11_hard_negatives": r"""
+WITH usable AS (
+  SELECT row_number() OVER () AS row_no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.row_no, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM usable a, usable b WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM scored WHERE same AND vec_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.row_no, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.row_no = p.row_no AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10""",
+    "op12_exact_dedup": r"""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, (count(*) OVER (PARTITION BY t))::BIGINT AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM texts""",
 }
