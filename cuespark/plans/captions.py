@@ -6,7 +6,7 @@ session, answers are also kept across runs and calls are logged.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +31,14 @@ class Options:
     #: Give lines of failed batches their source text; without it they stay empty and leave the subtitles.
     keep_source: bool = False
     fail_rate: float = 0.5
+    #: Calls in flight and calls a second of a model stage.
+    budget: completion.Budget = field(default_factory=completion.Budget)
 
 
-def answers(requests: DataFrame, task: completion.Task, session: Session | None) -> DataFrame:
+def answers(requests: DataFrame, task: completion.Task, session: Session | None, budget: completion.Budget) -> DataFrame:
     """The session's memo around a model stage; where its cache is off, or without a session, every batch is asked."""
     memory = session.cache(task.kind) if session is not None and session.enabled else None
-    return completion.remembered(requests, task, memory, session.cache("calls") if session is not None else None)
+    return completion.remembered(requests, task, memory, session.cache("calls") if session is not None else None, budget)
 
 
 def optimize(words: DataFrame, cues: DataFrame | None, completer: completion.Completer, options: Options, session: Session | None = None) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +47,7 @@ def optimize(words: DataFrame, cues: DataFrame | None, completer: completion.Com
     batched = S.batches(table, options.batch_size)
     requests = S.payloads(batched)
     requests = joins.reference_text(requests, cues) if cues is not None else requests.withColumn("reference_text", F.lit(""))
-    answered = answers(requests, completion.correction(completer, options.custom_prompt, prompt("optimize/subtitle")), session)
+    answered = answers(requests, completion.correction(completer, options.custom_prompt, prompt("optimize/subtitle")), session, options.budget)
     flat = answered.select("doc_id", F.explode("result").alias("key", "new_text")).select("doc_id", F.col("key").try_cast("int").alias("sentence_index"), "new_text")
     joined = table.join(flat, ["doc_id", "sentence_index"], "left")
     changed = joins.unless_changed(F.col("text"), F.col("new_text")) != F.col("text")
@@ -61,7 +63,7 @@ def split(table: DataFrame, profile: DataFrame, completer: completion.Completer,
     limited = table.join(profile.select("doc_id", "max_word_count"), "doc_id")
     long = S.batches(S.over_length(limited, F.col("max_word_count")), options.batch_size)
     requests = S.payloads(long).join(profile.select("doc_id", "max_word_count"), "doc_id")
-    answered = answers(requests, completion.splitting(completer, options.custom_prompt, prompt("split/structured")), session)
+    answered = answers(requests, completion.splitting(completer, options.custom_prompt, prompt("split/structured")), session, options.budget)
     parts = answered.select("doc_id", F.explode("result").alias("key", "parts")).select("doc_id", F.col("key").try_cast("int").alias("sentence_index"), "parts")
     joined = table.join(parts, ["doc_id", "sentence_index"], "left")
     # what was not sent, or came back whole, is one line with the sentence's times; only the others are aligned
@@ -79,7 +81,7 @@ def translate(lines: DataFrame, completer: completion.Completer, options: Option
     payload = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["line_index"].cast("string").alias("key"), p["text"].alias("value"))))
     requests = batched.groupBy("doc_id", "batch_id").agg(payload.alias("payload"))
     system = prompt("translate/reflect" if options.reflect else "translate/standard", target_language=options.target_language, custom_prompt=options.custom_prompt)
-    answered = answers(requests, completion.translation(completer, options.reflect, system, options.keep_source, options.target_language), session)
+    answered = answers(requests, completion.translation(completer, options.reflect, system, options.keep_source, options.target_language), session, options.budget)
     sizes = requests.select("doc_id", "batch_id", F.size("payload").alias("n_lines"))
     gate = joins.failure_gate(answered.join(sizes, ["doc_id", "batch_id"]).withColumn("failed", F.col("status").startswith("error")), options.fail_rate)
     flat = answered.select("doc_id", F.explode("result").alias("key", "t")).select("doc_id", F.col("key").try_cast("int").alias("line_index"), F.col("t").alias("translate_text"))

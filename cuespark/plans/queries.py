@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -496,6 +497,35 @@ def turn_batches(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(payload.alias("payload")).withColumn("batch_id", F.lit(0))
 
 
+@dataclass
+class Rehearsed:
+    """A stand-in for a model in these queries: answers by a script of the attempts a batch gets (the last goes on); the number of its keys picks the script.
+
+    same: the payload; marked: each text with a mark of its own; lost, added: a key too few, too many; other: other
+    words; halves: each text in two parts; blank: no text; list: an array; broken: no JSON; down: the call raises.
+    """
+
+    scripts: list[list[str]]
+
+    def __call__(self, messages: list[dict]) -> dict:
+        payload = completion.request_payload(messages)
+        script = self.scripts[len(payload) % len(self.scripts)]
+        step = script[min(sum(m["role"] == "assistant" for m in messages), len(script) - 1)]
+        if step == "down":
+            raise ConnectionError("no service")
+
+        def half(text: str) -> str:
+            words = text.split()
+            return " ".join(words[: len(words) // 2]) + "<br>" + " ".join(words[len(words) // 2 :])
+
+        answers = {
+            "same": lambda: payload, "marked": lambda: {k: f"{t} !" for k, t in payload.items()}, "lost": lambda: dict(list(payload.items())[1:]),
+            "added": lambda: payload | {"none": ""}, "other": lambda: dict.fromkeys(payload, "zzz"), "halves": lambda: {k: half(t) for k, t in payload.items()},
+            "list": lambda: [1],
+        }
+        return completion.response("" if step == "blank" else "{broken" if step == "broken" else json.dumps(answers[step](), ensure_ascii=False))
+
+
 CORRECTIONS = [["same"], ["blank", "marked"], ["lost", "broken", "marked"], ["lost"], ["down"]]
 
 
@@ -506,25 +536,25 @@ def loop_rows(answers: DataFrame) -> DataFrame:
 
 @query
 def correction_loop(spark, sf_dir):
-    return loop_rows(completion.remembered(turn_batches(spark, sf_dir), completion.correction(completion.Rehearsed(CORRECTIONS))))
+    return loop_rows(completion.remembered(turn_batches(spark, sf_dir), completion.correction(Rehearsed(CORRECTIONS))))
 
 
 @query
 def split_loop(spark, sf_dir):
-    task = completion.splitting(completion.Rehearsed([["same", "halves"], ["other", "halves"], ["down"], ["halves"]]))
+    task = completion.splitting(Rehearsed([["same", "halves"], ["other", "halves"], ["down"], ["halves"]]))
     rows = loop_rows(completion.remembered(turn_batches(spark, sf_dir).withColumn("max_word_count", F.lit(15)), task))
     return rows.select("conv_id", "status", "attempts", "turn", F.posexplode("text").alias("part", "text"))
 
 
 @query
 def translation_loop(spark, sf_dir):
-    return loop_rows(completion.remembered(turn_batches(spark, sf_dir), completion.translation(completion.Rehearsed([["same"], ["lost", "marked"], ["down"], ["added"]]))))
+    return loop_rows(completion.remembered(turn_batches(spark, sf_dir), completion.translation(Rehearsed([["same"], ["lost", "marked"], ["down"], ["added"]]))))
 
 
 @query
 def call_log(spark, sf_dir):
     """The calls that each conversation's correction takes, and how they went."""
-    answers = completion.correction(completion.Rehearsed(CORRECTIONS)).over(turn_batches(spark, sf_dir))
+    answers = completion.correction(Rehearsed(CORRECTIONS)).over(turn_batches(spark, sf_dir))
     return answers.select(F.col("doc_id").alias("conv_id"), F.array_join("calls.status", ",").alias("calls"), F.array_join("calls.error", ",").alias("errors"))
 
 

@@ -1,13 +1,18 @@
+import contextlib
 import json
 import os
 import random
+import time
+import uuid
 
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
-from cuespark.operators import align, cache, completion, joins, repeats
+from cuespark.operators import align, cache, calls, completion, joins, repeats
 from cuespark.operators import sentences as S
 from cuespark.plans import captions, workspace
+from cuespark.plans.queries import Rehearsed
 from cuespark.sources import readers, writers
 from cuespark.streaming import facade
 
@@ -262,7 +267,7 @@ def test_a_second_run_asks_nothing(spark, tmp_path):
     log = spark.read.parquet(session.cache("calls"))
     assert log.count() == 5 and {r.status for r in log.collect()} == {"success"}
     session.enabled = False
-    assert run(session) == ([2, 1, 2], rows) and run(None) == ([2, 1, 2], rows)
+    assert run(session) == ([3, 2, 3], rows) and run(None) == ([3, 2, 3], rows)  # without a memory every batch is asked
     expired = cache.entries_of(spark, session.cache("correct")).withColumn("expires_at", F.lit("2000-01-01").cast("timestamp")).collect()
     spark.createDataFrame(expired, cache.ENTRY).write.mode("overwrite").parquet(session.cache("correct"))
     session.enabled = True
@@ -271,7 +276,7 @@ def test_a_second_run_asks_nothing(spark, tmp_path):
 
 def test_failed_batches_are_asked_again(spark, tmp_path):
     table = spark.createDataFrame([(1, 0, {"0": "a b c"}), (2, 0, {"0": "a b c", "1": "d"})], "doc_id long, batch_id int, payload map<string,string>")
-    tally = Tally(completion.Rehearsed([["lost"], ["down"]]), tmp_path / "n")  # two keys: never right; one: fails
+    tally = Tally(Rehearsed([["lost"], ["down"]]), tmp_path / "n")  # two keys: never right; one: fails
     task = completion.translation(tally, language="X")
     asked = []
     for _ in range(2):
@@ -285,6 +290,95 @@ def test_failed_batches_are_asked_again(spark, tmp_path):
     assert task.keys(table).select("cache_key").collect() != other.keys(table).select("cache_key").collect()
 
 
+class Slow:
+    """Answers after a while and leaves when each call began and ended."""
+
+    def __init__(self, folder, seconds=0.2, limited_every=0):
+        self.folder, self.seconds, self.limited_every = str(folder), seconds, limited_every
+
+    def __call__(self, messages):
+        begun = time.time()
+        limited = self.limited_every and int(begun * 1000) % self.limited_every == 0
+        if not limited:
+            time.sleep(self.seconds)
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{begun} {time.time()} {os.getpid()}")
+        if limited:
+            raise completion.RateLimited
+        return completion.Identity()(messages)
+
+    def calls(self):
+        return sorted(tuple(map(float, open(f"{self.folder}/{x}").read().split())) for x in os.listdir(self.folder))
+
+
+def payload_rows(spark, n, parts=1):
+    rows = [(i, 0, {str(k): f"text {i}" for k in range(i % 3 + 1)}) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, batch_id int, payload map<string,string>").repartition(parts)
+
+
+def test_calls_in_flight(spark, tmp_path):
+    rows, table = payload_rows(spark, 60)
+    slow = Slow(tmp_path)
+    found = completion.translation(slow).over(table, completion.Budget(in_flight=10)).collect()
+    assert {(r.doc_id, tuple(sorted(r.result.items())), r.status) for r in found} == {(i, tuple(sorted(p.items())), "ok") for i, _, p in rows}
+    calls = slow.calls()
+    most = max(sum(a <= begun < b for a, b, _ in calls) for begun, _, _ in calls)
+    assert len(calls) == 60 and 8 <= most <= 10 and len({p for _, _, p in calls}) == 1
+    one = sorted((r.doc_id, r.result) for r in completion.translation(completion.Identity()).over(table, completion.Budget(in_flight=1)).collect())
+    assert one == sorted((r.doc_id, r.result) for r in found)
+
+
+def test_the_budget_is_kept_across_tasks(spark, tmp_path):
+    _, table = payload_rows(spark, 40, 4)
+    slow = Slow(tmp_path, 0.01)
+    assert completion.translation(slow).over(table, completion.Budget(in_flight=8, per_second=10, tasks=4)).count() == 40
+    begun = [a for a, _, _ in slow.calls()]
+    assert len({p for _, _, p in slow.calls()}) > 1
+    # any second holds the share of each task, rounded up, and what fell on its edges
+    assert max(sum(a <= b < a + 1 for b in begun) for a in begun) <= 10 + 4
+
+
+def test_rate_limits_hold_up_the_task(spark, tmp_path):
+    _, table = payload_rows(spark, 40)
+    slow = Slow(tmp_path, 0.02, limited_every=3)
+    found = completion.translation(slow).over(table, completion.Budget(in_flight=4, attempts=50, least=0.05, most=0.05)).collect()
+    assert len(found) == 40 and {r.status for r in found} == {"ok"} and len(slow.calls()) > 40
+
+
+def test_a_stopped_pace_begins_no_call():
+    pace, done = calls.Pace(apart=0.05), []
+    patient = calls.Patient(lambda m: done.append(1) or {}, pace=pace)
+    answers = calls.in_flight(lambda i: patient([]), range(1000), 4, pace)
+    next(answers)
+    answers.close()
+    n = len(done)
+    time.sleep(0.3)
+    assert len(done) == n < 10
+    with pytest.raises(completion.Stopped):
+        patient([])
+
+
+def test_a_cancelled_job_stops_calling(spark, tmp_path):
+    table = spark.createDataFrame([(i, 0, {"0": "long text " * 200}) for i in range(400)], "doc_id long, batch_id int, payload map<string,string>").repartition(1)
+    slow = Slow(tmp_path, 0.05)
+
+    def job():
+        with contextlib.suppress(Exception):
+            completion.translation(slow).over(table, completion.Budget(in_flight=2)).collect()
+
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    thread = InheritableThread(target=lambda: (spark.sparkContext.setJobGroup("calls", "calls", interruptOnCancel=True), job()))
+    thread.start()
+    while not slow.calls():
+        time.sleep(0.1)
+    spark.sparkContext.cancelJobGroup("calls")
+    thread.join(60)
+    time.sleep(2)
+    n = len(slow.calls())
+    time.sleep(1)
+    assert len(slow.calls()) == n < 400
+
+
 def test_srt_parse_and_write(spark):
     raw = "1\n00:00:00,000 --> 00:00:01,000\nraw\\h\\h\nline\n\n2\nbad\nx\n\n3\n00:00:02,5 --> x\ny\n\n4\n00:00:02.500 --> 00:00:03.000 junk\n二\n"
     got = readers.parse_srt(spark.createDataFrame([(1, raw), (2, "")], "doc_id long, content string")).collect()
