@@ -11,7 +11,9 @@ Encoding one piece (a pre-token) in time linear in its length:
 
 A sequence whose neighbouring pairs are all compatible is the one that the merges produce, so the
 result equals the merge loop's.  Compatibility is decided by undoing merges from the boundary outwards
-and memoised.  Pieces repeat, so finished pieces are kept in a bounded table as packed ids.
+and memoised.  Texts are cut at spaces (``words.parts``); parts repeat, so their ids are kept in a table that is bounded
+by bytes.  Which characters are letters, numbers or white space is asked of the vocabulary's own pre-tokenizer, one
+probe for each character that occurs: pattern libraries know other versions of Unicode than it does.
 
 Defined results: null text encodes as empty; the added tokens of the vocabulary file are matched in the
 text first, as the tokenizers library does by default; repeated rows and null ids each get a row; columns
@@ -23,41 +25,42 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cuespark.llm.common import docs_of, raw_texts, text_slices, tidy
+from cuespark.llm.words import Known, parts
 
 #: The byte-level alphabet's printable bytes stand for themselves, the others follow from 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-#: Fixed value: the pre-token pattern of byte-level BPE, white space spelled as the Unicode property.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pieces kept as packed ids in a worker before the table is started anew (about 200 bytes each).
-CACHE_PIECES = 300_000
+#: The pre-token rule of byte-level BPE over characters of classes: ``a`` a letter, ``1`` a number, tab white space, ``!``
+#: anything else; ASCII letters, the space and the apostrophe stand for themselves.
+PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[a-zA-Z]+| ?1+| ?[!']+|[\t ]+(?![^\t ])|[\t ]+")
 
 
-def piece_finder() -> Callable[[str], list[str]]:
-    """Splits texts in pieces.  Texts of code points below 256 take the same rule spelled out for these in
-    ``re``, whose sets are bitmaps there; all others take ``PIECE``."""
-    import regex
+class Classes(dict):
+    """The class of each code point, as ``str.translate`` asks for it, found out by what the pre-tokenizer joins it to."""
 
-    letters, numbers = ("".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == kind) for kind in "LN")
-    space = r"\t-\r \x85\xa0"
-    narrow = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+").findall
-    wide = regex.compile(PIECE).findall
+    def __init__(self, pieces: Callable[[str], list]):
+        super().__init__({ord(c): c for c in "' " + ascii_letters})
+        self.pieces = pieces
 
-    def find(text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return wide(text)
-        return narrow(text)
+    def __missing__(self, code: int) -> str:
+        found = next((kind for kind in "a1!" if len(self.pieces(kind + chr(code))) == 1), "\t")
+        self[code] = found
+        return found
 
-    return find
+
+def piece_finder(vocabulary: str) -> Callable[[str], list[str]]:
+    """Splits texts in the pre-tokens of the vocabulary's pre-tokenizer."""
+    from tokenizers import Tokenizer
+
+    classes = Classes(Tokenizer.from_file(vocabulary).pre_tokenizer.pre_tokenize_str)
+    return lambda text: [text[slice(*m.span())] for m in PIECE.finditer(text.translate(classes))]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -95,10 +98,10 @@ class Codec:
             self.automaton.add_word(b.decode("latin-1"), r)
         self.automaton.make_automaton()
         self.packed = [int(i).to_bytes(4, "little") for i in order]
-        self.pieces = piece_finder()
+        self.pieces = piece_finder(path)
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.fits: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, bytes] = {}
+        self.opening, self.known = Known(lambda found: map(self._encode_part, found), 8 << 20), Known(lambda found: [self._encode_part(" " + p) for p in found])
         # decoding: one blob of all token bytes and the offsets of each id in it
         size = max([*self.token_bytes, *self.added.values()]) + 1
         texts = [b""] * size
@@ -176,25 +179,26 @@ class Codec:
                 token = shorter[token]
         return tokens
 
-    def _encode_piece(self, piece: str) -> bytes:
+    def _encode_part(self, part: str) -> bytes:
         packed = self.packed
-        return b"".join([packed[r] for r in self.ranks(piece.encode())])
+        return b"".join([packed[r] for piece in self.pieces(part) for r in self.ranks(piece.encode())])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [b"".join(x) for x in self._by_added(texts)] if any(t in text for text in texts for t in self.added) else self._plain(texts)
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.specials is not None and any(t in text for t in self.added):
-            parts = self.specials.split(text)
-            return b"".join([self.added[p].to_bytes(4, "little") if p in self.added else self._plain(p) for p in parts if p])
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        cache, pieces = self.cache, self.pieces(text)
-        for piece in {*pieces}.difference(cache):
-            cache[piece] = self._encode_piece(piece)
-        out = b"".join([cache[p] for p in pieces])
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        return out
+        return self.encode_all([text])[0]
+
+    def _by_added(self, texts: list[str]) -> Iterator[list[bytes]]:
+        for text in texts:
+            found = [p for p in self.specials.split(text) if p]
+            plain = iter(self._plain([p for p in found if p not in self.added]))
+            yield [self.added[p].to_bytes(4, "little") if p in self.added else next(plain) for p in found]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        cut = [parts(t) for t in texts]
+        return [a + b for a, b in zip(self.opening.results([c[:1] for c in cut]), self.known.results([c[1:] for c in cut]), strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids; the library's text is these bytes with faults replaced (``errors='replace'``)."""
@@ -224,7 +228,7 @@ def encode_column(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in text_slices(batches):
-            ids = [np.frombuffer(c.encode(t.decode()), "<u4").astype(np.int32) for t in raw_texts(batch.column("text"))]
+            ids = [np.frombuffer(p, "<u4").astype(np.int32) for p in c.encode_all([t.decode() for t in raw_texts(batch.column("text"))])]
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, np.concatenate(ids))], ["doc_id", "ids"])
 
@@ -237,7 +241,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in text_slices(batches):
-            packed = [c.encode(t.decode()) for t in raw_texts(batch.column("text"))]
+            packed = c.encode_all([t.decode() for t in raw_texts(batch.column("text"))])
             decoded = [c.decode(np.frombuffer(p, "<u4")).decode("utf-8", "replace").encode() for p in packed]
             columns = [[len(p) // 4 for p in packed], [hashlib.sha256(p).hexdigest() for p in packed], [hashlib.sha256(d).hexdigest() for d in decoded]]
             arrays = [pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]

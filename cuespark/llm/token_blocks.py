@@ -34,13 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuespark.llm.bpe import piece_finder
 from cuespark.llm.common import docs_of, input_bytes, parts_for, raw_texts, shared_dir, stage, text_slices, tidy
+from cuespark.llm.words import Known, joined_ids, parts
 
 BLOCK, PERCENTILE = 1024, 95
 MAGIC = b"PFOR0001"
-#: Pieces kept as packed ids in a worker before the table is started anew (about 200 bytes each).
-KNOWN_PIECES = 1_000_000
 _HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("pad", "u1"), ("n", "<u2")])
 
 
@@ -172,9 +170,9 @@ _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to packed ids with the tokenizers library, one for each vocabulary and Python worker.
 
-    The library sees every distinct pre-token once (byte-level BPE never merges across pre-tokens, and a
-    pre-token by itself is split no further); results are kept in a bounded table.  Texts that hold an
-    added token go to the library whole.
+    Every text goes to the library in the parts of ``words.parts``, cut where its pre-tokenizer cuts in any case; a
+    part that a worker has met lately is not given again, and new ones are given many at a time.  What a letter, a number or a pre-token is, the library
+    decides alone.  Texts that hold an added token go to the library whole.
     """
     if vocabulary in _encoders:
         return _encoders[vocabulary]
@@ -184,35 +182,27 @@ def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    find, known = piece_finder(), {}
-    # a token of these begins with the space of its piece
-    opens = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
-    opens[[i for t, i in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-
-    def learn(pieces: list[str]) -> None:
-        """Most pieces are a space and letters: many of these go to the library as one text, which it
-        splits again at the spaces, so their ids are told apart by the tokens that open a piece."""
-        simple = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        groups = [simple[i : i + 512] for i in range(0, len(simple), 512)]
-        alone = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
-        for group, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            starts = (np.flatnonzero(opens[ids]) * 4).tolist()
-            if len(starts) != len(group):
-                alone += group
-                continue
-            raw = ids.tobytes()
-            known.update(zip(group, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
-        for p, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
+
+    lengths = np.zeros(max(tokenizer.get_vocab().values()) + 1, np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        lengths[i] = len(token)  # a character of the byte alphabet stands for a byte
+
+    def ids_of(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def after_space(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+    opening, known = Known(ids_of, 8 << 20), Known(lambda found: [x.astype("<u4").tobytes() for x in joined_ids(found, after_space, lengths)])
 
     def encode(texts: list[str]) -> list[bytes]:
-        whole = {i: array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for i, t in enumerate(texts) if any(a in t for a in added)}
-        pieces = [[] if i in whole else find(t) for i, t in enumerate(texts)]
-        learn(list(set().union(*pieces).difference(known)))
-        out = [whole[i] if i in whole else b"".join(map(known.__getitem__, x)) for i, x in enumerate(pieces)]
-        if len(known) > KNOWN_PIECES:
-            known.clear()
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in added)]
+        cut = [parts(t) for t in texts]
+        for i in whole:
+            cut[i] = []
+        out = [a + b for a, b in zip(opening.results([c[:1] for c in cut]), known.results([c[1:] for c in cut]), strict=True)]
+        for i, ids in zip(whole, ids_of([texts[i] for i in whole]), strict=True):
+            out[i] = ids
         return out
 
     _encoders[vocabulary] = encode

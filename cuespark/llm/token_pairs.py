@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from cuespark.llm.bpe import byte_alphabet
 from cuespark.llm.common import docs_of, parts_for, raw_texts, shared_dir, stage, text_slices, tidy
 from cuespark.llm.token_blocks import store_of
-from cuespark.llm.words import LONGEST, parts
+from cuespark.llm.words import LONGEST, joined_ids, parts
 
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 SPACE = "▁"
@@ -59,7 +59,7 @@ class Pair:
     """Both tokenizers, and what is known of the parts of texts: a number for each part, and by number its tokens,
     groups and links."""
 
-    def __init__(self, a: str, b: str, max_bytes: int = 128 << 20):
+    def __init__(self, a: str, b: str, max_bytes: int = 256 << 20):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -92,17 +92,24 @@ class Pair:
         self.texts: list[bytes] = []
         self.held = 0
 
-    def encoded(self, found: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encoded(self, found: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both for a space and each part."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in found], add_special_tokens=False)]
-        return a, [ids if p else self.space for p, ids in zip(found, self.b.encode(found, num_threads=1), strict=True)]
+
+        def by_a(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+        def by_b(texts: list[str]) -> list[list[int]]:
+            return [ids if t else self.space for t, ids in zip(texts, self.b.encode(texts, num_threads=1), strict=True)]
+
+        together = 256 if self.cuts else 1
+        return joined_ids(found, by_a, np.diff(self.bytes_a[1]), together), joined_ids(found, by_b, np.diff(self.bytes_b[1]), together)
 
     def learn(self, found: list[str], counts: Counts | None) -> None:
         """Align new parts; they get the next numbers."""
         ids_a, ids_b = self.encoded(found)
         raw = [b" " + p.encode() for p in found]
         n_a, n_b = np.array([*map(len, ids_a)]), np.array([*map(len, ids_b)])
-        all_a, all_b = (np.array([i for ids in x for i in ids], np.int64) for x in (ids_a, ids_b))
+        all_a, all_b = np.concatenate(ids_a), np.concatenate(ids_b)
         size = np.array([*map(len, raw)])
         whole = np.ones(len(found), bool)
         for ids, n, (blob, offsets) in ((all_a, n_a, self.bytes_a), (all_b, n_b, self.bytes_b)):

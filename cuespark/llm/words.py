@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 #: White space of any table, old ones and format characters included, and the sign that SentencePiece takes for a space:
 #: no cut follows any of it.
 _LAST = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | {"\u180e", "\u200b", "\ufeff", "\u2581"}
@@ -38,29 +40,56 @@ def parts(text: str) -> list[str]:
     return out
 
 
+def alone(part: str) -> bool:
+    """Whether a part's ids depend on its being the last one (its end is no place for a cut)."""
+    return not part or part[-1] in _LAST
+
+
+def joined_ids(found: list[str], encode: Callable[[list[str]], list[list[int]]], lengths: np.ndarray, together: int = 256) -> list[np.ndarray]:
+    """Ids of a space and each part.  ``encode`` gives the ids of a space and each text; parts go to it joined by spaces,
+    and are told apart again by the bytes of their tokens (``lengths`` by id); where these are not the text's, alone."""
+    out: list = [None] * len(found)
+    fine = [i for i, p in enumerate(found) if not alone(p)]
+    groups = [fine[at : at + together] for at in range(0, len(fine), together)]
+    for group, ids in zip(groups, encode([" ".join([found[i] for i in g]) for g in groups]), strict=True):
+        ids = np.array(ids, np.int64)
+        ends, stops = np.cumsum(lengths[ids]), np.cumsum([1 + len(found[i].encode()) for i in group])
+        at = np.searchsorted(ends, stops)
+        if len(ids) and at[-1] == len(ids) - 1 and (ends[at] == stops).all():
+            for i, own in zip(group, np.split(ids, at[:-1] + 1), strict=True):
+                out[i] = own
+    rest = [i for i, ids in enumerate(out) if ids is None]
+    for i, ids in zip(rest, encode([found[i] for i in rest]), strict=True):
+        out[i] = np.array(ids, np.int64)
+    return out
+
+
 class Known:
-    """Results by part; begins anew beyond ``max_bytes`` of parts, results and their overhead."""
+    """Results by part, in two tables: beyond ``max_bytes`` (parts, results and their overhead) the younger one becomes the
+    older one, whose parts come back when they are met again."""
 
-    def __init__(self, solve: Callable[[list[str]], Iterable[bytes]], max_bytes: int = 96 << 20):
+    def __init__(self, solve: Callable[[list[str]], Iterable[bytes]], max_bytes: int = 64 << 20):
         self.solve, self.max_bytes, self.held = solve, max_bytes, 0
         self.table: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def results(self, texts: list[list[str]]) -> list[bytes]:
         """The joined results of the parts of each text."""
-        table = self.table
-        new = list(set().union(*texts).difference(table))
-        once: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            group = new[at : at + 4096]
-            for part, result in zip(group, self.solve(group), strict=True):
-                if len(part) > LONGEST:
-                    once[part] = result
-                else:
-                    table[part] = result
-                    self.held += 160 + 2 * len(part) + len(result)
-        find = (table | once).__getitem__ if once else table.__getitem__
+        table, old = self.table, self.old
+        missing = set().union(*texts).difference(table)
+        back = {p: old[p] for p in missing.intersection(old)} if old else {}
+        new, once = list(missing.difference(back)), {}
+        for at in range(0, len(new), 8192):
+            group = new[at : at + 8192]
+            back.update(zip(group, self.solve(group), strict=True))
+        for part, result in back.items():
+            if len(part) > LONGEST:
+                once[part] = result
+            else:
+                table[part] = result
+                self.held += 160 + 2 * len(part) + len(result)
+        find = {**table, **once}.__getitem__ if once else table.__getitem__
         out = [b"".join(map(find, t)) for t in texts]
         if self.held > self.max_bytes:
-            table.clear()
-            self.held = 0
+            self.old, self.table, self.held = table, {}, 0
         return out

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuespark.llm import ball_tree, cuckoo, token_pairs, words
+from cuespark.llm import ball_tree, bpe, cuckoo, token_blocks, token_pairs, words
 from cuespark.llm.queries import ORACLES, QUERIES, vocabulary
 from tests.oracle import assert_same, duck
 
@@ -257,5 +257,33 @@ def test_parts_are_those_of_the_whole_text():
         stops = np.cumsum([0, *map(len, cut)]).tolist()
         whole = p.a.encode_batch_fast([" " + t for t in group], add_special_tokens=False)
         for i, (e, ids) in enumerate(zip(whole, p.b.encode(group, num_threads=1), strict=True)):
-            assert sum(a[stops[i] : stops[i + 1]], []) == e.ids, group[i]
-            assert sum(b[stops[i] : stops[i + 1]], []) == ids, group[i]
+            assert np.concatenate(a[stops[i] : stops[i + 1]]).tolist() == e.ids, group[i]
+            assert np.concatenate(b[stops[i] : stops[i + 1]]).tolist() == ids, group[i]
+
+
+def test_every_code_point_is_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    library, by_library, own = Tokenizer.from_file(A), token_blocks.library_encoder(A), bpe.codec(A)
+    chars = [chr(c) for c in range(0x323B0) if not 0xD800 <= c < 0xE000]
+    for begin in range(0, len(chars), 20_000):
+        texts = [" ".join(f"x{c}'s {c}a 1{c}" for c in chars[at : at + 40]) for at in range(begin, min(begin + 20_000, len(chars)), 40)]
+        expected = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert by_library(texts) == expected
+        assert own.encode_all(texts) == expected
+
+
+def test_known_parts_are_bounded():
+    asked = []
+
+    def solve(found):
+        asked.extend(found)
+        return [p.encode() for p in found]
+
+    known = words.Known(solve, 40_000)
+    rng = random.Random(1)
+    texts = [[rng.choice(["often", "a" * 100, f"w{rng.randrange(2000)}"]) for _ in range(20)] for _ in range(500)]
+    for t in texts:
+        assert known.results([t]) == ["".join(t).encode()]
+        assert known.held <= 40_000 + 20 * 400 and len(known.old) + len(known.table) < 600
+    assert asked.count("often") == 1 and asked.count("a" * 100) > 100 and not any(len(p) > words.LONGEST for p in [*known.table, *known.old])
