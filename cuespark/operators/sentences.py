@@ -1,31 +1,37 @@
 """Word streams: ordering, sentence grouping, batching, line numbering.
 
 All operators take and give DataFrames keyed by ``doc_id``; every window is partitioned by it, so one
-shuffle on ``doc_id`` serves a whole chain.
+shuffle on ``doc_id`` serves a whole chain.  Where single recordings are too long for a task, ``chunk`` (words or
+sentences) or ``chunk_ms`` spreads them (``prefix``); the rows are the same.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuespark.functions import text as T
+from cuespark.operators import prefix
 
 SEGMENT = "struct<text:string,start_ms:bigint,end_ms:bigint>"
 
 
-def order_segments(segments: DataFrame, src_ord: str = "ord") -> DataFrame:
+def _part(column: str, size: int | None) -> Column | None:
+    return F.floor(F.col(column) / size) if size else None
+
+
+def order_segments(segments: DataFrame, src_ord: str = "ord", chunk_ms: int | None = None) -> DataFrame:
     """Drop blank segments and number the rest by (start, end, source order) from 0 in ``ord``."""
-    order = W.partitionBy("doc_id").orderBy("start_ms", "end_ms", src_ord)
-    return segments.where(T.not_blank(F.col("text"))).withColumn("ord", (F.row_number().over(order) - 1).cast("int"))
+    kept = segments.where(T.not_blank(F.col("text")))
+    name = prefix.unused("place", kept)
+    numbered = prefix.number(kept, name, ["start_ms", "end_ms", src_ord], _part("start_ms", chunk_ms))
+    return numbered.withColumn("ord", F.col(name).cast("int")).drop(name)
 
 
-def sentence_ids(words: DataFrame) -> DataFrame:
+def sentence_ids(words: DataFrame, chunk: int | None = None) -> DataFrame:
     """``sentence_index``: the number of sentence ends before each word."""
-    earlier = W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    ended = F.sum(T.ends_sentence(F.col("text")).cast("int")).over(earlier)
-    return words.withColumn("sentence_index", F.coalesce(ended, F.lit(0)).cast("int"))
+    ended = prefix.sum_before(words, "sentence_index", T.ends_sentence(F.col("text")).cast("int"), ["ord"], _part("ord", chunk))
+    return ended.withColumn("sentence_index", F.col("sentence_index").cast("int"))
 
 
 def ordered(column: Column, by: str = "ord") -> Column:
@@ -43,30 +49,30 @@ def joined(segments: Column) -> Column:
     return F.when(loose, F.array_join(F.transform(segments, lambda s: T.strip(s["text"])), " ")).otherwise(plain)
 
 
-def sentences(words: DataFrame) -> DataFrame:
+def sentences(words: DataFrame, chunk: int | None = None) -> DataFrame:
     """``doc_id, sentence_index, text, segments, optimized_text, optimize_log``."""
-    grouped = sentence_ids(words).groupBy("doc_id", "sentence_index").agg(ordered(F.struct("text", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"))).cast(f"array<{SEGMENT}>").alias("segments"))
+    grouped = sentence_ids(words, chunk).groupBy("doc_id", "sentence_index").agg(ordered(F.struct("text", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"))).cast(f"array<{SEGMENT}>").alias("segments"))
     text = joined(F.col("segments"))
     return grouped.select("doc_id", "sentence_index", text.alias("text"), "segments", F.lit("").alias("optimized_text"), F.lit("").alias("optimize_log"))
 
 
-def flatten(table: DataFrame) -> DataFrame:
+def flatten(table: DataFrame, chunk: int | None = None, chunk_ms: int | None = None) -> DataFrame:
     """Sentences back to words, in order."""
-    rows = table.select("doc_id", "sentence_index", F.posexplode("segments").alias("at", "s"))
-    order = W.partitionBy("doc_id").orderBy("sentence_index", "at")
-    return order_segments(rows.select("doc_id", (F.row_number().over(order) - 1).alias("ord"), "s.text", "s.start_ms", "s.end_ms"))
+    placed = prefix.sum_before(table.select("doc_id", "sentence_index", "segments"), "first", F.greatest(F.size("segments"), F.lit(0)), ["sentence_index"], _part("sentence_index", chunk))
+    rows = placed.select("doc_id", "first", F.posexplode("segments").alias("at", "s"))
+    return order_segments(rows.select("doc_id", (F.col("first") + F.col("at")).alias("ord"), "s.text", "s.start_ms", "s.end_ms"), chunk_ms=chunk_ms)
 
 
-def batches(table: DataFrame, size: int) -> DataFrame:
+def batches(table: DataFrame, size: int, chunk: int | None = None) -> DataFrame:
     """``batch_id``: consecutive groups of ``size`` sentences, numbered after any filter upstream."""
-    order = W.partitionBy("doc_id").orderBy("sentence_index")
-    return table.withColumn("batch_id", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+    placed = prefix.number(table, "batch_id", ["sentence_index"], _part("sentence_index", chunk))
+    return placed.withColumn("batch_id", F.floor(F.col("batch_id") / size).cast("int"))
 
 
-def line_batches(lines: DataFrame, size: int = 20) -> DataFrame:
+def line_batches(lines: DataFrame, size: int = 20, chunk: int | None = None) -> DataFrame:
     """``batch_id`` of lines: ``size`` sentences a batch, no sentence divided."""
-    order = W.partitionBy("doc_id").orderBy("sentence_index")
-    return lines.withColumn("batch_id", F.floor((F.dense_rank().over(order) - 1) / size).cast("int"))
+    placed = prefix.dense_number(lines, "batch_id", "sentence_index", _part("sentence_index", chunk))
+    return placed.withColumn("batch_id", F.floor(F.col("batch_id") / size).cast("int"))
 
 
 def payloads(batched: DataFrame) -> DataFrame:
@@ -93,13 +99,13 @@ def script_profile(docs: DataFrame, cjk_limit: int = 16, english_limit: int = 18
     return counted.withColumn("mainly_cjk", cjk).withColumn("max_word_count", F.when(cjk, cjk_limit).otherwise(english_limit))
 
 
-def number_lines(parts: DataFrame) -> DataFrame:
+def number_lines(parts: DataFrame, chunk: int | None = None) -> DataFrame:
     """``line_index`` from 0 over (sentence, part) in each document."""
-    order = W.partitionBy("doc_id").orderBy("sentence_index", "split_index")
-    return parts.withColumn("line_index", (F.row_number().over(order) - 1).cast("int"))
+    placed = prefix.number(parts, "line_index", ["sentence_index", "split_index"], _part("sentence_index", chunk))
+    return placed.withColumn("line_index", F.col("line_index").cast("int"))
 
 
-def chunk_lines(table: DataFrame, words: int) -> DataFrame:
+def chunk_lines(table: DataFrame, words: int, chunk: int | None = None) -> DataFrame:
     """Sentences cut every ``words`` words: the line table without a model."""
     n = F.size("segments")
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(words))
@@ -108,4 +114,4 @@ def chunk_lines(table: DataFrame, words: int) -> DataFrame:
     cut = rows.select("doc_id", "sentence_index", F.col("split_index").cast("int").alias("split_index"), part.alias("part"))
     text = joined(F.col("part"))
     lines = cut.select("doc_id", "sentence_index", "split_index", text.alias("text"), F.lit("").alias("translate_text"), F.col("part")[0]["start_ms"].alias("start_ms"), F.element_at("part", -1)["end_ms"].alias("end_ms"))
-    return number_lines(lines)
+    return number_lines(lines, chunk)

@@ -31,6 +31,9 @@ class Options:
     #: Give lines of failed batches their source text; without it they stay empty and leave the subtitles.
     keep_source: bool = False
     fail_rate: float = 0.5
+    #: Words or sentences, and milliseconds, of a part of a recording that is too long for one task (see ``prefix``).
+    chunk: int | None = None
+    chunk_ms: int | None = None
     #: Calls in flight and calls a second of a model stage.
     budget: completion.Budget = field(default_factory=completion.Budget)
 
@@ -43,8 +46,8 @@ def answers(requests: DataFrame, task: completion.Task, session: Session | None,
 
 def optimize(words: DataFrame, cues: DataFrame | None, completer: completion.Completer, options: Options, session: Session | None = None) -> tuple[DataFrame, DataFrame]:
     """``(audit, clean)`` sentences: with new text and change log, and with rewritten text and times."""
-    table = stage(S.sentences(words))
-    batched = S.batches(table, options.batch_size)
+    table = stage(S.sentences(words, options.chunk))
+    batched = S.batches(table, options.batch_size, options.chunk)
     requests = S.payloads(batched)
     requests = joins.reference_text(requests, cues) if cues is not None else requests.withColumn("reference_text", F.lit(""))
     answered = answers(requests, completion.correction(completer, options.custom_prompt, prompt("optimize/subtitle")), session, options.budget)
@@ -61,7 +64,7 @@ def optimize(words: DataFrame, cues: DataFrame | None, completer: completion.Com
 def split(table: DataFrame, profile: DataFrame, completer: completion.Completer, options: Options, session: Session | None = None) -> DataFrame:
     """Lines of sentences: those over the limit are split by the completer, all are aligned to words."""
     limited = table.join(profile.select("doc_id", "max_word_count"), "doc_id")
-    long = S.batches(S.over_length(limited, F.col("max_word_count")), options.batch_size)
+    long = S.batches(S.over_length(limited, F.col("max_word_count")), options.batch_size, options.chunk)
     requests = S.payloads(long).join(profile.select("doc_id", "max_word_count"), "doc_id")
     answered = answers(requests, completion.splitting(completer, options.custom_prompt, prompt("split/structured")), session, options.budget)
     parts = answered.select("doc_id", F.explode("result").alias("key", "parts")).select("doc_id", F.col("key").try_cast("int").alias("sentence_index"), "parts")
@@ -71,12 +74,12 @@ def split(table: DataFrame, profile: DataFrame, completer: completion.Completer,
     whole = F.array(F.struct("text", F.col("segments")[0]["start_ms"].alias("start_ms"), F.element_at("segments", -1)["end_ms"].alias("end_ms")))
     cut = F.coalesce(align.lines_udf(F.when(several.isNotNull(), F.col("segments")), several, "text"), F.when(F.size("parts") == 1, F.transform(whole, lambda x: x.withField("text", F.col("parts")[0]))), whole)
     lines = joined.select("doc_id", "sentence_index", F.posexplode(cut).alias("split_index", "l"))
-    return S.number_lines(lines.select("doc_id", "sentence_index", "split_index", "l.text", F.lit("").alias("translate_text"), "l.start_ms", "l.end_ms"))
+    return S.number_lines(lines.select("doc_id", "sentence_index", "split_index", "l.text", F.lit("").alias("translate_text"), "l.start_ms", "l.end_ms"), options.chunk)
 
 
 def translate(lines: DataFrame, completer: completion.Completer, options: Options, session: Session | None = None) -> tuple[DataFrame, DataFrame]:
     """``(lines with translations, failure gate)``."""
-    batched = S.line_batches(lines)
+    batched = S.line_batches(lines, chunk=options.chunk)
     pairs = F.array_sort(F.collect_list(F.struct("line_index", "text")))
     payload = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["line_index"].cast("string").alias("key"), p["text"].alias("value"))))
     requests = batched.groupBy("doc_id", "batch_id").agg(payload.alias("payload"))
@@ -92,7 +95,7 @@ def captions(words: DataFrame, corrector: completion.Completer, splitter: comple
     """Words to bilingual captions: every table of the run by name."""
     options = options or Options()
     audit, clean = optimize(words, cues, corrector, options, session)
-    regrouped = stage(S.sentences(S.flatten(clean)))  # correction may have moved sentence ends
+    regrouped = stage(S.sentences(S.flatten(clean, options.chunk, options.chunk_ms), options.chunk))  # correction may have moved sentence ends
     profile = S.script_profile(audit, options.cjk_limit, options.english_limit)
     lines = stage(split(regrouped, profile, splitter, options, session))
     translated, gate = translate(lines, translator, options, session)
@@ -106,8 +109,9 @@ def captions(words: DataFrame, corrector: completion.Completer, splitter: comple
 def scan(segments: DataFrame, words: DataFrame, **limits: int) -> dict[str, DataFrame]:
     """The repeated-run scan: tokens, selected hits, summary per document, frequent phrases."""
     tokens = repeats.number_tokens(words)
-    hits = repeats.describe_hits(repeats.select_hits(repeats.runs(tokens, **limits)), tokens)
-    return {"tokens": tokens, "hits": hits, "summary": repeats.summary(segments, tokens, hits), "phrases": repeats.top_phrases(hits)}
+    chosen = repeats.select_hits(repeats.runs(tokens, **limits))
+    phrases = repeats.top_phrases(repeats.select_hits(repeats.runs(tokens, phrases=True, **limits)))
+    return {"tokens": tokens, "hits": repeats.describe_hits(chosen, tokens), "summary": repeats.summary(segments, tokens, chosen), "phrases": phrases}
 
 
 def word_stream(docs: DataFrame, step_ms: int = 300, length_ms: int = 250) -> DataFrame:

@@ -119,6 +119,11 @@ CODES = """
   ('UKRAINIAN', 'google', 'uk'), ('UKRAINIAN', 'bing', 'uk'), ('UKRAINIAN', 'deeplx', 'uk'), ('ARABIC', 'google', 'ar'), ('ARABIC', 'bing', 'ar'), ('ARABIC', 'deeplx', 'ar'),
   ('HEBREW', 'google', 'he'), ('HEBREW', 'bing', 'he'), ('PERSIAN', 'google', 'fa'), ('PERSIAN', 'bing', 'fa')"""
 
+RECORDING = """
+cues AS (SELECT event_id, event_type || CASE WHEN value > 15 THEN '.' ELSE '' END AS text, (epoch_us(ts) // 1000)::BIGINT AS start_ms, (epoch_us(ts) // 1000 + 900)::BIGINT AS end_ms FROM events),
+words AS (SELECT *, (row_number() OVER (ORDER BY start_ms, end_ms, event_id) - 1)::INTEGER AS ord FROM cues),
+placed AS (SELECT *, coalesce(sum(text LIKE '%.') OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS sentence_index FROM words),
+inside AS (SELECT *, row_number() OVER (PARTITION BY sentence_index ORDER BY ord) - 1 AS k, count(*) OVER (PARTITION BY sentence_index) AS n FROM placed)"""
 ORACLES: dict[str, str] = {
     "language_codes": f"""
 WITH d(language, service, code) AS (VALUES {CODES}),
@@ -130,6 +135,17 @@ LEFT JOIN d f ON f.service = a.service AND f.language = 'SIMPLIFIED_CHINESE'""",
 WITH e AS (SELECT user_id AS doc_id, event_id AS src, value, epoch_us(ts) // 1000 AS ms FROM events),
 c AS (SELECT doc_id, src, ms - ms % 60000 AS start_ms, ms - ms % 1000 AS end_ms FROM e WHERE value > 20)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_ms, end_ms, src) - 1)::INTEGER AS ord, src, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms FROM c""",
+    "recording_lines": f"""
+WITH {RECORDING},
+lines AS (SELECT sentence_index, (k // 4)::INTEGER AS split_index, string_agg(text, ' ' ORDER BY ord) AS text, min_by(start_ms, ord) AS start_ms, max_by(end_ms, ord) AS end_ms FROM inside GROUP BY sentence_index, k // 4)
+SELECT *, (row_number() OVER (ORDER BY sentence_index, split_index) - 1)::INTEGER AS line_index, ((dense_rank() OVER (ORDER BY sentence_index) - 1) // 20)::INTEGER AS batch_id FROM lines""",
+    "recording_batches": f"""
+WITH {RECORDING},
+long AS (SELECT sentence_index, string_agg(text, ' ' ORDER BY ord) AS text, min_by(start_ms, ord) AS start_ms, max_by(end_ms, ord) AS end_ms FROM inside WHERE n > 4 GROUP BY sentence_index),
+numbered AS (SELECT *, ((row_number() OVER (ORDER BY sentence_index) - 1) // 20)::INTEGER AS batch_id FROM long)
+SELECT batch_id, min_by(start_ms, sentence_index) AS start_ms, max_by(end_ms, sentence_index) AS end_ms, count(*)::INTEGER AS n_sentences, md5(string_agg(text, chr(10) ORDER BY sentence_index)) AS texts_md5
+FROM numbered GROUP BY batch_id""",
+    "recording_words": f"WITH {RECORDING} SELECT ord, text, start_ms, end_ms FROM words",
     "sentence_groups": f"WITH {SENTENCES} SELECT * FROM sentences",
     "regrouped_words": f"WITH {WORDS} SELECT doc_id, count(*) AS n_words, max(ord)::BIGINT AS last_ord, sum(ord * 300::BIGINT)::BIGINT AS start_sum FROM words GROUP BY doc_id",
     "long_sentences": f"WITH {SENTENCES} SELECT doc_id, sentence_index, {n_words('text')} AS n_words FROM sentences WHERE {n_words('text')} > 18",

@@ -103,6 +103,33 @@ def line_batches(spark, sf_dir):
     return S.line_batches(lines(spark, sf_dir)).groupBy("doc_id", "batch_id").agg(F.count("*").alias("n_lines"), F.countDistinct("sentence_index").alias("n_sentences"))
 
 
+def one_recording(spark, sf_dir) -> DataFrame:
+    """All events as the words of a single recording, spread over tasks by time."""
+    e = table(spark, sf_dir, "events")
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    text = F.concat("event_type", F.when(F.col("value") > 15, ".").otherwise(""))
+    return S.order_segments(e.select(F.lit(0).alias("doc_id"), F.col("event_id").alias("src"), text.alias("text"), ms.alias("start_ms"), (ms + 900).alias("end_ms")), "src", chunk_ms=3_600_000)
+
+
+@query
+def recording_lines(spark, sf_dir):
+    lines = S.chunk_lines(S.sentences(one_recording(spark, sf_dir), chunk=4096), 4, chunk=1024)
+    return S.line_batches(lines, 20, chunk=1024).select("sentence_index", "split_index", "line_index", "batch_id", "text", "start_ms", "end_ms")
+
+
+@query
+def recording_batches(spark, sf_dir):
+    long = S.sentences(one_recording(spark, sf_dir), chunk=4096).where(F.size("segments") > 4)
+    return S.payloads(S.batches(long, 20, chunk=1024)).select("batch_id", "start_ms", "end_ms", "n_sentences", F.md5(F.array_join(F.map_values("payload"), "\n").cast("binary")).alias("texts_md5"))
+
+
+@query
+def recording_words(spark, sf_dir):
+    """Sentences of the recording, back to words."""
+    flat = S.flatten(S.sentences(one_recording(spark, sf_dir), chunk=4096), chunk=1024, chunk_ms=3_600_000)
+    return flat.select("ord", "text", "start_ms", "end_ms")
+
+
 # --- scalar functions
 
 

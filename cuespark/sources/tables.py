@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock = threading.Lock()
+#: Folders of local sessions (tests) whose ``spark.checkpoint.dir`` is not set, by application.
+_local: dict[str, str] = {}
 #: How many ``stage`` calls are writing, and the setting before the first of them.
 _writers: list = [0, None]
 
@@ -20,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="cuespark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        with _lock:
+            root = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="cuespark-")
+            _local[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/cuespark-{uuid.uuid4().hex}"
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
-from cuespark.operators import align, cache, calls, completion, joins, repeats
+from cuespark.operators import align, cache, calls, completion, joins, prefix, repeats
 from cuespark.operators import sentences as S
 from cuespark.plans import captions, workspace
 from cuespark.plans.queries import Rehearsed
@@ -28,6 +28,43 @@ def test_ordering_is_stable_and_drops_blanks(spark):
     assert [r.text for r in got] == ["a", "b", "d", "c"]
 
 
+def test_parts_of_long_recordings(spark):
+    """Chunked plans give the rows of whole windows, and no task holds a whole recording."""
+    rng = random.Random(8)
+    rows, at = [], 0
+    for doc, n in ((1, 20_000), (2, 3), (None, 700), (None, 5), (-4, 0)):
+        for i in range(n):
+            at += rng.choice([0, 0, 1, 400])
+            rows.append((doc, rng.randrange(n * 4), rng.choice(["a", "b", "c.", " "]), at, at + rng.randrange(3), "p"))
+    table = spark.createDataFrame(rows, "doc_id long, ord long, text string, start_ms long, end_ms long, part string")
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        words = S.order_segments(table.where("doc_id IS NOT NULL"))
+        spread = S.order_segments(table.where("doc_id IS NOT NULL"), chunk_ms=50_000)
+        same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert same(words, spread)
+        words = words.drop("part")
+        whole, chunked = S.sentences(words), S.sentences(spread.drop("part"), chunk=300)
+        assert same(whole, chunked)
+        assert same(S.flatten(whole), S.flatten(chunked, chunk=64, chunk_ms=50_000))
+        assert same(S.batches(S.over_length(whole, 3), 20), S.batches(S.over_length(chunked, 3), 20, chunk=64))
+        lines = S.chunk_lines(whole, 2)
+        assert same(lines, S.chunk_lines(chunked, 2, chunk=64))
+        assert same(S.line_batches(lines, 7), S.line_batches(lines, 7, chunk=64))
+        held = S.sentence_ids(spread, chunk=300).groupBy(F.spark_partition_id()).count().collect()
+        assert len(held) == 4 and max(r["count"] for r in held) < 8_000  # of 15,000 words
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
+def test_parts_keep_null_documents(spark):
+    rows = [(None if i % 3 else 1, i, "p", i % 5) for i in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id long, ord long, part string, value int")
+    whole, spread = (prefix.sum_before(table, "n", F.col("value"), ["ord"], p) for p in (None, F.floor(F.col("ord") / 70)))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, spread.collect())) and spread.count() == 1000
+
+
 def test_sentences_and_flatten(spark):
     words = segments(spark, [("Hi.", 0, 1), ("How", 2, 3), ("are", 4, 5), ("you？", 6, 7), ("fine", 8, 9)])
     table = S.sentences(words)
