@@ -193,7 +193,12 @@ def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     def after_space(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
-    opening, known = Known(ids_of, 8 << 20), Known(lambda found: [x.astype("<u4").tobytes() for x in joined_ids(found, after_space, lengths)])
+    def split_again(found: list[str]) -> list[bytes]:
+        ids, counts = joined_ids(found, after_space, lengths)
+        raw, stops = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    opening, known = Known(ids_of, 8 << 20), Known(split_again)
 
     def encode(texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if any(a in t for a in added)]

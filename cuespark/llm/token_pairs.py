@@ -59,7 +59,7 @@ class Pair:
     """Both tokenizers, and what is known of the parts of texts: a number for each part, and by number its tokens,
     groups and links."""
 
-    def __init__(self, a: str, b: str, max_bytes: int = 256 << 20):
+    def __init__(self, a: str, b: str, max_bytes: int = 384 << 20):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -87,13 +87,13 @@ class Pair:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.rows: list[np.ndarray] = []  # n_a, n_b, n_groups, n_links, whole of each part
-        self.sums: list[np.ndarray] = []  # n_best, count_sum of each part, where counts are known
+        self.sums, self.of = np.zeros((2, 0), np.int64), ""  # n_best, count_sum of each part by the counts of that name
         self.links: list[np.ndarray] = []
         self.texts: list[bytes] = []
         self.held = 0
 
-    def encoded(self, found: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both for a space and each part."""
+    def encoded(self, found: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Ids of both for a space and each part, in a row, and how many each part has."""
 
         def by_a(texts: list[str]) -> list[list[int]]:
             return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -104,12 +104,10 @@ class Pair:
         together = 256 if self.cuts else 1
         return joined_ids(found, by_a, np.diff(self.bytes_a[1]), together), joined_ids(found, by_b, np.diff(self.bytes_b[1]), together)
 
-    def learn(self, found: list[str], counts: Counts | None) -> None:
+    def learn(self, found: list[str]) -> None:
         """Align new parts; they get the next numbers."""
-        ids_a, ids_b = self.encoded(found)
+        (all_a, n_a), (all_b, n_b) = self.encoded(found)
         raw = [b" " + p.encode() for p in found]
-        n_a, n_b = np.array([*map(len, ids_a)]), np.array([*map(len, ids_b)])
-        all_a, all_b = np.concatenate(ids_a), np.concatenate(ids_b)
         size = np.array([*map(len, raw)])
         whole = np.ones(len(found), bool)
         for ids, n, (blob, offsets) in ((all_a, n_a, self.bytes_a), (all_b, n_b, self.bytes_b)):
@@ -134,10 +132,6 @@ class Pair:
         self.rows.append(np.stack([n_a, n_b, n_groups, n_links, whole]).astype(np.int64))
         self.links.append(links)
         self.texts += self.groups(a, b, ends_a, ends_b, both, n_a + n_b)
-        if counts is not None:
-            best, total = counts.of(links)
-            upto = np.concatenate([[0], np.cumsum(n_links)])
-            self.sums.append(np.stack([np.diff(np.concatenate([[0], np.cumsum(x)])[upto]) for x in (best, total)]))
         self.number.update(zip(found, range(len(self.texts) - len(found), len(self.texts)), strict=True))
         self.held += 400 * len(found) + 2 * sum(map(len, found)) + 8 * len(links) + sum(map(len, self.texts[-len(found) :]))
 
@@ -152,7 +146,20 @@ class Pair:
         stops = np.cumsum(n).tolist()
         return ["".join(named[x:y])[:-1].encode() for x, y in zip([0, *stops], stops, strict=False)]
 
-    def numbers(self, texts: list[str], counts: Counts | None = None) -> list[list[int]]:
+    def weigh(self, counts: Counts) -> np.ndarray:
+        """By number: how many links of the part are their id of B's most frequent ones, and the sum of its links' counts."""
+        table = self.table()
+        if self.of != counts.name:
+            self.sums, self.of = np.zeros((2, 0), np.int64), counts.name
+        known = self.sums.shape[1]
+        upto = np.cumsum(table[3])
+        links = self.links[0][upto[known - 1] if known else 0 :] if self.links else np.zeros(0, np.int64)
+        of = np.concatenate([[0], np.cumsum(table[3][known:])])
+        added = [np.diff(np.concatenate([[0], np.cumsum(x)])[of]) for x in counts.of(links)]
+        self.sums = np.concatenate([self.sums, np.stack(added)], axis=1)
+        return self.sums
+
+    def numbers(self, texts: list[str]) -> list[list[int]]:
         """The numbers of the parts of each text.  Begins anew if the tables have grown too large, so numbers hold
         until the next call."""
         if self.held > self.max_bytes:
@@ -160,7 +167,7 @@ class Pair:
         cut = [(parts(t) if self.cuts else [t]) if t else [] for t in texts]
         new = list(set().union(*cut).difference(self.number))
         for at in range(0, len(new), 8192):
-            self.learn(new[at : at + 8192], counts)
+            self.learn(new[at : at + 8192])
         out = [[*map(self.number.__getitem__, c)] for c in cut]
         for p in new:
             if len(p) > LONGEST:
@@ -168,18 +175,17 @@ class Pair:
         return out
 
     def table(self) -> np.ndarray:
-        """By number: n_a, n_b, n_groups, n_links, 1 if the tokens' bytes are the text's; n_best and count_sum where counts are known."""
+        """By number: n_a, n_b, n_groups, n_links, 1 if the tokens' bytes are the text's."""
         if len(self.rows) > 1:
             self.rows, self.links = [np.concatenate(self.rows, axis=1)], [np.concatenate(self.links)]
-            self.sums = [np.concatenate(self.sums, axis=1)] if self.sums else []
-        return np.concatenate([self.rows[0], *self.sums]) if self.rows else np.zeros((7, 0), np.int64)
+        return self.rows[0] if self.rows else np.zeros((5, 0), np.int64)
 
 
 class Counts:
     """Counts of pairs in sorted shards, and the highest count of each id of B."""
 
     def __init__(self, shards: list[tuple[int, int, str]], best: np.ndarray, open_at_once: int = 64):
-        self.first = np.array([s[0] for s in shards], np.int64)
+        self.first, self.name = np.array([s[0] for s in shards], np.int64), shards[0][2] if shards else "none"
         self.shards, self.best, self.open_at_once = shards, best, open_at_once
         self.opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -200,28 +206,26 @@ class Counts:
         return self.opened[i]
 
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each key whether its count is the highest of its id of B, and the count."""
+        """For each key whether its count is the highest of its id of B, and the count; none for what was not counted."""
         distinct, back = np.unique(keys, return_inverse=True)
-        found = np.empty(len(distinct), np.int64)
-        ends = np.searchsorted(distinct, self.first[1:]).tolist() + [len(distinct)]
-        begin = 0
-        for i, end in enumerate(ends):
+        found = np.zeros(len(distinct), np.int64)
+        edges = [*np.searchsorted(distinct, self.first).tolist(), len(distinct)]
+        for i, (begin, end) in enumerate(zip(edges, edges[1:], strict=False)):
             if end > begin:
                 there, n = self.shard(i)
-                found[begin:end] = n[np.searchsorted(there, distinct[begin:end])]
-                begin = end
-        return (found == self.best[distinct >> 32])[back], found[back]
+                at = np.minimum(np.searchsorted(there, distinct[begin:end]), len(there) - 1)
+                found[begin:end] = np.where(there[at] == distinct[begin:end], n[at], 0)
+        return ((found == self.best[distinct >> 32]) & (found > 0))[back], found[back]
 
 
-_pairs: dict[tuple, Pair] = {}
+_pairs: dict[tuple[str, str], Pair] = {}
 
 
-def pair(*key) -> Pair:
-    """One for each two vocabularies, set of counts and Python worker; only the last one is kept."""
-    if key not in _pairs:
-        _pairs.clear()
-        _pairs[key] = Pair(key[0], key[1])
-    return _pairs[key]
+def pair(a: str, b: str) -> Pair:
+    """One for each two vocabularies and Python worker; what is known of parts serves both passes over the documents."""
+    if (a, b) not in _pairs:
+        _pairs[a, b] = Pair(a, b)
+    return _pairs[a, b]
 
 
 def partial_counts(docs: DataFrame, a: str, b: str) -> DataFrame:
@@ -229,7 +233,7 @@ def partial_counts(docs: DataFrame, a: str, b: str) -> DataFrame:
     if a task meets so many distinct parts that its tables begin anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pair(a, b, None)
+        p = pair(a, b)
         seen = np.zeros(0, np.int64)
 
         def summed() -> pa.RecordBatch:
@@ -341,11 +345,11 @@ def align(docs: DataFrame, a: str, b: str, folder: str | None = None, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, best = sent.value
-        counts, p = Counts(shards, best), pair(a, b, shards[0][2] if shards else "")
+        counts, p = Counts(shards, best), pair(a, b)
         for batch in text_slices(batches):
-            numbers = p.numbers([t.decode() for t in raw_texts(batch.column("text"))], counts)
+            numbers = p.numbers([t.decode() for t in raw_texts(batch.column("text"))])
             flat, of = _flat(numbers)
-            table = p.table()
+            table = np.concatenate([p.table(), p.weigh(counts)])
             fine = _over(table[4][flat] == 0, of) == 0
             n_a, n_b, n_groups, n_links, n_best, total = (np.where(fine, _over(table[i][flat], of), 0) for i in (0, 1, 2, 3, 5, 6))
             texts = p.texts

@@ -45,23 +45,29 @@ def alone(part: str) -> bool:
     return not part or part[-1] in _LAST
 
 
-def joined_ids(found: list[str], encode: Callable[[list[str]], list[list[int]]], lengths: np.ndarray, together: int = 256) -> list[np.ndarray]:
-    """Ids of a space and each part.  ``encode`` gives the ids of a space and each text; parts go to it joined by spaces,
-    and are told apart again by the bytes of their tokens (``lengths`` by id); where these are not the text's, alone."""
-    out: list = [None] * len(found)
-    fine = [i for i, p in enumerate(found) if not alone(p)]
-    groups = [fine[at : at + together] for at in range(0, len(fine), together)]
-    for group, ids in zip(groups, encode([" ".join([found[i] for i in g]) for g in groups]), strict=True):
-        ids = np.array(ids, np.int64)
-        ends, stops = np.cumsum(lengths[ids]), np.cumsum([1 + len(found[i].encode()) for i in group])
-        at = np.searchsorted(ends, stops)
-        if len(ids) and at[-1] == len(ids) - 1 and (ends[at] == stops).all():
-            for i, own in zip(group, np.split(ids, at[:-1] + 1), strict=True):
-                out[i] = own
-    rest = [i for i, ids in enumerate(out) if ids is None]
-    for i, ids in zip(rest, encode([found[i] for i in rest]), strict=True):
-        out[i] = np.array(ids, np.int64)
-    return out
+def joined_ids(found: list[str], encode: Callable[[list[str]], list[list[int]]], lengths: np.ndarray, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a space and each part in a row, and how many of them each part has.
+
+    ``encode`` gives the ids of a space and each text.  Parts go to it joined by spaces and are told apart again by the
+    bytes of their tokens (``lengths`` by id); where these are not the text's, and for parts that stand ``alone``, one
+    by one."""
+    single = [i for i, p in enumerate(found) if alone(p)]
+    edges = sorted({0, len(found), *range(0, len(found), together), *single, *(i + 1 for i in single)})
+    groups = [found[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    ids, counts = [], []
+    for group, flat in zip(groups, encode([" ".join(g) for g in groups]), strict=True):
+        flat = np.array(flat, np.int64)
+        if len(group) > 1:
+            ends, stops = np.cumsum(lengths[flat]), np.cumsum([1 + len(p.encode()) for p in group])
+            last = np.searchsorted(ends, stops)
+            if not len(flat) or last[-1] != len(flat) - 1 or (ends[last] != stops).any():
+                single = encode(group)
+                flat, last = np.array([i for x in single for i in x], np.int64), np.cumsum([*map(len, single)]) - 1
+            counts.append(np.diff(last, prepend=-1))
+        else:
+            counts.append(np.array([len(flat)]))
+        ids.append(flat)
+    return np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
 
 
 class Known:
