@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -34,76 +33,17 @@ def _pairwise(function):
     return over
 
 
-CUES = "ord int, text string, start_ms bigint, end_ms bigint"
-
-
-def _parsers() -> dict[str, Callable[[str], list[tuple[str, int, int]]]]:
-    """One text's cues, as ``sources.readers`` has them for tables; unordered, blanks not dropped."""
-    from cuespark.sources import readers as R
-
-    edges = re.compile(rf"^{T.SPACE}+|{T.SPACE}+\Z".replace(r"\p{Z}", r"\s"))
-    strip = lambda x: edges.sub("", x)
-    plain = {name: re.compile(getattr(R, name).replace(r"\p{Z}", r"\s")) for name in ("SRT_TIME", "VTT_TIME", "WORD_VTT_TIME", "STAMPED_WORD", "LINE_END")}
-    clock = lambda h, m, s, ms: int(h or 0) * 3_600_000 + int(m) * 60_000 + int(s) * 1000 + int(ms)
-
-    def vtt_clock(stamp: str) -> int:
-        h, m, s = stamp.split(":")
-        return int(float(h) * 3_600_000 + float(m) * 60_000 + float(s) * 1000)
-
-    def srt(text: str) -> list[tuple[str, int, int]]:
-        out = []
-        for block in re.split(r"\n\s*\n", strip(plain["LINE_END"].sub("\n", text))):
-            lines = re.sub(r"\n\Z", "", block).split("\n")
-            if len(lines) > 2 and (at := plain["SRT_TIME"].search(lines[1])):
-                out.append((" ".join(strip(re.sub(r"(?:\\h)+\Z", "", x)) for x in lines[2:]), clock(*at.groups()[:4]), clock(*at.groups()[4:])))
-        return out
-
-    def vtt(text: str) -> list[tuple[str, int, int]]:
-        blocks, out = [strip(b) for b in strip(text).split("\n\n")], []
-        while blocks and blocks[0].startswith(("WEBVTT", "NOTE", "STYLE")):
-            blocks.pop(0)
-        for block in blocks:
-            lines = block.split("\n")
-            arrow = next((i for i, x in enumerate(lines) if "-->" in x), None)
-            if arrow is not None and (at := plain["VTT_TIME"].search(strip(lines[arrow]))):
-                body = re.sub(r"</?[a-zA-Z][^>]*>", "", re.sub(r"<\d{2}:\d{2}:\d{2}\.\d{3}>", "", " ".join(lines[arrow + 1 :])))
-                out.append((strip(body), clock(*at.groups()[:4]), clock(*at.groups()[4:])))
-        return out
-
-    def word_vtt(text: str) -> list[tuple[str, int, int]]:
-        out = []
-        for block in map(strip, re.split(r"\n\n+", strip(text))):
-            at, tagged = plain["WORD_VTT_TIME"].search(block), re.search(r"\n(.*?<c>.*?</c>.*)", block)
-            if at and tagged:
-                found = plain["STAMPED_WORD"].findall(f"<{at[1]}>{re.sub('</?c>', '', tagged[1])}<{at[2]}>")
-                out += [(strip(word), vtt_clock(a), vtt_clock(b)) for (a, word), (b, _) in zip(found, found[1:], strict=False)]
-        return out
-
-    return {"cue_parse_srt": srt, "cue_parse_vtt": vtt, "cue_parse_word_vtt": word_vtt}
-
-
-def _table_function(parse: Callable[[str], list[tuple[str, int, int]]]):
-    """A table function of one text: its cues without blank ones, by (start, end, place), numbered from 0."""
-
-    class Cues:
-        def eval(self, content: str):
-            found = [c for c in parse(content or "") if c[0].strip()]
-            for i, (text, start, end) in enumerate(sorted(found, key=lambda c: c[1:])):
-                yield i, text, start, end
-
-    return F.udtf(Cues, returnType=CUES)
-
-
 def register(spark: SparkSession) -> list[str]:
     """Names of the functions that SQL can call from now on; ``cue_parse_...`` are table functions."""
     from cuespark.operators import align
+    from cuespark.sources import cues
 
     for name, (arguments, kind, body) in SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
     python = {"cue_similarity": (align.similarity, "double"), "cue_inline_diff": (align.inline_diff, "string"), "cue_change_log": (align.change_log, "string")}
     for name, (function, kind) in python.items():
         spark.udf.register(name, F.pandas_udf(_pairwise(function), kind))
-    tables = {name: _table_function(parse) for name, parse in _parsers().items()}
-    for name, function in tables.items():
-        spark.udtf.register(name, function)
+    tables = {f"cue_parse_{name}": parse("content") for name, parse in cues.FORMATS.items()}
+    for name, parsed in tables.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(content STRING) RETURNS TABLE({cues.CUES}) RETURN SELECT c.ord, c.text, c.start_ms, c.end_ms FROM (SELECT explode({parsed}) AS c)")
     return [*SQL, *python, *tables]

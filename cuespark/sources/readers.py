@@ -1,7 +1,7 @@
 """Readers: speech-recognition JSON, SRT, WebVTT, word-level VTT, configuration.
 
 Each parser has two layers: a DataFrame function over text rows (``doc_id, content``), and a reader that
-loads files.  File content is decoded as UTF-8, or GBK where that is not valid.
+loads files.  File content is decoded as UTF-8, or GBK where that is not valid; CRLF and CR become LF.
 """
 
 from __future__ import annotations
@@ -13,48 +13,52 @@ from pathlib import Path
 from string import Template
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespark.functions import text as T
 from cuespark.functions import timing
 from cuespark.operators.sentences import order_segments
+from cuespark.sources import cues
 
 WORDS_JSON = "word_segments array<struct<word:string,start:double,end:double,score:double>>"
 SCAN_JSON = "segments array<string>"
-# The cue formats.
-SRT_TIME = r"^(\d{2}):(\d{2}):(\d{1,2})[.,](\d{3})" + f"{T.SPACE}-->{T.SPACE}" + r"(\d{2}):(\d{2}):(\d{1,2})[.,](\d{3})"
-VTT_TIME = r"^(?:(\d{2}):)?(\d{2}):(\d{2})\.(\d{3})\s*-->\s*(?:(\d{2}):)?(\d{2}):(\d{2})\.(\d{3})"
-WORD_VTT_TIME = r"^(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})"
-STAMPED_WORD = r"<(\d{2}:\d{2}:\d{2}\.\d{3})>([^<]*)"
+def _gbk(content: pd.Series) -> pd.DataFrame:
+    def one(raw: bytes | None) -> tuple[str | None, str | None]:
+        try:
+            return (None if raw is None else bytes(raw).decode("gbk")), None
+        except UnicodeDecodeError as fault:
+            return None, f"neither UTF-8 nor GBK: {fault.reason}"
 
+    return pd.DataFrame([one(raw) for raw in content], columns=["text", "fault"], dtype=object)
 
-def _decode(content: pd.Series) -> pd.Series:
-    def one(raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        try:
-            return bytes(raw).decode("utf-8")
-        except UnicodeDecodeError:
-            return bytes(raw).decode("gbk")
 
-    return content.map(one)
+def texts_of(files: DataFrame) -> DataFrame:
+    """``files(path, content)`` of bytes -> ``doc_id, content, fault``: UTF-8 or else GBK, line ends as reading a text file
+    gives them; what is neither has a fault and no content.  Valid UTF-8 does not leave the JVM."""
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    other = F.pandas_udf(_gbk, "text string, fault string")(F.when(~valid, F.col("content")))
+    read = files.select(F.col("path").alias("doc_id"), F.when(valid, text).alias("text"), other.alias("other"))
+    return read.select("doc_id", F.expr(cues.unified("coalesce(text, other.text)")).alias("content"), F.col("other.fault").alias("fault"))
 
 
-def decoded(content: str | Column) -> Column:
-    """Bytes as UTF-8, else GBK."""
-    return F.pandas_udf(_decode, "string")(content)
+def read_texts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``doc_id`` (the path), ``content`` and ``fault`` of whole files, from any store that Spark reads; ``pattern`` (a glob of
+    names) is applied while files are listed."""
+    reader = spark.read.format("binaryFile")
+    return texts_of((reader.option("pathGlobFilter", pattern) if pattern else reader).load(path))
 
 
 def read_files(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
-    """``doc_id`` (the path) and ``content`` of whole files; another suffix than the one asked for is an error row by row."""
-    files = spark.read.format("binaryFile").load(path)
-    name = F.col("path")
+    """``doc_id`` (the path) and ``content`` of whole files; a file that cannot be decoded or has another suffix than the
+    one asked for is an error when its row is read."""
+    name, fault = F.col("doc_id"), F.concat(F.lit("Undecodable file: "), F.col("doc_id"), F.lit(", "), F.col("fault"))
+    files = read_texts(spark, path).select(name, F.when(F.col("fault").isNotNull(), F.raise_error(fault).cast("string")).otherwise(F.col("content")).alias("content"))
     if suffix:
         bad = F.raise_error(F.concat(F.lit("Unsupported file format: "), name))
-        name = F.when(F.lower(name).endswith(suffix), name).otherwise(bad.cast("string"))
-    return files.select(name.alias("doc_id"), decoded("content").alias("content"))
+        files = files.withColumn("doc_id", F.when(F.lower(name).endswith(suffix), name).otherwise(bad.cast("string")))
+    return files
 
 
 def parse_word_json(docs: DataFrame) -> DataFrame:
@@ -92,51 +96,23 @@ def parse_scan_json(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return segments.select("doc_id", "segment_index"), words
 
 
-# What ends a line of text, as Python's ``splitlines`` has it.
-LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
-
-
-def _cues(docs: DataFrame, separator: str) -> DataFrame:
-    blocks = F.split(T.strip(F.col("content")), separator)
-    return docs.select("doc_id", F.posexplode(blocks).alias("ord", "block"))
+def _parsed(docs: DataFrame, expression: str) -> DataFrame:
+    return docs.select("doc_id", F.inline(F.expr(expression)))
 
 
 def parse_srt(docs: DataFrame) -> DataFrame:
-    """Cues of SRT texts; a block needs three lines, the second beginning with the times."""
-    unified = docs.withColumn("content", F.regexp_replace("content", LINE_END, "\n"))
-    lines = _cues(unified, rf"\n{T.SPACE}*\n").withColumn("lines", F.split(F.regexp_replace("block", r"\n$", ""), "\n"))
-    timed = lines.where((F.size("lines") >= 3) & F.get("lines", F.lit(1)).rlike(SRT_TIME))
-    part = [F.regexp_extract(F.get("lines", F.lit(1)), SRT_TIME, i) for i in range(1, 9)]
-    body = F.transform(F.slice("lines", F.lit(3), F.size("lines")), lambda x: T.strip(F.regexp_replace(x, r"(?:\\h)+$", "")))
-    return order_segments(timed.select("doc_id", "ord", F.array_join(body, " ").alias("text"), timing.clock_ms(*part[:4]).alias("start_ms"), timing.clock_ms(*part[4:]).alias("end_ms")))
+    """Cues of SRT texts (``cues.srt``)."""
+    return _parsed(docs, cues.srt("content"))
 
 
 def parse_vtt(docs: DataFrame) -> DataFrame:
-    """Cues of WebVTT texts: header, note and style blocks before the first other block are skipped, the
-    first line with an arrow holds the times, inline tags are dropped."""
-    blocks = F.transform(F.split(T.strip(F.col("content")), "\n\n"), T.strip)
-    heads = F.transform(blocks, lambda b: b.startswith("WEBVTT") | b.startswith("NOTE") | b.startswith("STYLE"))
-    body = F.slice(blocks, F.coalesce(F.nullif(F.array_position(heads, F.lit(False)), F.lit(0)), F.size(blocks) + 1).cast("int"), F.greatest(F.size(blocks), F.lit(1)))
-    rows = docs.select("doc_id", F.posexplode(body).alias("ord", "block")).withColumn("lines", F.split("block", "\n"))
-    at = F.array_position(F.transform("lines", lambda x: x.contains("-->")), F.lit(True)).cast("int")
-    timed = rows.withColumn("at", at).where("at > 0").withColumn("time", T.strip(F.element_at("lines", F.col("at")))).where(F.col("time").rlike(VTT_TIME))
-    part = [F.regexp_extract("time", VTT_TIME, i) for i in range(1, 9)]
-    joined = F.array_join(F.slice("lines", F.col("at") + 1, F.size("lines")), " ")
-    text = T.strip(F.regexp_replace(F.regexp_replace(joined, r"<\d{2}:\d{2}:\d{2}\.\d{3}>", ""), r"</?[a-zA-Z][^>]*>", ""))
-    return order_segments(timed.select("doc_id", "ord", text.alias("text"), timing.clock_ms(*part[:4]).alias("start_ms"), timing.clock_ms(*part[4:]).alias("end_ms")))
+    """Cues of WebVTT texts (``cues.vtt``)."""
+    return _parsed(docs, cues.vtt("content"))
 
 
 def parse_word_vtt(docs: DataFrame) -> DataFrame:
-    """Words of VTT texts with a timestamp before each word: a word ends where the next begins."""
-    rows = _cues(docs, "\n\n+").withColumn("block", T.strip(F.col("block"))).where(F.col("block").rlike(WORD_VTT_TIME))
-    tagged = F.regexp_extract("block", r"\n(.*?<c>.*?</c>.*)", 1)
-    start, end = (F.regexp_extract("block", WORD_VTT_TIME, i) for i in (1, 2))
-    line = F.concat(F.lit("<"), start, F.lit(">"), F.regexp_replace(tagged, "</?c>", ""), F.lit("<"), end, F.lit(">"))
-    found = rows.where(tagged != "").select("doc_id", F.col("ord").alias("cue"), F.regexp_extract_all(line, F.lit(STAMPED_WORD), F.lit(1)).alias("at"), F.regexp_extract_all(line, F.lit(STAMPED_WORD), F.lit(2)).alias("word"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("at") - 1), lambda i: F.struct(F.element_at("word", i).alias("text"), F.element_at("at", i).alias("a"), F.element_at("at", i + 1).alias("b")))
-    words = found.where(F.size("at") > 1).select("doc_id", "cue", F.posexplode(pairs).alias("n", "w"))
-    order = W.partitionBy("doc_id").orderBy("cue", "n")
-    return order_segments(words.select("doc_id", F.row_number().over(order).alias("ord"), T.strip(F.col("w.text")).alias("text"), timing.vtt_ms(F.col("w.a")).alias("start_ms"), timing.vtt_ms(F.col("w.b")).alias("end_ms")))
+    """Words of VTT texts with a timestamp before each word (``cues.word_vtt``)."""
+    return _parsed(docs, cues.word_vtt("content"))
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:

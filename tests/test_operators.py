@@ -421,8 +421,9 @@ def test_srt_parse_and_write(spark):
     got = readers.parse_srt(spark.createDataFrame([(1, raw), (2, "")], "doc_id long, content string")).collect()
     assert [(r.text, r.start_ms, r.end_ms) for r in got] == [("raw line", 0, 1000), ("二", 2500, 3000)]
     entries = spark.createDataFrame([(1, 1, 0, 1000, "a"), (1, 2, 1000, 2000, " "), (1, 3, 2000, 3000, "c"), (2, 1, 0, 1, "")], "doc_id long, number int, start_ms long, end_ms long, text string")
-    odd = "1\u202800:00:00,000 --> 00:00:01,000\x0ba\x85\u20282\r00:00:01,000 --> 00:00:02,000\x0cc"
-    assert [r.text for r in readers.parse_srt(spark.createDataFrame([(1, odd)], "doc_id long, content string")).collect()] == ["a", "c"]
+    # blocks end at empty lines of \n alone; any other line end only divides the lines of a block
+    odd = "1\u202800:00:00,000 --> 00:00:01,000\x0ba\u2028\u2028b\x85\n\x0c\n2\u202800:00:01,000 --> 00:00:02,000\x1cc\n\n\n3\n00:00:03,000 --> 00:00:04,000\n\u2028"
+    assert [r.text for r in readers.parse_srt(spark.createDataFrame([(1, odd)], "doc_id long, content string")).collect()] == ["a  b", "c"]
     srt = {r.doc_id: r.srt for r in writers.srt(entries).collect()}
     assert srt == {1: "1\n00:00:00,000 --> 00:00:01,000\na\n\n3\n00:00:02,000 --> 00:00:03,000\nc\n", 2: ""}
 
@@ -459,6 +460,31 @@ def test_vtt_parsers(spark):
     assert [(r.text, r.start_ms, r.end_ms) for r in got] == [("Hello", 1000, 1500), ("big", 1500, 2000), ("world", 2000, 3000)]
 
 
+def test_line_ends_and_encodings(spark, tmp_path):
+    """Files with CRLF or CR, or in GBK, give what the same file with LF in UTF-8 gives."""
+    texts = {
+        "srt": "1\n00:00:00,000 --> 00:00:01,000\n你好\nb\n\n2\n00:00:01,000 --> 00:00:02,000\nc\n",
+        "vtt": "WEBVTT\n\n00:01.000 --> 00:02.000\n你好\n\n\n\n00:03.000 --> 00:04.000\nb\nc\n",
+        "word_vtt": "WEBVTT\n\n00:00:01.000 --> 00:00:03.000\nplain\n你<00:00:01.500><c> 好</c>\n\n00:00:03.000 --> 00:00:04.000\nx<c> y</c>\n",
+    }
+    for name, text in texts.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        for end, mark in (("lf", "\n"), ("crlf", "\r\n"), ("cr", "\r")):
+            for code in ("utf-8", "gbk"):
+                (folder / f"{end}-{code}.txt").write_bytes(text.replace("\n", mark).encode(code))
+        (folder / "bad.txt").write_bytes(b"\xff\xff\x81")
+        (folder / "other.bin").write_bytes(b"x")
+        files = readers.read_texts(spark, str(folder), "*.txt")
+        assert files.count() == 7 and [r.fault for r in files.where("fault IS NOT NULL").collect()] == ["neither UTF-8 nor GBK: illegal multibyte sequence"]
+        rows = {}
+        for r in readers._parsed(files, readers.cues.FORMATS[name]("content")).collect():
+            rows.setdefault(r.doc_id, []).append((r.ord, r.text, r.start_ms, r.end_ms))
+        assert len(rows) == 6 and len({str(sorted(x)) for x in rows.values()}) == 1 and len(next(iter(rows.values()))) >= 2
+        with pytest.raises(Exception, match="Undecodable file"):
+            readers.read_files(spark, str(folder / "bad.txt")).collect()
+
+
 def test_word_json_files(spark, tmp_path):
     doc = {"word_segments": [{"word": " b ", "start": 1.001, "end": 2.0}, {"word": "a", "start": 0.5, "end": 0.75}, {"word": "c"}, {"word": " "}]}
     (tmp_path / "x.json").write_bytes(json.dumps(doc | {"note": "你好"}, ensure_ascii=False).encode("gbk"))
