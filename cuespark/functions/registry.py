@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from cuespark.functions import text as T
 
@@ -25,14 +21,6 @@ SQL = {
 }
 
 
-def _pairwise(function):
-    def over(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in columns:
-            yield pd.Series([None if x is None or y is None else function(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
-
-    return over
-
-
 def register(spark: SparkSession) -> list[str]:
     """Names of the functions that SQL can call from now on; ``cue_parse_...`` are table functions."""
     from cuespark.operators import align
@@ -40,9 +28,9 @@ def register(spark: SparkSession) -> list[str]:
 
     for name, (arguments, kind, body) in SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
-    python = {"cue_similarity": (align.similarity, "double"), "cue_inline_diff": (align.inline_diff, "string"), "cue_change_log": (align.change_log, "string")}
-    for name, (function, kind) in python.items():
-        spark.udf.register(name, F.pandas_udf(_pairwise(function), kind))
+    python = {"cue_similarity": align.similarity_udf, "cue_inline_diff": align.inline_diff_udf, "cue_change_log": align.change_log_udf}
+    for name, function in python.items():
+        spark.udf.register(name, function)
     tables = {f"cue_parse_{name}": parse("content") for name, parse in cues.FORMATS.items()}
     for name, parsed in tables.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(content STRING) RETURNS TABLE({cues.CUES}) RETURN SELECT c.ord, c.text, c.start_ms, c.end_ms FROM (SELECT explode({parsed}) AS c)")
