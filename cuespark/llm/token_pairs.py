@@ -4,11 +4,12 @@ Two tokenizers cut the same bytes (a space and the text).  Where tokens of both
 link is an occurrence of a token of A and one of B whose byte ranges overlap.  A pair of ids is one int64 key
 (``b << 32 | a``):
 
-1. every task counts the keys of its documents with ``np.unique`` and writes them as sorted partial counts;
+1. every task aligns its documents, counts their keys with ``np.unique`` and writes the sorted partial counts; beside
+   them it writes, compressed, which links each document has, so that texts are tokenized once;
 2. the partial counts are range-partitioned and sorted by key over the whole cluster; each range adds up its runs of
    equal keys and writes one sorted shard: a file of keys and a file of counts in the shared folder;
-3. every task reads its documents again and looks their keys up by binary search in the shards, which it maps into
-   memory (only the pages that are touched are read; a store that cannot be mapped is read shard by shard).
+3. every task reads its documents' links again and looks their keys up by binary search in the shards, which it maps
+   into memory (only the pages that are touched are read; a store that cannot be mapped is read shard by shard).
 
 Texts are cut into parts at spaces (``words.parts``) whose tokens and links do not depend on what stands around them,
 so a worker aligns each distinct part once; its tables are bounded by bytes.  What goes to the driver is one row a shard
@@ -59,7 +60,7 @@ class Pair:
     """Both tokenizers, and what is known of the parts of texts: a number for each part, and by number its tokens,
     groups and links."""
 
-    def __init__(self, a: str, b: str, max_bytes: int = 384 << 20):
+    def __init__(self, a: str, b: str, max_bytes: int):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -87,7 +88,6 @@ class Pair:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.rows: list[np.ndarray] = []  # n_a, n_b, n_groups, n_links, whole of each part
-        self.sums, self.of = np.zeros((2, 0), np.int64), ""  # n_best, count_sum of each part by the counts of that name
         self.links: list[np.ndarray] = []
         self.texts: list[bytes] = []
         self.held = 0
@@ -146,19 +146,6 @@ class Pair:
         stops = np.cumsum(n).tolist()
         return ["".join(named[x:y])[:-1].encode() for x, y in zip([0, *stops], stops, strict=False)]
 
-    def weigh(self, counts: Counts) -> np.ndarray:
-        """By number: how many links of the part are their id of B's most frequent ones, and the sum of its links' counts."""
-        table = self.table()
-        if self.of != counts.name:
-            self.sums, self.of = np.zeros((2, 0), np.int64), counts.name
-        known = self.sums.shape[1]
-        upto = np.cumsum(table[3])
-        links = self.links[0][upto[known - 1] if known else 0 :] if self.links else np.zeros(0, np.int64)
-        of = np.concatenate([[0], np.cumsum(table[3][known:])])
-        added = [np.diff(np.concatenate([[0], np.cumsum(x)])[of]) for x in counts.of(links)]
-        self.sums = np.concatenate([self.sums, np.stack(added)], axis=1)
-        return self.sums
-
     def numbers(self, texts: list[str]) -> list[list[int]]:
         """The numbers of the parts of each text.  Begins anew if the tables have grown too large, so numbers hold
         until the next call."""
@@ -185,7 +172,7 @@ class Counts:
     """Counts of pairs in sorted shards, and the highest count of each id of B."""
 
     def __init__(self, shards: list[tuple[int, int, str]], best: np.ndarray, open_at_once: int = 64):
-        self.first, self.name = np.array([s[0] for s in shards], np.int64), shards[0][2] if shards else "none"
+        self.first = np.array([s[0] for s in shards], np.int64)
         self.shards, self.best, self.open_at_once = shards, best, open_at_once
         self.opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -218,47 +205,84 @@ class Counts:
         return ((found == self.best[distinct >> 32]) & (found > 0))[back], found[back]
 
 
-_pairs: dict[tuple[str, str], Pair] = {}
+_pairs: dict[tuple, Pair] = {}
+
+
+def pair(*key) -> Pair:
+    """One for each two vocabularies, bound and Python worker."""
+    if key not in _pairs:
+        _pairs[key] = Pair(*key)
+    return _pairs[key]
+
+
+#: A row is a slice of documents (``rows``; which parts each has, ``n_parts`` of them, as numbers in ``parts``; the keys of
+#: each distinct part, ``n_links`` of them, in ``links``) or a partial count (``key, n``).
+ALIGNED = "rows array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string>>, n_parts binary, parts binary, n_links binary, links binary, key bigint, n bigint"
+_ROW = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+_PACKED = (("n_parts", "<u4"), ("parts", "<u4"), ("n_links", "<u4"), ("links", "<i8"))
+
 
+def _pack(values: np.ndarray, kind: str) -> bytes:
+    raw = values.astype(kind).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-def pair(a: str, b: str) -> Pair:
-    """One for each two vocabularies and Python worker; what is known of parts serves both passes over the documents."""
-    if (a, b) not in _pairs:
-        _pairs[a, b] = Pair(a, b)
-    return _pairs[a, b]
 
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd"), kind).astype(np.int64)
 
-def partial_counts(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """``key, n``: how many links of each task's documents hold a pair, keys ascending; one row a task and key, or more
-    if a task meets so many distinct parts that its tables begin anew."""
+
+def aligned(docs: DataFrame, a: str, b: str, max_bytes: int = 384 << 20) -> DataFrame:
+    """``ALIGNED`` rows of all documents.  A key has one partial count a task, or more if a task meets so many distinct
+    parts that its tables begin anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pair(a, b)
+        p = pair(a, b, max_bytes)
         seen = np.zeros(0, np.int64)
+        packed = [pa.field(name, pa.binary()) for name, _ in _PACKED]
 
         def summed() -> pa.RecordBatch:
             table, links = p.table(), p.links[0]
             times = np.repeat(seen, table[3][: len(seen)])
             keys, back = np.unique(links[: len(times)][times > 0], return_inverse=True)
             n = np.bincount(back, times[times > 0], len(keys)).astype(np.int64)  # exact: doubles below 2**53
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+            none = [pa.nulls(len(keys), kind) for kind in (rows_kind, *(f.type for f in packed))]
+            return pa.RecordBatch.from_arrays([*none, pa.array(keys), pa.array(n)], names)
 
+        rows_kind = pa.list_(pa.struct([(c, pa.string() if c == "groups_sha256" else pa.int64()) for c in _ROW]))
+        names = ["rows", *(f.name for f in packed), "key", "n"]
         for batch in text_slices(batches):
             if p.held > p.max_bytes and len(seen):
                 yield summed()
                 seen = np.zeros(0, np.int64)
             numbers = p.numbers([t.decode() for t in raw_texts(batch.column("text"))])
             flat, of = _flat(numbers)
-            if not len(flat):
-                continue
-            whole = _over(p.table()[4][flat] == 0, of) == 0
-            used = np.bincount(flat[np.repeat(whole, np.diff(of))], minlength=len(p.texts))
+            table, texts = p.table(), p.texts
+            fine = _over(table[4][flat] == 0, of) == 0
+            sums = [pa.array(np.where(fine, _over(table[i][flat], of), 0)) for i in range(4)]
+            digests = [hashlib.sha256(b";".join(map(texts.__getitem__, x))).hexdigest() if x and ok else "" for x, ok in zip(numbers, fine.tolist(), strict=True)]
+            rows = pa.StructArray.from_arrays([batch.column("doc_id"), *sums, pa.array(digests, pa.string())], _ROW)
+            # what the documents with tokens have: each distinct part's links once
+            flat = flat[np.repeat(fine, np.diff(of))]
+            own, back = np.unique(flat, return_inverse=True)
+            n_links, first = table[3][own], (np.cumsum(table[3]) - table[3])[own]
+            links = p.links[0][spans(first, n_links)] if len(own) else own
+            values = (np.where(fine, np.diff(of), 0), back, n_links, links)
+            cells = [pa.array([_pack(v, kind)], pa.binary()) for v, (_, kind) in zip(values, _PACKED, strict=True)]
+            whole = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([whole, *cells, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
+            used = np.bincount(flat, minlength=len(texts))
             used[: len(seen)] += seen
             seen = used
         if seen.any():
             yield summed()
 
-    return docs.select("text").mapInArrow(tidy(run), "key long, n long")
+    return docs.mapInArrow(tidy(run), ALIGNED)
+
+
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``starts[i], starts[i] + 1, ...`` (``counts[i]`` of them) for each i in a row."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
 
 
 def _flat(numbers: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -322,15 +346,12 @@ def write_counts(partial: DataFrame, folder: str, shard_rows: int = 1 << 20, mos
     return sorted(spread.mapInArrow(tidy(run), MANIFEST).collect(), key=lambda r: r["first"])  # ``most_shards`` rows at most
 
 
-def count_pairs(docs: DataFrame, a: str, b: str, folder: str | None = None, **options) -> tuple[list[tuple[int, int, str]], np.ndarray]:
-    """Shards of corpus-wide counts (first key, rows, path) and the highest count of each id of B."""
-    import sentencepiece
-
-    spark = docs.sparkSession
-    folder = folder or shared_dir(spark)
+def count_pairs(partial: DataFrame, n_ids: int, folder: str | None = None, **options) -> tuple[list[tuple[int, int, str]], np.ndarray]:
+    """Shards of corpus-wide counts (first key, rows, path) and the highest count of each of the ``n_ids`` ids of B."""
+    folder = folder or shared_dir(partial.sparkSession)
     folder = folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "", 1)
-    rows = write_counts(stage(partial_counts(docs, a, b)), folder, **options)
-    best = np.zeros(sentencepiece.SentencePieceProcessor(model_file=b).get_piece_size(), np.int64)
+    rows = write_counts(partial, folder, **options)
+    best = np.zeros(n_ids, np.int64)
     for r in rows:
         ids = np.frombuffer(r["ids"], "<i8")
         best[ids] = np.maximum(best[ids], np.frombuffer(r["best"], "<i8"))
@@ -340,21 +361,22 @@ def count_pairs(docs: DataFrame, a: str, b: str, folder: str | None = None, **op
 def align(docs: DataFrame, a: str, b: str, folder: str | None = None, **options) -> DataFrame:
     """Align the tokens of every document (``a``: a tokenizers file of byte-level BPE, ``b``: a SentencePiece model) and
     weigh its links by the counts of all documents, as ``OUT``."""
-    docs = docs_of(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(count_pairs(docs, a, b, folder, **options))
+    import sentencepiece
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, best = sent.value
-        counts, p = Counts(shards, best), pair(a, b)
-        for batch in text_slices(batches):
-            numbers = p.numbers([t.decode() for t in raw_texts(batch.column("text"))])
-            flat, of = _flat(numbers)
-            table = np.concatenate([p.table(), p.weigh(counts)])
-            fine = _over(table[4][flat] == 0, of) == 0
-            n_a, n_b, n_groups, n_links, n_best, total = (np.where(fine, _over(table[i][flat], of), 0) for i in (0, 1, 2, 3, 5, 6))
-            texts = p.texts
-            digests = [hashlib.sha256(b";".join(map(texts.__getitem__, x))).hexdigest() if x and ok else "" for x, ok in zip(numbers, fine.tolist(), strict=True)]
-            columns = [pa.array(x) for x in (n_a, n_b, n_groups, n_links, n_best, total)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(digests, pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+    found = stage(aligned(docs_of(docs), a, b))
+    n_ids = sentencepiece.SentencePieceProcessor(model_file=b).get_piece_size()
+    sent = docs.sparkSession.sparkContext.broadcast(count_pairs(found.where("key IS NOT NULL").select("key", "n"), n_ids, folder, **options))
 
-    return docs.mapInArrow(tidy(run), OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(*sent.value)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = batch.column("rows").slice(k, 1).flatten()
+                n_parts, parts_, n_links, links = (_unpack(batch.column(c)[k].as_py(), kind) for c, kind in _PACKED)
+                each = np.cumsum(np.concatenate([[0], n_links]))
+                of = np.cumsum(np.concatenate([[0], n_parts]))
+                n_best, total = (pa.array(_over(_over(x, each)[parts_], of)) for x in counts.of(links))
+                column = dict(zip(_ROW, rows.flatten(), strict=True))
+                yield pa.RecordBatch.from_arrays([*(column[c] for c in _ROW[:-1]), n_best, total, column["groups_sha256"]], [*_ROW[:-1], "n_best", "count_sum", "groups_sha256"])
+
+    return found.where("rows IS NOT NULL").select("rows", *(c for c, _ in _PACKED)).mapInArrow(tidy(run), OUT)

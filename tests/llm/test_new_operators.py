@@ -171,7 +171,7 @@ def brute_pairs(texts):
 
     a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     a.encode_special_tokens = True
-    p = token_pairs.Pair(A, B)
+    p = token_pairs.Pair(A, B, 1 << 28)
     cut = lambda ids, table: [bytes(table[0][table[1][i] : table[1][i + 1]]) for i in ids]
     aligned, counts = [], Counter()
     for t in texts:
@@ -229,13 +229,9 @@ def test_tables_that_begin_anew(spark, data):
     """Counts are whole if a worker's tables are emptied again and again within a task."""
     from cuespark.llm.common import docs_of
 
-    class Small(token_pairs.Pair):
-        def __init__(self, *paths):
-            super().__init__(*paths, max_bytes=200_000)
-
     texts = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").where("doc_id % 3 = 0")
-    found = token_pairs.partial_counts(docs_of(texts).repartition(1), A, B).groupBy("key").agg(F.sum("n").alias("n"))
-    plain, small = Counter(), Small(A, B)
+    found = token_pairs.aligned(docs_of(texts).repartition(1), A, B, 200_000).where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
+    plain, small = Counter(), token_pairs.Pair(A, B, 1 << 28)
     for (text,) in texts.select("text").collect():
         numbers = small.numbers([text or ""])[0]
         table, starts = small.table(), np.cumsum([0, *small.table()[3]])
@@ -243,11 +239,13 @@ def test_tables_that_begin_anew(spark, data):
             for n in numbers:
                 plain.update(small.links[0][starts[n] : starts[n + 1]].tolist())
     assert {r.key: r.n for r in found.collect()} == plain
+    repeated = token_pairs.aligned(docs_of(texts).repartition(1), A, B, 200_000).where("key IS NOT NULL").groupBy("key").count()
+    assert repeated.agg(F.max("count")).first()[0] > 1
 
 
 def test_parts_are_those_of_the_whole_text():
     """The library's ids of parts in a row are those of the text, whatever character stands before, after and beside a cut."""
-    p = token_pairs.Pair(A, B)
+    p = token_pairs.Pair(A, B, 1 << 28)
     chars = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000 and c != 0x2581]
     texts = [f"x{c} y{c}'s {c} 1{c}" for c in chars]
     for at in range(0, len(texts), 50_000):
