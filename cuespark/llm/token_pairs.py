@@ -231,7 +231,7 @@ def _unpack(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd"), kind).astype(np.int64)
 
 
-def aligned(docs: DataFrame, a: str, b: str, max_bytes: int = 384 << 20) -> DataFrame:
+def aligned(docs: DataFrame, a: str, b: str, max_bytes: int = 384 << 20, slice_bytes: int = 4 << 20) -> DataFrame:
     """``ALIGNED`` rows of all documents.  A key has one partial count a task, or more if a task meets so many distinct
     parts that its tables begin anew."""
 
@@ -250,7 +250,7 @@ def aligned(docs: DataFrame, a: str, b: str, max_bytes: int = 384 << 20) -> Data
 
         rows_kind = pa.list_(pa.struct([(c, pa.string() if c == "groups_sha256" else pa.int64()) for c in _ROW]))
         names = ["rows", *(f.name for f in packed), "key", "n"]
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, slice_bytes):
             if p.held > p.max_bytes and len(seen):
                 yield summed()
                 seen = np.zeros(0, np.int64)

@@ -230,7 +230,7 @@ def test_tables_that_begin_anew(spark, data):
     from cuespark.llm.common import docs_of
 
     texts = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").where("doc_id % 3 = 0")
-    found = token_pairs.aligned(docs_of(texts).repartition(1), A, B, 200_000).where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
+    found = token_pairs.aligned(docs_of(texts).repartition(1), A, B, 200_000, 20_000).where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
     plain, small = Counter(), token_pairs.Pair(A, B, 1 << 28)
     for (text,) in texts.select("text").collect():
         numbers = small.numbers([text or ""])[0]
@@ -239,7 +239,7 @@ def test_tables_that_begin_anew(spark, data):
             for n in numbers:
                 plain.update(small.links[0][starts[n] : starts[n + 1]].tolist())
     assert {r.key: r.n for r in found.collect()} == plain
-    repeated = token_pairs.aligned(docs_of(texts).repartition(1), A, B, 200_000).where("key IS NOT NULL").groupBy("key").count()
+    repeated = token_pairs.aligned(docs_of(texts).repartition(1), A, B, 200_000, 20_000).where("key IS NOT NULL").groupBy("key").count()
     assert repeated.agg(F.max("count")).first()[0] > 1
 
 
