@@ -492,6 +492,18 @@ def text_similarity(spark, sf_dir):
     return p.select("conv_id", "turn", align.similarity_udf("before", "after").alias("similarity"))
 
 
+@query
+def repeated_words_diff(spark, sf_dir):
+    """Turns against themselves with their halves exchanged or every third word left out, words as they are: many of them
+    occur several times, so which ones are kept is the matcher's choice."""
+    w, half = T.tokens(F.col("text")), F.floor(F.size("w") / 2).cast("int")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(w, F.array().cast("array<string>")).alias("w"))
+    swapped = F.concat(F.slice("w", half + 1, F.size("w")), F.slice("w", F.lit(1), half))
+    fewer = F.filter("w", lambda _, i: i % 3 != 1)
+    p = c.select("conv_id", "turn", F.array_join("w", " ").alias("before"), F.array_join(F.when(F.col("turn") % 2 == 0, swapped).otherwise(fewer), " ").alias("after"))
+    return p.select("*", align.inline_diff_udf("before", "after").alias("diff"), align.similarity_udf("before", "after").alias("similarity"))
+
+
 @query
 def correction_gate(spark, sf_dir):
     """What the correction gate says of edits, every fifth of which rewrites the whole turn."""
