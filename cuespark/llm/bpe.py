@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cuespark.llm.common import docs_of, raw_texts, text_slices, tidy
-from cuespark.llm.words import Known, parts
+from cuespark.llm.words import Known, latin, latin_pieces, parts
 
 #: The byte-level alphabet's printable bytes stand for themselves, the others follow from 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -60,7 +60,7 @@ def piece_finder(vocabulary: str) -> Callable[[str], list[str]]:
     from tokenizers import Tokenizer
 
     classes = Classes(Tokenizer.from_file(vocabulary).pre_tokenizer.pre_tokenize_str)
-    return lambda text: [text[slice(*m.span())] for m in PIECE.finditer(text.translate(classes))]
+    return lambda text: latin_pieces(text) if latin(text) else [text[slice(*m.span())] for m in PIECE.finditer(text.translate(classes))]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -101,7 +101,9 @@ class Codec:
         self.pieces = piece_finder(path)
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.fits: dict[tuple[int, int], bool] = {}
-        self.opening, self.known = Known(lambda found: map(self._encode_part, found), 8 << 20), Known(lambda found: [self._encode_part(" " + p) for p in found])
+        known = Known(lambda found: map(self._encode_piece, found), 64 << 20)
+        self.opening = Known(lambda found: known.results([self.pieces(p) for p in found]), 8 << 20)
+        self.known = Known(lambda found: known.results([self.pieces(" " + p) for p in found]))
         # decoding: one blob of all token bytes and the offsets of each id in it
         size = max([*self.token_bytes, *self.added.values()]) + 1
         texts = [b""] * size
@@ -179,9 +181,9 @@ class Codec:
                 token = shorter[token]
         return tokens
 
-    def _encode_part(self, part: str) -> bytes:
+    def _encode_piece(self, piece: str) -> bytes:
         packed = self.packed
-        return b"".join([packed[r] for piece in self.pieces(part) for r in self.ranks(piece.encode())])
+        return b"".join([packed[r] for r in self.ranks(piece.encode())])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

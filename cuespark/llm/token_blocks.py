@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuespark.llm.common import docs_of, input_bytes, parts_for, raw_texts, shared_dir, stage, text_slices, tidy
-from cuespark.llm.words import Known, joined_ids, parts
+from cuespark.llm.words import Known, joined_ids, latin, latin_pieces, parts, simple
 
 BLOCK, PERCENTILE = 1024, 95
 MAGIC = b"PFOR0001"
@@ -170,9 +170,10 @@ _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to packed ids with the tokenizers library, one for each vocabulary and Python worker.
 
-    Every text goes to the library in the parts of ``words.parts``, cut where its pre-tokenizer cuts in any case; a
-    part that a worker has met lately is not given again, and new ones are given many at a time.  What a letter, a number or a pre-token is, the library
-    decides alone.  Texts that hold an added token go to the library whole.
+    Texts are cut in the parts of ``words.parts``, parts of characters below U+0100 further in their pre-tokens; at both
+    places the library's pre-tokenizer cuts in any case.  What a worker has not met lately goes to the library, many
+    pieces at a time.  What else is a letter, a number or a pre-token, the library decides alone.  Texts that hold an
+    added token go to it whole.
     """
     if vocabulary in _encoders:
         return _encoders[vocabulary]
@@ -193,12 +194,18 @@ def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     def after_space(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
-    def split_again(found: list[str]) -> list[bytes]:
-        ids, counts = joined_ids(found, after_space, lengths)
+    def learn(found: list[str]) -> list[bytes]:
+        plain = [p for p in found if simple(p)]
+        ids, counts = joined_ids([p[1:] for p in plain], after_space, lengths)
         raw, stops = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-
-    opening, known = Known(ids_of, 8 << 20), Known(split_again)
+        known = dict(zip(plain, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        rest = [p for p in found if p not in known]
+        known.update(zip(rest, ids_of(rest), strict=True))
+        return [*map(known.__getitem__, found)]
+
+    pieces = Known(learn, 64 << 20)
+    opening = Known(lambda found: pieces.results([latin_pieces(p) if latin(p) else [p] for p in found]), 8 << 20)
+    known = Known(lambda found: pieces.results([latin_pieces(" " + p) if latin(p) else [" " + p] for p in found]))
 
     def encode(texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if any(a in t for a in added)]

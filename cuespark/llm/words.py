@@ -4,13 +4,16 @@ Byte-level BPE splits a text in pre-tokens, and no pre-token goes on from a char
 space; a SentencePiece vocabulary without such a token (``PieceCodec`` looks) never merges across that border either.
 So a text is cut before every space that follows anything but white space, each part is encoded by itself, and the ids
 of the parts in a row are those of the whole text.  Only white space matters here, whose set no longer changes; which
-characters are letters or numbers is left to the tokenizer.
+characters are letters or numbers is left to the tokenizer, but for those below U+0100 (``latin_pieces``), whose classes
+are fixed.
 
 ``Known`` keeps results of parts in a worker, bounded by bytes.
 """
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -22,11 +25,28 @@ _LAST = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | {"\u180e"
 LONGEST = 64
 
 
+_UNEVEN = re.compile("[" + re.escape("".join(sorted(_LAST))) + r"](?: |\Z)|^(?: |\Z)").search
+#: Letters, numbers and white space below U+0100.
+_L, _N, _S = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+#: The pre-tokens of byte-level BPE in a text of characters below U+0100.
+latin_pieces = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+_SIMPLE = re.compile(f" [{_L}]+").fullmatch
+
+
+def latin(text: str) -> bool:
+    return text.isascii() or max(text) < "\u0100"  # no empty text gets here: it is ASCII
+
+
+def simple(piece: str) -> bool:
+    """A space and letters below U+0100: such pieces may stand side by side."""
+    return _SIMPLE(piece) is not None
+
+
 def parts(text: str) -> list[str]:
     """``text`` cut at the spaces that follow anything but white space; these spaces are left out:
     ``" ".join(parts(text)) == text``."""
     words = text.split(" ")
-    if not any(not w or w[-1] in _LAST for w in words):
+    if not _UNEVEN(text):
         return words
     out: list[str] = []
     held: list[str] = []
@@ -74,7 +94,7 @@ class Known:
     """Results by part, in two tables: beyond ``max_bytes`` (parts, results and their overhead) the younger one becomes the
     older one, whose parts come back when they are met again."""
 
-    def __init__(self, solve: Callable[[list[str]], Iterable[bytes]], max_bytes: int = 64 << 20):
+    def __init__(self, solve: Callable[[list[str]], Iterable[bytes]], max_bytes: int = 128 << 20):
         self.solve, self.max_bytes, self.held = solve, max_bytes, 0
         self.table: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
