@@ -1,8 +1,12 @@
-"""Result caches as tables: keys, probes, TTL, append.
-
-A cache is a Parquet table ``cache_key, value, created_at, expires_at``.  A probe splits requests into
-hits (joined with the newest live value) and misses (anti join); only misses reach a completer (see
-``completion.remembered``).
+"""Result caches as tables: keys, probes, time to live, compaction.
+
+A cache is a Parquet table ``cache_key, value, created_at, expires_at`` in folders by ``bucket``, the first digits of the
+key's hash.  A probe splits requests into hits (joined with the newest live value) and misses (anti join); only misses
+reach a completer (see ``completion.remembered``).  ``entries_for`` reads only the buckets that requests fall in, so a
+probe of few keys reads few files of a large cache; inside a file rows are sorted by key and have Bloom filters, which
+Parquet uses for keys that are asked for by name.  ``compact`` leaves one file a bucket with the newest live entry of
+each key: it writes new files first and then removes those it has read, so a reader sees entries twice at worst, and
+what is appended meanwhile stays.
 """
 
 from __future__ import annotations
@@ -10,9 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuespark.sources.tables import exists
+from cuespark.sources.tables import delete_files, exists
 
 ENTRY = "cache_key string, value string, created_at timestamp, expires_at timestamp"
+_STORED = f"{ENTRY}, bucket string"
+#: Hexadecimal digits of a bucket: 256 buckets.
+DIGITS = 2
 
 # Seconds a result lives.
 COMPLETION_TTL, TRANSLATION_TTL = 3_600_000, 604_800
@@ -32,6 +39,10 @@ def chunk_key(kind: str, chunk: Column, language: str, model: str | None = None,
     return F.concat_ws(":", *parts)
 
 
+def bucket(key: Column) -> Column:
+    return F.substring(F.md5(key.cast("binary")), 1, DIGITS)
+
+
 def live(cache: DataFrame, now: Column) -> DataFrame:
     """The newest entry of each key that has not expired."""
     newest = F.max_by(F.struct("value", "created_at", "expires_at"), F.struct("created_at", "expires_at", "value"))
@@ -53,8 +64,35 @@ def entries(results: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
 
 def entries_of(spark: SparkSession, path: str) -> DataFrame | None:
     """The cache table at ``path``; None if nothing was ever added to it."""
-    return spark.read.schema(ENTRY).parquet(path) if exists(spark, path) else None
+    return spark.read.schema(_STORED).parquet(path) if exists(spark, path) else None
+
+
+def entries_for(requests: DataFrame, path: str) -> DataFrame | None:
+    """The entries that ``requests(cache_key)`` may hit, from the folders of their buckets alone."""
+    stored = entries_of(requests.sparkSession, path)
+    if stored is None:
+        return None
+    wanted = [r[0] for r in requests.select(bucket(F.col("cache_key"))).distinct().collect()]  # 16**DIGITS at most
+    return stored.where(F.col("bucket").isin(wanted)).drop("bucket")
+
+
+def add(rows: DataFrame, path: str) -> None:
+    """Append ``ENTRY`` rows, sorted by key in the files of their buckets."""
+    placed = rows.select("cache_key", "value", "created_at", "expires_at", bucket(F.col("cache_key")).alias("bucket"))
+    spread = placed.repartition("bucket").sortWithinPartitions("bucket", "cache_key")
+    spread.write.mode("append").option("parquet.bloom.filter.enabled#cache_key", "true").partitionBy("bucket").parquet(path)
 
 
 def append(results: DataFrame, path: str, ttl_seconds: int) -> None:
-    entries(results, F.current_timestamp(), ttl_seconds).write.mode("append").parquet(path)
+    add(entries(results, F.current_timestamp(), ttl_seconds), path)
+
+
+def compact(spark: SparkSession, path: str, now: Column | None = None) -> int:
+    """Rewrite the cache without expired and outdated entries; the number of files that are gone."""
+    stored = entries_of(spark, path)
+    if stored is None:
+        return 0
+    read = stored.inputFiles()
+    snapshot = spark.read.schema(_STORED).option("basePath", path).parquet(*read) if read else stored
+    add(live(snapshot, F.current_timestamp() if now is None else now), path)
+    return delete_files(spark, read)

@@ -64,3 +64,12 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         file = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_at)
         file.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(file, True)
+
+
+def delete_files(spark: SparkSession, paths: list[str]) -> int:
+    """Delete files by name; how many of them were there."""
+    gone = 0
+    for path in paths:
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, False))
+    return gone

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cuespark.functions import text as T
 from cuespark.functions import timing
+from cuespark.sources import sink
 
 
 def srt_entry(number: Column, start_ms: Column, end_ms: Column, text: Column) -> Column:
@@ -72,9 +73,11 @@ def segments_text(words: DataFrame) -> DataFrame:
     return words.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), " ").alias("text"))
 
 
-def write_texts(texts: DataFrame, column: str, path: str) -> None:
-    """One folder for each document, holding its text."""
-    texts.select("doc_id", F.col(column).alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_texts(texts: DataFrame, column: str, path: str, suffix: str = ".txt") -> None:
+    """One file a document, named by its id (``sink``): all of them or, where a task fails for good, none."""
+    sink.register(texts.sparkSession)
+    files = texts.select(F.col("doc_id").cast("string").alias("name"), F.col(column).cast("string").alias("content"))
+    files.repartition("name").write.format("text_files").option("suffix", suffix).mode("overwrite").save(path)
 
 
 def repeat_report(summary: dict, phrases: list[dict], hits: list[dict], n: int = 30) -> str:

@@ -13,7 +13,7 @@ from cuespark.operators import align, cache, calls, completion, joins, prefix, r
 from cuespark.operators import sentences as S
 from cuespark.plans import captions, workspace
 from cuespark.plans.queries import Rehearsed
-from cuespark.sources import readers, writers
+from cuespark.sources import readers, sink, writers
 from cuespark.streaming import facade
 
 SEGMENTS = "doc_id long, ord int, text string, start_ms long, end_ms long"
@@ -305,8 +305,7 @@ def test_a_second_run_asks_nothing(spark, tmp_path):
     assert log.count() == 5 and {r.status for r in log.collect()} == {"success"}
     session.enabled = False
     assert run(session) == ([3, 2, 3], rows) and run(None) == ([3, 2, 3], rows)  # without a memory every batch is asked
-    expired = cache.entries_of(spark, session.cache("correct")).withColumn("expires_at", F.lit("2000-01-01").cast("timestamp")).collect()
-    spark.createDataFrame(expired, cache.ENTRY).write.mode("overwrite").parquet(session.cache("correct"))
+    assert cache.compact(spark, session.cache("correct"), F.lit("2100-01-01").cast("timestamp")) > 0  # as if all had expired
     session.enabled = True
     assert run(session) == ([2, 0, 0], rows)
 
@@ -430,9 +429,56 @@ def test_srt_parse_and_write(spark):
 
 def test_texts_are_written_by_document(spark, tmp_path):
     entries = spark.createDataFrame([(1, 1, 0, 1000, "a"), (2, 1, 5, 6, "b"), (2, 2, 6, 7, "c\nd")], "doc_id long, number int, start_ms long, end_ms long, text string")
-    writers.write_texts(writers.srt(entries), "srt", str(tmp_path / "srt"))
-    got = {p.name: "".join(f.read_text() for f in sorted(p.glob("part-*"))) for p in (tmp_path / "srt").glob("doc_id=*")}
-    assert got == {f"doc_id={r.doc_id}": r.srt + "\n" for r in writers.srt(entries).collect()}
+    folder = tmp_path / "srt"
+    expected = {f"{r.doc_id}.srt": r.srt for r in writers.srt(entries).collect()}
+    files = lambda: {p.name: p.read_text() for p in folder.iterdir()}
+    for _ in range(2):  # running it again leaves the same files
+        writers.write_texts(writers.srt(entries), "srt", str(folder), ".srt")
+        assert files() == expected
+    writers.write_texts(writers.srt(entries.where("doc_id = 2")), "srt", f"file://{folder}", ".srt")
+    assert files().keys() == {"2.srt"}
+    odd = ["a/b", "a%2Fb", ".hidden", "名 前", "x", "X?", "_"]
+    named = spark.createDataFrame([(n, f"text of {n}") for n in odd], "doc_id string, t string")
+    writers.write_texts(named, "t", str(folder))
+    assert sorted(files().values()) == sorted([*(f"text of {n}" for n in odd), expected["2.srt"]]) and "名 前.txt" in files()
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    folder = tmp_path / "out"
+    good = spark.createDataFrame([(str(i), "x") for i in range(20)], "name string, content string").repartition(4)
+    sink.register(spark)
+    good.write.format("text_files").mode("append").save(str(folder))
+    before = sorted(p.name for p in folder.iterdir())
+    assert len(before) == 20
+    later = good.select(F.concat(F.lit("n"), "name").alias("name"), "content")
+    bad = later.union(spark.createDataFrame([(None, "y")], "name string, content string"))
+    twice = later.union(later).repartition(1)
+    broken = later.withColumn("content", F.when(F.col("name") == "n7", F.raise_error(F.lit("stop")).cast("string")).otherwise("x"))
+    for rows, what in ((bad, "needs a name"), (twice, "two rows"), (broken, "stop")):
+        with pytest.raises(Exception, match=what):
+            rows.write.format("text_files").mode("append").save(str(folder))
+        assert sorted(p.name for p in folder.iterdir()) == before
+
+
+def test_a_probe_reads_few_files_and_compaction_drops_expired_rows(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = lambda n, value: spark.createDataFrame([(f"k{i}", f"{value}{i}") for i in range(n)], "cache_key string, value string")
+    cache.append(rows(400, "old"), path, 3600)
+    cache.append(rows(200, "new"), path, 3600)
+    cache.append(spark.createDataFrame([(f"gone{i}", "x") for i in range(100)], "cache_key string, value string"), path, -60)
+    requests = spark.createDataFrame([("k7",), ("k350",), ("gone3",), ("never",)], "cache_key string")
+    every, few = cache.entries_of(spark, path), cache.entries_for(requests, path)
+    read = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert len(every.inputFiles()) > 250 and read(few) <= 12
+    assert "PartitionFilters: [bucket" in few._jdf.queryExecution().toString()
+    now = F.current_timestamp()
+    found = lambda: sorted(tuple(r) for r in cache.hits(requests, cache.entries_for(requests, path), now).collect())
+    assert found() == [("k350", "old350"), ("k7", "new7")]
+    assert cache.misses(requests, few, now).count() == 2
+    gone = cache.compact(spark, path)
+    after = cache.entries_of(spark, path)
+    assert gone > 250 and after.count() == 400 and len(after.inputFiles()) <= 256 and found() == [("k350", "old350"), ("k7", "new7")]
+    assert cache.compact(spark, str(tmp_path / "none")) == 0 and cache.entries_for(requests, str(tmp_path / "none")) is None
 
 
 def test_tables_need_a_shared_folder(spark):
