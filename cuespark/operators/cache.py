@@ -3,8 +3,8 @@
 A cache is a Parquet table ``cache_key, value, created_at, expires_at`` in folders by ``bucket``, the first digits of the
 key's hash.  A probe splits requests into hits (joined with the newest live value) and misses (anti join); only misses
 reach a completer (see ``completion.remembered``).  ``entries_for`` reads only the buckets that requests fall in, so a
-probe of few keys reads few files of a large cache; inside a file rows are sorted by key and have Bloom filters, which
-Parquet uses for keys that are asked for by name.  ``compact`` leaves one file a bucket with the newest live entry of
+probe of few keys reads few files of a large cache; inside a file rows are sorted by key, so pages have narrow key
+ranges.  ``compact`` leaves one file a bucket with the newest live entry of
 each key: it writes new files first and then removes those it has read, so a reader sees entries twice at worst, and
 what is appended meanwhile stays.
 """
@@ -80,7 +80,7 @@ def add(rows: DataFrame, path: str) -> None:
     """Append ``ENTRY`` rows, sorted by key in the files of their buckets."""
     placed = rows.select("cache_key", "value", "created_at", "expires_at", bucket(F.col("cache_key")).alias("bucket"))
     spread = placed.repartition("bucket").sortWithinPartitions("bucket", "cache_key")
-    spread.write.mode("append").option("parquet.bloom.filter.enabled#cache_key", "true").partitionBy("bucket").parquet(path)
+    spread.write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def append(results: DataFrame, path: str, ttl_seconds: int) -> None:
