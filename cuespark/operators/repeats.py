@@ -3,20 +3,65 @@
 Tokens: ``doc_id, segment_index, i, raw, norm, start, end``.  A run of period p is an island of positions
 where a token equals the one p places on; islands are folded per (segment, p) from left to right, each
 clipped to the end of the last hit, which is the greedy leftmost-longest scan without visiting tokens
-one by one.  Only islands and hits are collected, never tokens.
+one by one.  Only islands and hits are collected, never tokens.  Folding and selection go once through a segment's
+islands and hits (Arrow functions over whole batches), however many there are.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from cuespark.functions import text as T
 
 SEGMENT = ["doc_id", "segment_index"]
 
 
+HITS = ArrayType(StructType([StructField(c, IntegerType()) for c in ("st", "k", "island")]))
+
+
+def _lists(column: pa.Array) -> list[list]:
+    stops = column.offsets.to_numpy()
+    flat = column.flatten().to_pylist()
+    first = int(stops[0]) if len(stops) else 0
+    return [flat[a - first : b - first] for a, b in zip(stops.tolist(), stops.tolist()[1:], strict=False)]
+
+
+def _folded(starts: pa.Array, lengths: pa.Array, least: pa.Array, period: pa.Array) -> pa.Array:
+    """Hits of islands in order: each island is clipped to the end of the last hit."""
+    out = []
+    for st, ln, fewest, p in zip(_lists(starts), _lists(lengths), least.to_pylist(), period.to_pylist(), strict=True):
+        end, hits = 0, []
+        for island, (a, n) in enumerate(zip(st, ln, strict=True)):
+            begin = max(a, end)
+            k = (a + n - begin) // p + 1
+            if a + n > end and k >= fewest:
+                hits.append({"st": begin, "k": k, "island": island})
+                end = begin + p * k
+        out.append(hits)
+    return pa.array(out, pa.list_(pa.struct([(c, pa.int32()) for c in ("st", "k", "island")])))
+
+
+def _kept(starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """Which of a segment's hits, in the order of preference, overlap none that is kept before.
+
+    No hit is longer than those before it, so one that overlaps it covers its first or its last token."""
+    out = []
+    for st, en in zip(_lists(starts), _lists(ends), strict=True):
+        low = min(st, default=0)
+        taken, keep = bytearray(max(en, default=low) - low), []
+        for a, b in zip(st, en, strict=True):
+            free = not (taken[a - low] or taken[b - 1 - low])
+            if free:
+                taken[a - low : b - low] = b"\x01" * (b - a)
+            keep.append(free)
+        out.append(keep)
+    return pa.array(out, pa.list_(pa.bool_()))
+
+
 def number_tokens(words: DataFrame, normalize=T.normalize_token) -> DataFrame:
     """Words (``doc_id, segment_index, ord, raw, start, end``) with a normal form, numbered from 0 in ``i``."""
     order = W.partitionBy(*SEGMENT).orderBy("ord")
@@ -43,15 +88,9 @@ def runs(tokens: DataFrame, min_word_run: int = 5, min_phrase_run: int = 4, max_
     least = F.when(F.col("p") == 1, min_word_run).otherwise(min_phrase_run)
     islands = islands.where(F.col("len") >= F.col("p") * (least - 1))
     folded = islands.groupBy(*SEGMENT, "p").agg(F.array_sort(F.collect_list(F.struct("st", "len", (F.col("ahead") if phrases else none).alias("ahead")))).alias("islands"))
-    fold = f"""
-      aggregate(islands, named_struct('end', 0, 'hits', cast(array() AS array<struct<st:int,k:int,at:int,ahead:array<string>>>)), (acc, x) ->
-        if(x.st + x.len > acc.end AND int((x.st + x.len - greatest(x.st, acc.end)) div p) + 1 >= if(p = 1, {min_word_run}, {min_phrase_run}),
-           named_struct(
-             'end', greatest(x.st, acc.end) + p * (int((x.st + x.len - greatest(x.st, acc.end)) div p) + 1),
-             'hits', concat(acc.hits, array(named_struct('st', greatest(x.st, acc.end), 'k', int((x.st + x.len - greatest(x.st, acc.end)) div p) + 1, 'at', x.st, 'ahead', x.ahead)))),
-           acc),
-        acc -> acc.hits)"""
-    found = folded.select(*SEGMENT, "p", F.expr(fold).alias("hits")).select(*SEGMENT, "p", F.explode("hits").alias("h"))
+    hits = F.arrow_udf(_folded, HITS)("islands.st", "islands.len", F.when(F.col("p") == 1, min_word_run).otherwise(min_phrase_run), "p")
+    found = folded.select(*SEGMENT, "p", "islands", F.explode(hits).alias("x"))
+    found = found.select(*SEGMENT, "p", F.struct("x.st", "x.k", F.col("islands")[F.col("x.island")]["st"].alias("at"), F.col("islands")[F.col("x.island")]["ahead"].alias("ahead")).alias("h"))
     turn = F.pmod(F.col("h.st") - F.col("h.at"), "p")
     rotated = F.concat(F.slice("h.ahead", turn + 1, F.col("p") - turn), F.slice("h.ahead", F.lit(1), turn))
     columns = [F.col("p").alias("phrase_len"), F.col("h.st").alias("start_token"), (F.col("h.st") + F.col("p") * F.col("h.k")).alias("end_token"), F.col("h.k").alias("repeat_count")]
@@ -65,10 +104,9 @@ def select_hits(hits: DataFrame) -> DataFrame:
         F.col("start_token").alias("st"), F.col("end_token").alias("en"), (F.col("phrase") if "phrase" in hits.columns else F.lit(None).cast("string")).alias("phrase"),
     )
     grouped = hits.groupBy(*SEGMENT).agg(F.array_sort(F.collect_list(key)).alias("hits"))
-    fold = """
-      aggregate(hits, cast(array() AS array<struct<a:int,b:int,c:int,st:int,en:int,phrase:string>>), (kept, x) ->
-        if(exists(kept, y -> y.en > x.st AND x.en > y.st), kept, concat(kept, array(x))))"""
-    rows = grouped.select(*SEGMENT, F.explode(F.expr(fold)).alias("h"))
+    keep = F.arrow_udf(_kept, ArrayType(BooleanType()))("hits.st", "hits.en")
+    marked = grouped.select(*SEGMENT, "hits", keep.alias("keep"))
+    rows = marked.select(*SEGMENT, F.explode(F.filter("hits", lambda _, i: F.col("keep")[i])).alias("h"))
     return rows.select(*SEGMENT, (-F.col("h.b")).alias("phrase_len"), F.col("h.st").alias("start_token"), F.col("h.en").alias("end_token"), (-F.col("h.c")).alias("repeat_count"), *(["h.phrase"] if "phrase" in hits.columns else []))
 
 

@@ -674,3 +674,49 @@ def test_cancellable_jobs(spark):
         assert spark.range(3).count() == 3
     with pytest.raises(KeyError), workspace.cancellable(spark, "two"):
         raise KeyError
+
+
+def test_many_hits_in_one_segment(spark):
+    """100,000 hits: selected in seconds, as a plain greedy scan over sorted ends selects them."""
+    import bisect
+
+    rng = random.Random(12)
+    rows = {}
+    while len(rows) < 100_000:
+        p, k, st = rng.randrange(1, 5), rng.randrange(4, 30), rng.randrange(600_000)
+        rows[st, p] = (1, 0, p, st, st + p * k, k)
+    hits = spark.createDataFrame(list(rows.values()), "doc_id long, segment_index int, phrase_len int, start_token int, end_token int, repeat_count int")
+    began = time.time()
+    got = sorted(tuple(r) for r in repeats.select_hits(hits).select("start_token", "end_token", "phrase_len").collect())
+    assert time.time() - began < 60
+    starts, kept = [], {}
+    for _, _, p, st, en, k in sorted(rows.values(), key=lambda r: (r[3] - r[4], -r[2], -r[5], r[3])):
+        at = bisect.bisect_left(starts, en)
+        if at == 0 or kept[starts[at - 1]][1] <= st:
+            bisect.insort(starts, st)
+            kept[st] = (st, en, p)
+    assert got == sorted(kept.values()) and len(got) > 5_000
+
+
+def test_many_islands_in_one_segment(spark):
+    """Runs against a scan of tokens one by one, where repeats follow upon repeats."""
+    rng = random.Random(5)
+    norm = []
+    while len(norm) < 20_000:
+        phrase = [rng.choice("abc") for _ in range(rng.randrange(1, 5))]
+        norm += phrase * rng.randrange(1, 9)
+    words = spark.createDataFrame([(1, 0, i, w, 0.0, 0.0) for i, w in enumerate(norm)], "doc_id long, segment_index int, ord int, raw string, start double, end double")
+    expected = []
+    for p in range(1, 5):
+        at = 0
+        while at + 2 * p <= len(norm):
+            k = 1
+            while norm[at + k * p : at + (k + 1) * p] == norm[at : at + p] and at + (k + 1) * p <= len(norm):
+                k += 1
+            if k >= (5 if p == 1 else 4):
+                expected.append((p, at, at + p * k, k))
+                at += p * k
+            else:
+                at += 1
+    found = repeats.runs(repeats.number_tokens(words)).select("phrase_len", "start_token", "end_token", "repeat_count").collect()
+    assert sorted(map(tuple, found)) == sorted(expected) and len(expected) > 500
