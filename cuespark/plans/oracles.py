@@ -146,6 +146,11 @@ numbered AS (SELECT *, ((row_number() OVER (ORDER BY sentence_index) - 1) // 20)
 SELECT batch_id, min_by(start_ms, sentence_index) AS start_ms, max_by(end_ms, sentence_index) AS end_ms, count(*)::INTEGER AS n_sentences, md5(string_agg(text, chr(10) ORDER BY sentence_index)) AS texts_md5
 FROM numbered GROUP BY batch_id""",
     "recording_words": f"WITH {RECORDING} SELECT ord, text, start_ms, end_ms FROM words",
+    "merged_status": """
+WITH cut AS (SELECT conv_id, coalesce(max(turn) FILTER (WHERE turn % 7 = 5), -1) AS since FROM conversations GROUP BY conv_id),
+c AS (SELECT conv_id, turn, role, md5(coalesce(text, '')) AS h FROM conversations JOIN cut USING (conv_id) WHERE turn >= since)
+SELECT conv_id, max(turn)::BIGINT AS turn, arg_max(h, turn) FILTER (WHERE role = 'user') AS user_md5, arg_max(h, turn) FILTER (WHERE role = 'assistant') AS assistant_md5,
+       count(DISTINCT turn)::INTEGER AS n_seen, count(*)::INTEGER AS n_updates FROM c GROUP BY conv_id""",
     "sentence_groups": f"WITH {SENTENCES} SELECT * FROM sentences",
     "regrouped_words": f"WITH {WORDS} SELECT doc_id, count(*) AS n_words, max(ord)::BIGINT AS last_ord, sum(ord * 300::BIGINT)::BIGINT AS start_sum FROM words GROUP BY doc_id",
     "long_sentences": f"WITH {SENTENCES} SELECT doc_id, sentence_index, {n_words('text')} AS n_words FROM sentences WHERE {n_words('text')} > 18",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cuespark.functions import languages, timing
 from cuespark.functions import text as T
-from cuespark.operators import align, cache, completion, joins, repeats
+from cuespark.operators import align, cache, completion, joins, repeats, status
 from cuespark.operators import sentences as S
 from cuespark.plans import captions
 from cuespark.sources import readers, writers
@@ -362,6 +362,21 @@ def cache_keys(spark, sf_dir):
     return c.select("conv_id", "turn", cache.cache_key(F.col("conv_id"), F.col("turn")).alias("cache_key"))
 
 
+@query
+def merged_status(spark, sf_dir):
+    """Turns as updates of their conversation's status: the last turn, each role's last text, a mark a turn; every seventh
+    turn from the sixth on starts anew."""
+    c = table(spark, sf_dir, "conversations")
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    update = F.to_json(F.struct("turn", F.map_from_arrays(F.array("role"), F.array(F.struct(text.alias("text")))).alias("last"), F.map_from_arrays(F.array(F.concat(F.lit("t"), F.col("turn").cast("string"))), F.array(F.lit(1))).alias("seen")))
+    log = c.select(F.col("conv_id").cast("string").alias("key"), update.alias("update"), (F.col("turn") % 7 == 5).alias("replace"), F.lit("2024-01-01").cast("timestamp").alias("at"), F.lit("w").alias("writer"), F.col("turn").cast("long").alias("seq"))
+    field = lambda path: F.get_json_object("status", path)
+    return status.current(log).select(
+        F.col("key").cast("long").alias("conv_id"), field("$.turn").cast("long").alias("turn"), field("$.last.user.text").alias("user_md5"),
+        field("$.last.assistant.text").alias("assistant_md5"), F.size(F.json_object_keys(field("$.seen"))).alias("n_seen"), F.col("n_updates"),
+    )
+
+
 # --- sources and sinks
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
-from cuespark.operators import align, cache, calls, completion, joins, prefix, repeats
+from cuespark.operators import align, cache, calls, completion, joins, prefix, repeats, status
 from cuespark.operators import sentences as S
 from cuespark.plans import captions, workspace
 from cuespark.plans.queries import Rehearsed
@@ -720,3 +720,26 @@ def test_many_islands_in_one_segment(spark):
                 at += 1
     found = repeats.runs(repeats.number_tokens(words)).select("phrase_len", "start_token", "end_token", "repeat_count").collect()
     assert sorted(map(tuple, found)) == sorted(expected) and len(expected) > 500
+
+
+def test_status_table(spark, tmp_path):
+    path = str(tmp_path / "status")
+    rows = lambda *x: spark.createDataFrame([(k, u if isinstance(u, str) else json.dumps(u), r, i) for i, (k, u, r) in enumerate(x)], "key string, update string, replace boolean, seq long")
+    state = lambda: {r.key: json.loads(r.status) for r in status.current(status.log_of(spark, path)).collect()}
+    assert state() == {} and status.compact(spark, path) == 0
+    status.append(rows(("a", {"x": {"p": 1, "q": 2}, "s": "one"}, False), ("b", {"n": 1}, False), ("a", {"x": {"q": None}}, False), (None, {"z": 1}, False)), path)
+    assert state() == {"a": {"x": {"p": 1, "q": None}, "s": "one"}, "b": {"n": 1}, None: {"z": 1}}
+    writers_ = [InheritableThread(target=lambda i=i: status.append(rows(("a", {"w": {str(i): i}}, False)), path)) for i in range(4)]
+    for w in writers_:
+        w.start()
+    for w in writers_:
+        w.join()
+    assert state()["a"]["w"] == {str(i): i for i in range(4)}  # none is lost
+    status.append(rows(("b", {"m": 2}, True), ("b", {"o": [1, {"k": None}]}, False)), path)
+    before = state()
+    assert before["b"] == {"m": 2, "o": [1, {"k": None}]}
+    assert status.compact(spark, path) >= 6 and state() == before and status.log_of(spark, path).count() == 3
+    status.append(rows(("b", {"m": {"deep": 1}}, False)), path)
+    assert state()["b"]["m"] == {"deep": 1}
+    with pytest.raises(Exception, match="JSON object"):
+        status.current(spark.createDataFrame([("a", "[1]", False, None, "w", 1)], status.LOG)).collect()
