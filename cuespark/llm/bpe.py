@@ -11,8 +11,8 @@ Encoding one piece (a pre-token) in time linear in its length:
 
 A sequence whose neighbouring pairs are all compatible is the one that the merges produce, so the
 result equals the merge loop's.  Compatibility is decided by undoing merges from the boundary outwards
-and memoised.  Texts are cut at spaces (``words.parts``); parts repeat, so their ids are kept in a table that is bounded
-by bytes.  Which characters are letters, numbers or white space is asked of the vocabulary's own pre-tokenizer, one
+and memoised.  Pieces repeat, so their ids are kept in a table that is bounded by bytes.  Which characters are
+letters, numbers or white space is fixed below U+0100; above, it is asked of the vocabulary's own pre-tokenizer, one
 probe for each character that occurs: pattern libraries know other versions of Unicode than it does.
 
 Defined results: null text encodes as empty; the added tokens of the vocabulary file are matched in the
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cuespark.llm.common import docs_of, raw_texts, text_slices, tidy
-from cuespark.llm.words import Known, latin, latin_pieces, parts
+from cuespark.llm.words import Known, latin, latin_pieces
 
 #: The byte-level alphabet's printable bytes stand for themselves, the others follow from 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -101,9 +101,7 @@ class Codec:
         self.pieces = piece_finder(path)
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.fits: dict[tuple[int, int], bool] = {}
-        known = Known(lambda found: map(self._encode_piece, found), 64 << 20)
-        self.opening = Known(lambda found: known.results([self.pieces(p) for p in found]), 8 << 20)
-        self.known = Known(lambda found: known.results([self.pieces(" " + p) for p in found]))
+        self.known = Known(lambda found: map(self._encode_piece, found))
         # decoding: one blob of all token bytes and the offsets of each id in it
         size = max([*self.token_bytes, *self.added.values()]) + 1
         texts = [b""] * size
@@ -199,8 +197,7 @@ class Codec:
             yield [self.added[p].to_bytes(4, "little") if p in self.added else next(plain) for p in found]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        cut = [parts(t) for t in texts]
-        return [a + b for a, b in zip(self.opening.results([c[:1] for c in cut]), self.known.results([c[1:] for c in cut]), strict=True)]
+        return self.known.results([self.pieces(t) for t in texts])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids; the library's text is these bytes with faults replaced (``errors='replace'``)."""

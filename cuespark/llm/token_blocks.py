@@ -170,10 +170,10 @@ _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to packed ids with the tokenizers library, one for each vocabulary and Python worker.
 
-    Texts are cut in the parts of ``words.parts``, parts of characters below U+0100 further in their pre-tokens; at both
-    places the library's pre-tokenizer cuts in any case.  What a worker has not met lately goes to the library, many
-    pieces at a time.  What else is a letter, a number or a pre-token, the library decides alone.  Texts that hold an
-    added token go to it whole.
+    Texts of characters below U+0100 are cut in their pre-tokens, others in the parts of ``words.parts``; at both places
+    the library's pre-tokenizer cuts in any case.  What a worker has not met lately goes to the library, many pieces at
+    a time.  What else is a letter, a number or a pre-token, the library decides alone.  Texts that hold an added token
+    go to it whole.
     """
     if vocabulary in _encoders:
         return _encoders[vocabulary]
@@ -203,16 +203,20 @@ def library_encoder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
         known.update(zip(rest, ids_of(rest), strict=True))
         return [*map(known.__getitem__, found)]
 
-    pieces = Known(learn, 64 << 20)
-    opening = Known(lambda found: pieces.results([latin_pieces(p) if latin(p) else [p] for p in found]), 8 << 20)
-    known = Known(lambda found: pieces.results([latin_pieces(" " + p) if latin(p) else [" " + p] for p in found]))
+    known = Known(learn)
+
+    def cut(text: str) -> list[str]:
+        if latin(text):
+            return latin_pieces(text)
+        first, *others = parts(text)
+        return [first, *(" " + p for p in others)]
 
     def encode(texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if any(a in t for a in added)]
-        cut = [parts(t) for t in texts]
+        pieces = [cut(t) for t in texts]
         for i in whole:
-            cut[i] = []
-        out = [a + b for a, b in zip(opening.results([c[:1] for c in cut]), known.results([c[1:] for c in cut]), strict=True)]
+            pieces[i] = []
+        out = known.results(pieces)
         for i, ids in zip(whole, ids_of([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out

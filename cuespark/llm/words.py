@@ -34,7 +34,13 @@ _SIMPLE = re.compile(f" [{_L}]+").fullmatch
 
 
 def latin(text: str) -> bool:
-    return text.isascii() or max(text) < "\u0100"  # no empty text gets here: it is ASCII
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def simple(piece: str) -> bool:
@@ -42,11 +48,21 @@ def simple(piece: str) -> bool:
     return _SIMPLE(piece) is not None
 
 
+_ASCII_LAST = [c + " " for c in sorted(_LAST) if c.isascii()]
+
+
+def _uneven(text: str) -> bool:
+    """Whether some space follows white space or nothing, or white space ends the text."""
+    if text.isascii():
+        return not text or text[0] == " " or text[-1] in _LAST or any(two in text for two in _ASCII_LAST)
+    return _UNEVEN(text) is not None
+
+
 def parts(text: str) -> list[str]:
     """``text`` cut at the spaces that follow anything but white space; these spaces are left out:
     ``" ".join(parts(text)) == text``."""
     words = text.split(" ")
-    if not _UNEVEN(text):
+    if not _uneven(text):
         return words
     out: list[str] = []
     held: list[str] = []
@@ -103,17 +119,14 @@ class Known:
         """The joined results of the parts of each text."""
         table, old = self.table, self.old
         missing = set().union(*texts).difference(table)
-        back = {p: old[p] for p in missing.intersection(old)} if old else {}
-        new, once = list(missing.difference(back)), {}
+        back = {p: old[p] for p in missing if p in old}
+        new = [p for p in missing if p not in back] if back else [*missing]
         for at in range(0, len(new), 8192):
             group = new[at : at + 8192]
             back.update(zip(group, self.solve(group), strict=True))
-        for part, result in back.items():
-            if len(part) > LONGEST:
-                once[part] = result
-            else:
-                table[part] = result
-                self.held += 160 + 2 * len(part) + len(result)
+        once = {p: back.pop(p) for p in [p for p in back if len(p) > LONGEST]}
+        table.update(back)
+        self.held += 160 * len(back) + 2 * sum(map(len, back)) + sum(map(len, back.values()))
         find = {**table, **once}.__getitem__ if once else table.__getitem__
         out = [b"".join(map(find, t)) for t in texts]
         if self.held > self.max_bytes:
