@@ -9,9 +9,11 @@ one bit masked out), variants are matched by equality, and the matches are verif
 
 Copies meet as one fingerprint before anything is paired.  A set of fingerprints that share a variant is
 never expanded into all pairs: the worker that holds it verifies within the set and emits the links of a
-spanning forest (at most one link less than members), which has the same components.  Sets above
-``large_set`` members (and more than there are ways to flip bits) are not compared with themselves: each print with up to d bits flipped is looked up
-among the others (see ``_forest``), so their work grows with the set and not with its square.
+spanning forest (at most one link less than members), which has the same components.  Variants that a sample
+shows to be crowded are cut by further bits (see ``finer``), so that no task gathers such a set: with d = 2
+a cut set has 512 prints at most.  Sets above ``large_set`` members that the sample did not show (and more than
+there are ways to flip bits) are not compared with themselves: each print with up to d bits flipped is looked
+up among the others (see ``_forest``), so their work grows with the set and not with its square.
 
 Defined results: fewer words than a shingle: the whole sequence is the shingle; no words or null text:
 fingerprint 0, linked like any other; null ids never become a component's id unless all of it is null;
@@ -137,17 +139,60 @@ def _forest(prints: np.ndarray, distance: int, large_set: int) -> Iterator[tuple
             yield from forest.links(met, at[met])
 
 
-def _keys(distance: int):
+#: Pieces that the bits outside a segment are cut into where a variant is crowded.
+PIECES = 8
+
+
+def finer(prints: np.ndarray, keys: np.ndarray, first: int, bits: int, distance: int) -> np.ndarray:
+    """Keys (rows: prints, columns: choices of pieces) within sets of equal ``keys``: the bits outside the segment are cut
+    into pieces, of which two prints differ in ``distance`` at most, so in some choice all others are equal.  A set then
+    holds no more prints than the pieces left out have values, times the two of the wildcard."""
+    outside = [b for b in range(BITS) if not first <= b < first + bits]
+    cuts = [len(outside) * i // PIECES for i in range(PIECES + 1)]
+    masks = [sum(1 << b for b in outside[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    choices = list(combinations(range(PIECES), min(distance, PIECES)))
+    out = np.empty((len(prints), len(choices)), np.uint64)
+    for n, left_out in enumerate(choices):
+        kept = np.uint64(sum(m for i, m in enumerate(masks) if i not in left_out))
+        mixed = ((prints & kept) ^ (keys + np.uint64(n + 1))) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, n] = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) ^ keys
+    return out
+
+
+def _keys(distance: int, crowded=None):
+    """``key, print`` rows; for a key that ``crowded`` holds its ``finer`` ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.zeros(0, np.uint64) if crowded is None else crowded.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 prints = batch.column("print").slice(at, 4096).to_numpy().view(np.uint64)
-                keys = np.concatenate([variants(prints, first, bits, tag) for tag, (first, bits) in enumerate(segments(distance))], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(prints, keys.shape[1]).view(np.int64))], ["key", "print"])
+                for tag, (first, bits) in enumerate(segments(distance)):
+                    keys = variants(prints, first, bits, tag)
+                    row, column = np.nonzero(np.isin(keys, hot)) if len(hot) else (np.zeros(0, np.int64),) * 2
+                    plain = np.ones(keys.shape, bool)
+                    plain[row, column] = False
+                    yield _pairs(keys[plain], np.broadcast_to(prints[:, None], keys.shape)[plain])
+                    for begin in range(0, len(row), 4096):
+                        some = row[begin : begin + 4096]
+                        split = finer(prints[some], keys[some, column[begin : begin + 4096]], first, bits, distance)
+                        yield _pairs(split.ravel(), np.repeat(prints[some], split.shape[1]))
 
     return run
 
 
+def _pairs(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(prints.copy().view(np.int64))], ["key", "print"])
+
+
+def crowded_keys(prints: DataFrame, distance: int, most: int, share: int = 16, limit: int = 1 << 20) -> np.ndarray:
+    """Variants that ``most`` prints or more have, by the ``share``-th part of the prints.  This settles how sets are cut, not
+    which prints meet; should there be more than ``limit``, the largest are given, and other sets are solved whole."""
+    sample = prints.where(F.pmod(F.xxhash64("print"), F.lit(share)) == 0).select("print").mapInArrow(tidy(_keys(distance)), "key long, print long")
+    found = sample.groupBy("key").count().where(F.col("count") * share >= most).orderBy(F.desc("count"), "key").limit(limit).select("key").toArrow()
+    return np.sort(found.column("key").to_numpy().view(np.uint64))
+
+
 def _links(distance: int, large_set: int):
     """Rows sorted by key: sets are cut at key changes; a set may span batches."""
 
@@ -189,10 +234,14 @@ def _links(distance: int, large_set: int):
     return run
 
 
-def links(prints: DataFrame, distance: int = 2, large_set: int = 1 << 15) -> DataFrame:
-    """``prints(print)``, distinct -> ``a, b``: links whose components are those of all pairs at ``distance``."""
-    keyed = prints.select("print").mapInArrow(tidy(_keys(distance)), "key long, print long")
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def links(prints: DataFrame, distance: int = 2, large_set: int = 1 << 15, most: int = 1 << 13) -> DataFrame:
+    """``prints(print)``, distinct -> ``a, b``: links whose components are those of all pairs at ``distance``.
+
+    Sets of ``most`` prints or more that share a variant are cut again by further bits (``finer``)."""
+    spark = prints.sparkSession
+    sent = spark.sparkContext.broadcast(crowded_keys(prints, distance, most))
+    keyed = prints.select("print").mapInArrow(tidy(_keys(distance, sent)), "key long, print long")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = keyed.repartition(n, "key").sortWithinPartitions("key")
     return met.mapInArrow(tidy(_links(distance, large_set)), "a long, b long").distinct()
 
