@@ -9,9 +9,8 @@ are joined back to their documents by id and 128-bit text hash.
 
 Defined results: null or empty text is one empty line; empty keys (fewer than ``min_chars`` code
 points) are never dropped; each input row is a document of its own, so repeated rows count repeatedly;
-a helper column of a table that is kept whole must not be named ``__cuespark_...``; ``n_chars`` is
-replaced if there is one, as its own type; an empty table gives an empty result; other columns are not
-read, or kept as they are.
+``n_chars`` is replaced if there is one, as its own type; an empty table gives an empty result; other
+columns, whatever their names, are not read, or kept as they are.
 """
 
 from __future__ import annotations
@@ -28,8 +27,6 @@ from pyspark.sql import functions as F
 from cuespark.llm.common import docs_of, raw_texts, stage, text_key, text_slices, tidy, with_key
 
 OUT = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
-#: Helper column of the shuffled way.
-DROPS = "__cuespark_drops"
 _DIGEST = np.dtype([("hi", "<i8"), ("lo", "<i8")])
 
 
@@ -76,8 +73,7 @@ def _rebuild(batch: pa.RecordBatch, masks: list[np.ndarray], texts: list[bytes],
         swapped = {"text": pa.array(decoded, pa.string()).cast(batch.column("text").type)}
         if "n_chars" in batch.schema.names:
             swapped["n_chars"] = pa.array([len(k) for k in decoded], pa.int64()).cast(batch.column("n_chars").type)
-        names = [c for c in batch.schema.names if c != DROPS]
-        return pa.RecordBatch.from_arrays([swapped.get(c, batch.column(c)) for c in names], names)
+        return pa.RecordBatch.from_arrays([swapped.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
     digests = [hashlib.sha256(k).hexdigest() for k in kept_texts]
     columns = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(decoded, pa.string()), pa.array(digests, pa.string())]
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_lines", "n_dropped", "kept_text", "kept_sha256"])
@@ -135,14 +131,20 @@ def _positions(min_chars: int):
 
 
 def _drop_listed(whole: bool):
+    """Rows ``row, drops``: the input row in one struct, so that its names clash with nothing."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            texts, masks = raw_texts(batch.column("text")), []
-            for text, drops in zip(texts, batch.column(DROPS).to_pylist(), strict=True):
-                mask = np.zeros(text.count(b"\n") + 1, bool)
-                mask[np.array(drops or [], dtype=np.int64)] = True
-                masks.append(mask)
-            yield _rebuild(batch, masks, texts, whole)
+        for packed in batches:
+            inner, drops = pa.RecordBatch.from_struct_array(packed.column("row")), packed.column("drops").to_pylist()
+            at = 0
+            for batch in text_slices([inner]):
+                texts, masks = raw_texts(batch.column("text")), []
+                for text, places in zip(texts, drops[at : at + batch.num_rows], strict=True):
+                    mask = np.zeros(text.count(b"\n") + 1, bool)
+                    mask[np.array(places or [], dtype=np.int64)] = True
+                    masks.append(mask)
+                at += batch.num_rows
+                yield _rebuild(batch, masks, texts, whole)
 
     return run
 
@@ -166,7 +168,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         return rows.mapInArrow(tidy(_drop_known(sent, min_chars, whole)), out)
     met = with_key(slim).mapInArrow(tidy(_positions(min_chars)), "hi long, lo long, doc array<long>, key array<string>, pos array<long>").join(frequent, ["hi", "lo"], "left_semi")
     places = met.select(F.explode(F.arrays_zip("doc", "key", "pos")).alias("p"))
-    drops = places.groupBy(F.col("p.doc").alias("__cuespark_doc"), F.col("p.key").alias("__cuespark_key")).agg(F.collect_set("p.pos").alias(DROPS))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cuespark_doc")) & text_key(F.col("text")).eqNullSafe(F.col("__cuespark_key"))
-    joined = rows.join(drops, same, "left").drop("__cuespark_doc", "__cuespark_key")
-    return joined.mapInArrow(tidy(_drop_listed(whole)), out)
+    drops = places.groupBy(F.struct("p.doc", "p.key").alias("at")).agg(F.collect_set("p.pos").alias("drops"))
+    at = F.struct(F.col("doc_id").cast("long").alias("doc"), text_key(F.col("text").cast("string")).alias("key"))  # nulls in structs are equal
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), at.alias("at"))
+    return packed.join(drops, "at", "left").select("row", "drops").mapInArrow(tidy(_drop_listed(whole)), out)
