@@ -154,9 +154,10 @@ SELECT t.doc_id, t.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_rem
 FROM texts t LEFT JOIN flags f USING (row_no)""",
     "op10_source_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')) AS h FROM documents
 ), classed AS (
-  SELECT *, md5(coalesce(doc_id::VARCHAR, 'null')) AS h,
+  SELECT *,
          length(bin(size)) * 4 + (((size * 8) >> length(bin(size))::BIGINT) & 3) AS class FROM sized
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
@@ -173,7 +174,7 @@ WITH sized AS (
   FROM levels
 ), ranked AS (
   SELECT c.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         row_number() OVER (PARTITION BY c.source ORDER BY class, h, doc_id, size)::DOUBLE AS k
+         row_number() OVER (PARTITION BY c.source ORDER BY class, h, size)::DOUBLE AS k
   FROM classed c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

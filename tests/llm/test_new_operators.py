@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuespark.llm import ball_tree, bpe, cuckoo, token_blocks, token_pairs, words
+from cuespark.llm import ball_tree, bpe, cuckoo, line_dedup, mixing, simhash, token_blocks, token_pairs, words
 from cuespark.llm.queries import ORACLES, QUERIES, vocabulary
 from tests.oracle import assert_same, duck
 
@@ -286,3 +286,65 @@ def test_known_parts_are_bounded():
         assert known.results([t]) == ["".join(t).encode()]
         assert known.held <= 40_000 + 20 * 400 and len(known.old) + len(known.table) < 600
     assert asked.count("often") == 1 and asked.count("a" * 100) > 100 and not any(len(p) > words.LONGEST for p in [*known.table, *known.old])
+
+
+# earlier operators: hot groups and clashing names
+
+
+def test_simhash_of_a_crowded_variant(spark):
+    """Thousands of prints with one half in common are cut by further bits; the components are those of all pairs."""
+    rng = np.random.default_rng(3)
+    crowd = (rng.integers(0, 1 << 32, 20_000, dtype=np.uint64) << np.uint64(32)) | np.uint64(0xABCDEF)
+    near = crowd[:4000] ^ (np.uint64(1) << rng.integers(0, 64, 4000, dtype=np.uint64))
+    nearer = near[:2000] ^ (np.uint64(1) << rng.integers(0, 64, 2000, dtype=np.uint64))
+    prints = np.unique(np.concatenate([crowd, near, nearer, rng.integers(0, 1 << 63, 5000, dtype=np.uint64)]))
+    forest = simhash.Forest(len(prints))
+    for bits in [(b,) for b in range(64)] + [(a, b) for a in range(64) for b in range(a)]:
+        flipped = prints ^ np.uint64(sum(1 << b for b in bits))
+        at = np.minimum(np.searchsorted(prints, flipped), len(prints) - 1)
+        met = np.flatnonzero(prints[at] == flipped)
+        for i, j in zip(met.tolist(), at[met].tolist(), strict=True):
+            forest.link(i, j)
+    frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long").repartition(4)
+    keys = simhash.crowded_keys(frame, 2, 2000)
+    assert 30 <= len(keys) <= 64
+    keyed = frame.mapInArrow(simhash._keys(2, spark.sparkContext.broadcast(keys)), "key long, print long")
+    assert keyed.groupBy("key").count().agg(F.max("count")).first()[0] <= 512
+    found = simhash.Forest(len(prints))
+    place = {p: i for i, p in enumerate(prints.view(np.int64).tolist())}
+    for r in simhash.links(frame, 2, most=2000).collect():
+        assert (r.a ^ r.b).bit_count() <= 2 or ((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 2
+        found.link(place[r.a], place[r.b])
+    assert [found.root(i) for i in range(len(prints))] == [forest.root(i) for i in range(len(prints))]
+
+
+def test_mixing_with_equal_ids_and_rows(spark, tmp_path):
+    """A third of the ids are null, a third of the rows are equal: the mix is the same, and no task numbers them all."""
+    rows = [(None, f"w {i} " * (1 + i % 7), "a") for i in range(3000)] + [(7, "same text here", "a")] * 3000 + [(i, f"own {i}", "b" if i % 2 else None) for i in range(3000)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, part string").repartition(5)
+    count = lambda df: Counter(tuple(r) for r in df.collect())
+    whole = count(mixing.mix_report(frame))
+    assert count(mixing.mix_report(frame, cell_rows=100)) == whole and count(mixing.mix_report(frame.repartition(3), cell_rows=40)) == whole
+    taken = Counter()
+    for (doc, size, *_, n), times in whole.items():
+        taken[doc] += n * times
+    emitted = mixing.emit(frame, cell_rows=100)
+    assert emitted.columns == frame.columns
+    assert count(emitted) == count(mixing.emit(frame.repartition(2)))
+    words_ = Counter()
+    for r in emitted.collect():
+        words_[r.doc_id] += len(r.text.split())
+    assert words_ == Counter({k: v for k, v in taken.items() if v})
+    cells = mixing._spread(
+        frame.select(F.struct("doc_id").alias("row"), F.lit(3).alias("size"), F.col("source"), mixing.place(frame).alias("md5"), F.lit("=a").alias("src"), F.lit(9).alias("class"), F.lit("0").alias("cell"), F.lit(0).alias("part")),
+        spark.createDataFrame([("=a", 9, "0")], "src string, class int, cell string"), 100,
+    )
+    assert cells.groupBy("part").count().where("part > 0").agg(F.max("count")).first()[0] < 7000 and cells.select("part").distinct().count() > 500
+
+
+def test_line_dedup_with_clashing_names(spark):
+    rows = [(i, f"common\nown {i}", i, "d", "k", "r", 5) for i in range(12)] + [(None, None, 1, "d", "k", "r", 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __cuespark_drops long, drops string, at string, `row` string, n_chars int")
+    ways = [Counter(tuple(r) for r in line_dedup.drop_frequent_lines(frame, whole=True, broadcast_keys=n).collect()) for n in (1 << 20, 0)]
+    assert ways[0] == ways[1] and sum(ways[0].values()) == 13
+    assert ways[0][3, "own 3", 3, "d", "k", "r", 5] == 1
