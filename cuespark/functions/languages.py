@@ -67,9 +67,10 @@ def code_of(language: str, service: str) -> str:
 
 def with_code(requests: DataFrame, spark: SparkSession, language: str = "language", service: str = "service") -> DataFrame:
     """``requests`` with ``code``; the dimension is a fixed table of about a hundred rows."""
-    table = F.broadcast(dimension(spark).select(F.col("language").alias("__l"), F.col("service").alias("__s"), F.col("code").alias("__c")))
-    joined = requests.join(table, (F.col(language) == F.col("__l")) & (F.col(service) == F.col("__s")), "left")
-    return joined.withColumn("code", F.coalesce("__c", fallback(F.col(service)))).drop("__l", "__s", "__c")
+    kept = F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("row")
+    table = F.broadcast(dimension(spark).select("language", "service", F.col("code").alias("known")))
+    packed = requests.select(kept, F.col(language).alias("language"), F.col(service).alias("service"))
+    return packed.join(table, ["language", "service"], "left").select("row.*", F.coalesce("known", fallback(F.col("service"))).alias("code"))
 
 
 def fallback(service: Column) -> Column:

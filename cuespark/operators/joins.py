@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.functions import text as T
+from cuespark.operators.prefix import unused
 
 
 def overlap_pairs(windows: DataFrame, cues: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
@@ -34,10 +35,14 @@ def reference_text(batches: DataFrame, cues: DataFrame, padding_ms: int = 5_000,
     return batches.join(joined, ["doc_id", "batch_id"], "left").withColumn("reference_text", F.coalesce("reference_text", F.lit("")))
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], column: str, default: Column) -> DataFrame:
-    """``rows`` with ``column`` of ``table``, or ``default`` where the key is missing."""
-    found = table.select(*keys, F.col(column).alias("__found"))
-    return rows.join(found, keys, "left").withColumn(column, F.coalesce("__found", default)).drop("__found")
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], column: str, default: Column, order: str | None = None) -> DataFrame:
+    """``rows`` with ``column`` of ``table``, or ``default`` where the key is missing or its value null.
+
+    A key that ``table`` has several times gives one value: the one of the largest ``order``, or the largest value."""
+    found, columns = unused("found", rows), [c for c in rows.columns if c != column]
+    value = F.max_by(column, order) if order else F.max(column)
+    single = table.groupBy(*keys).agg(value.alias(found))
+    return rows.join(single, keys, "left").select(*columns, F.coalesce(found, default).alias(column))
 
 
 def unless_changed(original: Column, changed: Column) -> Column:

@@ -127,8 +127,9 @@ inside AS (SELECT *, row_number() OVER (PARTITION BY sentence_index ORDER BY ord
 ORACLES: dict[str, str] = {
     "language_codes": f"""
 WITH d(language, service, code) AS (VALUES {CODES}),
-asked AS (SELECT DISTINCT language, s.service FROM d, (VALUES ('google'), ('bing'), ('deeplx'), ('other')) s(service))
-SELECT a.language, a.service, coalesce(d.code, f.code, 'zh-CN') AS code FROM asked a LEFT JOIN d USING (language, service)
+langs AS (SELECT lang AS code, count(*) AS n_docs FROM documents GROUP BY lang),
+asked AS (SELECT d.language, l.n_docs, s.service FROM langs l JOIN d ON d.service = 'google' AND d.code = l.code, (VALUES ('google'), ('bing'), ('deeplx'), ('other')) s(service))
+SELECT a.language, a.n_docs, a.service, coalesce(d.code, f.code, 'zh-CN') AS code FROM asked a LEFT JOIN d USING (language, service)
 LEFT JOIN d f ON f.service = a.service AND f.language = 'SIMPLIFIED_CHINESE'""",
     "word_stream": f"WITH {WORDS} SELECT doc_id, ord, text, ord * 300::BIGINT AS start_ms, ord * 300::BIGINT + 250 AS end_ms FROM words",
     "ordered_segments": """
@@ -288,6 +289,11 @@ SELECT doc_id, sentence_index, (row_number() OVER (PARTITION BY doc_id, sentence
 WITH {SENTENCES}, inside AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index ORDER BY ord) - 1 AS k FROM placed SEMI JOIN (SELECT doc_id, sentence_index FROM sentences WHERE {n_words('text')} > 18) USING (doc_id, sentence_index))
 SELECT doc_id, sentence_index, (k // 10)::INTEGER AS split_index, string_agg(text, ' ' ORDER BY ord) AS text, min(start_ms)::BIGINT AS start_ms, max(end_ms)::BIGINT AS end_ms FROM inside GROUP BY ALL""",
     "caption_lines": f"WITH {CAPTIONS} SELECT doc_id, sentence_index, split_index, line_index, text, text AS translate_text, start_ms, end_ms FROM lines",
+    "corrected_captions": f"""
+WITH {CAPTIONS},
+capitals AS (SELECT doc_id, sentence_index, sentence_index % 3 = 0 AND regexp_matches(text, '[a-z]') AS logged FROM sentences)
+SELECT doc_id, sentence_index, split_index, line_index, CASE WHEN sentence_index % 3 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END AS text, start_ms, end_ms, logged
+FROM lines JOIN capitals USING (doc_id, sentence_index)""",
     "caption_gate": f"WITH {CAPTIONS} SELECT doc_id, 0::BIGINT AS failed_lines, count(*) AS total_lines, 0.0::DOUBLE AS fail_rate, 'ok' AS verdict FROM lines GROUP BY doc_id",
     "correction_loop": f"""
 WITH {TURNS} SELECT conv_id, turn, CASE n % 5 WHEN 3 THEN 'exhausted' WHEN 4 THEN 'error' ELSE 'ok' END AS status, CASE n % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 0 ELSE 3 END::INTEGER AS attempts,

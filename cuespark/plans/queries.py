@@ -199,9 +199,12 @@ def even_time_split(spark, sf_dir):
 
 @query
 def language_codes(spark, sf_dir):
+    """Languages of the documents: what each service calls every language that has the document's code, and how many there are."""
     d = languages.dimension(spark)
-    asked = d.select("language").distinct().crossJoin(spark.createDataFrame([("google",), ("bing",), ("deeplx",), ("other",)], "service string"))
-    return languages.with_code(asked, spark)
+    documents = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("code")).agg(F.count("*").alias("n_docs"))
+    named = documents.join(F.broadcast(d.where("service = 'google'").select("code", "language")), "code").select("language", "n_docs")
+    services = F.explode(F.array(*map(F.lit, ("google", "bing", "deeplx", "other")))).alias("service")
+    return languages.with_code(named.select("language", "n_docs", services), spark)
 
 
 # --- repeated runs
@@ -642,6 +645,25 @@ def caption_lines(spark, sf_dir):
     return run_captions(spark, sf_dir)["lines"]
 
 
+@dataclass
+class Capitals:
+    """A corrector that writes every third sentence in capitals: other words for the reader, the same for alignment."""
+
+    def __call__(self, messages: list[dict]) -> dict:
+        payload = completion.request_payload(messages)
+        capitals = {c: c - 32 for c in range(ord("a"), ord("z") + 1)}
+        return completion.response(json.dumps({k: t.translate(capitals) if int(k) % 3 == 0 else t for k, t in payload.items()}, ensure_ascii=False))
+
+
+@query
+def corrected_captions(spark, sf_dir):
+    """Captions whose sentences were corrected: the new words, with the times of the old ones."""
+    out = captions.captions(words(spark, sf_dir), Capitals(), completion.Chunker(12), completion.Identity())
+    logs = out["audit"].select("doc_id", "sentence_index", (F.col("optimize_log") != "").alias("logged"))
+    lines = out["lines"].select("doc_id", "sentence_index", "split_index", "line_index", "text", "start_ms", "end_ms")
+    return lines.join(logs, ["doc_id", "sentence_index"])
+
+
 @query
 def caption_gate(spark, sf_dir):
     return run_captions(spark, sf_dir)["gate"]

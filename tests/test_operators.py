@@ -2,6 +2,9 @@ import contextlib
 import json
 import os
 import random
+import subprocess
+import sys
+import tempfile
 import time
 import uuid
 
@@ -9,6 +12,7 @@ import pytest
 from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
+from cuespark.functions import languages
 from cuespark.operators import align, cache, calls, completion, joins, prefix, repeats, status
 from cuespark.operators import sentences as S
 from cuespark.plans import captions, workspace
@@ -743,3 +747,30 @@ def test_status_table(spark, tmp_path):
     assert state()["b"]["m"] == {"deep": 1}
     with pytest.raises(Exception, match="JSON object"):
         status.current(spark.createDataFrame([("a", "[1]", False, None, "w", 1)], status.LOG)).collect()
+
+
+def test_lookups_with_clashing_names_and_repeated_keys(spark):
+    rows = spark.createDataFrame([(1, "x", 5), (2, "y", 6), (3, "z", 7)], "k int, found string, at int")
+    table = spark.createDataFrame([(1, "a", 1), (1, "b", 0), (2, None, 3)], "k int, t string, version int")
+    assert sorted(map(tuple, joins.lookup(rows, table, ["k"], "t", F.lit("-")).collect())) == [(1, "x", 5, "b"), (2, "y", 6, "-"), (3, "z", 7, "-")]
+    assert sorted(map(tuple, joins.lookup(rows, table, ["k"], "t", F.lit("-"), "version").collect())) == [(1, "x", 5, "a"), (2, "y", 6, "-"), (3, "z", 7, "-")]
+    asked = spark.createDataFrame([("ENGLISH_UK", "deeplx", "own", 1), ("?", "bing", "own", 2)], "language string, service string, known string, row int")
+    assert sorted(map(tuple, languages.with_code(asked, spark).collect())) == [("?", "bing", "own", 2, "zh-Hans"), ("ENGLISH_UK", "deeplx", "own", 1, "en-GB")]
+
+
+def test_a_shared_folder_without_the_setting():
+    """A stock session lets nobody set spark.checkpoint.dir while it runs; staged tables work without it."""
+    code = """
+import os
+from pyspark.sql import SparkSession
+from cuespark.sources import tables
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+a, b = tables.stage(spark.range(3)), tables.stage(spark.range(4))
+assert (a.count(), b.count()) == (3, 4) and os.path.dirname(a.staged_at) == os.path.dirname(b.staged_at)
+print("staged")
+"""
+    with tempfile.TemporaryDirectory() as empty:
+        env = {k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"} | {"SPARK_CONF_DIR": empty, "PYTHONPATH": os.pathsep.join(sys.path)}
+        done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, timeout=300)
+    assert "staged" in done.stdout, done.stderr[-2000:]
