@@ -9,20 +9,36 @@ from cuespark.functions import text as T
 from cuespark.operators.prefix import unused
 
 
-def overlap_pairs(windows: DataFrame, cues: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+def overlap_pairs(windows: DataFrame, cues: DataFrame, bucket_ms: int = 60_000, levels: int = 3, fan: int = 8) -> DataFrame:
     """Pairs of ``windows(doc_id, window_id, lo, hi)`` and ``cues(doc_id, cue_ord, text, start_ms, end_ms)``
     that overlap, both ends inclusive.
 
-    Both sides are put in time buckets and joined on (document, bucket), so a long recording is spread
-    over many tasks.  A pair is kept only in the bucket where its overlap begins, so none comes twice.
+    Both sides are put in time buckets and joined on (document, level, bucket), so a long recording is spread over many
+    tasks.  Buckets of a level are ``fan`` times as long as those of the level below; an interval's own level is the first
+    where it spans ``fan`` buckets at most (or the last one), so an hour is a few rows and a second is one.  Two
+    intervals meet on the higher of their levels: each stands on its own level and, there in a bucket or two, on those
+    above.  A pair is kept only in the bucket where its overlap begins, so none comes twice.
     """
-    def buckets(lo: Column, hi: Column) -> Column:
-        return F.explode(F.when(lo <= hi, F.sequence(F.floor(lo / bucket_ms), F.floor(hi / bucket_ms))))
-
-    left = windows.select("doc_id", "window_id", "lo", "hi", buckets(F.col("lo"), F.col("hi")).alias("bucket"))
-    right = cues.select("doc_id", "cue_ord", "text", "start_ms", "end_ms", buckets(F.col("start_ms"), F.col("end_ms")).alias("bucket"))
-    met = left.join(right, ["doc_id", "bucket"]).where((F.col("start_ms") <= F.col("hi")) & (F.col("end_ms") >= F.col("lo")))
-    return met.where(F.col("bucket") == F.floor(F.greatest("start_ms", "lo") / bucket_ms)).drop("bucket")
+    sizes = [bucket_ms * fan**level for level in range(levels)]
+    size = F.element_at(F.array(*map(F.lit, sizes)), F.col("at.level") + 1)
+
+    def covered(level: int, first: Column, last: Column) -> Column:
+        return F.transform(F.sequence(first, last), lambda b: F.struct(F.lit(level).alias("level"), b.alias("bucket")))
+
+    def placed(rows: DataFrame, lo: str, hi: str) -> DataFrame:
+        own = F.lit(levels - 1)
+        for level in range(levels - 2, -1, -1):
+            own = F.when(F.floor(F.col(hi) / sizes[level]) - F.floor(F.col(lo) / sizes[level]) < fan, level).otherwise(own)
+        buckets = [covered(level, F.floor(F.col(lo) / s), F.floor(F.col(hi) / s)) for level, s in enumerate(sizes)]
+        none = F.slice(buckets[0], 1, 0)
+        on = F.concat(*[F.when(own <= level, b).otherwise(none) for level, b in enumerate(buckets)])
+        return rows.where(F.col(lo) <= F.col(hi)).withColumn("own", own).withColumn("at", F.explode(on))
+
+    left = placed(windows.select("doc_id", "window_id", "lo", "hi"), "lo", "hi").withColumnRenamed("own", "own_left")
+    right = placed(cues.select("doc_id", "cue_ord", "text", "start_ms", "end_ms"), "start_ms", "end_ms")
+    met = left.join(right, ["doc_id", "at"]).where((F.col("start_ms") <= F.col("hi")) & (F.col("end_ms") >= F.col("lo")))
+    first = F.floor(F.greatest("start_ms", "lo") / size)
+    return met.where((F.greatest("own", "own_left") == F.col("at.level")) & (F.col("at.bucket") == first)).drop("at", "own", "own_left")
 
 
 def reference_text(batches: DataFrame, cues: DataFrame, padding_ms: int = 5_000, **options: int) -> DataFrame:

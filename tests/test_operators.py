@@ -774,3 +774,23 @@ print("staged")
         env = {k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"} | {"SPARK_CONF_DIR": empty, "PYTHONPATH": os.pathsep.join(sys.path)}
         done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, timeout=300)
     assert "staged" in done.stdout, done.stderr[-2000:]
+
+
+def test_overlaps_of_mixed_lengths(spark):
+    """Windows of a second to days among cues of a moment to hours: every pair once, in rows that follow the pairs."""
+    rng = random.Random(2)
+    length = lambda: rng.choice([0, 900, 4_000, 70_000, 3_600_000, 40_000_000, 300_000_000])
+    windows = [(d, i, lo, lo + length()) for d in (1, 2) for i, lo in enumerate(rng.randrange(-10**6, 10**8) for _ in range(60))] + [(1, 99, 10, 5)]
+    cues = [(d, i, f"c{i}", a, a + rng.choice([0, 500, 2_000, 100_000, 9_000_000])) for d in (1, 2) for i, a in enumerate(rng.randrange(-10**6, 10**8) for _ in range(150))]
+    w = spark.createDataFrame(windows, "doc_id long, window_id int, lo long, hi long")
+    c = spark.createDataFrame(cues, "doc_id long, cue_ord int, text string, start_ms long, end_ms long")
+    expected = sorted((d, i, n) for d, i, lo, hi in windows for e, n, _, a, b in cues if d == e and lo <= hi and a <= hi and b >= lo)
+    for levels in (1, 3, 5):
+        got = joins.overlap_pairs(w, c, levels=levels)
+        assert sorted((r.doc_id, r.window_id, r.cue_ord) for r in got.collect()) == expected
+    assert len(expected) > 500
+    # an hour among seconds is ten rows at most on its own level
+    hour = spark.createDataFrame([(1, 0, 0, 3_600_000)], "doc_id long, window_id int, lo long, hi long")
+    second = spark.createDataFrame([(1, i, "x", 1000 * i, 1000 * i + 500) for i in range(5000)], "doc_id long, cue_ord int, text string, start_ms long, end_ms long")
+    pairs = joins.overlap_pairs(hour, second)
+    assert pairs.count() == 3601
