@@ -313,4 +313,16 @@ WITH c AS (SELECT conv_id, count(*) % 5 AS k FROM conversations GROUP BY conv_id
 SELECT conv_id, CASE k WHEN 0 THEN 'success' WHEN 1 THEN 'error,success' WHEN 4 THEN 'error' ELSE 'success,success,success' END AS calls,
   CASE k WHEN 1 THEN 'the response is blank' WHEN 4 THEN 'ConnectionError: no service' ELSE '' END AS errors FROM c""",
     "lenient_answers": """SELECT conv_id, turn, text AS summary, '[{"src":"a","tgt":"b"}]' AS terms FROM conversations""",
+    "call_log_table": """
+WITH c AS (SELECT conv_id, count(*) % 5 AS k FROM conversations GROUP BY conv_id),
+calls AS (SELECT unnest(CASE k WHEN 0 THEN [['success', '']] WHEN 1 THEN [['error', 'the response is blank'], ['success', '']] WHEN 4 THEN [['error', 'ConnectionError: no service']]
+  ELSE [['success', ''], ['success', ''], ['success', '']] END) AS x FROM c)
+SELECT x[1] AS status, x[2] AS error, count(*) AS n FROM calls GROUP BY ALL""",
+    "conversation_summaries": """
+WITH c AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
+SELECT conv_id, string_split(text, chr(10))[1] AS summary, '[{"src":"a","tgt":"b"}]' AS terms FROM c""",
+    "plain_log_texts": """
+SELECT conv_id, turn, len(string_split(regexp_replace(coalesce(text, ''), '[ \n]', chr(10), 'g'), chr(10)))::INTEGER AS n_lines, md5(regexp_replace(coalesce(text, ''), '[ \n]', chr(10), 'g')) AS text_md5 FROM conversations""",
 }
+ORACLES["remembered_corrections"] = ORACLES["correction_loop"]
+ORACLES["subtitle_files"] = ORACLES["srt_roundtrip"]

@@ -15,7 +15,7 @@ from cuespark.functions import text as T
 from cuespark.operators import align, cache, completion, joins, repeats, status
 from cuespark.operators import sentences as S
 from cuespark.plans import captions
-from cuespark.sources import readers, writers
+from cuespark.sources import readers, tables, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -621,6 +621,55 @@ def call_log(spark, sf_dir):
     return answers.select(F.col("doc_id").alias("conv_id"), F.array_join("calls.status", ",").alias("calls"), F.array_join("calls.error", ",").alias("errors"))
 
 
+@query
+def call_log_table(spark, sf_dir):
+    """The log that a stage appends to: how many calls ended how."""
+    log = f"{tables.shared_dir(spark)}/calls"
+    completion.remembered(turn_batches(spark, sf_dir), completion.correction(Rehearsed(CORRECTIONS)), log=log)
+    return spark.read.parquet(log).groupBy("status", F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("n"))
+
+
+@query
+def remembered_corrections(spark, sf_dir):
+    """A second run through the memory of a first: its completer is down, and only what failed before fails again."""
+    memory, batches = f"{tables.shared_dir(spark)}/correct", turn_batches(spark, sf_dir)
+    completion.remembered(batches, completion.correction(Rehearsed(CORRECTIONS)), memory)
+    return loop_rows(completion.remembered(batches, completion.correction(Rehearsed([["down"]])), memory))
+
+
+@dataclass
+class FirstLine:
+    """A summariser for these queries: the first line of what it is given, inside prose."""
+
+    def __call__(self, messages: list[dict]) -> dict:
+        answer = {"summary": messages[-1]["content"].split("\n")[0], "terms": [{"src": "a", "tgt": "b", "note": 1}]}
+        return completion.response(f"Here it is: {json.dumps(answer, ensure_ascii=False)}")
+
+
+@query
+def conversation_summaries(spark, sf_dir):
+    texts = F.array_join(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))["text"], "\n")
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(texts.alias("text"))
+    read = verdict(lambda text, _: json.dumps(completion.summarise(FirstLine(), text)))("text", "conv_id")
+    return c.select("conv_id", F.from_json(read, "summary string, terms array<struct<src:string,tgt:string>>").alias("p")).select("conv_id", "p.summary", F.to_json("p.terms").alias("terms"))
+
+
+@query
+def plain_log_texts(spark, sf_dir):
+    """Texts whose line ends a log has escaped, as people read them."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[ \n]", r"\\n").alias("escaped"))
+    return c.select("conv_id", "turn", F.size(F.split(T.unescape_newlines(F.col("escaped")), "\n")).alias("n_lines"), F.md5(T.unescape_newlines(F.col("escaped")).cast("binary")).alias("text_md5"))
+
+
+@query
+def subtitle_files(spark, sf_dir):
+    """Subtitles written to a file a document and read back from the folder."""
+    folder = f"{tables.shared_dir(spark)}/srt"
+    writers.write_texts(writers.srt(writers.line_entries(lines(spark, sf_dir))), "srt", folder, ".srt")
+    cues = readers.parse_srt(readers.read_texts(spark, folder, "*.srt"))
+    return cues.select(F.regexp_extract("doc_id", r"([^/]+)\.srt$", 1).cast("long").alias("doc_id"), "ord", "text", "start_ms", "end_ms")
+
+
 @query
 def lenient_answers(spark, sf_dir):
     """Summaries as models write them: fenced, inside prose, with a comma too many, not closed."""
