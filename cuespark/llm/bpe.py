@@ -101,7 +101,7 @@ class Codec:
         self.pieces = piece_finder(path)
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known = Known(lambda found: map(self._encode_piece, found))
+        self.known = Known(lambda found: map(self._encode_piece, found), 24 << 20)
         # decoding: one blob of all token bytes and the offsets of each id in it
         size = max([*self.token_bytes, *self.added.values()]) + 1
         texts = [b""] * size
