@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cuespark.operators import sentences as S
@@ -17,9 +16,9 @@ from cuespark.sources import readers
 
 
 def landing(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of whole text files: ``doc_id, content``."""
+    """A stream of whole text files: ``doc_id, content`` and, where one cannot be decoded, a ``fault``."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
-    return files.select(F.col("path").alias("doc_id"), readers.decoded("content").alias("content"))
+    return readers.texts_of(files)
 
 
 def sentences_of(batch: DataFrame) -> DataFrame:
