@@ -1,7 +1,7 @@
 """Result caches as tables: keys, probes, time to live, compaction.
 
-A cache is a Parquet table ``cache_key, value, created_at, expires_at`` in folders by ``bucket``, the first digits of the
-key's hash.  A probe splits requests into hits (joined with the newest live value) and misses (anti join); only misses
+A cache is a Parquet table ``cache_key, value, created_at, expires_at`` in folders by write and by ``bucket``, the first
+digits of the key's hash.  A probe splits requests into hits (joined with the newest live value) and misses (anti join); only misses
 reach a completer (see ``completion.remembered``).  ``entries_for`` reads only the buckets that requests fall in, so a
 probe of few keys reads few files of a large cache; inside a file rows are sorted by key, so pages have narrow key
 ranges.  ``compact`` leaves one file a bucket with the newest live entry of
@@ -11,13 +11,15 @@ what is appended meanwhile stays.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespark.sources.tables import delete_files, exists
 
 ENTRY = "cache_key string, value string, created_at timestamp, expires_at timestamp"
-_STORED = f"{ENTRY}, bucket string"
+_STORED = f"{ENTRY}, run string, bucket string"
 #: Hexadecimal digits of a bucket: 256 buckets.
 DIGITS = 2
 
@@ -73,14 +75,15 @@ def entries_for(requests: DataFrame, path: str) -> DataFrame | None:
     if stored is None:
         return None
     wanted = [r[0] for r in requests.select(bucket(F.col("cache_key"))).distinct().collect()]  # 16**DIGITS at most
-    return stored.where(F.col("bucket").isin(wanted)).drop("bucket")
+    return stored.where(F.col("bucket").isin(wanted)).drop("run", "bucket")
 
 
 def add(rows: DataFrame, path: str) -> None:
-    """Append ``ENTRY`` rows, sorted by key in the files of their buckets."""
+    """Add ``ENTRY`` rows, sorted by key in the files of their buckets, in a folder of their own (``run``): two jobs that
+    commit to one folder would remove each other's files."""
     placed = rows.select("cache_key", "value", "created_at", "expires_at", bucket(F.col("cache_key")).alias("bucket"))
     spread = placed.repartition("bucket").sortWithinPartitions("bucket", "cache_key")
-    spread.write.mode("append").partitionBy("bucket").parquet(path)
+    spread.write.partitionBy("bucket").parquet(f"{path}/run={uuid.uuid4().hex}")
 
 
 def append(results: DataFrame, path: str, ttl_seconds: int) -> None:

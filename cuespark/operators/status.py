@@ -29,11 +29,15 @@ def append(updates: DataFrame, path: str) -> None:
     replace = F.coalesce(F.col("replace").cast("boolean"), F.lit(False)) if "replace" in updates.columns else F.lit(False)
     seq = F.col("seq").cast("long") if "seq" in updates.columns else F.monotonically_increasing_id()
     rows = updates.select(F.col("key").cast("string").alias("key"), "update", replace.alias("replace"), F.current_timestamp().alias("at"), F.lit(uuid.uuid4().hex).alias("writer"), seq.alias("seq"))
-    rows.write.mode("append").parquet(path)
+    _write(rows, path)
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.parquet(f"{path}/batch={uuid.uuid4().hex}")
 
 
 def log_of(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG).parquet(path) if exists(spark, path) else spark.createDataFrame([], LOG)
+    return spark.read.schema(f"{LOG}, batch string").parquet(path).drop("batch") if exists(spark, path) else spark.createDataFrame([], LOG)
 
 
 def _merge(updates: pa.Array) -> pa.Array:
@@ -71,5 +75,5 @@ def compact(spark: SparkSession, path: str) -> int:
     if not read:
         return 0
     state = current(spark.read.schema(LOG).parquet(*read))
-    state.select("key", F.col("status").alias("update"), F.lit(True).alias("replace"), "at", "writer", "seq").write.mode("append").parquet(path)
+    _write(state.select("key", F.col("status").alias("update"), F.lit(True).alias("replace"), "at", "writer", "seq"), path)
     return delete_files(spark, read)
